@@ -11,17 +11,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import DEMO_RULES, filter_urls, rules_frame
+
+    return filter_urls(_table(spark, sf_dir, "pages"), rules_frame(spark, DEMO_RULES))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), 2048)
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .doubling import substring_dedup
 
     return substring_dedup(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fertility import default_model, quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"), default_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op8_winnowing": op8_winnowing,
+        "op10_tokeniser_fertility": op10_tokeniser_fertility,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import urlfilter, winnow
+
+    return {"op1_url_filter": urlfilter.SQL, "op8_winnowing": winnow.SQL}
