@@ -17,6 +17,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules_frame(spark, DEMO_RULES))
 
 
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents"), window=50)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -44,6 +50,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_run_length_index": op3_run_length_index,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op8_winnowing": op8_winnowing,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
