@@ -29,6 +29,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), 2048)
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dartminhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnow import decontaminate
 
@@ -52,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op3_run_length_index": op3_run_length_index,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_dart_minhash": op6_dart_minhash,
         "op8_winnowing": op8_winnowing,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
         "op9_substring_dedup": op9_substring_dedup,
