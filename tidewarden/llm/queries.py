@@ -35,6 +35,12 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interpolation import score
+
+    return score(_table(spark, sf_dir, "documents"), order=3)
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnow import decontaminate
 
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_run_length_index": op3_run_length_index,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_dart_minhash": op6_dart_minhash,
+        "op7_deleted_interpolation": op7_deleted_interpolation,
         "op8_winnowing": op8_winnowing,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
         "op9_substring_dedup": op9_substring_dedup,
