@@ -29,6 +29,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), 2048)
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import classify
+
+    labels = _table(spark, sf_dir, "labels")
+    return classify(_table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0").select("doc_id"))
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dartminhash import near_duplicates
 
@@ -64,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op3_run_length_index": op3_run_length_index,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_kneser_ney": op5_kneser_ney,
         "op6_dart_minhash": op6_dart_minhash,
         "op7_deleted_interpolation": op7_deleted_interpolation,
         "op8_winnowing": op8_winnowing,
