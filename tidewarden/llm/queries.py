@@ -17,6 +17,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules_frame(spark, DEMO_RULES))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from .exchange import ensure_checkpoint_dir
+    from .warc import read_archives, write_archives
+
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import suffix_dedup
 
@@ -69,6 +80,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_warc": op2_warc,
         "op3_run_length_index": op3_run_length_index,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_kneser_ney": op5_kneser_ney,
@@ -81,6 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import urlfilter, winnow
+    from . import urlfilter, warc, winnow
 
-    return {"op1_url_filter": urlfilter.SQL, "op8_winnowing": winnow.SQL}
+    return {"op1_url_filter": urlfilter.SQL, "op2_warc": warc.SQL, "op8_winnowing": winnow.SQL}
