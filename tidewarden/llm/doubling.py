@@ -13,7 +13,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import kernels as K
@@ -115,7 +114,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """Remove every word covered by a ``window``-word run whose word sequence starts anywhere else.
 
     Words are maximal runs of bytes other than ASCII white space. Returns one row per input row:
-    doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text.
+    doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text: those
+    joined words, or the text as it was where nothing is removed.
     Null or empty text: no words, nothing removed, the hash of the empty string. Rows that repeat
     count as copies of each other, so both lose every full window. A null id stays null; other
     columns are not read. An empty table gives an empty result.
@@ -173,12 +173,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
             for d, (lo, hi) in enumerate(zip(first_word, first_word[1:], strict=False)):
                 keep = lo + np.flatnonzero(~gone[lo:hi])
                 text = b" ".join([buf[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
-                rows.append((ids[at + d], int(hi - lo), int(hi - lo - len(keep)), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace")))
+                shown = text if len(keep) < hi - lo else texts[at + d] or b""
+                rows.append((ids[at + d], int(hi - lo), int(hi - lo - len(keep)), hashlib.sha256(text).hexdigest(), shown.decode("utf-8", "replace")))
         return X.table_of(_RESULT, rows)
 
     return X.entries_after(dealt, everything, cut, RESULT)
-
-
-def deduplicated(docs: DataFrame, window: int = 35, **options) -> DataFrame:
-    """(doc_id, kept_text) for a pipeline."""
-    return substring_dedup(docs, window, **options).select("doc_id", F.col("kept_text").alias("text"))
