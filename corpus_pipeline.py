@@ -41,9 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long passages that op 9 finds more than once."""
-    cut = doubling.substring_dedup(docs).where("n_words > n_removed").select("doc_id", "n_removed", "kept_text")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = docs.join(cut, "doc_id").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    cut = doubling.substring_dedup(docs).where("n_words > n_removed").select("doc_id", F.col("kept_text").alias("text"))
+    out = docs.drop("text").join(cut, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
 
 
