@@ -19,16 +19,11 @@ def frequency_d4(events: DataFrame, unit: float = 1.0, burst: int = 10, repetiti
     """Add freq_d4: 2 for ``burst`` calls of one tool within 5 time units, 1 for ``repetitive`` of one tool or ``rate`` of all within 60.
 
     The bounds are inclusive; the row itself counts, later rows of the same instant don't. ``unit`` is the
-    length of a time unit in seconds. Range frames count each tool apart, so no list of calls is built.
+    length of a time unit in seconds. Every tool of the session counts, not the row's alone, so a list of the calls
+    of the last 60 units is looked through, but only where their number reaches a threshold.
     """
     tick = int(unit * 1e6)
     out = events
-    short = Window.partitionBy("session_id", "tool_name").orderBy("micros")
-    peers = Window.partitionBy("session_id", "tool_name", "micros").orderBy(F.col("event_id").desc())
-    later = F.row_number().over(peers) - 1  # peers of the tool after this row
-    out = out.withColumn("own5", F.count("*").over(short.rangeBetween(-5 * tick, 0)) - later)
-    out = out.withColumn("own60", F.count("*").over(short.rangeBetween(-60 * tick, 0)) - later)
-    # another tool's count peaks at its own calls: carry each call's count to the rows within the window
     session = Window.partitionBy("session_id").orderBy("micros")
     everyone = Window.partitionBy("session_id", "micros").orderBy(F.col("event_id").desc())
     out = out.withColumn("all60", F.count("*").over(session.rangeBetween(-60 * tick, 0)) - (F.row_number().over(everyone) - 1))
@@ -43,7 +38,7 @@ def frequency_d4(events: DataFrame, unit: float = 1.0, burst: int = 10, repetiti
         return F.coalesce(F.array_max(F.transform(F.array_distinct(names), lambda t: F.size(F.filter(names, lambda n: n == t)))), F.lit(0))
 
     value = F.when(most(5) >= burst, 2).when((most(60) >= repetitive) | (F.col("all60") >= rate), 1).otherwise(0)
-    return out.withColumn("freq_d4", value).drop("own5", "own60", "all60", "calls")
+    return out.withColumn("freq_d4", value).drop("all60", "calls")
 
 
 def accumulation(events: DataFrame, mid: int = 2, high: int = 5, t: S.Thresholds = S.Thresholds(), freq: Column | None = None) -> DataFrame:
