@@ -46,6 +46,25 @@ def step_flags(events: DataFrame) -> dict[str, Column]:
     }
 
 
+def _matched(s: Sequence, order: Window, unit: float) -> Column:
+    """Ids of the events that match a sequence in the window that ends at the row, null without a match."""
+    names = list(dict.fromkeys(s.steps))
+    frame = F.collect_list(F.struct("micros", "event_id", *names)).over(order.rowsBetween(-(s.within_events - 1), 0))
+    near = F.filter(frame, lambda e: e["micros"] >= F.col("micros") - int(s.within_time * unit * 1e6))
+    if len(s.steps) == 1:
+        ids = F.transform(F.filter(near, lambda e: e[s.steps[0]]), lambda e: e["event_id"])
+        return F.when(F.size(ids) >= s.least, F.slice(ids, 1, s.least))
+
+    def walk(ids: Column, e: Column) -> Column:
+        hit = F.lit(False)
+        for i, step in enumerate(s.steps):
+            hit = hit | ((F.size(ids) == i) & e[step])
+        return F.when(hit, F.concat(ids, F.array(e["event_id"]))).otherwise(ids)
+
+    ids = F.aggregate(near, F.array().cast("array<bigint>"), walk)
+    return F.when(F.size(ids) == len(s.steps), ids)
+
+
 def detect_trajectories(events: DataFrame, sequences: list[Sequence] | None = None, unit: float = 1.0) -> DataFrame:
     """(session_id, sequence_id, risk_level, trigger_event_id, matched): first trigger of every distinct set of matched events.
 
@@ -56,26 +75,8 @@ def detect_trajectories(events: DataFrame, sequences: list[Sequence] | None = No
     sequences = SEQUENCES if sequences is None else sequences
     rows = events.select("session_id", *ORDER, *[f.alias(n) for n, f in step_flags(events).items()])
     order = Window.partitionBy("session_id").orderBy(*ORDER)
-    found = []
-    for s in sequences:
-        names = list(dict.fromkeys(s.steps))
-        frame = F.collect_list(F.struct("micros", "event_id", *names)).over(order.rowsBetween(-(s.within_events - 1), 0))
-        near = F.filter(frame, lambda e, s=s: e["micros"] >= F.col("micros") - int(s.within_time * unit * 1e6))
-        if len(s.steps) == 1:
-            ids = F.transform(F.filter(near, lambda e, s=s: e[s.steps[0]]), lambda e: e["event_id"])
-            matched = F.when(F.size(ids) >= s.least, F.slice(ids, 1, s.least))
-        else:
-            start = F.array().cast("array<bigint>")
-
-            def walk(ids: Column, e: Column, s=s) -> Column:
-                hit = F.lit(False)
-                for i, step in enumerate(s.steps):
-                    hit = hit | ((F.size(ids) == i) & e[step])
-                return F.when(hit, F.concat(ids, F.array(e["event_id"]))).otherwise(ids)
-
-            ids = F.aggregate(near, start, walk)
-            matched = F.when(F.size(ids) == len(s.steps), ids)
-        found.append(F.struct(F.lit(s.id).alias("sequence_id"), F.lit(s.level).alias("risk_level"), matched.alias("matched")))
+    rows = rows.select("session_id", *ORDER, *[_matched(s, order, unit).alias(f"m{i}") for i, s in enumerate(sequences)])
+    found = [F.struct(F.lit(s.id).alias("sequence_id"), F.lit(s.level).alias("risk_level"), F.col(f"m{i}").alias("matched")) for i, s in enumerate(sequences)]
     hits = rows.select("session_id", *ORDER, F.inline(F.array(*found))).where(F.col("matched").isNotNull())
     hits = hits.withColumn("matched", F.array_join(F.transform(F.array_sort("matched"), lambda i: i.cast("string")), ","))
     first = Window.partitionBy("session_id", "sequence_id", "matched").orderBy(*ORDER)

@@ -1,11 +1,246 @@
-"""Registered queries of the event operators."""
+"""Registered queries of the event operators: each applies one operator to its whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import outputs as O
+from ..functions import patterns as P
+from ..functions import scoring as S
+from ..functions.signals import any_of
+from ..operators import correlate, reports, rules, score, sequences, sessions
+from ..sources.fixtures import agent_events, table, tool_outputs
+from . import oracle
+
+#: Seconds that stand for one time unit in the event view (gaps there are hours, not seconds).
+UNIT = 14_400.0
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return score.score_events(agent_events(spark, d))
+
+
+def score_events(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("event_id", "session_id", "d1", "d2", "d3", "d4", "d5", "d6", "composite", "sc_rule", "risk_level", "verdict")
+
+
+def preset_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return score.preset_comparison(agent_events(spark, d))
+
+
+def injection_scores(spark: SparkSession, d: str) -> DataFrame:
+    return tool_outputs(spark, d).select("output_id", F.round(S.d6(F.col("output")), 4).alias("d6"))
+
+
+def output_findings(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.outputs import analyze_outputs
+
+    return analyze_outputs(tool_outputs(spark, d)).select("output_id", "instructional", "exfiltration", "secret_exposure", "obfuscation", "score", "tier")
+
+
+def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", O.redacted(F.col("text")).alias("redacted"))
+
+
+def entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy of the 4096 characters that the obfuscation rule looks at."""
+    return table(spark, d, "documents").select("doc_id", F.round(O.entropy(F.substring(F.coalesce("text", F.lit("")), 1, 4096)), 4).alias("entropy"))
+
+
+def pattern_matches(spark: SparkSession, d: str) -> DataFrame:
+    return rules.match_patterns(agent_events(spark, d))
+
+
+def rule_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return rules.rule_coverage(agent_events(spark, d))
+
+
+def taxonomy_counts(spark: SparkSession, d: str) -> DataFrame:
+    return score.classify(_scored(spark, d)).groupBy("tier", "subtype").agg(F.count("*").alias("n"))
+
+
+def live_overview(spark: SparkSession, d: str) -> DataFrame:
+    return reports.live_overview(score.classify(_scored(spark, d)))
+
+
+def summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.summary(_scored(spark, d))
+
+
+def high_risk_trend(spark: SparkSession, d: str) -> DataFrame:
+    return reports.high_risk_trend(_scored(spark, d), unit=UNIT)
+
+
+def invalid_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Plain enumeration commands stand for invalid events."""
+    return reports.invalid_rates(agent_events(spark, d), F.coalesce(F.col("command") == "uname -a", F.lit(False)), unit=60 * UNIT)
+
+
+def posture(spark: SparkSession, d: str) -> DataFrame:
+    return reports.posture(_scored(spark, d), unit=UNIT)
+
+
+def session_risk(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.session_risk(_scored(spark, d))
+
+
+def session_profile(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.session_profile(_scored(spark, d))
+
+
+def session_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.timeline(_scored(spark, d), 20).select("session_id", "event_id", "risk_level", "composite", "position")
+
+
+def risk_changes(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.risk_changes(_scored(spark, d))
+
+
+def cumulative_points(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.cumulative_points(_scored(spark, d))
+
+
+def d4_accumulation(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.accumulation(agent_events(spark, d)).select("event_id", "session_id", "prior_high", "d4", "composite", "risk_level")
+
+
+def d4_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.frequency_d4(agent_events(spark, d), UNIT, 4, 12, 30).select("event_id", "freq_d4")
+
+
+def trajectories(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.detect_trajectories(agent_events(spark, d), unit=UNIT)
+
+
+def alerted_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    events = agent_events(spark, d)
+    return sequences.apply_alerts(score.score_events(events), sequences.detect_trajectories(events, unit=UNIT)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def suspicious_history(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.suspicious_history(agent_events(spark, d))
+
+
+def bypass_matches(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.detect_bypass(_scored(spark, d), unit=UNIT)
+
+
+def enforcement_state(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.enforcement(_scored(spark, d), cooldown=10, unit=UNIT).select("session_id", "event_id", "high_before", "enforced", "triggers")
+
+
+def asof_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    states = scored.where("risk_rank = 3").select("session_id", "micros", F.when(F.col("event_id") % 2 == 0, "quarantined").otherwise("released").alias("state"))
+    return sessions.as_of(scored.select("session_id", "event_id", "micros"), states).select("event_id", "state")
+
+
+def replay_enriched(spark: SparkSession, d: str) -> DataFrame:
+    events, i = agent_events(spark, d), F.col("event_id")
+    kind = F.when(i % 3 == 0, "enforced").when(i % 3 == 1, "degraded").otherwise("unsupported")
+    effects = events.where((i % 3 == 0) | (i % 5 == 0)).select("session_id", F.when(i % 5 != 0, i).alias("event_id"), kind.alias("kind"))
+    return correlate.replay_enriched(events, effects)
+
+
+def evidence_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.evidence_snapshots(_scored(spark, d))
+
+
+def approval_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    events, i = agent_events(spark, d), F.col("event_id")
+    asked = events.where(i % 3 == 0).select(i.alias("approval_id"), "micros")
+    done = events.where((i % 3 != 0) & (i % 7 < 4)).select((i - i % 3).alias("approval_id"), "micros", F.when(i % 2 == 0, "allow").otherwise("deny").alias("decision"))
+    return correlate.approval_outcomes(asked, done, 0.01, UNIT)
+
+
+def sampled_events(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.sampled_events(agent_events(spark, d), 5.0, UNIT)
+
+
+def token_budget(spark: SparkSession, d: str) -> DataFrame:
+    return reports.token_budget(agent_events(spark, d), 100_000)
+
+
+def usage_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return reports.usage_rollup(agent_events(spark, d))
+
+
+def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return reports.latency_histogram(agent_events(spark, d), "value", "source_framework", (10.0, 50.0, 100.0, 250.0))
+
+
+def latency_pressure(spark: SparkSession, d: str) -> DataFrame:
+    return reports.latency_pressure(agent_events(spark, d).withColumn("seconds", F.col("value") / 400), "tool_name", "seconds")
+
+
+def workspace_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return reports.workspace_rollup(_scored(spark, d))
+
+
+def dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return reports.dashboard(_scored(spark, d))
+
+
+def priority_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return reports.priority_sessions(_scored(spark, d))
+
+
+def audit_search(spark: SparkSession, d: str) -> DataFrame:
+    return reports.audit_search(_scored(spark, d), risk="critical", tool="ba")
+
+
+def audit_stats(spark: SparkSession, d: str) -> DataFrame:
+    return reports.audit_stats(_scored(spark, d))
+
+
+def replay_page(spark: SparkSession, d: str) -> DataFrame:
+    return reports.replay_page(_scored(spark, d), 500)
+
+
+def vector_scores(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return correlate.vector_scores(vectors.where("label <> 0"), vectors.where("label = 0"))
+
+
+def trajectory_events(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.trajectory_events(table(spark, d, "conversations"))
+
+
+def detection_quality(spark: SparkSession, d: str) -> DataFrame:
+    hit = any_of(F.col("text"), P.HIGH_SECRETS + P.OTHER_SECRETS + [P.REDACT])
+    unsafe = ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("unsafe")
+    return correlate.detection_quality(table(spark, d, "documents").select(F.col("doc_id").alias("id"), hit.alias("detected")), table(spark, d, "labels").select(F.col("doc_id").alias("id"), unsafe))
+
+
+def candidate_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return rules.candidate_patterns(agent_events(spark, d))
+
+
+def pattern_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    events = agent_events(spark, d).where(F.col("event_id") % 20 == 0)
+    votes = events.select(F.concat_ws("-", "tool_name", (F.col("session_id") % 50).cast("string")).alias("rule_id"), "event_id", "micros", ((F.col("event_id") * 7919) % 100 < 75).alias("confirmed"))
+    return rules.pattern_lifecycle(votes)
+
+
+def skill_routing(spark: SparkSession, d: str) -> DataFrame:
+    return rules.route_skills(agent_events(spark, d))
+
+
+def queries() -> dict[str, Query]:
+    found = [
+        score_events, preset_comparison, injection_scores, output_findings, redact_secrets, entropy, pattern_matches, rule_coverage, taxonomy_counts, live_overview,
+        summary_counts, high_risk_trend, invalid_rates, posture, session_risk, session_profile, session_timeline, risk_changes, cumulative_points, d4_accumulation,
+        d4_frequency, trajectories, alerted_verdicts, suspicious_history, bypass_matches, enforcement_state, asof_quarantine, replay_enriched, evidence_snapshots,
+        approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
+        audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
