@@ -14,10 +14,12 @@ def dimensions(events: DataFrame, boost: float = 0.0) -> DataFrame:
     tool, path, command, content = (F.col(c) for c in ("tool_name", "path", "command", "content"))
     origin = F.when(F.lower(text(tool)).isin("http_request", "fetch", "web_fetch"), "external").otherwise("user")
     injected = F.concat_ws(" ", command, path, content)
-    return events.withColumns({
-        "d1": S.d1(tool, command), "d2": S.d2(path, command), "d3": S.d3(tool, command), "d5": S.d5(F.col("trust")),
-        "d6": F.round(S.d6(injected, tool, origin, boost), 4),
-    })
+    found = F.struct(
+        S.d1(tool, command).alias("d1"), S.d2(path, command).alias("d2"), S.d3(tool, command).alias("d3"), S.d5(F.col("trust")).alias("d5"),
+        F.round(S.d6(injected, tool, origin, boost), 4).alias("d6"),
+    )
+    # one struct, unpacked: a filter on a level above isn't pushed below it, where it would repeat every pattern for each use
+    return events.select("*", F.inline(F.array(found)))
 
 
 def with_level(rows: DataFrame, d4: Column, t: S.Thresholds = S.Thresholds()) -> DataFrame:

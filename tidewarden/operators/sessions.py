@@ -147,3 +147,35 @@ def cumulative_points(scored: DataFrame, least: int = 5) -> DataFrame:
     """Events at which a session's running risk points reach ``least``."""
     rows = scored.select("session_id", *ORDER, F.sum("risk_rank").over(_session().rowsBetween(Window.unboundedPreceding, 0)).alias("points"), "risk_rank")
     return rows.where((F.col("points") >= least) & (F.col("points") - F.col("risk_rank") < least)).select("session_id", "event_id", "points")
+
+
+def activity_states(scored: DataFrame, unit: float = 1.0, as_of: int | None = None) -> DataFrame:
+    """(session_id, last_micros, activity): hot, warm or idle at ``as_of`` (default the newest event)."""
+    from ..functions.actions import activity
+
+    last = scored.groupBy("session_id").agg(F.max("micros").alias("last_micros"))
+    now = F.lit(as_of) if as_of is not None else None
+    if now is None:
+        last = last.crossJoin(F.broadcast(last.agg(F.max("last_micros").alias("now"))))  # one row
+        now = F.col("now")
+    return last.select("session_id", "last_micros", activity(F.col("last_micros"), now, unit).alias("activity"))
+
+
+def busy_clients(events: DataFrame, most: int, window: float, unit: float = 1.0) -> DataFrame:
+    """(session_id, peak): sessions with more than ``most`` events in some sliding window of ``window`` units, by a range frame."""
+    frame = Window.partitionBy("session_id").orderBy("micros").rangeBetween(-int(window * unit * 1e6), 0)
+    rows = events.select("session_id", F.count("*").over(frame).alias("n"))
+    return rows.groupBy("session_id").agg(F.max("n").alias("peak")).where(F.col("peak") > most)
+
+
+def latest_annotations(records: DataFrame, columns: list[str]) -> DataFrame:
+    """Per session the last value of each column that isn't null: one aggregate, combined before the shuffle."""
+    at = F.struct(*ORDER)
+    return records.groupBy("session_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
+
+
+def heartbeat_deltas(records: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(session_id, from_event_id, records, has_high): what each session has after the last record of its last review."""
+    done = reviews.groupBy("session_id").agg(F.max("to_event_id").alias("done"))
+    rows = records.join(done, "session_id", "left").where(F.col("event_id") > F.coalesce("done", F.lit(-1)))
+    return rows.groupBy("session_id").agg(F.min("event_id").alias("from_event_id"), F.count("*").alias("records"), F.bool_or(F.col("risk_rank") >= 2).alias("has_high"))

@@ -11,7 +11,7 @@ from ..functions import outputs as O
 from ..functions import patterns as P
 from ..functions import scoring as S
 from ..functions.signals import any_of
-from ..operators import correlate, reports, rules, score, sequences, sessions
+from ..operators import correlate, normalize, reports, rules, score, sequences, sessions
 from ..sources.fixtures import agent_events, table, tool_outputs
 from . import oracle
 
@@ -231,13 +231,49 @@ def skill_routing(spark: SparkSession, d: str) -> DataFrame:
     return rules.route_skills(agent_events(spark, d))
 
 
+def normalized_events(spark: SparkSession, d: str) -> DataFrame:
+    """The event view under its frameworks' own hook names, every eleventh one unknown, normalised back."""
+    events, i = agent_events(spark, d), F.col("event_id")
+    before = F.col("etype") == "pre_action"
+    names = F.when(F.col("source_framework") == "codex", F.when(before, "function_call").otherwise("function_call_output"))
+    names = names.when(F.col("source_framework") == "openclaw", F.when(before, "exec.approval.requested").otherwise("exec.approval.resolved"))
+    names = names.when(F.col("source_framework") == "gemini-cli", F.when(before, "BeforeTool").otherwise("AfterTool")).otherwise(F.when(before, "PreToolUse").otherwise("PostToolUse"))
+    raw = events.select(
+        "event_id", "source_framework", F.when(i % 11 == 0, "GenerateEnd").otherwise(names).alias("raw_type"), F.when(i % 13 != 0, F.col("session_id")).alias("session_id"),
+        F.lit("a").alias("agent_id"), F.when(F.col("tool_name") == "bash", "Bash").otherwise(F.col("tool_name")).alias("tool_name"), F.when(i % 4 == 3, F.col("content")).alias("response_text"), "path", "command",
+    )
+    out = normalize.normalize_events(raw)
+    return out.select("event_id", "event_type", "subtype", "session_id", "tool_name", normalize.origin_of(F.col("tool_name"), F.col("path"), F.col("command")).alias("origin"), F.array_join(normalize.risk_hints(F.col("tool_name"), F.col("command")), ",").alias("hints"))
+
+
+def activity_states(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.activity_states(agent_events(spark, d), UNIT)
+
+
+def busy_clients(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.busy_clients(agent_events(spark, d), 20, 30.0, UNIT)
+
+
+def session_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.actions import operator_action, recommendation
+
+    last = sessions.latest_annotations(_scored(spark, d), ["risk_level"])
+    level = F.col("risk_level")
+    return last.select("session_id", operator_action(level).alias("action"), recommendation(F.lit(None), F.col("session_id") % 10 == 0, level).alias("label"))
+
+
+def heartbeat_deltas(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    return sessions.heartbeat_deltas(scored, scored.where("risk_rank = 3 and event_id % 2 = 0").select("session_id", F.col("event_id").alias("to_event_id")))
+
+
 def queries() -> dict[str, Query]:
     found = [
         score_events, preset_comparison, injection_scores, output_findings, redact_secrets, entropy, pattern_matches, rule_coverage, taxonomy_counts, live_overview,
         summary_counts, high_risk_trend, invalid_rates, posture, session_risk, session_profile, session_timeline, risk_changes, cumulative_points, d4_accumulation,
         d4_frequency, trajectories, alerted_verdicts, suspicious_history, bypass_matches, enforcement_state, asof_quarantine, replay_enriched, evidence_snapshots,
         approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
-        audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing,
+        audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing, normalized_events, activity_states, busy_clients, session_recommendations, heartbeat_deltas,
     ]
     return {f.__name__: f for f in found}
 

@@ -289,4 +289,19 @@ SELECT rule_id, confirmed, false_positives, confidence, CASE WHEN bad THEN 'depr
 s AS (SELECT event_id, 5 * (tool_name = 'read_file')::INT + contains(body, 'id_rsa')::INT + contains(body, '.env')::INT + contains(body, 'passwd')::INT AS c,
   5 * (tool_name IN ('http_request', 'bash'))::INT + contains(body, 'curl')::INT + contains(body, 'http')::INT AS n, 5 * (tool_name = 'bash')::INT + contains(body, 'sudo')::INT + contains(body, 'rm -rf')::INT + contains(body, 'chmod')::INT AS h FROM b)
 SELECT event_id, CASE WHEN greatest(c, n, h) = 0 THEN 'general' WHEN c = greatest(c, n, h) THEN 'credential-review' WHEN n = greatest(c, n, h) THEN 'network-review' ELSE 'shell-review' END AS skill, greatest(c, n, h) AS score FROM s""",
+    "normalized_events": f"""WITH {VIEW} SELECT event_id,
+  CASE WHEN event_id % 11 = 0 THEN NULL WHEN etype = 'pre_action' THEN 'pre_action' WHEN content IS NOT NULL THEN 'post_response' ELSE 'post_action' END AS event_type,
+  CASE WHEN event_id % 11 <> 0 AND source_framework = 'openclaw' THEN CASE etype WHEN 'pre_action' THEN 'oc-exec-approval-requested' ELSE 'oc-exec-approval-resolved' END END AS subtype,
+  CASE WHEN event_id % 13 = 0 THEN 'unknown_session:' || source_framework ELSE session_id::VARCHAR END AS session_id, tool_name,
+  CASE tool_name WHEN 'http_request' THEN 'external' WHEN 'bash' THEN CASE WHEN {found('command', [r'\bcurl\b|\bwget\b|https?://'])} THEN 'external' ELSE 'user' END ELSE CASE WHEN starts_with(path, '/tmp/') THEN 'external' ELSE 'user' END END AS origin,
+  concat_ws(',', CASE WHEN tool_name = 'bash' THEN 'shell_execution' END, CASE WHEN {found('command', [r'rm\s+-rf|sudo|chmod\s+777|mkfs|dd\s+if='])} THEN 'destructive_pattern' END) AS hints FROM agent_events""",
+    "activity_states": f"""WITH {VIEW}, l AS (SELECT session_id, max(micros) AS last_micros FROM agent_events GROUP BY ALL)
+SELECT session_id, last_micros, CASE WHEN (SELECT max(last_micros) FROM l) - last_micros <= 120 * {_UNIT} THEN 'hot' WHEN (SELECT max(last_micros) FROM l) - last_micros <= 900 * {_UNIT} THEN 'warm' ELSE 'idle' END AS activity FROM l""",
+    "busy_clients": f"""WITH {VIEW}, n AS (SELECT a.session_id, a.event_id, count(*) AS n FROM agent_events a JOIN agent_events b ON a.session_id = b.session_id AND b.micros BETWEEN a.micros - 30 * {_UNIT} AND a.micros GROUP BY ALL)
+SELECT session_id, max(n) AS peak FROM n GROUP BY session_id HAVING peak > 20""",
+    "session_recommendations": f"""{SCORED}, l AS (SELECT session_id, arg_max(risk_level, (micros, event_id)) AS lv FROM scored GROUP BY ALL)
+SELECT session_id, CASE WHEN lv = 'critical' THEN 'escalate' WHEN lv IN ('high', 'medium') THEN 'inspect' ELSE 'none' END AS action,
+  CASE WHEN session_id % 10 = 0 THEN 'review budget evidence' WHEN lv = 'critical' THEN 'escalate immediately' WHEN lv = 'high' THEN 'inspect replay' ELSE 'monitor session' END AS label FROM l""",
+    "heartbeat_deltas": f"""{SCORED}, r AS (SELECT session_id, max(event_id) AS done FROM scored WHERE risk_rank = 3 AND event_id % 2 = 0 GROUP BY ALL)
+SELECT session_id, min(event_id) AS from_event_id, count(*) AS records, bool_or(risk_rank >= 2) AS has_high FROM scored LEFT JOIN r USING (session_id) WHERE event_id > coalesce(done, -1) GROUP BY session_id""",
 }
