@@ -47,18 +47,18 @@ class _Words:
         return grams, K.sliding(grams, self.window - length + 1, np.minimum)
 
     def chosen(self, length: int, candidate: np.ndarray) -> np.ndarray:
-        """Hashes, with repeats, at the positions that stand for some candidate window."""
+        """Keys, with repeats, at the positions that stand for some candidate window (mixed: least hashes are small ones)."""
         grams, least = self.least(length)
         width = self.window - length + 1
         reach = np.zeros(len(grams) + width - 1, np.uint64)
         reach[width - 1 : width - 1 + len(least)] = np.where(candidate, least, np.uint64(0))
-        return grams[K.sliding(reach, width, np.maximum) == grams] if len(least) else grams[:0]
+        return K.mix(grams[K.sliding(reach, width, np.maximum) == grams]) if len(least) else grams[:0]
 
     def repeats(self, length: int, known: np.ndarray) -> np.ndarray:
         """Full windows whose stand-in of this length is among the known repeats."""
         if not len(self.valid):
             return self.valid
-        return self.valid & K.contains(known, self.least(length)[1])
+        return self.valid & K.contains(known, K.mix(self.least(length)[1]))
 
     def final(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Candidate positions and their windows' two hashes."""

@@ -44,6 +44,7 @@ class RunIndex:
         to[by_symbol] = np.cumsum(length[by_symbol]) - length[by_symbol]
         self.run_to = to
         self.run_last = self.run_row + length - 1
+        self.run_of = np.repeat(np.arange(len(length), dtype=np.int32), length)  # select support: the run of a row
         self.by_symbol = by_symbol
         self.symbol_at = np.searchsorted(self.run_symbol[by_symbol], np.arange(258))
         group = np.cumsum(new_group[self.run_row]) - 1
@@ -126,7 +127,7 @@ class RunIndex:
         for step in range(int(ordered[0]) if len(ordered) else 0):
             m = int(np.searchsorted(-ordered, -step, "left"))  # patterns longer than step
             c = symbols[at[:m] - 1 - step]
-            run = np.searchsorted(self.run_row, row[:m], "right") - 1
+            run = self.run_of[row[:m]]
             hop = np.flatnonzero(self.run_symbol[run] != c)
             source = row[:m].copy()
             if len(hop):
@@ -154,7 +155,7 @@ class RunIndex:
             place = at[:m] - 1 - step
             length_out[place] = matched[:m]
             long = np.flatnonzero(matched[:m] >= self.window)
-            least_out[place[long]] = self.least[np.searchsorted(self.run_row, row[long], "right") - 1]
+            least_out[place[long]] = self.least[self.run_of[row[long]]]
         return first, length_out, least_out
 
     def _next_run(self, symbol: np.ndarray, run: np.ndarray) -> np.ndarray:

@@ -1,10 +1,15 @@
 """Substring dedup over bytes with a run-length index (see rindex).
 
-A string of ``window`` bytes stands under its least k-byte hash. Hashes that only one document has
-leave at once; the windows under the others travel, as segments, to the bucket of their hash, where
-all documents' segments are put in one order. There a run-compressed Burrows-Wheeler transform with
-sampled run ends is built, matching statistics stream over the segments, and every long match learns
-the least document that holds it. Equal windows meet in one bucket, so no pair of blocks is compared.
+A string of ``window`` bytes stands under its least k-byte hash, and under its least 2k-byte hash.
+Windows of which either is in one document only leave at once; the others travel, as segments, to the
+bucket of their k-byte hash, where all documents' segments are put in one order. There a
+run-compressed Burrows-Wheeler transform with sampled run ends is built, matching statistics stream
+over the segments, and every long match learns the least document that holds it. Equal windows meet in
+one bucket, so no pair of blocks is compared.
+
+A k-byte string that very many documents hold (a common passage) stands in as many different
+surroundings. The windows under such a hot hash travel one by one, to the bucket of their own
+hash: equal ones still meet, and no bucket gathers the surroundings.
 """
 
 from __future__ import annotations
@@ -31,43 +36,88 @@ class _Bytes:
         self.chunk = c = K.Chunk.of(texts)
         self.window, self.k, n = window, k, len(c.buf)
         self.owner = np.repeat(np.arange(len(texts)), c.end - c.start)
-        self.grams = K.windows_hash(c.byte_values(), k, 0)
-        self.least = K.sliding(self.grams, window - k + 1, np.minimum) if n >= window else self.grams[:0]
+        self.values = c.byte_values()
+        self.grams, self.least = self._least(k)
+        self.key = K.mix(self.least)  # least hashes are small ones: mixed again, they spread over the buckets
         self.valid = c.end[self.owner[: len(self.least)]] - np.arange(len(self.least)) >= window
 
-    def chosen(self) -> np.ndarray:
-        """Hashes that stand for some window, once for each document."""
-        width = self.window - self.k + 1
-        if not len(self.least):
-            return self.grams[:0]
-        reach = np.zeros(len(self.grams) + width - 1, np.uint64)
-        reach[width - 1 : width - 1 + len(self.least)] = np.where(self.valid, self.least, np.uint64(0))
-        at = np.flatnonzero(K.sliding(reach, width, np.maximum) == self.grams)
-        return np.unique(np.stack([self.grams[at], self.owner[at].astype(np.uint64)]), axis=1)[0] if len(at) else self.grams[:0]
-
-    def segments(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first window, number of windows) of the runs of windows under one known hash."""
+    def _least(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all k-byte strings, and the least of them in each window."""
+        grams = K.windows_hash(self.values, k, 0)
+        return grams, K.sliding(grams, self.window - k + 1, np.minimum) if len(self.values) >= self.window else grams[:0]
+
+    def chosen(self, grams: np.ndarray, least: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+        """Keys of the strings that stand for some candidate window, once for each document."""
+        width = len(grams) - len(least) + 1
+        if not len(least):
+            return grams[:0]
+        reach = np.zeros(len(grams) + width - 1, np.uint64)
+        reach[width - 1 : width - 1 + len(least)] = np.where(candidate, least, np.uint64(0))
+        at = np.flatnonzero(K.sliding(reach, width, np.maximum) == grams)
+        return np.unique(np.stack([K.mix(grams[at]), self.owner[at].astype(np.uint64)]), axis=1)[0] if len(at) else grams[:0]
+
+    def first_level(self) -> np.ndarray:
+        return self.chosen(self.grams, self.least, self.valid)
+
+    def second_level(self, known: np.ndarray) -> np.ndarray:
+        grams, least = self._least(2 * self.k)
+        return self.chosen(grams, least, self.valid & K.contains(known, self.key))
+
+    def segments(self, known: np.ndarray, hot: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, first window, number of windows): runs of candidate windows under one hash, and single windows under hot ones."""
+        candidate = self.valid & K.contains(known, self.key)
+        if candidate.any():
+            candidate &= K.contains(longer, K.mix(self._least(2 * self.k)[1]))
+        alone = candidate & K.contains(hot, self.key)
+        runs = candidate & ~alone
         change = np.ones(len(self.least), bool)
-        change[1:] = (self.least[1:] != self.least[:-1]) | (self.owner[1 : len(self.least)] != self.owner[: len(self.least) - 1]) | (self.valid[1:] != self.valid[:-1])
+        change[1:] = (self.least[1:] != self.least[:-1]) | (self.owner[1 : len(self.least)] != self.owner[: len(self.least) - 1]) | (runs[1:] != runs[:-1])
         start = np.flatnonzero(change)
         count = np.diff(np.append(start, len(self.least)))
-        keep = self.valid[start] & K.contains(known, self.least[start])
+        keep = runs[start]
         start, count = start[keep], count[keep]
         most = self.window - self.k + 1  # longer runs (periodic text) are cut
         parts = -(-count // most)
         start, left = np.repeat(start, parts), np.repeat(count, parts)
         nth = np.arange(len(start)) - np.repeat(np.cumsum(parts) - parts, parts)
         start = start + nth * most
-        return self.least[start], start, np.minimum(left - nth * most, most)
-
-
-def _gather(ids: list, texts: list, known: np.ndarray, window: int, k: int):
+        single = np.flatnonzero(alone)
+        own = K.windows_hash(self.values, self.window, 0)[single] if len(single) else self.least[:0]
+        return (
+            np.concatenate([self.key[start], own]), np.concatenate([start, single]),
+            np.concatenate([np.minimum(left - nth * most, most), np.ones(len(single), np.int64)]),
+        )
+
+
+def _spread_keys(blobs: list[bytes], hot_docs: int) -> list[bytes]:
+    """Answer each group's keys with those in at least two documents, and those in at least hot_docs."""
+    parts = [X.split_blobs(b) for b in blobs]
+    keys = [X.unpack_keys(k) for k, _ in parts]
+    uniq, place = K.unique_inverse(np.concatenate(keys))
+    total = np.bincount(place, np.concatenate([X.unpack_array(c) for _, c in parts]).astype(np.float64), minlength=len(uniq))[place]
+    out, at = [], 0
+    for mine in keys:
+        n = total[at : at + len(mine)]
+        at += len(mine)
+        out.append(X.join_blobs([X.pack_keys(mine[n >= 2]), X.pack_keys(mine[n >= hot_docs])]))
+    return out
+
+
+def _known(got: list[tuple[int, int, bytes]], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in several documents, hot keys) of a level."""
+    parts = [X.split_blobs(raw) for lv, _, raw in got if lv == level]
+    none = np.zeros(0, np.uint64)
+    return tuple(np.concatenate([X.unpack_keys(p[j]) for p in parts]) if parts else none for j in (0, 1))
+
+
+def _gather(ids: list, texts: list, got: list, window: int, k: int):
     """Distinct segments of a group, in the order of their hash, and all their occurrences."""
+    (known, hot), (longer, _) = _known(got, 0), _known(got, 1)
     place: dict[bytes, int] = {}
     keys, least, parts = [], [], []
     for at, part in K.chunks([t or b"" for t in texts]):
         b = _Bytes(part, window, k)
-        key, start, count = b.segments(known)
+        key, start, count = b.segments(known, hot, longer)
         buf = b.chunk.buf.tobytes()
         owner = np.array([_LAST if ids[at + d] is None else ids[at + d] for d in range(len(part))], np.int64)
         doc = b.owner[start]
@@ -138,37 +188,46 @@ def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
     return [X.pack_array(np.concatenate([found[i] for i in use])) for use in uses]
 
 
-def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, index_bytes: int = 1 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, index_bytes: int = 1 << 19, hot_docs: int = 500) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that also starts in a document of smaller id.
 
     Texts are UTF-8 bytes; matches don't cross documents; overlaps count; strings are judged on the
-    input. Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
+    input. A k-byte string in at least ``hot_docs`` documents is hot (see above): a matter of routing, not of the result. Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
     kept_sha256 of the remaining bytes. Null or empty text: zeros and the hash of nothing. Of rows
     with the same id none is smaller. A null id counts as larger than all others. Other columns are not
     read. An empty table gives an empty result.
     """
+    if not 0 < 2 * k <= window:
+        raise ValueError("window must be at least twice k")
     n = X.group_count(X.text_bytes(docs, text_col), group_bytes)
     dealt = X.deal(docs, n, id_col, text_col)
 
-    def first(group, ids, texts):
-        keys = [_Bytes(part, window, k).chosen() for _, part in K.chunks([t or b"" for t in texts])]
+    def send(group, level, keys):
         uniq, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
-        return X.send(group, 0, n, uniq, lambda lo, hi: X.pack_flagged(uniq[lo:hi], count[lo:hi] > 1))
+        return X.send(group, level, n, uniq, lambda lo, hi: X.join_blobs([X.pack_keys(uniq[lo:hi]), X.pack_array(count[lo:hi].astype(np.uint32))]))
+
+    def first(group, ids, texts):
+        return send(group, 0, [_Bytes(part, window, k).first_level() for _, part in K.chunks([t or b"" for t in texts])])
+
+    def second(group, ids, texts, got):
+        known, _ = _known(got, 0)
+        return send(group, 1, [_Bytes(part, window, k).second_level(known) for _, part in K.chunks([t or b"" for t in texts])])
 
-    shared = X.answers(X.entries(dealt, first), X.repeated_keys)
+    shared = X.answers(X.entries(dealt, first), lambda blobs: _spread_keys(blobs, hot_docs))
+    shared = shared.unionByName(X.answers(X.entries_after(dealt, shared, second), lambda blobs: _spread_keys(blobs, hot_docs)))
 
     def ask(group, ids, texts, got):
-        keys, pieces, least, _, _ = _gather(ids, texts, X.reply_keys(got, 0), window, k)
+        keys, pieces, least, _, _ = _gather(ids, texts, got, window, k)
         sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
-        return X.send(group, 1, n, keys, lambda lo, hi: X.join_blobs([X.pack_array(keys[lo:hi]), X.pack_array(sizes[lo:hi]), X.pack_array(least[lo:hi]), X._squeeze(b"".join(pieces[lo:hi]))]))
+        return X.send(group, 2, n, keys, lambda lo, hi: X.join_blobs([X.pack_array(keys[lo:hi]), X.pack_array(sizes[lo:hi]), X.pack_array(least[lo:hi]), X._squeeze(b"".join(pieces[lo:hi]))]))
 
     found = X.answers(X.entries_after(dealt, shared, ask), lambda blobs: _answer(blobs, window, index_bytes))
 
     def cut(group, ids, texts, got):
-        _, pieces, _, rank, parts = _gather(ids, texts, X.reply_keys(got, 0), window, k)
+        _, pieces, _, rank, parts = _gather(ids, texts, got, window, k)
         sizes = np.fromiter((len(p) - window + 1 for p in pieces), np.int64, len(pieces))
         first_of = np.cumsum(sizes) - sizes
-        replies = [X.unpack_array(raw) for level, _, raw in got if level == 1]
+        replies = [X.unpack_array(raw) for level, _, raw in got if level == 2]
         least = np.concatenate(replies) if replies else np.zeros(0, np.int64)
         rows = []
         for at, chunk, owner, start, count, which in parts:
