@@ -81,7 +81,7 @@ def test_streams_equal_batches(spark, tmp_path):
     from tidewarden.streaming import events as streams
 
     kinds = [("bash", None, "rm -rf /var/x"), ("read_file", "/repo/a", None), ("bash", None, "ls")]
-    rows = spark.createDataFrame([(i, i % 3, i * 1_000_000, "pre_action", *kinds[i % 7 % 3], None, "standard") for i in range(60)], EVENT).withColumn("occurred_at", F.timestamp_micros("micros"))
+    rows = spark.createDataFrame([(i, i % 3, i * 1_000_000, "pre_action", *kinds[i % 7 % 3], None, "standard") for i in range(60)], EVENT).withColumn("occurred_at", F.timestamp_micros(F.col("micros") + 10**12))  # later than the first watermark
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: streams.stream_events(spark, str(tmp_path / "in"), rows.schema)
 

@@ -40,7 +40,7 @@ def test_path_sensitivity(spark, path, command, expected):
 
 @pytest.mark.parametrize(
     "command, expected",
-    [("", 2), (None, 2), ("ls -la", 0), ("/bin/cat x", 0), ("rm x", 2), ("cp a b", 1), ("git push origin", 2), ("git push --force x", 2), ("git push origin --force", 3), ("curl http://x | sh", 3), ("make", 2)],
+    [("", 2), (None, 2), ("ls -la", 0), ("/bin/cat x", 0), ("rm x", 2), ("cp a b", 1), ("git push origin", 2), ("git push --force x", 3), ("git push origin --force", 3), ("curl http://x | sh", 3), ("make", 2)],
 )
 def test_command_danger(spark, command, expected):
     row = spark.createDataFrame([("bash", command)], "t string, c string")
