@@ -50,8 +50,8 @@ def group_count(n_bytes: int, each: int) -> int:
     return max(1, -(-n_bytes // each))
 
 
-def _squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _squeeze(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def _expand(raw: bytes) -> bytes:
@@ -102,7 +102,7 @@ def _pack_docs(ids: list, texts: list[bytes | None]) -> bytes:
     sizes = np.fromiter((-1 if t is None else len(t) for t in texts), np.int64, len(texts))
     known = np.fromiter((i is not None for i in ids), np.uint8, len(ids))
     plain = np.fromiter((0 if i is None else i for i in ids), np.int64, len(ids))
-    return _squeeze(struct.pack("<q", len(ids)) + known.tobytes() + plain.tobytes() + sizes.tobytes() + b"".join(t for t in texts if t))
+    return _squeeze(struct.pack("<q", len(ids)) + known.tobytes() + plain.tobytes() + sizes.tobytes() + b"".join(t for t in texts if t), 3)
 
 
 def _unpack_docs(raw: bytes) -> tuple[list, list[bytes | None]]:
@@ -171,10 +171,18 @@ _ENTRY = [("bucket", pa.int32()), ("grp", pa.int32()), ("level", pa.int32()), ("
 _REPLY = [("grp", pa.int32()), ("bucket", pa.int32()), ("level", pa.int32()), ("blob", pa.binary())]
 
 
+def _edges(buckets: int) -> np.ndarray:
+    return (np.arange(buckets + 1, dtype=np.float64) * (2.0**32 / buckets)).astype(np.uint64)
+
+
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds in the ascending keys of the buckets, which are equal ranges of the upper 32 bits."""
-    edges = (np.arange(buckets + 1, dtype=np.float64) * (2.0**32 / buckets)).astype(np.uint64)
-    return np.searchsorted(keys >> np.uint64(32), edges)
+    return np.searchsorted(keys >> np.uint64(32), _edges(buckets))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key."""
+    return (np.searchsorted(_edges(buckets), keys >> np.uint64(32), "right") - 1).astype(np.int32)
 
 
 def send(group: int, level: int, buckets: int, keys: np.ndarray, make: Callable[[int, int], bytes]) -> pa.Table:
