@@ -19,24 +19,24 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def words_of(text: Column) -> Column:
     """Words of a text with A-Z lower-cased: runs of digits, a-z and anything beyond ASCII; null has none."""
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
-    bare = F.regexp_replace(low, rf"^{_GAP}|{_GAP}$", "")
-    return F.when(F.length(bare) > 0, F.split(bare, _GAP)).otherwise(F.array().cast("array<string>"))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_remove(F.split(low, _GAP), ""))
 
 
-def _grams(hashes: Column, k: int) -> Column:
+def _grams(words: Column, k: int) -> Column:
     """Hash of each run of k words, in order."""
-    return F.transform(F.sequence(F.lit(0), F.size(hashes) - k), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
 
 
 def _least(grams: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(grams) - width), lambda i: F.least(*[F.get(grams, i + j) for j in range(width)]))
 
 
-def _fingerprints(rows: DataFrame, key: str, window: int, k: int) -> DataFrame:
-    """(key, fp): the distinct kept fingerprints of rows of at least window words."""
-    rows = rows.where(F.size("words") >= window).select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    rows = rows.select(key, _grams(F.col("h"), k).alias("g"))
-    return rows.select(key, F.explode(F.array_distinct(_least(F.col("g"), window - k + 1))).alias("fp"))
+def _fingerprinted(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """Rows with their words replaced by n_words and fps, the distinct kept fingerprints (none below window words)."""
+    rest = [c for c in rows.columns if c != "words"]
+    rows = rows.withColumn("g", F.when(F.size("words") >= window, _grams(F.col("words"), k)))
+    fps = F.when(F.col("g").isNotNull(), F.array_distinct(_least(F.col("g"), window - k + 1)))
+    return rows.select(*rest, F.size("words").cast("long").alias("n_words"), fps.alias("fps"))
 
 
 def _windows(rows: DataFrame, n: Column, length: int) -> DataFrame:
@@ -73,31 +73,35 @@ def decontaminate(
     Items of fewer than ``window`` words lie below the winnowing guarantee: for each of the lengths that
     occur (fewer than ``window``) documents' runs of that length are compared in full. Fingerprints, and the
     keys of documents that share one, are broadcast up to ``most_broadcast`` rows by count, windows up to
-    a tenth of that; beyond it Spark joins by shuffle. The keys are checkpointed in the shared folder.
+    a tenth of that; beyond it Spark joins by shuffle. Fingerprints and keys are checkpointed in the shared folder, so
+    that texts are split into words once, and once more for the documents that share a fingerprint.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"), F.xxhash64(F.col(text_col)).alias("version"))
-    rows = rows.withColumn("row_key", F.struct("doc_id", "version"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version")).alias("row_key"))
+    light = _fingerprinted(rows.select("doc_id", "row_key", words_of(F.col("text")).alias("words")), window, k).checkpoint()
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(window))
     spans = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
+    # checkpoints also keep filters on exploded arrays from being computed from the texts again, element by element
+    items = items.checkpoint()
     grams = items.select("item", n.alias("n"), F.explode(spans).alias("gram"))
     grams = grams.groupBy("gram", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
     lengths = sorted(r.n for r in grams.where(F.col("n") < window).select("n").distinct().collect())
 
-    asked = _sized(_fingerprints(items, "item", window, k).select("fp").distinct(), most_broadcast)
-    found = _fingerprints(rows, "row_key", window, k).join(asked, "fp", "left_semi").select(F.col("row_key").alias("found_key")).distinct()
+    asked = _sized(_fingerprinted(items, window, k).checkpoint().select(F.explode("fps").alias("fp")).distinct(), most_broadcast)
+    found = light.select("row_key", F.explode("fps").alias("fp")).join(asked, "fp", "left_semi").select(F.col("row_key").alias("found_key")).distinct()
     found = _sized(found.checkpoint(), most_broadcast)
-    named = rows.join(found, F.col("row_key") == F.col("found_key"), "left_semi")
+    named = rows.join(found, F.col("row_key") == F.col("found_key"), "left_semi").select("row_key", words_of(F.col("text")).alias("words")).checkpoint()
     hits = _windows(named, F.lit(window), window)
+    if lengths:
+        every = rows.select("row_key", words_of(F.col("text")).alias("words")).checkpoint()
     for short in lengths:
-        hits = hits.unionByName(_windows(rows, F.lit(short), short))
+        hits = hits.unionByName(_windows(every, F.lit(short), short))
     hits = hits.join(_sized(grams, most_broadcast // 10), ["gram", "n"])
     by_doc = hits.groupBy("row_key").agg(F.collect_set(F.struct("at", "n")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
     by_doc = by_doc.select(F.col("row_key").alias("hit_key"), hit_words.cast("long").alias("hit"), "items")
-    light = rows.select("doc_id", "row_key", F.size("words").cast("long").alias("n_words"))
-    return light.join(by_doc, F.col("row_key") == F.col("hit_key"), "left").select(
+    return light.select("doc_id", "row_key", "n_words").join(by_doc, F.col("row_key") == F.col("hit_key"), "left").select(
         "doc_id", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
