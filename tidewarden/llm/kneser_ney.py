@@ -51,42 +51,45 @@ def _discounts(types: DataFrame) -> DataFrame:
     """One row (d1, d2, d3) from the counts of counts; Chen and Goodman's estimates, 0.5 1 1.5 where a count is missing."""
     n = [F.count_if(F.col("c") == i).cast("double") for i in range(1, 5)]
     row = types.agg(*[x.alias(f"n{i + 1}") for i, x in enumerate(n)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def d(i: int) -> Column:
-        got = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        got = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & (got > 0) & (got < i), got).otherwise(F.lit(0.5 * i)).alias(f"d{i}")
 
     return row.select(d(1), d(2), d(3))
 
 
 def probabilities(asked: DataFrame, order: int) -> DataFrame:
-    """(g, bucket, logp): log10 probability of the last byte of each gram after the others; asked: (g, bucket, c)."""
+    """(g, logp): log10 probability of the last byte of each gram after the others; asked: (g, c), c its count in training.
+
+    One table per order holds the grams that are asked for with their counts, adjusted below the highest order: the number
+    of different bytes seen before them. Every table is read by the next shorter one, by its contexts and by its join.
+    """
 
     def suffix(k: int) -> Column:
         return F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
 
-    types = {order: asked.where("c > 0").select("g", "c")}
-    wanted = {order: asked.select("g")}
+    nodes = {order: asked}
     for k in range(order - 1, 0, -1):
-        types[k] = types[k + 1].groupBy(suffix(k).alias("g")).agg(F.count("*").alias("c"))
-        wanted[k] = wanted[k + 1].select(suffix(k).alias("g")).distinct()
+        nodes[k] = nodes[k + 1].groupBy(suffix(k).alias("g")).agg(F.count_if(F.col("c") > 0).alias("c"))
     lower = None
     for k in range(1, order + 1):
-        discount = F.broadcast(_discounts(types[k]))  # one row
-        context = types[k].groupBy(F.shiftright("g", 8).alias("context")).agg(
+        discount = F.broadcast(_discounts(nodes[k]))  # one row
+        context = nodes[k].groupBy(F.shiftright("g", 8).alias("context")).agg(
             F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("m1"), F.count_if(F.col("c") == 2).alias("m2"), F.count_if(F.col("c") > 2).alias("m3")
         )
-        rows = wanted[k].withColumn("context", F.shiftright("g", 8)).join(types[k], "g", "left").join(context, "context", "left").crossJoin(discount)
+        rows = nodes[k].withColumn("context", F.shiftright("g", 8)).join(context, "context").crossJoin(discount)
         if lower is None:
             rows = rows.withColumn("q", F.lit(1.0 / _SYMBOLS))
         else:
             rows = rows.withColumn("short", suffix(k - 1)).join(lower.select(F.col("g").alias("short"), F.col("p").alias("q")), "short")
+        seen = F.col("total") > 0
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        top = F.coalesce(F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total"), F.lit(0.0))
-        back = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")
-        lower = rows.select("g", (top + F.coalesce(back, F.lit(1.0)) * F.col("q")).alias("p"))
-    return asked.select("g", "bucket").join(lower, "g").select("g", "bucket", F.log10("p").alias("logp"))
+        top = F.when(seen, F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total")).otherwise(0.0)
+        back = F.when(seen, (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")).otherwise(1.0)
+        lower = rows.select("g", (top + back * F.col("q")).alias("p"))
+    return lower.select("g", F.log10("p").alias("logp"))
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group_bytes: int = 8 << 20) -> DataFrame:
@@ -130,8 +133,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
         keys = np.concatenate([X.unpack_keys(k) for k, _ in parts])
         uniq, place = np.unique(keys, return_inverse=True)
         count = np.bincount(place, np.concatenate([X.unpack_array(c) for _, c in parts]).astype(np.float64), minlength=len(uniq)).astype(np.int64)
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"g": pa.array(_unmix(uniq).astype(np.int64)), "bucket": pa.array(np.full(len(uniq), bucket, np.int32)), "c": pa.array(count)})
+        return pa.table({"g": pa.array(_unmix(uniq).astype(np.int64)), "c": pa.array(count)})
+
+    def with_bucket(batches):
+        for batch in batches:
+            keys = K.mix(batch.column("g").to_numpy().astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(X.bucket_of(keys, n))], ["g", "logp", "bucket"])
 
     def reply(key, asked, known):
         order_ = np.argsort(K.mix(known.column("g").to_numpy().astype(np.uint64)))
@@ -163,8 +170,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
         return X.table_of(result, rows)
 
     sent = X.entries_after(dealt, named, ask)
-    asked = sent.groupBy("bucket").applyInArrow(merge, "g long, bucket int, c long").repartition("g")
-    replies = sent.groupBy("bucket").cogroup(probabilities(asked, order).groupBy("bucket")).applyInArrow(reply, X.REPLIES)
+    asked = sent.groupBy("bucket").applyInArrow(merge, "g long, c long").repartition("g")
+    known = probabilities(asked, order).mapInArrow(with_bucket, "g long, logp double, bucket int")
+    replies = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, X.REPLIES)
     return X.entries_after(dealt, replies.unionByName(named), finish, "doc_id long, lang string, trusted boolean, n_bytes long, log10_prob double, perplexity double")
 
 
