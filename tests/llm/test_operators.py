@@ -293,6 +293,42 @@ def test_near_duplicates(docs, empty, spark):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_among_the_few_of_a_large_bucket(spark):
+    from tidewarden.llm.dartminhash import near_duplicates
+
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    # 169 texts with five own changes each, of which two texts share at most one place: all just below 0.8 to each other
+    lines = [(a, b) for a in range(13) for b in range(13)]
+    place = lambda i, j: 5 + 6 * (13 * j + (lines[i][0] + lines[i][1] * j) % 13)
+    tag = {(i, j): f"o{i}" for i in range(169) for j in range(5)}
+    used = set()
+    for i in range(0, 169, 20):  # a few pairs share one change, and are near to each other alone
+        k, j = next((k, j) for j in (1, 2, 3) for k in r.sample(range(169), 169) if k != i and not {i, k} & used and place(i, j) == place(k, j))
+        used |= {i, k}
+        tag[k, j] = tag[i, j]
+    texts = [list(base) for _ in range(169)]
+    for i, j in tag:
+        texts[i][place(i, j)] = tag[i, j]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert len({find(i) for i in range(len(texts))}) == 160
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_duplicates(rows).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_language_model(docs, empty):
     from tidewarden.llm.interpolation import is_held_out, learn, score
 

@@ -8,7 +8,8 @@ Jaccard similarity.
 
 Signatures are joined by bands. In a band's bucket every document is paired with one centre, never with
 all others; pairs are confirmed on whole shingle sets. Buckets that still hold several classes get further
-pairs (all across the classes where they are small), until rounds find no new link.
+pairs (all across the classes where they are small). What large buckets then still hold apart is finished exactly: every
+pair across classes that passes the size, prefix and position filters of the shingle sets is tested.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from . import kernels as K
 from .exchange import ensure_checkpoint_dir, pack_array, unpack_array
 
 _SEED_COUNT, _SEED_DART = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+_SLOTS, _PARTS = 1 << 18, 16  # slots of the shingle frequencies that order prefixes, and the rows they travel in
 _FINEST = 5  # the lowest cell of the rank axis is [0, 2**-5)
 
 
@@ -234,6 +236,71 @@ def _next_pairs(classes: DataFrame, turn: int, small: int = 32, draws: int = 3)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot of the hash space occur in ``sets``: a table of fixed size, summed before it is collected."""
+    each = _SLOTS // _PARTS
+
+    def count(batches):
+        total = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                np.add.at(total, (unpack_array(raw) % np.uint64(_SLOTS)).astype(np.int64), 1)
+        if total.any():
+            blobs = [pack_array(total[k * each : (k + 1) * each]) for k in range(_PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def add(table):
+        total = sum(unpack_array(raw) for raw in table.column("blob").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "blob": pa.array([pack_array(total)], pa.binary())})
+
+    out = np.zeros(_SLOTS, np.int64)
+    for r in sets.select("shingles").mapInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(add, "part int, blob binary").collect():
+        out[r.part * each : (r.part + 1) * each] = unpack_array(bytes(r.blob))
+    return out
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(token, id, root, n, pos): the rarest shingles of each set, so many that two sets of similarity ``least`` share one."""
+    often = _frequencies(sets)
+
+    def run(batches):
+        for batch in batches:
+            ids, roots, sizes = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(3))
+            for i, raw in enumerate(batch.column(3).to_pylist()):
+                key = unpack_array(raw)
+                n = int(sizes[i])
+                most = n - math.ceil(least * n - 1e-9) + 1
+                key = key[np.lexsort((key, often[(key % np.uint64(_SLOTS)).astype(np.int64)]))[:most]]
+                m = len(key)
+                columns = [key.astype(np.int64), np.full(m, ids[i]), np.full(m, roots[i]), np.full(m, n), np.arange(m)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "id", "root", "n", "pos"])
+
+    return sets.select("id", "root", "n", "shingles").mapInArrow(run, "token long, id long, root long, n long, pos long")
+
+
+def _open_pairs(classes: DataFrame, sets: DataFrame, least: float, small: int = 32, each: int = 4096) -> DataFrame:
+    """All pairs (a, b) of different classes that can reach ``least``, of the texts in buckets above ``small`` with several classes.
+
+    Texts meet at the shingles of their prefixes. Of a shingle's texts, those outside its largest class meet all; the
+    pairs inside a class that this passes over are never more than those across classes. ``each`` texts of a shingle are one key of the join.
+    """
+    buckets = classes.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    left_open = classes.join(buckets.where((F.col("size") > small) & (F.col("low") < F.col("high"))).select("band", "key"), ["band", "key"]).select("id", "root").distinct()
+    post = _prefixes(sets.join(left_open, "id").checkpoint(), least).repartition("token")
+    per_class = post.groupBy("token", "root").agg(F.count("*").alias("k"))
+    several = per_class.groupBy("token").agg(F.count("*").alias("classes"), F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("most")).where("classes > 1")
+    post = post.join(several.select("token", F.col("most.root").alias("main"), F.ceil(F.col("size") / each).cast("int").alias("salts")), "token").checkpoint()
+    left = post.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = left.select("token", "salt", *[F.col(c).alias(f"l_{c}") for c in ("id", "root", "n", "pos")])
+    right = post.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    near = left.join(right, ["token", "salt"]).where(
+        (F.col("l_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("l_id") < F.col("id")))
+        & (F.least("l_n", "n") + 1e-9 >= F.lit(least) * F.greatest("l_n", "n"))
+        & (F.least(F.col("l_n") - F.col("l_pos"), F.col("n") - F.col("pos")) + 1e-9 >= F.lit(least / (1 + least)) * (F.col("l_n") + F.col("n")))
+    )
+    return near.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -257,8 +324,9 @@ def near_duplicates(
 
     In a bucket every text is tested against one centre. While a bucket holds several classes, small ones are tested in full across
     their classes, and in large ones every text outside the largest class meets changing members of it, until
-    ``patience`` rounds in a row find no link. Each round is linear in the texts. A text that is similar to few members of a
-    large bucket alone can be missed by the draws. With 24 bands of 5, a pair at similarity 0.8 shares a bucket with probability 0.99993.
+    ``patience`` rounds in a row find no link. Each round is linear in the texts. The texts of large buckets that still hold several
+    classes then meet once more at the rarest shingles of their sets, and every pair across classes that the sizes and places of
+    these shingles allow is tested, so that no link in a bucket is lost. With 24 bands of 5, a pair at similarity 0.8 shares a bucket with probability 0.99993.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -288,10 +356,15 @@ def near_duplicates(
             nodes = components(nodes, links)
         tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
-        pairs = _next_pairs(member.select("band", "key", "id").join(nodes, "id"), turn)
+        classes = member.select("band", "key", "id").join(nodes, "id")
+        pairs = _next_pairs(classes, turn)
         if pairs.isEmpty():
             break
-        pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    else:
+        pairs = _open_pairs(classes, sets, similarity).join(done, ["a", "b"], "left_anti").checkpoint()
+        nodes = components(nodes, _confirm(pairs, sets, similarity).checkpoint())
     by_id = heads.join(nodes.select(F.col("id").alias("head"), "root"), "head", "left").select("id", F.coalesce("root", "head").alias("class_id"))
     by_id = by_id.groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = rows.select("id").join(by_id, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
