@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 ``documents``. run() writes every stage's rows as Parquet in the cluster's shared folder and reads
 them again, so a lost executor costs at most the stage at hand.
 
-Rows with a null doc_id can't be named in the result and leave at near-dedup; documents that lose all
-their words to substring dedup leave there.
+Ids may be null, repeated or shared by different texts: inside a stage rows go by a key of their own, a hash of all
+their columns, and only rows equal in every column share one. Documents that lose all their words to substring dedup leave there.
 """
 
 from __future__ import annotations
@@ -21,6 +21,13 @@ from tidewarden.llm import dartminhash, doubling, exchange, fertility, packing,
 #: Beyond so many rows, keys are joined by shuffle instead of a broadcast.
 MOST_BROADCAST = 1_000_000
 
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a 64-bit key of each row's content; nulls count, as the hash itself skips them."""
+    return docs.withColumn(KEY, F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+
 
 def _sized(side: DataFrame) -> DataFrame:
     side = side.checkpoint()
@@ -33,24 +40,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every near-duplicate class of op 6."""
-    classes = dartminhash.near_duplicates(docs)
-    gone = _sized(classes.where("doc_id <> class_id").select("doc_id").distinct())
-    return docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of every near-duplicate class of op 6: that of least id (a null id comes last), then of least key."""
+    rows = _keyed(docs)
+    classes = dartminhash.near_duplicates(rows, KEY).where("class_size > 1").select(F.col("doc_id").alias(KEY), "class_id")
+    members = classes.groupBy(KEY, "class_id").agg(F.count("*").alias("copies")).checkpoint()
+    named = members.join(rows.select(KEY, "doc_id").distinct(), KEY)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY))
+    keep = named.groupBy("class_id").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)).checkpoint()
+    repeated = _sized(members.where("copies > 1").join(keep, KEY, "left_semi").select(KEY))
+    gone = _sized(members.join(keep, KEY, "left_anti").select(KEY))
+    single = rows.join(gone, KEY, "left_anti").join(repeated, KEY, "left_anti")
+    once = rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
+    return single.unionByName(once).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long passages that op 9 finds more than once."""
-    cut = doubling.substring_dedup(docs).where("n_words > n_removed").select("doc_id", F.col("kept_text").alias("text"))
-    out = docs.drop("text").join(cut, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    rows = _keyed(docs)
+    cut = doubling.substring_dedup(rows, id_col=KEY).where("n_words > n_removed").select(F.col("doc_id").alias(KEY), F.col("kept_text").alias("text"))
+    # equal rows are cut alike: one text for each key
+    out = rows.drop("text").join(cut.dropDuplicates([KEY]), KEY).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark, by op 8."""
-    found = winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = _sized(found.where("contaminated").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    found = winnow.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
+    bad = _sized(found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct())
+    return rows.join(bad, KEY, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +84,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-#: Tokenised packing, dart signatures and subword bands have no SQL form; tests hold run() against a brute-force version.
+#: Tokenised packing, dart signatures and subword bands have no SQL form; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

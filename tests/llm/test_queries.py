@@ -31,3 +31,50 @@ def test_pipeline_keeps_columns_and_decides(spark):
         docs = out
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
     assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_pipeline_with_repeated_null_and_shared_ids(spark, tmp_path):
+    import glob
+    import random
+    from collections import Counter
+
+    import corpus_pipeline as P
+    from tidewarden.llm import exchange
+
+    r = random.Random(4)
+    words = "the river carried small boats past old houses where people spoke about winter bread music and distant roads under quiet trees".split()
+    text = lambda n=90: " ".join(r.choice(words) + r.choice(["", "s", "ed", "ing", "er"]) for _ in range(n))
+    a, near, leak = text(), text(), text(12)
+    passage = text(40)
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, text()), (3, text()), (3, text()), (None, text()), (None, text()), (4, text(20)), (5, None)]
+    rows += [(9, near), (8, near + " more"), (None, near + " words"), (6, f"{text(60)} {passage}"), (6, f"{passage} {text(60)}"), (None, f"{text(60)} {leak} {text(60)}"), (None, text()), (7, text())]
+    rows += [(10, text())] * 3
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], kinds).repartition(3)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    # brute force
+    left = [(i, t) for i, t in rows if t and len(t.split()) >= 50]
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in left]
+    classes: list[list[int]] = []
+    for k, g in enumerate(grams):
+        near_ones = [c for c in classes if any(len(g & grams[m]) >= 0.8 * len(g | grams[m]) for m in c)]
+        classes = [c for c in classes if c not in near_ones] + [[k, *(m for c in near_ones for m in c)]]
+    left = [min((left[m] for m in c), key=lambda x: (x[0] is None, x[0] or 0)) for c in classes]
+    seen = Counter(tuple(t.split()[k : k + 35]) for _, t in left for k in range(len(t.split()) - 34))
+    cut = []
+    for i, t in left:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        cut.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    expected = sorted(((i, t) for i, t in cut if t and leak not in t), key=str)
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(glob.glob(f"{exchange.ensure_checkpoint_dir(spark)}/pipeline-*".removeprefix("file:")))
+    packed = P.run(spark, str(tmp_path)).where("piece = 0").collect()
+    (folder,) = set(glob.glob(f"{exchange.ensure_checkpoint_dir(spark)}/pipeline-*".removeprefix("file:"))) - before
+    got = spark.read.parquet(f"{folder}/{len(P.STAGES) - 2}").collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == expected
+    assert all(x.n_chars == len(x.text) for x in got)
+    assert [t for i, t in expected].count(a) == 1 and len(expected) == 12
+    assert sorted((x.doc_id for x in packed), key=str) == sorted((i for i, _ in expected), key=str)
