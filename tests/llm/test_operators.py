@@ -353,6 +353,20 @@ def test_language_model(docs, empty):
     assert abs(weights[130].sum() - 1) < 1e-9 and weights[130][1] > 0.5 and weights[0].tolist() == [1, 0]
 
 
+def test_language_model_uses_contexts_seen_once(spark):
+    from tidewarden.llm.interpolation import is_held_out, score
+
+    held = [i for i in range(400) if is_held_out(i)]
+    train = [i for i in range(400) if not is_held_out(i)]
+    passage = lambda k: " ".join(f"p{k}w{j}" for j in range(40))
+    # passages 0-9 stand twice in training text, so a deleted occurrence has a context seen once; passage 99 stands once
+    rows = [(train[2 * k + j], passage(k)) for k in range(10) for j in range(2)] + [(train[50], passage(99)), (held[0], passage(99)), (held[1], " ".join(reversed(passage(99).split())))]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=1000).collect()}
+    copied, mixed = got[held[0]], got[held[1]]
+    assert copied.n_known == copied.n_tokens == 41 and copied.score / 41 > -0.5 and copied.base_score / 41 < -2
+    assert mixed.score / 41 < -2
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     from tidewarden.llm.kneser_ney import grams, probabilities
 

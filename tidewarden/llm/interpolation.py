@@ -5,8 +5,8 @@ the context was seen. The weights are learned by expectation-maximisation on hel
 training token is scored with its own occurrence deleted from all counts.
 
 Counts travel by the fingerprint exchange: a group of documents sends each distinct n-gram once, with its
-training count, and gets the corpus count back. n-grams above the first order are counted only under
-contexts seen at least twice, so the tables follow the repeated part of the corpus.
+training count, and gets the corpus count back. n-grams above the first order are counted under every context
+that training text has; one under a context never seen has no count to ask for.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _levels(t: _Tokens, totals: list[np.ndarray], most: int, upto: int):
             counts.append(level.counts(t, totals[order - 1]))
             if order < most:
                 contexts.append(level.of_context(t, counts[-1], totals[order - 1]))
-                wanted = contexts[-1] >= 2
+                wanted = contexts[-1] >= 1
     return levels, counts, contexts
 
 
@@ -133,20 +133,20 @@ def _totals(got: list, upto: int) -> list[np.ndarray]:
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
-    """0 for contexts seen less than twice, else one more than the whole log2 of the count."""
-    return np.where(context >= 2, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
+    """0 for contexts never seen, else one more than the whole log2 of the count: 1 for contexts seen once."""
+    return np.where(context >= 1, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
 def _parts(counts: list[np.ndarray], contexts: list[np.ndarray], deleted: np.ndarray):
     """(bucket, estimates above the first order, first-order count), with deleted occurrences taken off.
 
-    The bucket is that of the longest context seen at least twice: 64 * order + its frequency class.
+    The bucket is that of the longest context seen: 64 * order + its frequency class.
     """
     bucket = np.zeros(len(counts[0]), np.int64)
     estimates = []
     for order in range(2, len(counts) + 1):
         context = contexts[order - 2] - deleted
-        seen = context >= 2
+        seen = context >= 1
         top = np.where(seen, counts[order - 1] - deleted, 0)
         estimates.append(np.where(seen, np.maximum(top, 0) / np.maximum(context, 1), 0.0))
         bucket = np.where(seen, 64 * order + _bucket(context), bucket)
