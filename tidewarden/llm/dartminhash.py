@@ -8,8 +8,8 @@ Jaccard similarity.
 
 Signatures are joined by bands. In a band's bucket every document is paired with one centre, never with
 all others; pairs are confirmed on whole shingle sets. Buckets that still hold several classes get further
-pairs (all across the classes where they are small). What large buckets then still hold apart is finished exactly: every
-pair across classes that passes the size, prefix and position filters of the shingle sets is tested.
+pairs, and what then still stands apart is finished exactly: every pair across classes in small buckets, and in large
+ones every pair that passes the size, prefix and position filters of the shingle sets.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .exchange import ensure_checkpoint_dir, pack_array, unpack_array
+from .exchange import ensure_checkpoint_dir, pack_array, settle, sized, tidy, unpack_array
 
 _SEED_COUNT, _SEED_DART = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _SLOTS, _PARTS = 1 << 18, 16  # slots of the shingle frequencies that order prefixes, and the rows they travel in
@@ -137,8 +137,19 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.
     return doc[at], key[at], np.diff(np.append(at, len(doc)))
 
 
-def band_keys(rows: DataFrame, size: int, bands: int, per_band: int, weighted: bool) -> DataFrame:
-    """(id, keys) of every row (id, text) that has words."""
+def _bands(sig: np.ndarray, bands: int, per_band: int) -> np.ndarray:
+    keys = np.zeros((len(sig), bands), np.uint64)
+    for b in range(bands):
+        for j in range(per_band):
+            keys[:, b] = K.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * per_band + j])
+    return keys
+
+
+def band_keys(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
+    """(id, n, m, keys) of every row (id, text) that has words: the number of distinct shingles, of all, and a key for each band.
+
+    Shingles weigh as often as they occur. A text that repeats some has the keys of its unweighted signature as well.
+    """
     k = bands * per_band
 
     def run(batches):
@@ -146,52 +157,71 @@ def band_keys(rows: DataFrame, size: int, bands: int, per_band: int, weighted: b
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, part in K.chunks(texts, 1 << 18):
                 doc, key, count = shingles(part, size)
-                sig = signatures(doc, key, count.astype(np.float64) if weighted else np.ones(len(doc)), len(part), k)
-                keys = np.zeros((len(part), bands), np.uint64)
-                for b in range(bands):
-                    for j in range(per_band):
-                        keys[:, b] = K.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * per_band + j])
-                full = np.unique(doc)
-                flat = pa.array(keys[full].view(np.int64).ravel())
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in full.tolist()], pa.int64()), listed], ["id", "keys"])
+                n, m = np.bincount(doc, minlength=len(part)), np.bincount(doc, count, minlength=len(part)).astype(np.int64)
+                keys = _bands(signatures(doc, key, count.astype(np.float64), len(part), k), bands, per_band)
+                full, twice = np.flatnonzero(n), np.flatnonzero(m > n)
+                plain = keys[:0]
+                if len(twice):
+                    mine = m[doc] > n[doc]
+                    plain = _bands(signatures(np.searchsorted(twice, doc[mine]), key[mine], np.ones(int(mine.sum())), len(twice), k), bands, per_band)
+                flat = np.concatenate([keys[full], plain])
+                who = np.concatenate([full, twice])
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * bands), pa.array(flat.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in who.tolist()], pa.int64()), pa.array(n[who]), pa.array(m[who]), listed], ["id", "n", "m", "keys"])
 
-    return rows.mapInArrow(run, "id long, keys array<long>")
+    return rows.mapInArrow(run, "id long, n long, m long, keys array<long>")
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, shingles): the number of distinct shingles and their packed hashes (48 bits, compared within pairs only)."""
+    """(id, n, m, shingles, again): packed hashes (48 bits, compared within pairs only) of the distinct shingles, and of their further occurrences."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, part in K.chunks(texts):
-                doc, key, _ = shingles(part, size)
+                doc, key, count = shingles(part, size)
                 first = np.searchsorted(doc, np.arange(len(part) + 1))
-                sets = [pack_array(key[lo:hi] >> np.uint64(16)) for lo, hi in zip(first.tolist(), first[1:].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(part)], pa.int64()), pa.array(np.diff(first)), pa.array(sets, pa.binary())], ["id", "n", "shingles"])
+                out: list[list] = [[], [], [], []]
+                for lo, hi in zip(first.tolist(), first[1:].tolist(), strict=False):
+                    more = np.repeat(np.arange(lo, hi), count[lo:hi] - 1)
+                    nth = np.arange(len(more)) - np.repeat(np.cumsum(count[lo:hi] - 1) - (count[lo:hi] - 1), count[lo:hi] - 1)
+                    again = np.sort(K.mix(key[more] + nth.astype(np.uint64) + np.uint64(1)) >> np.uint64(16))
+                    for column, value in zip(out, (hi - lo, hi - lo + len(more), pack_array(key[lo:hi] >> np.uint64(16)), pack_array(again) if len(again) else None), strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(part)], pa.int64()), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["id", "n", "m", "shingles", "again"])
 
-    return rows.mapInArrow(run, "id long, n long, shingles binary")
+    return rows.mapInArrow(run, "id long, n long, m long, shingles binary, again binary")
+
+
+def _fits(least: float, n: Column, n2: Column, m: Column, m2: Column) -> Column:
+    """Whether sets of n and n2 distinct shingles, or of m and m2 occurrences, can be as similar as ``least``."""
+    return (F.least(n, n2) >= F.lit(least) * F.greatest(n, n2)) | (F.least(m, m2) >= F.lit(least) * F.greatest(m, m2))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``least``."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-    fit = sized.where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b")
-    both = fit.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+    """The pairs (a, b) whose shingles have a Jaccard similarity of at least ``least``, as sets or counted as often as they occur."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("again").alias("ta"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("again").alias("tb"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "ta", "tb")
 
     def run(batches):
         last, have = None, None
+        none = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, have = a, unpack_array(a)
-                other = unpack_array(b)
+            for sa, sb, ta, tb in zip(*(batch.column(j).to_pylist() for j in (2, 3, 4, 5)), strict=True):
+                if sa != last:
+                    last, have = sa, unpack_array(sa)
+                other = unpack_array(sb)
                 common = len(np.intersect1d(have, other, assume_unique=True))
-                keep.append(common >= least * (len(have) + len(other) - common))
+                total = len(have) + len(other)
+                near = common >= least * (total - common)
+                if not near and (ta or tb):
+                    x, y = unpack_array(ta) if ta else none, unpack_array(tb) if tb else none
+                    common, total = common + len(np.intersect1d(x, y, assume_unique=True)), total + len(x) + len(y)
+                    near = common >= least * (total - common)
+                keep.append(near)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -200,40 +230,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root) with the least id of every connected component; nodes (id, root) start as they are.
 
-    Roots hook onto the least root across an edge, then jump to their root's root, until nothing
-    changes. Each round is a few joins, checkpointed in the shared folder; the driver sees counts alone.
+    Roots hook onto the least root across an edge, then jump to their root's root; edges between the new roots
+    are left for the next round, until there are none. The driver sees counts alone.
     """
+    at = nodes.select(F.col("id").alias("a"), F.col("root").alias("ra")), nodes.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    cross = edges.join(at[0], "a").join(at[1], "b")
     while True:
-        cross = edges.join(nodes.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(nodes.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-        hook = cross.where("ra <> rb").select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("to"))
-        hook = hook.groupBy("root").agg(F.min("to").alias("to")).checkpoint()
-        if hook.isEmpty():
+        cross = cross.where("ra <> rb").select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("to")).distinct()
+        cross, n = settle(cross)
+        if not n:
             return nodes
+        hook, n_hooks = settle(cross.groupBy("root").agg(F.min("to").alias("to")))
         while True:  # chains of hooks are followed to their end
-            jump = hook.join(hook.select(F.col("root").alias("to"), F.col("to").alias("next")), "to", "left")
-            moved = jump.select("root", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")).checkpoint()
+            next_ = sized((hook.select(F.col("root").alias("to"), F.col("to").alias("next")), n_hooks))
+            moved, _ = settle(hook.join(next_, "to", "left").select("root", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
             hook = moved.select("root", "to")
             if moved.where("moved").isEmpty():
                 break
-        nodes = nodes.join(hook, "root", "left").select("id", F.coalesce("to", "root").alias("root")).checkpoint()
-
-
-def _next_pairs(classes: DataFrame, turn: int, small: int = 32, draws: int = 3) -> DataFrame:
-    """Pairs (a, b) to test next in the buckets that still hold several classes; classes: (band, key, id, root).
-
-    In a bucket of up to ``small`` members, all pairs of different classes, once. In a larger one, members outside the
-    largest class meet a member of it that the turn picks; each member takes part in ``draws`` of its buckets a turn.
-    """
-    per_class = classes.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pick"))
-    buckets = per_class.groupBy("band", "key").agg(F.count("*").alias("several"), F.sum("n").alias("size"), F.max(F.struct("n", "root", "pick")).alias("most")).where("several > 1")
-    big = classes.join(buckets.where(F.col("size") > small), ["band", "key"]).where("root <> most.root")
-    order = Window.partitionBy("id").orderBy(F.xxhash64("band", "key", F.lit(turn)))
-    pairs = big.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= draws).select(F.col("most.pick").alias("a"), F.col("id").alias("b"))
-    if turn == 1:
-        few = classes.join(buckets.where(F.col("size") <= small).select("band", "key"), ["band", "key"])
-        other = few.select("band", "key", F.col("id").alias("other"), F.col("root").alias("other_root"))
-        pairs = pairs.unionByName(few.join(other, ["band", "key"]).where("id < other and root <> other_root").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = sized((hook, n_hooks))
+        nodes, _ = settle(nodes.join(new, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        x, y = (sized((hook.select(F.col("root").alias(old), F.col("to").alias(r)), n_hooks)) for old, r in (("root", "ra"), ("to", "rb")))
+        cross = cross.join(x, "root", "left").join(y, "to", "left").select(F.coalesce("ra", "root").alias("ra"), F.coalesce("rb", "to").alias("rb"))
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
@@ -243,8 +260,9 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(_SLOTS, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                np.add.at(total, (unpack_array(raw) % np.uint64(_SLOTS)).astype(np.int64), 1)
+            for raw in batch.column(0).to_pylist() + batch.column(1).to_pylist():
+                if raw:
+                    np.add.at(total, (unpack_array(raw) % np.uint64(_SLOTS)).astype(np.int64), 1)
         if total.any():
             blobs = [pack_array(total[k * each : (k + 1) * each]) for k in range(_PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
@@ -254,42 +272,45 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
         return pa.table({"part": table.column("part").slice(0, 1), "blob": pa.array([pack_array(total)], pa.binary())})
 
     out = np.zeros(_SLOTS, np.int64)
-    for r in sets.select("shingles").mapInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(add, "part int, blob binary").collect():
-        out[r.part * each : (r.part + 1) * each] = unpack_array(bytes(r.blob))
+    with tidy(sets.sparkSession):
+        for r in sets.select("shingles", "again").mapInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(add, "part int, blob binary").collect():
+            out[r.part * each : (r.part + 1) * each] = unpack_array(bytes(r.blob))
     return out
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(token, id, root, n, pos): the rarest shingles of each set, so many that two sets of similarity ``least`` share one."""
+    """(token, id, root, n, pos): the rarest shingles of each set, so many that two sets of similarity ``least`` share one.
+
+    A text that repeats shingles has a prefix of its distinct shingles and one of all their occurrences.
+    """
     often = _frequencies(sets)
 
     def run(batches):
         for batch in batches:
-            ids, roots, sizes = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(3))
-            for i, raw in enumerate(batch.column(3).to_pylist()):
-                key = unpack_array(raw)
-                n = int(sizes[i])
-                most = n - math.ceil(least * n - 1e-9) + 1
-                key = key[np.lexsort((key, often[(key % np.uint64(_SLOTS)).astype(np.int64)]))[:most]]
-                m = len(key)
-                columns = [key.astype(np.int64), np.full(m, ids[i]), np.full(m, roots[i]), np.full(m, n), np.arange(m)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "id", "root", "n", "pos"])
+            ids, roots = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(2))
+            for i, (raw, more) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                plain = unpack_array(raw)
+                for key in [plain, np.concatenate([plain, unpack_array(more)])] if more else [plain]:
+                    n = len(key)
+                    most = n - math.ceil(least * n - 1e-9) + 1
+                    key = key[np.lexsort((key, often[(key % np.uint64(_SLOTS)).astype(np.int64)]))[:most]]
+                    m = len(key)
+                    columns = [key.astype(np.int64), np.full(m, ids[i]), np.full(m, roots[i]), np.full(m, n), np.arange(m)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "id", "root", "n", "pos"])
 
-    return sets.select("id", "root", "n", "shingles").mapInArrow(run, "token long, id long, root long, n long, pos long")
+    return sets.select("id", "root", "shingles", "again").mapInArrow(run, "token long, id long, root long, n long, pos long")
 
 
-def _open_pairs(classes: DataFrame, sets: DataFrame, least: float, small: int = 32, each: int = 4096) -> DataFrame:
-    """All pairs (a, b) of different classes that can reach ``least``, of the texts in buckets above ``small`` with several classes.
+def _open_pairs(texts: DataFrame, sets: DataFrame, least: float, each: int = 4096) -> DataFrame:
+    """All pairs (a, b) of different classes that can reach ``least`` among texts (id, root).
 
     Texts meet at the shingles of their prefixes. Of a shingle's texts, those outside its largest class meet all; the
     pairs inside a class that this passes over are never more than those across classes. ``each`` texts of a shingle are one key of the join.
     """
-    buckets = classes.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    left_open = classes.join(buckets.where((F.col("size") > small) & (F.col("low") < F.col("high"))).select("band", "key"), ["band", "key"]).select("id", "root").distinct()
-    post = _prefixes(sets.join(left_open, "id").checkpoint(), least).repartition("token")
+    post, _ = settle(_prefixes(settle(sets.join(texts, "id"), 20_000)[0], least))
     per_class = post.groupBy("token", "root").agg(F.count("*").alias("k"))
     several = per_class.groupBy("token").agg(F.count("*").alias("classes"), F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("most")).where("classes > 1")
-    post = post.join(several.select("token", F.col("most.root").alias("main"), F.ceil(F.col("size") / each).cast("int").alias("salts")), "token").checkpoint()
+    post, _ = settle(post.join(several.select("token", F.col("most.root").alias("main"), F.ceil(F.col("size") / each).cast("int").alias("salts")), "token"))
     left = post.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     left = left.select("token", "salt", *[F.col(c).alias(f"l_{c}") for c in ("id", "root", "n", "pos")])
     right = post.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
@@ -301,6 +322,27 @@ def _open_pairs(classes: DataFrame, sets: DataFrame, least: float, small: int =
     return near.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
 
 
+def _open_buckets(member: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(band, key, id, n, m, root, size) of the buckets that hold several classes."""
+    classes = member.join(nodes, "id")
+    buckets = classes.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key", "size")
+    return settle(classes.join(sized(settle(buckets)), ["band", "key"]))
+
+
+def _draw(left_open: DataFrame, turn: int, least: float, draws: int = 3) -> DataFrame:
+    """Pairs (a, b) that are likely to join classes: members outside their bucket's largest class meet one member of it and the least of their own."""
+    per_class = left_open.groupBy("band", "key", "root").agg(F.count("*").alias("k"), F.min_by(F.struct("id", "n", "m"), F.xxhash64("id", F.lit(turn))).alias("pick"))
+    most = per_class.groupBy("band", "key").agg(F.max(F.struct("k", "root", "pick")).alias("most"))
+    outside = left_open.join(sized(settle(most)), ["band", "key"]).where("root <> most.root")
+    lead = outside.groupBy("band", "key").agg(F.min(F.struct("id", "n", "m", "root")).alias("lead"))
+    outside = outside.join(sized(settle(lead)), ["band", "key"])
+    order = Window.partitionBy("id").orderBy(F.xxhash64("band", "key", F.lit(turn)))
+    outside = outside.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= draws)
+    pairs = outside.select("id", "n", "m", F.explode(F.array(F.col("most.pick"), F.when(F.col("lead.root") != F.col("root"), F.struct("lead.id", "lead.n", "lead.m")))).alias("o"))
+    pairs = pairs.where(_fits(least, F.col("n"), F.col("o.n"), F.col("m"), F.col("o.m")))
+    return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -309,62 +351,67 @@ def near_duplicates(
     similarity: float = 0.8,
     bands: int = 24,
     per_band: int = 5,
-    weighted: bool = False,
-    patience: int = 3,
+    small: int = 32,
 ) -> DataFrame:
     """doc_id, class_id (the least id of its class), class_size: one row per input row.
 
-    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least
-    ``similarity``; classes are the connected components. Words are runs of bytes other than ASCII white
-    space; a text of fewer words is one shingle. ``weighted`` makes signatures count a shingle as
-    often as it occurs; by default every distinct one weighs 1, as in the similarity that is confirmed.
+    Two texts are linked if the Jaccard similarity of their ``size``-word shingles is at least ``similarity``, weighed by how often
+    each occurs or as sets of distinct ones; classes are the connected components. Words are runs of bytes other than ASCII white
+    space; a text of fewer words is one shingle. Signatures weigh shingles by their counts; texts that repeat shingles have an
+    unweighted signature too, so that both similarities find their pairs.
     Equal texts are one class from the start and travel as one representative. Null texts and texts without words are
     classes of their own row's id. A null id has a null class and links to nothing. Rows that share an
     id share its class. Other columns are not read; an empty table gives an empty result.
 
-    In a bucket every text is tested against one centre. While a bucket holds several classes, small ones are tested in full across
-    their classes, and in large ones every text outside the largest class meets changing members of it, until
-    ``patience`` rounds in a row find no link. Each round is linear in the texts. The texts of large buckets that still hold several
-    classes then meet once more at the rarest shingles of their sets, and every pair across classes that the sizes and places of
-    these shingles allow is tested, so that no link in a bucket is lost. With 24 bands of 5, a pair at similarity 0.8 shares a bucket with probability 0.99993.
+    In a bucket every text is first tested against one centre. While buckets hold several classes and a turn still joins many of them, texts
+    outside a bucket's largest class meet one changing member of it and the least text outside it. Then the rest is finished
+    exactly: all pairs across classes in buckets of up to ``small`` texts, and in larger ones all pairs across classes that the size, prefix
+    and position filters of their shingle sets allow; so every link between texts that share a bucket is kept.
+    With 24 bands of 5, a pair at similarity 0.8 shares a bucket with probability 0.99993.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     full = rows.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.col("text").cast("binary").alias("text"))
     # copies: the least id of each distinct text stands for all
-    copies = full.select("id", F.sha2("text", 256).alias("digest")).checkpoint()
-    heads = copies.join(copies.groupBy("digest").agg(F.min("id").alias("head")), "digest").select("id", "head").distinct().checkpoint()
+    copies, _ = settle(full.select("id", F.sha2("text", 256).alias("digest")))
+    heads, _ = settle(copies.join(copies.groupBy("digest").agg(F.min("id").alias("head")), "digest").select("id", "head").distinct())
     chosen = heads.where("id = head").select("id").distinct()
-    keyed = band_keys(full, size, bands, per_band, weighted).join(chosen, "id", "left_semi")
-    member = keyed.select(F.posexplode("keys").alias("band", "key"), "id").checkpoint()
-    shared = member.groupBy("band", "key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
-    member = member.join(shared, ["band", "key"]).checkpoint()
-    involved = member.select("id").distinct().checkpoint()
-    sets = shingle_sets(full.join(involved, "id", "left_semi"), size).checkpoint()
-    nodes = involved.select("id", F.col("id").alias("root"))
-    tested = None
-    pairs = member.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    turn = barren = 0
-    while barren < patience:
-        pairs = pairs.checkpoint()
-        links = _confirm(pairs, sets, similarity).checkpoint()
-        if links.isEmpty():
-            barren += 1
-        else:
-            barren = 0
+    keyed = band_keys(full, size, bands, per_band).join(chosen, "id", "left_semi")
+    member, _ = settle(keyed.select("id", "n", "m", F.posexplode("keys").alias("band", "key")).distinct())
+    shared = member.groupBy("band", "key").agg(F.min(F.struct("id", "n", "m")).alias("centre"), F.max("id").alias("last")).where("centre.id < last").drop("last")
+    member, _ = settle(member.join(shared, ["band", "key"]))
+    involved = settle(member.select("id").distinct())
+    sets, _ = settle(shingle_sets(full.join(sized(involved), "id", "left_semi"), size), 20_000)
+    nodes = involved[0].select("id", F.col("id").alias("root"))
+    pairs = member.where((F.col("id") != F.col("centre.id")) & _fits(similarity, F.col("n"), F.col("centre.n"), F.col("m"), F.col("centre.m")))
+    pairs = pairs.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()
+    member = member.drop("centre")
+
+    def join_classes(pairs: DataFrame) -> int:
+        nonlocal nodes
+        links, n = settle(_confirm(settle(pairs)[0], sets, similarity))
+        if n:
             nodes = components(nodes, links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        turn += 1
-        classes = member.select("band", "key", "id").join(nodes, "id")
-        pairs = _next_pairs(classes, turn)
-        if pairs.isEmpty():
+        return n
+
+    join_classes(pairs)
+    left_open, n_open = _open_buckets(member, nodes)
+    turn, before = 0, 2 * n_open
+    while n_open and n_open < 0.8 * before:
+        turn, before = turn + 1, n_open
+        if not join_classes(_draw(left_open.where(F.col("size") > small), turn, similarity)):
             break
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    else:
-        pairs = _open_pairs(classes, sets, similarity).join(done, ["a", "b"], "left_anti").checkpoint()
-        nodes = components(nodes, _confirm(pairs, sets, similarity).checkpoint())
+        left_open, n_open = _open_buckets(member, nodes)
+    if n_open:
+        few = left_open.where(F.col("size") <= small)
+        other = few.select("band", "key", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "m", "root")])
+        pairs = few.join(other, ["band", "key"]).where((F.col("id") < F.col("o_id")) & (F.col("root") != F.col("o_root")) & _fits(similarity, F.col("n"), F.col("o_n"), F.col("m"), F.col("o_m")))
+        pairs = pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+        large = settle(left_open.where(F.col("size") > small).select("id", "root").distinct())
+        if large[1]:
+            pairs = pairs.unionByName(_open_pairs(sized(large), sets, similarity))
+        join_classes(pairs.distinct())
     by_id = heads.join(nodes.select(F.col("id").alias("head"), "root"), "head", "left").select("id", F.coalesce("root", "head").alias("class_id"))
     by_id = by_id.groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = rows.select("id").join(by_id, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))

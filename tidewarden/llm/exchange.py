@@ -13,13 +13,14 @@ every step is a function of its rows alone.
 
 from __future__ import annotations
 
+import contextlib
 import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "grp int, pack binary"
@@ -28,10 +29,12 @@ REPLIES = "grp int, bucket int, level int, blob binary"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is set (tests) a local one is chosen."""
+    """The shared folder that spark.checkpoint.dir names; where nothing names one, only a local master gets a folder of its own."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         have = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -40,6 +43,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return have
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Inside, plans that are made and run drop their shuffle files as soon as they have run."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def settle(df: DataFrame, each: int = 200_000) -> tuple[DataFrame, int]:
+    """df cut from its lineage by a checkpoint, in a partition for every ``each`` rows at most as many as it had, and its number of rows.
+
+    The shuffle files behind it go at once: the checkpoint in the shared folder replaces them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    with tidy(df.sparkSession):
+        out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+    n = int(seen.get.get("n") or 0)
+    return out.coalesce(max(1, -(-n // each))), n
+
+
+def sized(side: tuple[DataFrame, int], most: int = 200_000) -> DataFrame:
+    """A settled join side, broadcast if it has at most ``most`` (narrow) rows; else Spark joins by shuffle."""
+    return F.broadcast(side[0]) if side[1] <= most else side[0]
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a text column; one aggregate over that column alone."""
     row = docs.select(F.sum(F.octet_length(F.col(column))).alias("n")).first()
