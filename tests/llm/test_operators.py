@@ -99,7 +99,8 @@ def test_run_index_statistics():
         strings = list({bytes(rng.integers(97, 97 + letters, rng.integers(window, 25)).astype(np.uint8)) for _ in range(12)})
         owner = rng.integers(0, 50, len(strings))
         patterns = [*strings, b"abcabcxyzabc"]
-        first, length, least = RunIndex(strings, owner, window).statistics(patterns)
+        flat = lambda x: (np.frombuffer(b"".join(x), np.uint8), np.array([len(s) for s in x]))
+        first, length, least = RunIndex(*flat(strings), owner, window).statistics(*flat(patterns))
         for p, s in enumerate(patterns):
             for i in range(len(s)):
                 best = max((k for k in range(len(s) - i + 1) if any(s[i : i + k] in t for t in strings)), default=0)

@@ -41,10 +41,11 @@ def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def prefix(values: np.ndarray, which: int) -> np.ndarray:
@@ -59,15 +60,19 @@ def spans_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int)
     return mix((pre[end] - pre[start]) * powers(n, which, True)[start] + (end - start).astype(np.uint64))
 
 
-def windows_hash(values: np.ndarray, length: int, which: int) -> np.ndarray:
-    """Hash of each run of length consecutive values."""
-    n = len(values) - length + 1
+def runs_hash(pre: np.ndarray, length: int, which: int) -> np.ndarray:
+    """Hash of each run of length consecutive values, from the prefix sums."""
+    n = len(pre) - length
     if n <= 0:
         return np.zeros(0, np.uint64)
-    pre = prefix(values, which)
     return mix((pre[length:] - pre[:n]) * powers(len(pre), which, True)[:n] + np.uint64(length))
 
 
+def windows_hash(values: np.ndarray, length: int, which: int) -> np.ndarray:
+    """Hash of each run of length consecutive values."""
+    return runs_hash(prefix(values, which), length, which)
+
+
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over each run of width values."""
     if len(values) < width:
@@ -150,9 +155,9 @@ def same_owner(owner: np.ndarray, length: int) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Mask of n items covered by runs of length items from starts."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
+    if not len(starts):
+        return np.zeros(n, bool)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + length, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 

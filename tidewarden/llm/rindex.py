@@ -12,25 +12,28 @@ from __future__ import annotations
 
 import numpy as np
 
-_PACK = 7  # symbols of nine bits in a 64-bit key
-
-
 class RunIndex:
-    def __init__(self, strings: list[bytes], owner: np.ndarray, window: int):
-        """strings: the indexed set; owner: a number for each (the least document that holds it)."""
+    def __init__(self, body: np.ndarray, sizes: np.ndarray, owner: np.ndarray, window: int):
+        """body: the indexed strings, one after the other, of sizes bytes; owner: a number for each (the least document that holds it)."""
         self.window = window
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
         self.first = np.cumsum(sizes + 1) - (sizes + 1)
         n = int((sizes + 1).sum())
-        text = np.zeros(n + _PACK, np.uint16)
-        body = np.ones(n, bool)
-        body[self.first + sizes] = False
-        text[:n][body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+        used = np.zeros(256, bool)
+        used[body] = True
+        self.rank = np.cumsum(used)  # bytes as dense symbols from 1, so that a key holds as many as can be
+        width = max(1, int(self.rank[-1]).bit_length())
+        self.pack, self.width = 63 // width, width
+        text = np.zeros(n + self.pack, np.uint16)
+        inside = np.ones(n, bool)
+        inside[self.first + sizes] = False
+        text[:n][inside] = self.rank[body]
         self.text, self.n = text, n
         self.stop = np.repeat(self.first + sizes, sizes + 1)  # where the own string ends, by position
         order = self._sort()
         place_owner = np.repeat(np.asarray(owner, np.int64), sizes + 1)
-        before = np.where(np.isin(order, self.first), 0, text[np.maximum(order - 1, 0)])
+        at_first = np.zeros(n, bool)
+        at_first[self.first] = True
+        before = np.where(at_first[order], 0, text[np.maximum(order - 1, 0)])
         new_group = np.ones(n, bool)
         new_group[1:] = ~self._same(order[1:], order[:-1])
         cut = new_group.copy()
@@ -46,44 +49,46 @@ class RunIndex:
         self.run_last = self.run_row + length - 1
         self.run_of = np.repeat(np.arange(len(length), dtype=np.int32), length)  # select support: the run of a row
         self.by_symbol = by_symbol
-        self.symbol_at = np.searchsorted(self.run_symbol[by_symbol], np.arange(258))
+        self.symbol_at = np.searchsorted(self.run_symbol[by_symbol], np.arange(259))
+        self._combined = self.run_symbol[by_symbol].astype(np.int64) * len(length) + by_symbol
         group = np.cumsum(new_group[self.run_row]) - 1
         run_least = np.minimum.reduceat(place_owner[order], self.run_row)
         self.least = np.minimum.reduceat(run_least, np.flatnonzero(new_group[self.run_row]))[group]  # by run
 
-    def _key(self, at: np.ndarray, depth: int) -> np.ndarray:
-        left = np.clip(self.stop[at] - at - depth, 0, _PACK)
-        return self.packed[np.minimum(at + depth, self.n - 1)] & self.mask[left]
-
     def _sort(self) -> np.ndarray:
-        """Suffix order; a string's end is below every byte, and ends compare by position."""
+        """Suffix order by doubling; a string's end is below every byte, and ends compare by position."""
         n, t = self.n, self.text.astype(np.uint64)
         packed = np.zeros(n, np.uint64)
-        for j in range(_PACK):
-            packed |= t[j : j + n] << np.uint64(9 * (_PACK - 1 - j))
+        for j in range(self.pack):
+            packed |= t[j : j + n] << np.uint64(self.width * (self.pack - 1 - j))
         self.packed = packed
-        self.mask = np.array([((1 << 9 * r) - 1) << 9 * (_PACK - r) for r in range(_PACK + 1)], np.uint64)
-        at = np.arange(n)
-        key = self._key(at, 0)
+        self.mask = np.array([((1 << self.width * r) - 1) << self.width * (self.pack - r) for r in range(self.pack + 1)], np.uint64)
+        left = self.stop - np.arange(n)  # symbols before the end
+        key = packed & self.mask[np.minimum(left, self.pack)]
         order = np.argsort(key, kind="stable")
         key = key[order]
-        active, group, depth = np.arange(n), np.zeros(n, np.int64), 0
-        while True:
-            new = np.ones(len(active), bool)
-            new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-            start = np.flatnonzero(new)
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(active))))
-            depth += _PACK
-            p = order[active]
-            go = (np.bincount(group)[group] > 1) & (self.stop[p] - p > depth - 1) & (self.stop[p] - p >= depth)
-            active, group = active[go], group[go]
-            if not len(active):
-                return order
-            p = order[active]
-            key = self._key(p, depth)
-            o = np.lexsort((key, group))
-            order[active] = p[o]
-            key = key[o]
+        depth = self.pack
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (left[order[1:]] < depth)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        go = ~new
+        go[:-1] |= go[1:]
+        rows = np.flatnonzero(go)
+        while len(rows):  # the rows of suffixes that share depth symbols with a neighbour
+            p = order[rows]
+            key = rank[p] * n + rank[p + depth]
+            o = np.argsort(key, kind="stable")
+            p, key = p[o], key[o]
+            order[rows] = p
+            new = np.ones(len(p), bool)
+            new[1:] = key[1:] != key[:-1]
+            rank[p] = np.maximum.accumulate(np.where(new, rows, 0))
+            go = ~new
+            go[:-1] |= go[1:]
+            rows = rows[go]
+            depth *= 2
+        return order
 
     def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether two suffixes share their first ``window`` symbols."""
@@ -91,8 +96,8 @@ class RunIndex:
         some = np.flatnonzero(out)
         a, b = a[some], b[some]
         keep = np.ones(len(a), bool)
-        for depth in range(0, self.window, _PACK):
-            mask = self.mask[min(_PACK, self.window - depth)]
+        for depth in range(0, self.window, self.pack):
+            mask = self.mask[min(self.pack, self.window - depth)]
             keep &= (self.packed[a + depth] & mask) == (self.packed[b + depth] & mask)
         out[some] = keep
         return out
@@ -109,21 +114,22 @@ class RunIndex:
             out[live] += 1
         return out
 
-    def statistics(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, length, least): for position i of pattern p, entry first[p] + i holds the length of the
+    def statistics(self, body: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the patterns in body, of sizes bytes each, (first, length, least): for position i of pattern p, entry first[p] + i holds the length of the
         longest match that starts there (exact up to ``window``, a lower bound of at least that beyond) and, for matches
         of ``window`` symbols, the least owner of those ``window`` symbols."""
-        sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
         first = np.cumsum(sizes) - sizes
-        symbols = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
+        known = np.append(True, np.diff(self.rank) > 0)
+        known[0] = self.rank[0] > 0
+        symbols = np.where(known, self.rank, 257)[body]  # 257: a byte that the index doesn't have
         length_out = np.zeros(len(symbols), np.int64)
         least_out = np.full(len(symbols), np.iinfo(np.int64).max)
         by_size = np.argsort(-sizes, kind="stable")
         at = (first + sizes)[by_size]
         ordered = sizes[by_size]
-        row = np.zeros(len(patterns), np.int64)
-        matched = np.zeros(len(patterns), np.int64)
-        here = np.full(len(patterns), self.head[0])
+        row = np.zeros(len(sizes), np.int64)
+        matched = np.zeros(len(sizes), np.int64)
+        here = np.full(len(sizes), self.head[0])
         for step in range(int(ordered[0]) if len(ordered) else 0):
             m = int(np.searchsorted(-ordered, -step, "left"))  # patterns longer than step
             c = symbols[at[:m] - 1 - step]
@@ -160,7 +166,4 @@ class RunIndex:
 
     def _next_run(self, symbol: np.ndarray, run: np.ndarray) -> np.ndarray:
         """Place in by_symbol of the first run of symbol after run."""
-        if not hasattr(self, "_combined"):
-            r = len(self.run_row)
-            self._combined = self.run_symbol[self.by_symbol].astype(np.int64) * r + self.by_symbol
         return np.searchsorted(self._combined, symbol * len(self.run_row) + run, "right")

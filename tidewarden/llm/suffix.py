@@ -30,63 +30,108 @@ _LAST = np.iinfo(np.int64).max
 
 
 class _Bytes:
-    """The byte windows of a chunk."""
+    """The byte windows of a chunk, in runs: consecutive windows of one document with the same least k-byte hash."""
 
     def __init__(self, texts: list[bytes], window: int, k: int):
         self.chunk = c = K.Chunk.of(texts)
-        self.window, self.k, n = window, k, len(c.buf)
-        self.owner = np.repeat(np.arange(len(texts)), c.end - c.start)
-        self.values = c.byte_values()
-        self.grams, self.least = self._least(k)
-        self.key = K.mix(self.least)  # least hashes are small ones: mixed again, they spread over the buckets
-        self.valid = c.end[self.owner[: len(self.least)]] - np.arange(len(self.least)) >= window
-
-    def _least(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all k-byte strings, and the least of them in each window."""
-        grams = K.windows_hash(self.values, k, 0)
-        return grams, K.sliding(grams, self.window - k + 1, np.minimum) if len(self.values) >= self.window else grams[:0]
-
-    def chosen(self, grams: np.ndarray, least: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-        """Keys of the strings that stand for some candidate window, once for each document."""
-        width = len(grams) - len(least) + 1
-        if not len(least):
-            return grams[:0]
-        reach = np.zeros(len(grams) + width - 1, np.uint64)
-        reach[width - 1 : width - 1 + len(least)] = np.where(candidate, least, np.uint64(0))
-        at = np.flatnonzero(K.sliding(reach, width, np.maximum) == grams)
-        return np.unique(np.stack([K.mix(grams[at]), self.owner[at].astype(np.uint64)]), axis=1)[0] if len(at) else grams[:0]
+        self.window, self.k = window, k
+        self.pre = K.prefix(c.byte_values(), 0)
+        self.last = np.repeat(c.end - window, c.end - c.start)  # the last window of the document of each position
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int64), c.end - c.start)
+        self.least = self._least(k)
+        n = len(self.least)
+        head = np.ones(n, bool)
+        head[1:] = self.least[1:] != self.least[:-1]
+        head[c.start[c.start < n]] = True
+        self.head = head
+        self.start = np.flatnonzero(head)
+        self.key = K.mix(self.least[self.start])  # least hashes are small ones: mixed again, they spread over the buckets
+        self.count = self._valid(self.start, np.diff(np.append(self.start, n)))
+
+    def _least(self, k: int) -> np.ndarray:
+        """The least hash of the k-byte strings in each window."""
+        return K.sliding(K.runs_hash(self.pre, k, 0), self.window - k + 1, np.minimum) if len(self.last) >= self.window else np.zeros(0, np.uint64)
+
+    def _valid(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """How many of the windows from start lie in one document."""
+        return np.clip(self.last[start] + 1 - start, 0, count) if len(start) else count
+
+    def _once(self, key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Ascending keys, each once for every document; owners ascend."""
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        return key[new]
 
     def first_level(self) -> np.ndarray:
-        return self.chosen(self.grams, self.least, self.valid)
+        full = self.count > 0
+        return self._once(self.key[full], self.owner[self.start[full]])
+
+    def _longer(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, windows, run, 2k-byte key) of the parts of the known runs that share their least 2k-byte hash."""
+        wanted = (self.count > 0) & K.contains(known, self.key)
+        none = np.zeros(0, np.int64)
+        if not wanted.any():
+            return none, none, none, self.key[:0]
+        least = self._least(2 * self.k)
+        head = self.head.copy()
+        head[1:] |= least[1:] != least[:-1]
+        start = np.flatnonzero(head)
+        run = np.searchsorted(self.start, start, "right") - 1
+        count = self._valid(start, np.diff(np.append(start, len(least))))
+        keep = np.flatnonzero((count > 0) & wanted[run])
+        return start[keep], count[keep], run[keep], K.mix(least[start[keep]])
 
     def second_level(self, known: np.ndarray) -> np.ndarray:
-        grams, least = self._least(2 * self.k)
-        return self.chosen(grams, least, self.valid & K.contains(known, self.key))
+        start, _, _, key = self._longer(known)
+        return self._once(key, self.owner[start])
 
     def segments(self, known: np.ndarray, hot: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, first window, number of windows): runs of candidate windows under one hash, and single windows under hot ones."""
-        candidate = self.valid & K.contains(known, self.key)
-        if candidate.any():
-            candidate &= K.contains(longer, K.mix(self._least(2 * self.k)[1]))
-        alone = candidate & K.contains(hot, self.key)
-        runs = candidate & ~alone
-        change = np.ones(len(self.least), bool)
-        change[1:] = (self.least[1:] != self.least[:-1]) | (self.owner[1 : len(self.least)] != self.owner[: len(self.least) - 1]) | (runs[1:] != runs[:-1])
-        start = np.flatnonzero(change)
-        count = np.diff(np.append(start, len(self.least)))
-        keep = runs[start]
-        start, count = start[keep], count[keep]
+        start, count, run, key = self._longer(known)
+        keep = K.contains(longer, key)
+        start, count, run = start[keep], count[keep], run[keep]
+        alone = K.contains(hot, self.key[run])
+        one = np.repeat(start[alone], count[alone])
+        one = one + np.arange(len(one)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
+        start, count, run = start[~alone], count[~alone], run[~alone]
+        if len(start):  # parts that follow each other in a run are one segment
+            first = np.ones(len(start), bool)
+            first[1:] = (run[1:] != run[:-1]) | (start[1:] != start[:-1] + count[:-1])
+            at = np.flatnonzero(first)
+            start, count, run = start[at], np.add.reduceat(count, at), run[at]
         most = self.window - self.k + 1  # longer runs (periodic text) are cut
         parts = -(-count // most)
-        start, left = np.repeat(start, parts), np.repeat(count, parts)
-        nth = np.arange(len(start)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = start + nth * most
-        single = np.flatnonzero(alone)
-        own = K.windows_hash(self.values, self.window, 0)[single] if len(single) else self.least[:0]
-        return (
-            np.concatenate([self.key[start], own]), np.concatenate([start, single]),
-            np.concatenate([np.minimum(left - nth * most, most), np.ones(len(single), np.int64)]),
-        )
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, left, run = np.repeat(start, parts) + nth * most, np.repeat(count, parts) - nth * most, np.repeat(run, parts)
+        own = K.spans_hash(self.pre, one, one + self.window, 0)
+        return np.concatenate([self.key[run], own]), np.concatenate([start, one]), np.concatenate([np.minimum(left, most), np.ones(len(one), np.int64)])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of the ranges from start, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _alike(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, place): the pieces buf[start : start + size] that differ, in the order of their key, and the place of each piece among them.
+
+    Pieces are sorted by two hashes, and neighbours with the same ones are compared byte by byte.
+    """
+    values = K._BYTE[buf]
+    one, two = (K.spans_hash(K.prefix(v, w), start, start + size, w) for v, w in ((values, 1), (K.mix(values), 2)))
+    order = np.lexsort((two, one, key))
+    a, b = order[:-1], order[1:]
+    same = (key[a] == key[b]) & (one[a] == one[b]) & (two[a] == two[b]) & (size[a] == size[b])
+    at = np.flatnonzero(same)
+    if len(at):
+        differ = buf[_ranges(start[a[at]], size[a[at]])] != buf[_ranges(start[b[at]], size[a[at]])]
+        same[at] &= ~np.logical_or.reduceat(differ, np.cumsum(size[a[at]]) - size[a[at]])
+    new = np.append(True, ~same)[: len(order)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
 
 
 def _spread_keys(blobs: list[bytes], hot_docs: int) -> list[bytes]:
@@ -111,81 +156,66 @@ def _known(got: list[tuple[int, int, bytes]], level: int) -> tuple[np.ndarray, n
 
 
 def _gather(ids: list, texts: list, got: list, window: int, k: int):
-    """Distinct segments of a group, in the order of their hash, and all their occurrences."""
+    """Distinct segments of a group (key, size, least document, bytes), in the order of their key, and all their occurrences."""
     (known, hot), (longer, _) = _known(got, 0), _known(got, 1)
-    place: dict[bytes, int] = {}
-    keys, least, parts = [], [], []
+    body, keys, sizes, docs, parts = [], [], [], [], []
     for at, part in K.chunks([t or b"" for t in texts]):
         b = _Bytes(part, window, k)
         key, start, count = b.segments(known, hot, longer)
-        buf = b.chunk.buf.tobytes()
         owner = np.array([_LAST if ids[at + d] is None else ids[at + d] for d in range(len(part))], np.int64)
-        doc = b.owner[start]
-        which = np.empty(len(start), np.int64)
-        docs = owner[doc].tolist()
-        for j, (h, s, n) in enumerate(zip(key.tolist(), start.tolist(), count.tolist(), strict=True)):
-            piece = buf[s : s + n + window - 1]
-            i = place.get(piece)
-            if i is None:
-                i = place[piece] = len(keys)
-                keys.append(h)
-                least.append(docs[j])
-            elif docs[j] < least[i]:
-                least[i] = docs[j]
-            which[j] = i
-        parts.append((at, b.chunk, owner, start, count, which))
-    keys = np.array(keys, np.uint64)
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    pieces = list(place)
-    return keys[order], [pieces[i] for i in order.tolist()], np.array(least, np.int64)[order], rank, parts
+        parts.append((at, b.chunk, owner, start, count))
+        body.append(b.chunk.buf[_ranges(start, count + window - 1)])
+        keys.append(key)
+        sizes.append(count + window - 1)
+        docs.append(owner[b.owner[start]])
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, np.zeros(0, np.uint8), none, parts
+    body, keys, sizes, docs = (np.concatenate(x) for x in (body, keys, sizes, docs))
+    start = np.cumsum(sizes) - sizes
+    first, place = _alike(body, start, sizes, keys)
+    least = np.full(len(first), _LAST)
+    np.minimum.at(least, place, docs)
+    return keys[first], sizes[first], least, body[_ranges(start[first], sizes[first])], place, parts
 
 
 def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
     """The least document of every window of every segment of a bucket."""
-    place: dict[bytes, int] = {}
-    least: list[int] = []
-    key_of: list[int] = []
-    uses = []
-    for raw in blobs:
-        keys, sizes, owners, body = X.split_blobs(raw)
-        body, at, use = X._expand(body), 0, []
-        for h, size, owner in zip(X.unpack_array(keys).tolist(), X.unpack_array(sizes).tolist(), X.unpack_array(owners).tolist(), strict=True):
-            piece = body[at : at + size]
-            at += size
-            i = place.get(piece)
-            if i is None:
-                i = place[piece] = len(least)
-                least.append(owner)
-                key_of.append(h)
-            elif owner < least[i]:
-                least[i] = owner
-            use.append(i)
-        uses.append(use)
-    pieces = list(place)
-    found: list[np.ndarray | None] = [None] * len(pieces)
-    order = sorted(range(len(pieces)), key=lambda i: (key_of[i], least[i]))
-    batch: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        strings = [pieces[i] for i in batch]
-        index = RunIndex(strings, np.array([least[i] for i in batch], np.int64), window)
-        first, length, owner = index.statistics(strings)
-        for i, f, s in zip(batch, first.tolist(), strings, strict=True):
-            windows = slice(f, f + len(s) - window + 1)
-            found[i] = np.where(length[windows] >= window, owner[windows], _LAST)
-
-    for j, i in enumerate(order):  # whole hashes at a time: windows are shared under one hash alone
-        if size > most and key_of[i] != key_of[order[j - 1]]:
-            flush()
-            batch, size = [], 0
-        batch.append(i)
-        size += len(pieces[i])
-    if batch:
-        flush()
-    return [X.pack_array(np.concatenate([found[i] for i in use])) for use in uses]
+    parts = [X.split_blobs(raw) for raw in blobs]
+    keys, sizes, owners = (np.concatenate([X.unpack_array(p[j]) for p in parts]) for j in range(3))
+    sizes = sizes.astype(np.int64)
+    buf = np.frombuffer(b"".join(X._expand(p[3]) for p in parts), np.uint8)
+    start = np.cumsum(sizes) - sizes
+    first, place = _alike(buf, start, sizes, keys)
+    least = np.full(len(first), _LAST)
+    np.minimum.at(least, place, owners)
+    size = sizes[first]
+    windows = size - window + 1
+    found = np.empty(int(windows.sum()), np.int64)
+    filled = 0
+    # whole keys at a time: windows are shared under one key alone
+    bounds = np.flatnonzero(np.diff(keys[first], prepend=np.uint64(0)) != 0)
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(first):
+        ends = np.append(bounds[bounds > lo], len(first))
+        over = np.flatnonzero(upto[ends - 1] - (upto[lo] - size[lo]) > most)
+        hi = int(ends[over[0]]) if len(over) else len(first)
+        text = buf[_ranges(start[first[lo:hi]], size[lo:hi])]
+        index = RunIndex(text, size[lo:hi], least[lo:hi], window)
+        at, length, owner = index.statistics(text, size[lo:hi])
+        inside = _ranges(at, windows[lo:hi])
+        found[filled : filled + len(inside)] = np.where(length[inside] >= window, owner[inside], _LAST)
+        filled += len(inside)
+        lo = hi
+    at = np.cumsum(windows) - windows
+    out, used = [], 0
+    for p in parts:
+        n = len(X.unpack_array(p[1]))
+        mine = place[used : used + n]
+        used += n
+        out.append(X.pack_array(found[_ranges(at[mine], windows[mine])]))
+    return out
 
 
 def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, index_bytes: int = 1 << 19, hot_docs: int = 500) -> DataFrame:
@@ -203,7 +233,9 @@ def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "
     dealt = X.deal(docs, n, id_col, text_col)
 
     def send(group, level, keys):
-        uniq, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+        keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        uniq, count = keys[at], np.diff(np.append(at, len(keys)))
         return X.send(group, level, n, uniq, lambda lo, hi: X.join_blobs([X.pack_keys(uniq[lo:hi]), X.pack_array(count[lo:hi].astype(np.uint32))]))
 
     def first(group, ids, texts):
@@ -217,30 +249,30 @@ def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "
     shared = shared.unionByName(X.answers(X.entries_after(dealt, shared, second), lambda blobs: _spread_keys(blobs, hot_docs)))
 
     def ask(group, ids, texts, got):
-        keys, pieces, least, _, _ = _gather(ids, texts, got, window, k)
-        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
-        return X.send(group, 2, n, keys, lambda lo, hi: X.join_blobs([X.pack_array(keys[lo:hi]), X.pack_array(sizes[lo:hi]), X.pack_array(least[lo:hi]), X._squeeze(b"".join(pieces[lo:hi]))]))
+        keys, sizes, least, body, _, _ = _gather(ids, texts, got, window, k)
+        upto = np.append(0, np.cumsum(sizes))
+        return X.send(group, 2, n, keys, lambda lo, hi: X.join_blobs([X.pack_array(keys[lo:hi]), X.pack_array(sizes[lo:hi].astype(np.int32)), X.pack_array(least[lo:hi]), X._squeeze(body[upto[lo] : upto[hi]].tobytes())]))
 
     found = X.answers(X.entries_after(dealt, shared, ask), lambda blobs: _answer(blobs, window, index_bytes))
 
     def cut(group, ids, texts, got):
-        _, pieces, _, rank, parts = _gather(ids, texts, got, window, k)
-        sizes = np.fromiter((len(p) - window + 1 for p in pieces), np.int64, len(pieces))
-        first_of = np.cumsum(sizes) - sizes
+        _, sizes, _, _, place, parts = _gather(ids, texts, got, window, k)
+        windows = sizes - window + 1
+        first_of = np.cumsum(windows) - windows
         replies = [X.unpack_array(raw) for level, _, raw in got if level == 2]
         least = np.concatenate(replies) if replies else np.zeros(0, np.int64)
-        rows = []
-        for at, chunk, owner, start, count, which in parts:
-            total = int(count.sum())
-            inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            position = np.repeat(start, count) + inside
-            smallest = least[np.repeat(first_of[rank[which]], count) + inside]
-            doc = owner[np.searchsorted(chunk.start, position, "right") - 1] if total else np.zeros(0, np.int64)
+        rows, used = [], 0
+        for at, chunk, owner, start, count in parts:
+            mine = place[used : used + len(start)]
+            used += len(start)
+            position = _ranges(start, count)
+            smallest = least[_ranges(first_of[mine], count)]
+            doc = owner[np.searchsorted(chunk.start, position, "right") - 1] if len(position) else np.zeros(0, np.int64)
             gone = K.covered(len(chunk.buf), position[smallest < doc], window)
             for d, (lo, hi) in enumerate(zip(chunk.start.tolist(), chunk.end.tolist(), strict=True)):
-                mine = gone[lo:hi]
-                spans = int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum())
-                rows.append((ids[at + d], hi - lo, int(mine.sum()), spans, hashlib.sha256(chunk.buf[lo:hi][~mine].tobytes()).hexdigest()))
+                mine_ = gone[lo:hi]
+                spans = int(mine_[:1].sum() + (mine_[1:] & ~mine_[:-1]).sum())
+                rows.append((ids[at + d], hi - lo, int(mine_.sum()), spans, hashlib.sha256(chunk.buf[lo:hi][~mine_].tobytes()).hexdigest()))
         return X.table_of(_RESULT, rows)
 
     return X.entries_after(dealt, shared.unionByName(found), cut, RESULT)
