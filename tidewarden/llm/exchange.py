@@ -14,13 +14,14 @@ every step is a function of its rows alone.
 from __future__ import annotations
 
 import contextlib
+import math
 import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "grp int, pack binary"
@@ -81,7 +82,14 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(row.n or 0)
 
 
-def group_count(n_bytes: int, each: int) -> int:
+def group_count(n_bytes: int, each: int | None = None, least: int = 4 << 20, most: int = 512 << 20) -> int:
+    """Number of groups, and of buckets, for so many bytes: groups of ``each`` bytes.
+
+    By default their size grows with the root of the input (4 MB below a gigabyte, 45 MB at 100 GB), so that the rows that groups send to
+    buckets grow as the input and not as its square; ``most`` bounds a task's memory.
+    """
+    if each is None:
+        each = int(min(max(least, math.sqrt(n_bytes * 20_000.0)), most))
     return max(1, -(-n_bytes // each))
 
 
@@ -154,11 +162,21 @@ def _unpack_docs(raw: bytes) -> tuple[list, list[bytes | None]]:
     return ids, texts
 
 
-def deal(docs: DataFrame, groups: int, id_col: str = "doc_id", text_col: str = "text", most: int = 24 << 20) -> DataFrame:
-    """(grp, pack): compressed packs of documents, each of one group; at most about ``most`` bytes wait in a task."""
+def group_of(groups: int, id_col: str = "doc_id", text_col: str | None = "text") -> Column:
+    """The group of a row, by id and text: a null or repeated id alone fills no group. Without a text column, by id alone."""
+    by = [F.col(id_col).cast("long"), *([F.col(text_col)] if text_col else [])]
+    return F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int")
+
+
+def deal(docs: DataFrame, groups: int, id_col: str = "doc_id", text_col: str = "text", by_id: bool = False, most: int = 24 << 20) -> DataFrame:
+    """(grp, pack): compressed packs of documents, each of one group; at most about ``most`` bytes wait in a task.
+
+    by_id: rows with the same id share a group, so that marks can reach it; null ids are still spread.
+    """
+    both = group_of(groups, id_col, text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("grp"),
+        (F.when(F.col(id_col).isNotNull(), group_of(groups, id_col, None)).otherwise(both) if by_id else both).alias("grp"),
     )
 
     def run(batches):
