@@ -1,12 +1,12 @@
 """Language-model scoring by deleted interpolation.
 
 Maximum-likelihood estimates of each n-gram order are mixed with weights that depend on how often
-the context was seen. The weights are learned by expectation-maximisation on held-out counts: every
-training token is scored with its own occurrence deleted from all counts.
+the context was seen. The weights are learned by expectation-maximisation on held-out counts: the documents are dealt
+into folds, and every training token is scored with the counts of its whole fold deleted.
 
-Counts travel by the fingerprint exchange: a group of documents sends each distinct n-gram once, with its
-training count, and gets the corpus count back. n-grams above the first order are counted under every context
-that training text has; one under a context never seen has no count to ask for.
+Counts travel by the fingerprint exchange: a group of documents (a fold) sends each distinct n-gram once, with its
+training count, and gets the corpus count back, or word that no other group has it. n-grams above the first order are counted under every
+context that training text has. What stands under a context that one group alone has is counted there and needn't travel.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ _LOWER[0x41:0x5B] += 0x20
 _TOTALS, _CELLS, _COUNTS = -1, -2, -3  # kinds of rows beside replies
 _STEPS = 2  # histogram steps in an octave
 _SPAN = 128 * _STEPS
+_FOLDS = 8  # groups at least
 
 
 def is_held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
@@ -84,7 +85,8 @@ class _Tokens:
 class _Level:
     """Distinct n-grams of one order in a group, and the place of each token's among them."""
 
-    def __init__(self, t: _Tokens, order: int, wanted: np.ndarray, most: int):
+    def __init__(self, t: _Tokens, order: int, wanted: np.ndarray, alone: np.ndarray, most: int):
+        """wanted: tokens whose context was seen; alone: those whose context no other group has."""
         self.order, self.wanted = order, wanted
         keys = t.gram(order)[wanted]
         starts = order < most  # contexts of the next order include a document's start
@@ -95,36 +97,70 @@ class _Level:
         self.train = np.bincount(self.place, weight, minlength=len(self.keys)).astype(np.int64)
         if starts:
             self.train[place[-1]] += int(t.train.sum())
-
-    def counts(self, t: _Tokens, total: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(t.token), np.int64)
-        out[self.wanted] = total[self.place]
+        self.local = np.zeros(len(self.keys), bool)
+        self.local[self.place[alone[wanted]]] = True
+        self.asked = np.flatnonzero(~self.local)
+
+    def resolve(self, reply: np.ndarray) -> None:
+        """reply: one more than the corpus count of each n-gram that was asked for, 0 where no other group has it."""
+        self.total = self.train.copy()
+        known = reply > 0
+        self.total[self.asked[known]] = reply[known] - 1
+        self.sole = self.local.copy()
+        self.sole[self.asked[~known]] = True
+
+    def spread(self, t: _Tokens, values: np.ndarray) -> np.ndarray:
+        """values of the distinct n-grams, for each token."""
+        out = np.zeros(len(t.token), values.dtype)
+        out[self.wanted] = values[self.place]
         return out
 
-    def of_context(self, t: _Tokens, counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Corpus count of the context of the next order: the count at the token before, or of a document's start."""
-        out = np.empty_like(counts)
-        out[1:] = counts[:-1]
-        out[t.first] = total[self.start] if self.start is not None else 0
+    def shifted(self, t: _Tokens, spread: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """values of the context of the next order: those at the token before, or of a document's start."""
+        out = np.empty_like(spread)
+        out[1:] = spread[:-1]
+        out[t.first] = values[self.start] if self.start is not None else 0
         return out
 
 
-def _levels(t: _Tokens, totals: list[np.ndarray], most: int, upto: int):
-    """Levels 1..upto, with each token's count and context count for the levels whose totals are known."""
-    levels, counts, contexts = [], [], []
-    wanted = np.ones(len(t.token), bool)
-    for order in range(1, upto + 1):
-        level = _Level(t, order, wanted, most)
-        levels.append(level)
-        if order <= len(totals):
-            counts.append(level.counts(t, totals[order - 1]))
-            if order < most:
-                contexts.append(level.of_context(t, counts[-1], totals[order - 1]))
-                wanted = contexts[-1] >= 1
-    return levels, counts, contexts
-
-
-def _totals(got: list, upto: int) -> list[np.ndarray]:
+class _Counts:
+    """Levels 1..upto of a group; of the orders whose replies are known, each token's counts in the corpus and in its own group."""
+
+    def __init__(self, t: _Tokens, replies: list[np.ndarray], most: int, upto: int):
+        self.levels: list[_Level] = []
+        self.count, self.context, self.own, self.own_context = [], [], [], []
+        wanted, alone = np.ones(len(t.token), bool), np.zeros(len(t.token), bool)
+        for order in range(1, upto + 1):
+            level = _Level(t, order, wanted, alone, most)
+            self.levels.append(level)
+            if order <= len(replies):
+                level.resolve(replies[order - 1])
+                self.count.append(level.spread(t, level.total))
+                self.own.append(level.spread(t, level.train))
+                if order < most:
+                    self.context.append(level.shifted(t, self.count[-1], level.total))
+                    self.own_context.append(level.shifted(t, self.own[-1], level.train))
+                    wanted = self.context[-1] >= 1
+                    alone = wanted & level.shifted(t, level.spread(t, level.sole), level.sole)
+
+    def parts(self, rows: np.ndarray, held_out: bool):
+        """(bucket, estimates above the first order, first-order count) of the chosen tokens, without their own group's counts if held_out.
+
+        The bucket is that of the longest context seen: 64 * order + its frequency class.
+        """
+        less = lambda all_, own: all_[rows] - own[rows] if held_out else all_[rows]
+        first = less(self.count[0], self.own[0])
+        bucket = np.zeros(len(first), np.int64)
+        estimates = []
+        for j, context in enumerate(self.context):
+            context = less(context, self.own_context[j])
+            top = less(self.count[j + 1], self.own[j + 1])
+            estimates.append(np.where(context >= 1, top / np.maximum(context, 1), 0.0))
+            bucket = np.where(context >= 1, 64 * (j + 2) + _bucket(context), bucket)
+        return bucket, estimates, first
+
+
+def _replies(got: list, upto: int) -> list[np.ndarray]:
     out = []
     for level in range(1, upto + 1):
         parts = [X.unpack_array(raw) for lv, _, raw in got if lv == level]
@@ -132,27 +168,15 @@ def _totals(got: list, upto: int) -> list[np.ndarray]:
     return out
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+
+
 def _bucket(context: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, else one more than the whole log2 of the count: 1 for contexts seen once."""
     return np.where(context >= 1, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def _parts(counts: list[np.ndarray], contexts: list[np.ndarray], deleted: np.ndarray):
-    """(bucket, estimates above the first order, first-order count), with deleted occurrences taken off.
-
-    The bucket is that of the longest context seen: 64 * order + its frequency class.
-    """
-    bucket = np.zeros(len(counts[0]), np.int64)
-    estimates = []
-    for order in range(2, len(counts) + 1):
-        context = contexts[order - 2] - deleted
-        seen = context >= 1
-        top = np.where(seen, counts[order - 1] - deleted, 0)
-        estimates.append(np.where(seen, np.maximum(top, 0) / np.maximum(context, 1), 0.0))
-        bucket = np.where(seen, 64 * order + _bucket(context), bucket)
-    return bucket, estimates, counts[0] - deleted
-
-
 def learn(cells: dict[tuple[int, ...], int], unit: float, order: int, rounds: int = 60) -> dict[int, np.ndarray]:
     """Mixture weights (longest order first, then down to the first) for each bucket, by expectation-maximisation.
 
@@ -185,7 +209,7 @@ def score(
     fold: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
-    group_bytes: int = 8 << 20,
+    group_bytes: int | None = None,
 ) -> DataFrame:
     """Score every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -196,12 +220,15 @@ def score(
     end alone. Repeated rows count each. An id that is null counts as the text ''. Other columns are not read. An
     empty table gives an empty result.
 
-    The driver holds totals and one histogram of at most some thousand cells; its size follows the quantisation,
+    Mixture weights belong to the frequency class (whole log2) of the longest context seen. They are learned on all training tokens, each with the counts
+    of its group of documents deleted; rows are dealt into at least eight groups by id and text.
+
+    The driver holds totals and one histogram; its size follows the quantisation (frequency classes and ratios by half octaves),
     not the corpus. Replies (a few bits an n-gram) are checkpointed in the shared folder.
     """
     spark = docs.sparkSession
     X.ensure_checkpoint_dir(spark)
-    n = X.group_count(X.text_bytes(docs, text_col), group_bytes)
+    n = max(_FOLDS, X.group_count(X.text_bytes(docs, text_col), group_bytes, 8 << 20))
     dealt = X.deal(docs, n, id_col, text_col)
 
     def held(i):
@@ -217,11 +244,11 @@ def score(
             keys = np.concatenate([k for k, _ in parts])
             uniq, place = K.unique_inverse(keys)
             total = np.bincount(place, np.concatenate([c for _, c in parts]), minlength=len(uniq)).astype(np.int64)
+            reply = np.where(np.bincount(place, minlength=len(uniq)) > 1, total + 1, 0)
             out, at = [], 0
             for (grp, bucket, _), (k, _) in zip(rows, parts, strict=True):
-                mine = total[place[at : at + len(k)]]
+                out.append((grp, bucket, level, X.pack_array(_small(reply[place[at : at + len(k)]]))))
                 at += len(k)
-                out.append((grp, bucket, level, X.pack_array(mine.astype(np.uint32 if mine.max() < 1 << 32 else np.uint64))))
             if level == 1:
                 seen = (total > 0) & (uniq != _START)
                 out.append((_TOTALS, rows[0][1], _TOTALS, struct.pack("<qq", int(seen.sum()), int(total[seen].sum()))))
@@ -235,31 +262,29 @@ def score(
         def make(group, ids, texts, got=(), level=level):
             if not ids:
                 return X.table_of(X._ENTRY, [])
-            t = _Tokens(ids, texts, held)
-            last = _levels(t, _totals(got, level - 1), order, level)[0][-1]
-            return X.send(group, level, n, last.keys, lambda lo, hi: X.join_blobs([X.pack_keys(last.keys[lo:hi]), X.pack_array(last.train[lo:hi].astype(np.uint32))]))
+            last = _Counts(_Tokens(ids, texts, held), _replies(got, level - 1), order, level).levels[-1]
+            keys, train = last.keys[last.asked], last.train[last.asked]
+            return X.send(group, level, n, keys, lambda lo, hi: X.join_blobs([X.pack_keys(keys[lo:hi]), X.pack_array(_small(train[lo:hi]))]))
 
         sent = X.entries(dealt, make) if level == 1 else X.entries_after(dealt, replies, make)
         new = sent.groupBy("bucket").applyInArrow(totals_of(level), X.REPLIES)
         replies = new if replies is None else replies.unionByName(new)
 
     def tally(group, ids, texts, got):
-        """The group's replies in one row, and its histogram of deleted estimates."""
+        """The group's replies in one row, and the histogram of its tokens' estimates from all other groups."""
         if not ids:  # totals pass through
             return X.table_of(X._REPLY, [(group, b, lv, raw) for lv, b, raw in got])
         t = _Tokens(ids, texts, held)
-        totals = _totals(got, order)
-        _, counts, contexts = _levels(t, totals, order, order)
-        mine = t.train[t.owner]
-        bucket, estimates, first = _parts([c[mine] for c in counts], [c[mine] for c in contexts], np.ones(int(mine.sum()), np.int64))
+        replies = _replies(got, order)
+        bucket, estimates, first = _Counts(t, replies, order, order).parts(t.train[t.owner], held_out=True)
         cell = bucket
         for e in estimates:
             ratio = np.log2(np.maximum(e, 1e-300) / (first + 1.0))
             step = np.where(e > 0, np.clip(np.floor(ratio * _STEPS) + _SPAN // 2, 0, _SPAN - 1), -1).astype(np.int64)
             cell = cell * (_SPAN + 1) + step + 1
-        uniq, count = np.unique(cell, return_counts=True)
+        uniq, count = K.unique_counts(cell)
         rows = [(group, 0, _CELLS, X.join_blobs([uniq.astype(np.int64).tobytes(), count.astype(np.int64).tobytes()]))]
-        rows.append((group, 0, _COUNTS, X.join_blobs([X.pack_array(x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)) for x in totals])))
+        rows.append((group, 0, _COUNTS, X.join_blobs([X.pack_array(_small(x)) for x in replies])))
         return X.table_of(X._REPLY, rows)
 
     kept = X.entries_after(dealt, replies, tally, X.REPLIES).checkpoint()
@@ -290,7 +315,7 @@ def score(
     sums = kept.where(F.col("level") == _TOTALS).select("blob").mapInArrow(add, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     vocabulary, train_tokens = int(sums.v or 0), int(sums.n or 0)
     below = train_tokens + vocabulary + 1.0
-    weights = learn(split, below, order)
+    weights = learn(split, train_tokens * (1 - 1 / n) + vocabulary + 1.0, order)  # a fold's tokens are deleted
     table = np.zeros((64 * (order + 1), order))
     table[:, 0] = 1.0
     for b in range(64, len(table)):  # a bucket without held-out tokens takes its nearest neighbour's weights
@@ -303,9 +328,8 @@ def score(
             return X.table_of(_RESULT, [])
         t = _Tokens(ids, texts, held)
         packed = next(raw for lv, _, raw in got if lv == _COUNTS)
-        totals = [X.unpack_array(x).astype(np.int64) for x in X.split_blobs(packed)]
-        _, counts, contexts = _levels(t, totals, order, order)
-        bucket, estimates, first = _parts(counts, contexts, np.zeros(len(t.token), np.int64))
+        replies = [X.unpack_array(x).astype(np.int64) for x in X.split_blobs(packed)]
+        bucket, estimates, first = _Counts(t, replies, order, order).parts(np.arange(len(t.token)), held_out=False)
         w = table[bucket]
         base = (first + 1.0) / below
         p = w[:, 0] * base
