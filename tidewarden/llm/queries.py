@@ -21,11 +21,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from .exchange import ensure_checkpoint_dir
-    from .warc import read_archives, write_archives
+    from .warc import lookup, wanted_keys, write_archives
 
-    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(_table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages, path = _table(spark, sf_dir, "pages"), f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, path)
+    return lookup(spark, path, wanted_keys(pages, id_col="page_id")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
