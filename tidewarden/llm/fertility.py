@@ -1,50 +1,71 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary is run over every word of a text. Characters per token, the share of tokens
+A public vocabulary is run over every word of a text. Characters per token, tokens per word, the share of tokens
 that are byte fallbacks and the entropy of the tokens are held against bands for the text's
-language (or script). Plain counts (word characters, symbols, repeated lines and words) come from
-the same pass. One narrow transformation: no shuffle, memory of one chunk of texts.
+language (or script) and length. The bands come from the quartiles of all documents that pass the plain rules, so they need no labels and
+junk among the documents doesn't move them. Plain counts (word characters, symbols, repeated lines and words) come from
+the same pass, which is one narrow transformation with the memory of one chunk of texts.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import kernels as K
 
-RESULT = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
-    "chars_per_token double, byte_share double, token_entropy double, base_failed boolean, rejected_by string, kept boolean"
+MEASURES = (
+    "doc_id long, kind string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
+    "chars_per_token double, tokens_per_word double, byte_share double, token_entropy double, base_failed boolean"
 )
 
 
 @dataclass(frozen=True)
 class Band:
-    """Bounds on characters per token, the share of byte-fallback tokens and entropy in bits."""
-
-    least_chars: float = 1.0
-    most_chars: float = 12.0
-    most_bytes: float = 0.25
-    least_entropy: float = 3.0
-
-
-#: Bands by language or, where the language is unknown, by script. Latin-script prose in a
-#: vocabulary of about 32,000 pieces stays between 1.5 and 5 characters a token; capitals with
-#: marks, markup tables and digit strings fall below, runs of one character above.
-BANDS = {
-    "en": Band(1.55, 8.0, 0.05, 3.5),
-    "de": Band(1.55, 8.0, 0.08, 3.5),
-    "fr": Band(1.5, 8.0, 0.10, 3.5),
-    "es": Band(1.5, 8.0, 0.08, 3.5),
-    "latin": Band(1.3, 9.0, 0.15, 3.0),
-    "other": Band(0.4, 9.0, 0.80, 3.0),
-}
+    """How far a measure may lie from its median, in distances between the median and a quartile of at least ``floor``: ``below``, by the
+    upper quartile, and ``above``, by the lower one. The quartile on the other side of junk is used, which junk doesn't move."""
+
+    below: float | None
+    above: float | None
+    floor: float
+
+
+#: Clean prose of 50 words or more lies inside, as measured on the labelled rows of the test tables (see README).
+BANDS = {"chars_per_token": Band(7.0, 15.0, 0.01), "tokens_per_word": Band(15.0, 10.0, 0.02), "token_entropy": Band(6.0, None, 0.05)}
+
+#: Byte fallbacks are rare where a vocabulary covers the script: a fixed bound beside the language's median.
+MOST_BYTES = 0.1
+
+_SHORTEST, _LONGEST = 5, 10  # classes of length: whole log2 of the number of words
+#: A class of fewer documents takes the bands of its whole language, and a language of fewer has none.
+LEAST_DOCUMENTS = 40
+
+# first code points of scripts
+_SCRIPTS = [
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"),
+    (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x2000, "other"),
+    (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"),
+]
+_SCRIPT_STARTS = np.array([a for a, _ in _SCRIPTS])
+
+
+def script_of(text: bytes) -> str:
+    """The script of most letters of a text, kana before han; a text without letters is latin."""
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    letters = points[(points >= 0x80) | ((points | 0x20) - 0x61 < 26)]
+    count = np.bincount(np.searchsorted(_SCRIPT_STARTS, letters, "right") - 1, minlength=len(_SCRIPTS))
+    by_name: dict[str, int] = {}
+    for (_, name), n in zip(_SCRIPTS, count.tolist(), strict=True):
+        by_name[name] = by_name.get(name, 0) + n
+    if by_name["kana"] * 10 > len(letters) > 0:
+        return "kana"
+    return max(by_name, key=lambda k: by_name[k])
+
 
 _CONTINUATION = np.zeros(256, bool)
 _CONTINUATION[0x80:0xC0] = True
@@ -93,7 +114,8 @@ def measure(texts: list[bytes], tokens: WordTokens) -> dict[str, np.ndarray]:
     pre = K.prefix(c.byte_values(), 0)
     breaks = np.flatnonzero(c.buf == 10)
     line_start = np.sort(np.concatenate([c.start[sizes > 0], breaks + 1]))
-    line_start = np.unique(line_start[line_start < len(c.buf)]) if len(c.buf) else line_start[:0]
+    line_start = line_start[line_start < len(c.buf)]
+    line_start = line_start[np.append(True, line_start[1:] != line_start[:-1])[: len(line_start)]]
     if len(line_start):
         line_owner = c.owner(line_start)
         nxt = np.append(breaks, len(c.buf))
@@ -101,8 +123,10 @@ def measure(texts: list[bytes], tokens: WordTokens) -> dict[str, np.ndarray]:
         has_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
         line_start, line_end, line_owner = line_start[has_word], line_end[has_word], line_owner[has_word]
         h = K.spans_hash(pre, line_start, line_end, 0)
-        distinct = np.unique(np.stack([line_owner.astype(np.uint64), h]), axis=1)[0].astype(np.int64)
-        out["n_dup_lines"] = _sum_by(line_owner, None, n) - _sum_by(distinct, None, n)
+        order = np.lexsort((h, line_owner))
+        a, b = line_owner[order], h[order]
+        again = a[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+        out["n_dup_lines"] = _sum_by(again, None, n)
     else:
         out["n_dup_lines"] = np.zeros(n, np.int64)
     # words in three-word windows that the text has twice
@@ -118,7 +142,9 @@ def measure(texts: list[bytes], tokens: WordTokens) -> dict[str, np.ndarray]:
         same[:-1] |= eq
     out["n_repeat_words"] = _sum_by(owner[K.covered(len(start), inside[order[same]], 3)], None, n)
     # tokens, by distinct word
-    uniq, first, place = np.unique(h, return_index=True, return_inverse=True)
+    uniq, place = K.unique_inverse(h)
+    first = np.empty(len(uniq), np.int64)
+    first[place] = np.arange(len(place))
     buf = c.buf.tobytes()
     ids = tokens.lookup(uniq, [buf[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
     length = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -130,56 +156,17 @@ def measure(texts: list[bytes], tokens: WordTokens) -> dict[str, np.ndarray]:
     stream = flat[np.arange(int(per_word.sum())) + shift]
     out["n_tokens"] = _sum_by(token_owner, None, n)
     out["n_bytes"] = _sum_by(token_owner[tokens.is_byte[stream]], None, n)
-    pairs, count = np.unique(token_owner * len(tokens.is_byte) + stream, return_counts=True)
+    pairs, count = K.unique_counts(token_owner * len(tokens.is_byte) + stream)
     own = pairs // len(tokens.is_byte)
     share = count / out["n_tokens"][own]
     out["token_entropy"] = _sum_by(own, -share * np.log2(share), n)
     return out
 
 
-def quality_rules(
-    docs: DataFrame,
-    model_path: str,
-    bands: dict[str, Band] | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    least_words: int = 50,
-    most_repeat_percent: int = 50,
-    carry: bool = False,
-) -> DataFrame:
-    """Measures and the verdict of every row: see RESULT; ``carry`` keeps the input's columns instead, with ``kept``.
-
-    Words are maximal runs of bytes other than ASCII white space; a word that repeats counts each
-    time. base_failed: fewer than ``least_words`` words, or more than ``most_repeat_percent`` percent
-    of them in three-word windows that occur twice. kept: not base_failed and inside the band of the
-    row's language; a language without a band takes ``latin`` where at most a tenth of the word
-    characters lie outside it (judged by byte length), else ``other``. rejected_by names the first
-    failing measure. Null or empty text: no words, base_failed. Repeated rows each get their row.
-    The vocabulary file must be installed where executors run, like the library that reads it.
-    """
-    bands = BANDS if bands is None else bands
-    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+def measures(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeat_percent: int = 50) -> DataFrame:
+    """MEASURES of every row; kind is its language or, where that is null or empty, its script."""
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), lang.alias("lang"))
-    kinds = [("doc_id", pa.int64())] + [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")]
-    kinds += [(k, pa.float64()) for k in ("chars_per_token", "byte_share", "token_entropy")] + [("base_failed", pa.bool_()), ("rejected_by", pa.string()), ("kept", pa.bool_())]
-
-    def judge(ids: list, langs: list, texts: list[bytes], m: dict[str, np.ndarray]) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in kinds]
-        for i, (doc, lg) in enumerate(zip(ids, langs, strict=True)):
-            words, chars, tokens = int(m["n_words"][i]), int(m["word_chars"][i]), int(m["n_tokens"][i])
-            failed = words < least_words or 100 * int(m["n_repeat_words"][i]) > most_repeat_percent * words
-            per, share, entropy = chars / max(tokens, 1), m["n_bytes"][i] / max(tokens, 1), float(m["token_entropy"][i])
-            band = bands.get(lg) or bands["latin" if len(texts[i]) <= 1.1 * (chars + words) else "other"]
-            reasons = [
-                ("base", failed), ("chars_per_token", not band.least_chars <= per <= band.most_chars),
-                ("byte_share", share > band.most_bytes), ("token_entropy", entropy < band.least_entropy),
-            ]
-            why = next((name for name, bad in reasons if bad), None)
-            row = (doc, words, chars, int(m["n_symbols"][i]), int(m["n_dup_lines"][i]), int(m["n_repeat_words"][i]), tokens, per, float(share), entropy, failed, why, why is None)
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, kinds, strict=True)], [k for k, _ in kinds])
 
     def run(batches):
         tokens = WordTokens(model_path)
@@ -187,28 +174,75 @@ def quality_rules(
             ids, texts, langs = (c.to_pylist() for c in batch.columns)
             texts = [t or b"" for t in texts]
             for at, part in K.chunks(texts):
-                to = at + len(part)
-                yield judge(ids[at:to], langs[at:to], part, measure(part, tokens))
+                m = measure(part, tokens)
+                to, words, n_tokens = at + len(part), m["n_words"], np.maximum(m["n_tokens"], 1)
+                kind = [lg or f"script {script_of(t)}" for lg, t in zip(langs[at:to], part, strict=True)]
+                counts = [pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")]
+                ratios = [pa.array(x) for x in (m["word_chars"] / n_tokens, m["n_tokens"] / np.maximum(words, 1), m["n_bytes"] / n_tokens, m["token_entropy"] + 0.0)]
+                failed = (words < least_words) | (100 * m["n_repeat_words"] > most_repeat_percent * words)
+                columns = [pa.array(ids[at:to], pa.int64()), pa.array(kind, pa.string()), *counts, *ratios, pa.array(failed)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in MEASURES.split(", ")])
+
+    return rows.mapInArrow(run, MEASURES)
+
+
+def _length_class(words: Column) -> Column:
+    return F.greatest(F.least(F.floor(F.log2(F.greatest(words, F.lit(1)))).cast("int"), F.lit(_LONGEST)), F.lit(_SHORTEST))
+
+
+def fit_bands(measured: DataFrame, bands: dict[str, Band] | None = None) -> DataFrame:
+    """(kind, length, documents, and low_ and high_ of every measure) by kind and length, and by kind alone (length null).
+
+    Quartiles are exact, over all documents that pass the plain rules, of values rounded to three digits: their number is bounded, and so is the
+    memory of a group, however many documents it has. Partial counts of the values are merged before the shuffle.
+    """
+    bands = BANDS if bands is None else bands
+    rows = measured.where(~F.col("base_failed")).select("kind", _length_class(F.col("n_words")).alias("length"), *[F.round(m, 3).alias(m) for m in [*bands, "byte_share"]])
+    quartiles = {m: F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for m in [*bands, "byte_share"]}
+    out = None
+    for keys in (["kind", "length"], ["kind"]):
+        found = rows.groupBy(*keys).agg(F.count("*").alias("documents"), *[q.alias(m) for m, q in quartiles.items()]).where(F.col("documents") >= LEAST_DOCUMENTS)
+        limits = [(F.get("byte_share", F.lit(1)) + MOST_BYTES).alias("high_byte_share")]
+        for m, b in bands.items():
+            low, mid, high = (F.get(m, F.lit(i)) for i in range(3))
+            limits.append((mid - b.below * F.greatest(high - mid, F.lit(b.floor)) if b.below else F.lit(None).cast("double")).alias(f"low_{m}"))
+            limits.append((mid + b.above * F.greatest(mid - low, F.lit(b.floor)) if b.above else F.lit(None).cast("double")).alias(f"high_{m}"))
+        one = found.select("kind", (F.col("length") if len(keys) > 1 else F.lit(None).cast("int")).alias("length"), "documents", *limits)
+        out = one if out is None else out.unionByName(one)
+    return out
 
-    def filtered(batches):
-        tokens = WordTokens(model_path)
-        for batch in batches:
-            names = batch.schema.names
-            ids, langs = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("lang")).to_pylist()
-            texts = [(t or "").encode() for t in batch.column(names.index("text")).to_pylist()]
-            kept = []
-            for at, part in K.chunks(texts):
-                to = at + len(part)
-                kept += judge(ids[at:to], langs[at:to], part, measure(part, tokens)).column("kept").to_pylist()
-            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    if carry:
-        return docs.mapInArrow(filtered, docs.schema)
-    return rows.mapInArrow(run, RESULT)
+def quality_rules(docs: DataFrame, model_path: str, bands: dict[str, Band] | None = None, **options) -> DataFrame:
+    """MEASURES and the verdict (rejected_by, kept) of every row.
+
+    Words are maximal runs of bytes other than ASCII white space; a word that repeats counts each
+    time. base_failed: fewer than ``least_words`` words, or more than ``most_repeat_percent`` percent
+    of them in three-word windows that occur twice. kept: not base_failed and inside the bands that fit_bands() finds for the
+    row's language (or script) and length. rejected_by names the first failing measure. Null or empty text: no words,
+    base_failed. A table without a language column goes by scripts. Repeated rows each get their row; an empty table gives none. Options are those of measures().
+    Texts are read and tokenised once: the measures (a few numbers a row) are checkpointed in the shared folder.
+    The vocabulary file must be installed where executors run, like the library that reads it.
+    """
+    bands = BANDS if bands is None else bands
+    measured, _ = X.settle(measures(docs, model_path, **options))
+    limits = fit_bands(measured, bands)
+    names = [c for c in limits.columns if c.startswith(("low_", "high_"))]
+    limits, n = X.settle(limits)
+    own = X.sized((limits.where("length is not null").drop("documents").withColumnRenamed("kind", "own_kind"), n))
+    whole = X.sized((limits.where("length is null").select(F.col("kind").alias("whole_kind"), *[F.col(c).alias(f"whole_{c}") for c in names]), n))
+    rows = measured.join(own, (F.col("kind") == F.col("own_kind")) & (_length_class(F.col("n_words")) == F.col("length")), "left").join(whole, F.col("kind") == F.col("whole_kind"), "left")
+    bound = lambda c: F.when(F.col("own_kind").isNotNull(), F.col(c)).otherwise(F.col(f"whole_{c}"))
+    why = F.when(F.col("base_failed"), "base")
+    for m in ("chars_per_token", "tokens_per_word", "byte_share", "token_entropy"):
+        for side in ("low", "high"):
+            if f"{side}_{m}" in names:
+                limit = bound(f"{side}_{m}")
+                why = why.when((F.col(m) < limit) if side == "low" else (F.col(m) > limit), m)
+    return rows.select(*measured.columns, why.alias("rejected_by"), why.isNull().alias("kept"))
 
 
 def default_model() -> str:
-    """The public 32,000-piece vocabulary, or the file that LLM_PIECE_MODEL names."""
+    """The public 32,000-piece vocabulary."""
     import public_tokenizers
 
-    return os.environ.get("LLM_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model")
