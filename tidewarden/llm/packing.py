@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,22 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .exchange import ensure_checkpoint_dir
+from .exchange import settle
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SLOTS = "length int, first_rank long, bins long, each long, first_sequence long, first_offset int"
 
 
 def default_tokenizer() -> str:
-    """The public byte-level vocabulary of 50,257 ids, or the file that LLM_BPE_MODEL names."""
+    """The public byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
 
-    return os.environ.get("LLM_BPE_MODEL") or public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """Ids of whole texts. A ``.json`` file with a rank file of the same name beside it is read through
-    the latter: the same vocabulary and ids (a test compares them), at a quarter of the time."""
+    """Ids of whole texts, those of the vocabulary's added tokens included where a text holds one. A ``.json`` file with a rank file of
+    the same name beside it is read through the latter: the same vocabulary and ids (a test compares them), at a quarter of the time."""
 
     def __init__(self, path: str):
         ranks = path.removesuffix(".json") + ".tiktoken"
@@ -44,12 +45,14 @@ class Encoder:
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            with open(path, encoding="utf-8") as model_file:
+                added = {t["content"]: t["id"] for t in json.load(model_file).get("added_tokens", [])}
+            model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+            self.encode = lambda text: model.encode(text, allowed_special="all")
         else:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
             self.encode = lambda text: model.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str, span: int = 1 << 20) -> np.ndarray:
@@ -161,8 +164,7 @@ def pack(
     Ranks within a length come from counts by (shard, length), so no length is one task.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    pieces = tokenised(docs, most, tokenizer or default_tokenizer(), end_id, id_col, text_col).checkpoint()
+    pieces, _ = settle(tokenised(docs, most, tokenizer or default_tokenizer(), end_id, id_col, text_col))
     shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int"))
     counts = pieces.groupBy("shard", "length").agg(F.count("*").alias("n"))
