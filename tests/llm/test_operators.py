@@ -115,9 +115,10 @@ def test_packing(docs, empty):
     from tidewarden.llm.packing import default_tokenizer, pack, plan
 
     model = Tokenizer.from_file(default_tokenizer())
-    model.encode_special_tokens = True
+    rows = [*corpus(), (70, "a<|endoftext|> b <|endoftext|><|endoftext", "en", "src", 1)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(rows[-1:], DOCS))
     expected = []
-    for i, t, *_ in corpus():
+    for i, t, *_ in rows:
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         count = -(-len(ids) // 128)
         cuts = [0, *[len(ids) - 128 * k for k in range(count - 1, -1, -1)]]
@@ -178,24 +179,35 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
 
     rows = [(1, "http://a.org/x", "same"), (2, "http://B.a.org/y", "same"), (3, "http://a.org/x", "café"), (4, None, None), (5, "odd url\r\nx", ""), (6, "http://a.org/z", "z" * 50_000), (None, "http://n.org/", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=20_000)
-    got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path, file_bytes=2_000)
+    got = {r.page_id: r for r in warc.lookup(spark, path, warc.wanted_keys(pages, id_col="page_id"), each=3).collect()}
+    assert len(got) == len(rows)
     heads = {}
     for i, _, h in rows:
         if i is not None:
             heads[h or ""] = max(heads.get(h or "", 0), i)
-    for i, _, h in rows:
+    for i, u, h in rows:
         body = (h or "").encode()
         r = got[i]
         revisit = i is not None and heads[h or ""] != i
-        assert (r.payload_bytes, r.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+        assert (r.payload_bytes, r.payload_digest, r.url) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), u)
         assert (r.record_type, r.refers_to) == (("revisit", heads[h or ""]) if revisit else ("response", None)) and r.intact
         assert bytes(r.body) == (b"" if revisit else body)
-    found = warc.lookup(spark, str(tmp_path / "w"), "https://a.org/x")
-    assert [(f["page_id"], f["body"]) for f in found] == [(1, b""), (3, "café".encode())]
-    assert warc.lookup(spark, str(tmp_path / "w"), "http://none.org/") == []
+    ask = lambda *urls: sorted((r.page_id, bytes(r.body)) for r in warc.lookup(spark, path, warc.wanted_keys(spark.createDataFrame([(u,) for u in urls], "url string"))).collect())
+    assert ask("https://a.org/x", "http://none.org/") == [(1, b""), (3, "café".encode())]
+    assert ask("http://none.org/") == []
     warc.write_archives(pages, str(tmp_path / "r"), least_revisit=5)
-    assert warc.read_archives(spark, str(tmp_path / "r")).where("record_type = 'revisit'").count() == 0
+    assert warc.lookup(spark, str(tmp_path / "r"), warc.wanted_keys(pages, id_col="page_id")).where("record_type = 'revisit'").count() == 0
+    # rows that repeat wholly or in their id, one url very often, blocks of two lines
+    many = [(i % 40 if i % 3 else None, f"http://a.org/{0 if i % 2 else i}", f"b{i % 7}") for i in range(300)]
+    often = spark.createDataFrame(many, "page_id long, url string, html string")
+    warc.write_archives(often, str(tmp_path / "m"), file_bytes=500)
+    warc.write_index(warc.index_entries(spark, str(tmp_path / "m")), str(tmp_path / "m"), block_lines=2, file_bytes=100)
+    back = warc.lookup(spark, str(tmp_path / "m"), warc.wanted_keys(often, id_col="page_id"), each=5).select("page_id", "url", "payload_digest").collect()
+    assert sorted(back, key=key) == sorted(((i, u, warc.digest32(h.encode())) for i, u, h in many), key=key)
+    warc.write_archives(pages.limit(0), str(tmp_path / "e"))
+    assert warc.lookup(spark, str(tmp_path / "e"), warc.wanted_keys(pages)).count() == 0
 
 
 def test_winnowing_with_short_items(spark, docs, empty):
@@ -227,11 +239,19 @@ def test_winnowing_with_short_items(spark, docs, empty):
     assert decontaminate(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
-def test_quality_rules(docs, empty):
-    from tidewarden.llm.fertility import default_model, quality_rules
+def test_quality_rules(spark, docs, empty):
+    import sentencepiece
 
-    expected = {}
-    for i, t, *_ in corpus():
+    from tidewarden.llm.fertility import BANDS, default_model, quality_rules, script_of
+
+    model = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice(["an", "er", "th", "on", "ing", "ti"]) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    prose = [(1000 + i, " ".join(r.choice(vocabulary) for _ in range(r.randint(60, 120))), ["en", "fr", None][i % 3], "s", 1) for i in range(300)]
+    junk = [(2000 + i, " ".join(r.choice(vocabulary) + r.choice(["###", "%%%", "$$$"]) for _ in range(90)), "en", "s", 1) for i in range(9)]
+    rows = [*corpus(), *prose, *junk]
+    expected = []
+    for i, t, lang, *_ in rows:
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         tri = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
@@ -240,15 +260,38 @@ def test_quality_rules(docs, empty):
             if tri[tuple(w[k : k + 3])] > 1:
                 rep |= {k, k + 1, k + 2}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        expected.setdefault(i, []).append((len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)))
-    rows = quality_rules(docs, default_model()).collect()
-    assert len(rows) == len(corpus())
-    for r in rows:
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) in expected[r.doc_id]
-        assert not (r.base_failed and r.kept)
-    kept = quality_rules(docs, default_model(), carry=True)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
+        tokens = [x for word in w for x in model.encode(word)]
+        share = np.array(list(Counter(tokens).values())) / max(len(tokens), 1)
+        chars = sum(map(len, w))
+        expected.append([
+            i, lang or "script latin", len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), len(tokens), chars / max(len(tokens), 1),
+            len(tokens) / max(len(w), 1), sum(model.is_byte(x) for x in tokens) / max(len(tokens), 1), float(-(share * np.log2(share)).sum()), len(w) < 50 or 100 * len(rep) > 50 * len(w),
+        ])
+    length = lambda e: min(max(int(math.log2(max(e[2], 1))), 5), 10)
+    for e in expected:
+        why = "base" if e[12] else None
+        fit = [x for x in expected if not x[12] and x[1] == e[1]]
+        own = [x for x in fit if length(x) == length(e)]
+        fit = own if len(own) >= 40 else fit
+        for at, m in ((8, "chars_per_token"), (9, "tokens_per_word"), (10, "byte_share"), (11, "token_entropy")):
+            if why is None and len(fit) >= 40:
+                low, mid, high = np.quantile([round(x[at], 3) for x in fit], (0.25, 0.5, 0.75))
+                if m == "byte_share":
+                    bad = e[at] > mid + 0.1
+                else:
+                    band = BANDS[m]
+                    bad = e[at] < mid - band.below * max(high - mid, band.floor) or (band.above and e[at] > mid + band.above * max(mid - low, band.floor))
+                why = m if bad else None
+        e += [why, why is None]
+    table = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = [tuple(x) for x in quality_rules(table, default_model()).collect()]
+    for x, y in zip(sorted(got, key=key), sorted(map(tuple, expected), key=key), strict=True):
+        assert x[:8] == y[:8] and np.allclose(x[8:12], y[8:12]) and x[12:] == y[12:]
+    kept = {x[0] for x in got if x[-1]}
+    assert not kept & {i for i, *_ in junk} and len(kept & {i for i, *_ in prose}) >= 297
     assert quality_rules(empty, default_model()).count() == 0
+    assert quality_rules(docs.drop("lang"), default_model()).count() == len(corpus())
+    assert [script_of(x.encode()) for x in ("abc é", "привет", "日本のこと", "中文字", "한국어", "12", "")] == ["latin", "cyrillic", "kana", "han", "hangul", "latin", "latin"]
 
 
 def test_signature_estimates_weighted_similarity():
@@ -354,6 +397,66 @@ def test_language_model(docs, empty):
     assert abs(weights[130].sum() - 1) < 1e-9 and weights[130][1] > 0.5 and weights[0].tolist() == [1, 0]
 
 
+def test_language_model_against_brute_force(spark, docs):
+    from tidewarden.llm import exchange as X
+    from tidewarden.llm.interpolation import is_held_out, score
+
+    order, n = 3, 8
+    group = docs.select("doc_id", "text", X.group_of(n).alias("g")).collect()
+    rows = [(r.doc_id, r.g, [w.lower() for w in WORD.findall((r.text or "").encode())] + [b"\0end"]) for r in group]
+    grams = lambda w: [[tuple(([b"\0start"] * 3 + w)[k + 3 - j : k + 4]) for k in range(len(w))] for j in range(order)]
+    total, own = Counter(), defaultdict(Counter)
+    for i, g, w in rows:
+        if not is_held_out(i):
+            for each in [*grams(w), [(b"\0start",)], [(b"\0start",) * 2]]:
+                total.update(each)
+                own[g].update(each)
+    vocabulary = len([k for k in total if len(k) == 1 and k != (b"\0start",)])
+    tokens = sum(v for k, v in total.items() if len(k) == 1 and k != (b"\0start",))
+
+    def parts(gram, count, size):
+        bucket, out = 0, [(count(gram[-1:]) + 1) / (size + vocabulary + 1)]
+        for j in range(2, order + 1):
+            seen = count(gram[-j:-1])
+            out.append(count(gram[-j:]) / seen if seen else 0.0)
+            if seen:
+                bucket = 64 * j + int(math.log2(seen)) + 1
+        return bucket, out
+
+    held = defaultdict(list)
+    for i, g, w in rows:
+        if not is_held_out(i):
+            for gram in grams(w)[-1]:
+                bucket, p = parts(gram, lambda k: total[k] - own[g][k], tokens * (1 - 1 / n))
+                held[bucket].append(p)
+    weights = {}
+    for bucket, ps in held.items():
+        p = np.array(ps)
+        open_ = np.arange(order) < max(bucket // 64, 1)
+        weight = open_ / open_.sum()
+        for _ in range(60):
+            share = p * weight
+            share /= share.sum(axis=1, keepdims=True)
+            weight = share.sum(axis=0) + 0.5 * open_
+            weight /= weight.sum()
+        weights[bucket] = weight
+
+    def weight_of(bucket):
+        near = [b for b in weights if b // 64 == bucket // 64]
+        return weights[min(near, key=lambda b: abs(b - bucket))] if near and bucket // 64 > 1 else np.eye(order)[0]
+
+    expected = []
+    for i, _, w in rows:
+        s = 0.0
+        for gram in grams(w)[-1]:
+            bucket, p = parts(gram, lambda k: total[k], tokens)
+            s += math.log10(float(np.dot(weight_of(bucket), p)))
+        expected.append((i, len(w), s))
+    got = [(r.doc_id, r.n_tokens, r.score) for r in score(docs, order=order, group_bytes=1 << 30).collect()]
+    for a, b in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 0.02 * abs(b[2]) + 0.02
+
+
 def test_language_model_uses_contexts_seen_once(spark):
     from tidewarden.llm.interpolation import is_held_out, score
 
@@ -368,18 +471,55 @@ def test_language_model_uses_contexts_seen_once(spark):
     assert mixed.score / 41 < -2
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    from tidewarden.llm.kneser_ney import grams, probabilities
-
-    text = b"abracadabra abracadabra banana"
-    g, _ = grams([text], 3)
-    seen = Counter(g.tolist())
-    context = (ord("a") << 8 | ord("b")) << 8
-    asked = {**{int(k): c for k, c in seen.items()}, **{context | w: seen.get(context | w, 0) for w in range(256)}}
-    rows = spark.createDataFrame(list(asked.items()), "g long, c long")
-    got = {r.g: 10.0**r.logp for r in probabilities(rows, 3).collect()}
-    assert abs(sum(got[context | w] for w in range(256)) - 1) < 1e-6
-    assert got[context | ord("r")] == max(got[context | w] for w in range(256))
+def _kneser_ney(texts, order):
+    """Brute force: a function from (context, byte) to probability."""
+    counts = {k: Counter() for k in range(1, order + 1)}
+    for t in texts:
+        b = bytes([2]) * (order - 1) + re.sub(rb"[0-9]", b"0", t) + bytes([3])
+        counts[order].update(b[i : i + order] for i in range(len(b) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    cut = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        got = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else 0 for i in (1, 2, 3)]
+        cut[k] = [d if 0 < d < i else 0.5 * i for i, d in zip((1, 2, 3), got)]
+    after = defaultdict(list)
+    for k, c in counts.items():
+        for g, v in c.items():
+            after[k, g[:-1]].append(v)
+
+    def p(g):
+        k = len(g)
+        q = p(g[1:]) if k > 1 else 1 / 256
+        seen = after.get((k, g[:-1]))
+        if not seen:
+            return q
+        c = counts[k][g]
+        d = lambda v: cut[k][min(v, 3) - 1] if v else 0
+        return (max(c - d(c), 0) + sum(map(d, seen)) * q) / sum(seen)
+
+    return p
+
+
+def test_kneser_ney_against_brute_force(spark, docs):
+    from tidewarden.llm.kneser_ney import is_held_out, perplexities
+
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    p = _kneser_ney([(t or "").encode() for i, t, *_ in corpus() if i is not None and i % 2 == 0 and i < 60 and not is_held_out([i], 4)[0]], 5)
+    assert abs(sum(p(b"anth" + bytes([b])) for b in range(256)) - 1) < 1e-9
+    expected = []
+    for i, t, lang, *_ in corpus():
+        b = bytes([2]) * 4 + re.sub(rb"[0-9]", b"0", (t or "").encode()) + bytes([3])
+        each = [-math.log10(p(b[k : k + 5])) for k in range(len(b) - 4)]
+        words = [m.span() for m in re.finditer(rb"[A-Za-z0-9\x80-\xFF]+", b[4:-1])]
+        worst = max((sum(each[x:y]) / (y - x) for x, y in words if y - x >= 4 and not re.search(rb"[0-9]", b[4:][x:y])), default=0.0)
+        expected.append((i, lang, i is not None and i % 2 == 0 and i < 60, len(b) - 5, sum(each), worst))
+    for size in (3000, None):
+        got = [(r.doc_id, r.lang, r.trusted, r.n_bytes, -r.log10_prob, r.worst_word) for r in perplexities(docs, trusted, group_bytes=size).collect()]
+        for x, y in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
+            assert x[:4] == y[:4] and abs(x[4] - y[4]) < 1e-4 * (1 + y[4]) and abs(x[5] - y[5]) < 1e-4
 
 
 def test_quality_classifier_separates_and_keeps(spark, docs, empty):
@@ -387,13 +527,18 @@ def test_quality_classifier_separates_and_keeps(spark, docs, empty):
 
     r = random.Random(1)
     syllables = ["an", "er", "th", "on", "ti"]
-    prose = [(i, " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(60)), "en") for i in range(60)]
-    junk = [(100 + i, " ".join("".join(r.choice("QXZ#|&7") for _ in range(6)) for _ in range(60)), "en") for i in range(5)]
-    rows = spark.createDataFrame([*prose, *junk, (200, None, None), (201, "", "xx")], "doc_id long, text string, lang string")
-    trusted = spark.createDataFrame([(i,) for i in range(40)] + [(None,)], "doc_id long")
+    word = lambda: "".join(r.choice(syllables) for _ in range(3))
+    prose = [(i, " ".join(word() for _ in range(60)), "en") for i in range(120)]
+    junk = [(200 + i, " ".join("".join(r.choice("QXZ#|&7") for _ in range(6)) for _ in range(60)), "en") for i in range(5)]
+    odd = [(300 + i, " ".join([*(word() for _ in range(2000)), "wuvvyk", *(word() for _ in range(2000))]), "en") for i in range(5)]
+    rows = spark.createDataFrame([*prose, *junk, *odd, (400, None, None), (401, "", "x\0x"), (402, "an er", ""), (None, "an er", "en")], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(80)] + [(None,)], "doc_id long")
     got = {x.doc_id: x for x in classify(rows, trusted, group_bytes=5000).collect()}
-    assert all(not got[100 + i].kept for i in range(5)) and sum(got[i].kept for i in range(60)) >= 57
-    assert got[200].kept and got[201].kept and got[0].trusted and not got[50].trusted
+    assert len(got) == 134 and not any(got[i].kept for i in (*range(200, 205), *range(300, 305)))
+    # unseen clean text is kept as well as what was learned
+    assert sum(got[i].kept for i in range(80)) >= 76 and sum(got[i].kept for i in range(80, 120)) >= 38
+    assert got[400].kept and got[401].kept and got[0].trusted and not got[100].trusted and not got[None].trusted
+    assert (got[400].lang, got[401].lang, got[402].lang) == (None, "x\0x", "")
     assert classify(docs, trusted.limit(0)).where("kept").count() == len(corpus())
     assert classify(empty, trusted).count() == 0
 
@@ -401,11 +546,10 @@ def test_quality_classifier_separates_and_keeps(spark, docs, empty):
 def test_keys_and_arrays_pack_and_unpack():
     from tidewarden.llm import exchange as X
     from tidewarden.llm import kernels as K
-    from tidewarden.llm.kneser_ney import _unmix
 
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
     assert (X.unpack_keys(X.pack_keys(keys)) == keys).all() and len(X.unpack_keys(X.pack_keys(keys[:0]))) == 0
-    assert (_unmix(K.mix(keys)) == keys).all()
+    assert (K.unmix(K.mix(keys)) == keys).all()
     assert X.unpack_array(X.pack_array(np.array([1, 2, 300], np.uint32))).tolist() == [1, 2, 300]
     uniq, place = K.unique_inverse(keys[[3, 1, 3, 2]])
     assert (uniq[place] == keys[[3, 1, 3, 2]]).all()

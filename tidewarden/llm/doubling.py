@@ -3,7 +3,7 @@
 Windows that repeat at one length alone are extended to twice that length, until the wanted length
 is reached or no candidate survives. Below the wanted length a window stands for its smallest
 sub-window (by hash): two equal windows have the same one, so nothing is lost and a fraction of the
-positions is sent. At the wanted length each candidate window is decided on a 128-bit hash.
+positions is sent. At the wanted length each candidate window is decided on two 64-bit hashes of separately hashed words.
 """
 
 from __future__ import annotations
@@ -64,12 +64,13 @@ class _Words:
         """Candidate positions and their windows' two hashes."""
         at = np.flatnonzero(candidate)
         one = K.windows_hash(self.hash, self.window, 1)[at]
-        two = K.windows_hash(K.mix(self.hash ^ np.uint64(0x5851F42D4C957F2D)), self.window, 2)[at]
+        other = K.spans_hash(K.prefix(K.mix(self.chunk.byte_values()), 3), self.start, self.end, 3)  # words are hashed anew, by other values and powers
+        two = K.windows_hash(other, self.window, 2)[at]
         return at, one, two
 
 
 def _flag(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    uniq, count = np.unique(keys, return_counts=True)
+    uniq, count = K.unique_counts(keys)
     return uniq, count > 1
 
 
@@ -110,7 +111,7 @@ def _answer_pairs(blobs: list[bytes]) -> list[bytes]:
     return out
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", first: int = 9, group_bytes: int = 4 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", first: int = 9, group_bytes: int | None = None) -> DataFrame:
     """Remove every word covered by a ``window``-word run whose word sequence starts anywhere else.
 
     Words are maximal runs of bytes other than ASCII white space. Returns one row per input row:

@@ -218,7 +218,7 @@ def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, index_bytes: int = 1 << 19, hot_docs: int = 500) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", group_bytes: int | None = None, index_bytes: int = 1 << 19, hot_docs: int = 500) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that also starts in a document of smaller id.
 
     Texts are UTF-8 bytes; matches don't cross documents; overlaps count; strings are judged on the
