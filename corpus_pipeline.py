@@ -29,26 +29,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
 
 
-def _sized(side: DataFrame) -> DataFrame:
-    side = side.checkpoint()
-    return F.broadcast(side) if side.count() <= MOST_BROADCAST else side
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside the rules and bands of op 10."""
-    return fertility.quality_rules(docs, fertility.default_model(), carry=True)
+    rows = _keyed(docs)
+    judged = fertility.quality_rules(rows, fertility.default_model(), id_col=KEY)
+    bad = exchange.settle(judged.where(~F.col("kept")).select(F.col("doc_id").alias(KEY)).distinct())
+    return rows.join(exchange.sized(bad, MOST_BROADCAST), KEY, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every near-duplicate class of op 6: that of least id (a null id comes last), then of least key."""
     rows = _keyed(docs)
     classes = dartminhash.near_duplicates(rows, KEY).where("class_size > 1").select(F.col("doc_id").alias(KEY), "class_id")
-    members = classes.groupBy(KEY, "class_id").agg(F.count("*").alias("copies")).checkpoint()
+    members, _ = exchange.settle(classes.groupBy(KEY, "class_id").agg(F.count("*").alias("copies")))
     named = members.join(rows.select(KEY, "doc_id").distinct(), KEY)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY))
-    keep = named.groupBy("class_id").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)).checkpoint()
-    repeated = _sized(members.where("copies > 1").join(keep, KEY, "left_semi").select(KEY))
-    gone = _sized(members.join(keep, KEY, "left_anti").select(KEY))
+    keep, _ = exchange.settle(named.groupBy("class_id").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)))
+    repeated = exchange.sized(exchange.settle(members.where("copies > 1").join(keep, KEY, "left_semi").select(KEY)), MOST_BROADCAST)
+    gone = exchange.sized(exchange.settle(members.join(keep, KEY, "left_anti").select(KEY)), MOST_BROADCAST)
     single = rows.join(gone, KEY, "left_anti").join(repeated, KEY, "left_anti")
     once = rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
     return single.unionByName(once).select(docs.columns)
@@ -67,8 +65,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without a window of the benchmark, by op 8."""
     rows = _keyed(docs)
     found = winnow.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
-    bad = _sized(found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct())
-    return rows.join(bad, KEY, "left_anti").select(docs.columns)
+    bad = exchange.settle(found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct())
+    return rows.join(exchange.sized(bad, MOST_BROADCAST), KEY, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
