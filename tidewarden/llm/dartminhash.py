@@ -26,7 +26,7 @@ from . import kernels as K
 from .exchange import ensure_checkpoint_dir, pack_array, settle, sized, tidy, unpack_array
 
 _SEED_COUNT, _SEED_DART = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-_SLOTS, _PARTS = 1 << 18, 16  # slots of the shingle frequencies that order prefixes, and the rows they travel in
+_SLOTS, _PARTS = 1 << 22, 64  # slots of the shingle frequencies that order prefixes, and the rows they travel in
 _FINEST = 5  # the lowest cell of the rank axis is [0, 2**-5)
 
 
@@ -254,24 +254,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of each slot of the hash space occur in ``sets``: a table of fixed size, summed before it is collected."""
+    """How often, up to 255 times, the shingles of each slot of the hash space occur in ``sets``: a table of fixed size, summed before it is collected."""
     each = _SLOTS // _PARTS
 
     def count(batches):
-        total = np.zeros(_SLOTS, np.int64)
+        total = np.zeros(_SLOTS, np.int32)
         for batch in batches:
             for raw in batch.column(0).to_pylist() + batch.column(1).to_pylist():
                 if raw:
                     np.add.at(total, (unpack_array(raw) % np.uint64(_SLOTS)).astype(np.int64), 1)
         if total.any():
-            blobs = [pack_array(total[k * each : (k + 1) * each]) for k in range(_PARTS)]
+            blobs = [pack_array(np.minimum(total[k * each : (k + 1) * each], 255).astype(np.uint8)) for k in range(_PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def add(table):
-        total = sum(unpack_array(raw) for raw in table.column("blob").to_pylist())
-        return pa.table({"part": table.column("part").slice(0, 1), "blob": pa.array([pack_array(total)], pa.binary())})
+        total = np.zeros(each, np.int32)
+        for raw in table.column("blob").to_pylist():
+            total += unpack_array(raw)
+        return pa.table({"part": table.column("part").slice(0, 1), "blob": pa.array([pack_array(np.minimum(total, 255).astype(np.uint8))], pa.binary())})
 
-    out = np.zeros(_SLOTS, np.int64)
+    out = np.zeros(_SLOTS, np.uint8)
     with tidy(sets.sparkSession):
         for r in sets.select("shingles", "again").mapInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(add, "part int, blob binary").collect():
             out[r.part * each : (r.part + 1) * each] = unpack_array(bytes(r.blob))
@@ -281,11 +283,13 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
     """(token, id, root, n, pos): the rarest shingles of each set, so many that two sets of similarity ``least`` share one.
 
-    A text that repeats shingles has a prefix of its distinct shingles and one of all their occurrences.
+    A text that repeats shingles has a prefix of its distinct shingles and one of all their occurrences. A shingle that is alone in its slot is
+    in one text only: it counts for places, but needn't meet anything.
     """
-    often = _frequencies(sets)
+    often = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
 
     def run(batches):
+        table = often.value
         for batch in batches:
             ids, roots = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(2))
             for i, (raw, more) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -293,9 +297,11 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
                 for key in [plain, np.concatenate([plain, unpack_array(more)])] if more else [plain]:
                     n = len(key)
                     most = n - math.ceil(least * n - 1e-9) + 1
-                    key = key[np.lexsort((key, often[(key % np.uint64(_SLOTS)).astype(np.int64)]))[:most]]
-                    m = len(key)
-                    columns = [key.astype(np.int64), np.full(m, ids[i]), np.full(m, roots[i]), np.full(m, n), np.arange(m)]
+                    times = table[(key % np.uint64(_SLOTS)).astype(np.int64)]
+                    order = np.lexsort((key, times))[:most]
+                    pos = np.flatnonzero(times[order] > 1)
+                    key, m = key[order[pos]], len(pos)
+                    columns = [key.astype(np.int64), np.full(m, ids[i]), np.full(m, roots[i]), np.full(m, n), pos]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "id", "root", "n", "pos"])
 
     return sets.select("id", "root", "shingles", "again").mapInArrow(run, "token long, id long, root long, n long, pos long")
@@ -329,16 +335,20 @@ def _open_buckets(member: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
     return settle(classes.join(sized(settle(buckets)), ["band", "key"]))
 
 
-def _draw(left_open: DataFrame, turn: int, least: float, draws: int = 3) -> DataFrame:
-    """Pairs (a, b) that are likely to join classes: members outside their bucket's largest class meet one member of it and the least of their own."""
-    per_class = left_open.groupBy("band", "key", "root").agg(F.count("*").alias("k"), F.min_by(F.struct("id", "n", "m"), F.xxhash64("id", F.lit(turn))).alias("pick"))
+def _classes_of_large(left_open: DataFrame, turn: int, small: int) -> tuple[DataFrame, int]:
+    """(band, key, root, k, pick): the classes of the open buckets above ``small`` texts, their sizes, and a member that the turn picks."""
+    pick = F.min_by(F.struct("id", "n", "m"), F.xxhash64("band", "id", F.lit(turn))).alias("pick")
+    return settle(left_open.where(F.col("size") > small).groupBy("band", "key", "root").agg(F.count("*").alias("k"), pick))
+
+
+def _draw(left_open: DataFrame, per_class: DataFrame, turn: int, least: float, draws: int = 4) -> DataFrame:
+    """Pairs (a, b) that are likely to join classes: texts outside their bucket's largest class meet a picked member of it and of the second largest."""
     most = per_class.groupBy("band", "key").agg(F.max(F.struct("k", "root", "pick")).alias("most"))
-    outside = left_open.join(sized(settle(most)), ["band", "key"]).where("root <> most.root")
-    lead = outside.groupBy("band", "key").agg(F.min(F.struct("id", "n", "m", "root")).alias("lead"))
-    outside = outside.join(sized(settle(lead)), ["band", "key"])
+    second = per_class.join(most, ["band", "key"]).where("root <> most.root").groupBy("band", "key", "most").agg(F.max(F.struct("k", "root", "pick")).alias("second"))
+    outside = left_open.join(sized(settle(second)), ["band", "key"]).where("root <> most.root")
     order = Window.partitionBy("id").orderBy(F.xxhash64("band", "key", F.lit(turn)))
     outside = outside.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= draws)
-    pairs = outside.select("id", "n", "m", F.explode(F.array(F.col("most.pick"), F.when(F.col("lead.root") != F.col("root"), F.struct("lead.id", "lead.n", "lead.m")))).alias("o"))
+    pairs = outside.select("id", "n", "m", F.explode(F.array(F.col("most.pick"), F.when(F.col("second.root") != F.col("root"), F.col("second.pick")))).alias("o"))
     pairs = pairs.where(_fits(least, F.col("n"), F.col("o.n"), F.col("m"), F.col("o.m")))
     return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
 
@@ -363,8 +373,8 @@ def near_duplicates(
     classes of their own row's id. A null id has a null class and links to nothing. Rows that share an
     id share its class. Other columns are not read; an empty table gives an empty result.
 
-    In a bucket every text is first tested against one centre. While buckets hold several classes and a turn still joins many of them, texts
-    outside a bucket's largest class meet one changing member of it and the least text outside it. Then the rest is finished
+    In a bucket every text is first tested against one centre, another one in every bucket. While a turn still joins many classes of large buckets, texts
+    outside a bucket's largest class meet changing members of it and of the second largest. Then the rest is finished
     exactly: all pairs across classes in buckets of up to ``small`` texts, and in larger ones all pairs across classes that the size, prefix
     and position filters of their shingle sets allow; so every link between texts that share a bucket is kept.
     With 24 bands of 5, a pair at similarity 0.8 shares a bucket with probability 0.99993.
@@ -379,13 +389,14 @@ def near_duplicates(
     chosen = heads.where("id = head").select("id").distinct()
     keyed = band_keys(full, size, bands, per_band).join(chosen, "id", "left_semi")
     member, _ = settle(keyed.select("id", "n", "m", F.posexplode("keys").alias("band", "key")).distinct())
-    shared = member.groupBy("band", "key").agg(F.min(F.struct("id", "n", "m")).alias("centre"), F.max("id").alias("last")).where("centre.id < last").drop("last")
+    centre = F.min_by(F.struct("id", "n", "m"), F.xxhash64("band", "id")).alias("centre")
+    shared = member.groupBy("band", "key").agg(centre, F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("first", "last")
     member, _ = settle(member.join(shared, ["band", "key"]))
     involved = settle(member.select("id").distinct())
     sets, _ = settle(shingle_sets(full.join(sized(involved), "id", "left_semi"), size), 20_000)
     nodes = involved[0].select("id", F.col("id").alias("root"))
     pairs = member.where((F.col("id") != F.col("centre.id")) & _fits(similarity, F.col("n"), F.col("centre.n"), F.col("m"), F.col("centre.m")))
-    pairs = pairs.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = pairs.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
     member = member.drop("centre")
 
     def join_classes(pairs: DataFrame) -> int:
@@ -397,11 +408,12 @@ def near_duplicates(
 
     join_classes(pairs)
     left_open, n_open = _open_buckets(member, nodes)
-    turn, before = 0, 2 * n_open
-    while n_open and n_open < 0.8 * before:
-        turn, before = turn + 1, n_open
-        if not join_classes(_draw(left_open.where(F.col("size") > small), turn, similarity)):
+    turn, before = 0, None
+    while n_open:
+        per_class, n = _classes_of_large(left_open, turn, small)
+        if not n or (before and n > 0.8 * before) or not join_classes(_draw(left_open, per_class, turn, similarity)):
             break
+        turn, before = turn + 1, n
         left_open, n_open = _open_buckets(member, nodes)
     if n_open:
         few = left_open.where(F.col("size") <= small)
