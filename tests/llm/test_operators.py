@@ -101,6 +101,8 @@ def test_run_index_statistics():
         patterns = [*strings, b"abcabcxyzabc"]
         flat = lambda x: (np.frombuffer(b"".join(x), np.uint8), np.array([len(s) for s in x]))
         first, length, least = RunIndex(*flat(strings), owner, window).statistics(*flat(patterns))
+        mine = RunIndex(*flat(strings), owner, window).statistics(*flat(strings), own=True)
+        assert (mine[2][: len(least)] == least[: len(mine[2])]).all() and (np.minimum(mine[1], window) == np.minimum(length, window)[: len(mine[1])]).all()
         for p, s in enumerate(patterns):
             for i in range(len(s)):
                 best = max((k for k in range(len(s) - i + 1) if any(s[i : i + k] in t for t in strings)), default=0)

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import kernels as K
+
 class RunIndex:
     def __init__(self, body: np.ndarray, sizes: np.ndarray, owner: np.ndarray, window: int):
         """body: the indexed strings, one after the other, of sizes bytes; owner: a number for each (the least document that holds it)."""
@@ -78,7 +80,7 @@ class RunIndex:
         while len(rows):  # the rows of suffixes that share depth symbols with a neighbour
             p = order[rows]
             key = rank[p] * n + rank[p + depth]
-            o = np.argsort(key, kind="stable")
+            o = K.sort_order(key.view(np.uint64))
             p, key = p[o], key[o]
             order[rows] = p
             new = np.ones(len(p), bool)
@@ -114,10 +116,11 @@ class RunIndex:
             out[live] += 1
         return out
 
-    def statistics(self, body: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def statistics(self, body: np.ndarray, sizes: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the patterns in body, of sizes bytes each, (first, length, least): for position i of pattern p, entry first[p] + i holds the length of the
         longest match that starts there (exact up to ``window``, a lower bound of at least that beyond) and, for matches
-        of ``window`` symbols, the least owner of those ``window`` symbols."""
+        of ``window`` symbols, the least owner of those ``window`` symbols. own: the patterns are the indexed strings, in their order; each starts
+        at the row of its own end, which is that of its number, and follows its run without a hop."""
         first = np.cumsum(sizes) - sizes
         known = np.append(True, np.diff(self.rank) > 0)
         known[0] = self.rank[0] > 0
@@ -130,6 +133,8 @@ class RunIndex:
         row = np.zeros(len(sizes), np.int64)
         matched = np.zeros(len(sizes), np.int64)
         here = np.full(len(sizes), self.head[0])
+        if own:
+            row, here = by_size.copy(), (self.first + sizes)[by_size]
         for step in range(int(ordered[0]) if len(ordered) else 0):
             m = int(np.searchsorted(-ordered, -step, "left"))  # patterns longer than step
             c = symbols[at[:m] - 1 - step]

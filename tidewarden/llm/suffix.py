@@ -1,8 +1,8 @@
 """Substring dedup over bytes with a run-length index (see rindex).
 
-A string of ``window`` bytes stands under its least k-byte hash, and under its least 2k-byte hash.
-Windows of which either is in one document only leave at once; the others travel, as segments, to the
-bucket of their k-byte hash, where all documents' segments are put in one order. There a
+A string of ``window`` bytes stands under its least k-byte hash.
+Windows whose k-byte string is in one document only leave at once; the others travel, as segments, to the
+bucket of that hash, where all documents' segments are put in one order. There a
 run-compressed Burrows-Wheeler transform with sampled run ends is built, matching statistics stream
 over the segments, and every long match learns the least document that holds it. Equal windows meet in
 one bucket, so no pair of blocks is compared.
@@ -27,6 +27,7 @@ from .rindex import RunIndex
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 _LAST = np.iinfo(np.int64).max
+_BLOCK = 1 << 17  # bytes that are worked on at a time: small enough for a core's cache
 
 
 class _Bytes:
@@ -68,43 +69,16 @@ class _Bytes:
         full = self.count > 0
         return self._once(self.key[full], self.owner[self.start[full]])
 
-    def _longer(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, windows, run, 2k-byte key) of the parts of the known runs that share their least 2k-byte hash."""
-        wanted = (self.count > 0) & K.contains(known, self.key)
-        none = np.zeros(0, np.int64)
-        if not wanted.any():
-            return none, none, none, self.key[:0]
-        least = self._least(2 * self.k)
-        head = self.head.copy()
-        head[1:] |= least[1:] != least[:-1]
-        start = np.flatnonzero(head)
-        run = np.searchsorted(self.start, start, "right") - 1
-        count = self._valid(start, np.diff(np.append(start, len(least))))
-        keep = np.flatnonzero((count > 0) & wanted[run])
-        return start[keep], count[keep], run[keep], K.mix(least[start[keep]])
-
-    def second_level(self, known: np.ndarray) -> np.ndarray:
-        start, _, _, key = self._longer(known)
-        return self._once(key, self.owner[start])
-
-    def segments(self, known: np.ndarray, hot: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def segments(self, known: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, first window, number of windows): runs of candidate windows under one hash, and single windows under hot ones."""
-        start, count, run, key = self._longer(known)
-        keep = K.contains(longer, key)
-        start, count, run = start[keep], count[keep], run[keep]
+        run = np.flatnonzero((self.count > 0) & K.contains(known, self.key))
         alone = K.contains(hot, self.key[run])
-        one = np.repeat(start[alone], count[alone])
-        one = one + np.arange(len(one)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
-        start, count, run = start[~alone], count[~alone], run[~alone]
-        if len(start):  # parts that follow each other in a run are one segment
-            first = np.ones(len(start), bool)
-            first[1:] = (run[1:] != run[:-1]) | (start[1:] != start[:-1] + count[:-1])
-            at = np.flatnonzero(first)
-            start, count, run = start[at], np.add.reduceat(count, at), run[at]
+        one = _ranges(self.start[run[alone]], self.count[run[alone]])
+        run = run[~alone]
         most = self.window - self.k + 1  # longer runs (periodic text) are cut
-        parts = -(-count // most)
+        parts = -(-self.count[run] // most)
         nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, left, run = np.repeat(start, parts) + nth * most, np.repeat(count, parts) - nth * most, np.repeat(run, parts)
+        start, left, run = np.repeat(self.start[run], parts) + nth * most, np.repeat(self.count[run], parts) - nth * most, np.repeat(run, parts)
         own = K.spans_hash(self.pre, one, one + self.window, 0)
         return np.concatenate([self.key[run], own]), np.concatenate([start, one]), np.concatenate([np.minimum(left, most), np.ones(len(one), np.int64)])
 
@@ -119,8 +93,16 @@ def _alike(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray
 
     Pieces are sorted by two hashes, and neighbours with the same ones are compared byte by byte.
     """
-    values = K._BYTE[buf]
-    one, two = (K.spans_hash(K.prefix(v, w), start, start + size, w) for v, w in ((values, 1), (K.mix(values), 2)))
+    one, two = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(start):  # a block of pieces at a time
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _BLOCK)))
+        first = int(start[lo:hi].min())
+        values = K._BYTE[buf[first : int((start[lo:hi] + size[lo:hi]).max())]]
+        for out, v, which in ((one, values, 1), (two, K.mix(values), 2)):
+            out[lo:hi] = K.spans_hash(K.prefix(v, which), start[lo:hi] - first, start[lo:hi] - first + size[lo:hi], which)
+        lo = hi
     order = np.lexsort((two, one, key))
     a, b = order[:-1], order[1:]
     same = (key[a] == key[b]) & (one[a] == one[b]) & (two[a] == two[b]) & (size[a] == size[b])
@@ -157,11 +139,11 @@ def _known(got: list[tuple[int, int, bytes]], level: int) -> tuple[np.ndarray, n
 
 def _gather(ids: list, texts: list, got: list, window: int, k: int):
     """Distinct segments of a group (key, size, least document, bytes), in the order of their key, and all their occurrences."""
-    (known, hot), (longer, _) = _known(got, 0), _known(got, 1)
+    known, hot = _known(got, 0)
     body, keys, sizes, docs, parts = [], [], [], [], []
-    for at, part in K.chunks([t or b"" for t in texts]):
+    for at, part in K.chunks([t or b"" for t in texts], _BLOCK):
         b = _Bytes(part, window, k)
-        key, start, count = b.segments(known, hot, longer)
+        key, start, count = b.segments(known, hot)
         owner = np.array([_LAST if ids[at + d] is None else ids[at + d] for d in range(len(part))], np.int64)
         parts.append((at, b.chunk, owner, start, count))
         body.append(b.chunk.buf[_ranges(start, count + window - 1)])
@@ -203,7 +185,7 @@ def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
         hi = int(ends[over[0]]) if len(over) else len(first)
         text = buf[_ranges(start[first[lo:hi]], size[lo:hi])]
         index = RunIndex(text, size[lo:hi], least[lo:hi], window)
-        at, length, owner = index.statistics(text, size[lo:hi])
+        at, length, owner = index.statistics(text, size[lo:hi], own=True)
         inside = _ranges(at, windows[lo:hi])
         found[filled : filled + len(inside)] = np.where(length[inside] >= window, owner[inside], _LAST)
         filled += len(inside)
@@ -227,8 +209,8 @@ def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "
     with the same id none is smaller. A null id counts as larger than all others. Other columns are not
     read. An empty table gives an empty result.
     """
-    if not 0 < 2 * k <= window:
-        raise ValueError("window must be at least twice k")
+    if not 0 < k <= window:
+        raise ValueError("k must be from 1 to window")
     n = X.group_count(X.text_bytes(docs, text_col), group_bytes)
     dealt = X.deal(docs, n, id_col, text_col)
 
@@ -239,14 +221,9 @@ def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "
         return X.send(group, level, n, uniq, lambda lo, hi: X.join_blobs([X.pack_keys(uniq[lo:hi]), X.pack_array(count[lo:hi].astype(np.uint32))]))
 
     def first(group, ids, texts):
-        return send(group, 0, [_Bytes(part, window, k).first_level() for _, part in K.chunks([t or b"" for t in texts])])
-
-    def second(group, ids, texts, got):
-        known, _ = _known(got, 0)
-        return send(group, 1, [_Bytes(part, window, k).second_level(known) for _, part in K.chunks([t or b"" for t in texts])])
+        return send(group, 0, [_Bytes(part, window, k).first_level() for _, part in K.chunks([t or b"" for t in texts], _BLOCK)])
 
     shared = X.answers(X.entries(dealt, first), lambda blobs: _spread_keys(blobs, hot_docs))
-    shared = shared.unionByName(X.answers(X.entries_after(dealt, shared, second), lambda blobs: _spread_keys(blobs, hot_docs)))
 
     def ask(group, ids, texts, got):
         keys, sizes, least, body, _, _ = _gather(ids, texts, got, window, k)
