@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .signals import any_of, count_of, matches, text
+from .signals import any_of, count_of, matches, normalized, text
 
 TIERS = ["log_only", "monitor", "escalate", "emergency"]
 
 
 def plain(c: Column) -> Column:
-    """The scanned text: at most 64 K characters, without invisible ones."""
-    return F.regexp_replace(F.substring(text(c), 1, 65536), P.INVISIBLE, "")
+    """The scanned text: at most 64 K characters, normalised."""
+    return normalized(F.substring(text(c), 1, 65536))
 
 
 def instructional(c: Column) -> Column:
@@ -25,25 +25,16 @@ def exfiltration(c: Column) -> Column:
 
 
 def secret_exposure(c: Column) -> Column:
-    return F.least(count_of(c, P.HIGH_SECRETS + P.OTHER_SECRETS) * 0.5, F.lit(1.0))
+    return F.least(count_of(c, P.SECRETS) * 0.5, F.lit(1.0))
 
 
 def entropy(c: Column) -> Column:
-    """Shannon entropy of the characters in bits: one pass that sorts them, one that measures the runs."""
-    chars = F.array_sort(F.filter(F.split(text(c), ""), lambda x: x != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
-
-    def part(run: Column) -> Column:
-        return F.when(run > 0, run * F.log2(run.cast("double"))).otherwise(0.0)
-
-    folded = F.aggregate(
-        chars, start,
-        lambda s, x: F.when(s["last"] == x, F.struct(x.alias("last"), (s["run"] + 1).alias("run"), s["sum"].alias("sum")))
-        .otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), (s["sum"] + part(s["run"])).alias("sum"))),
-        lambda s: s["sum"] + part(s["run"]),
-    )
-    n = F.length(text(c))
-    return F.when(n > 0, F.log2(n.cast("double")) - folded / n).otherwise(0.0)
+    """Shannon entropy of the characters in bits, over the whole text: how often each distinct character occurs is the length that its removal takes off."""
+    body = text(c)
+    n = F.length(body)
+    counts = F.transform(F.filter(F.array_distinct(F.split(body, "")), lambda x: x != ""), lambda x: (n - F.length(F.replace(body, x, F.lit("")))).cast("double"))
+    total = F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k))
+    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
 
 
 def safe_pipe(c: Column) -> Column:
@@ -69,5 +60,7 @@ def obfuscation(c: Column, measured: Column | None = None) -> Column:
     return F.least(hits * 0.3 + extra, F.lit(1.0))
 
 
-def redacted(c: Column, most: int = 4000) -> Column:
-    return F.substring(F.regexp_replace(text(c), P.rx(P.REDACT), "[REDACTED]"), 1, most)
+def redacted(c: Column, most: int | None = None) -> Column:
+    """The text with secrets replaced; ``most`` characters of it, or all."""
+    out = F.regexp_replace(text(c), P.rx(P.REDACT), "[REDACTED]")
+    return out if most is None else F.substring(out, 1, most)

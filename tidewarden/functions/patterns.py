@@ -11,7 +11,7 @@ def rx(pattern: str, ignore_case: bool = True, dot_all: bool = False) -> str:
     return f"(?dU{'ui' if ignore_case else ''}{'s' if dot_all else ''}){pattern}"
 
 
-# fixed values
+# fixed values: levels and tool names
 LEVELS = ["low", "medium", "high", "critical"]
 READ_ONLY_TOOLS = ["read_file", "list_dir", "search", "grep", "glob", "list_files", "read", "find", "cat", "head", "tail"]
 LIMITED_WRITE_TOOLS = ["write_file", "edit_file", "create_file", "edit", "write"]
@@ -31,11 +31,12 @@ EXEC_TOOLS = ["bash", "shell", "exec", "sudo"]
 NETWORK_TOOLS = ["http_request", "fetch", "web_fetch", "curl", "wget"]
 CREDENTIAL_HINTS = ["credential_access", "credential_exfiltration", "credential_exfiltration_confirmed", "secret_access", "key_access", "env_access", "config_access"]
 NETWORK_HINTS = ["data_exfiltration", "network_exfiltration", "suspicious_network"]
-SYSTEM_PATH = r"/etc/|/usr/|/var/|/sys/|/proc/|/boot/|/dev/"
-SYSTEM_CRITICAL = r"^(?:/etc/|/usr/|/var/|/sys/|/proc/|/boot/)"
-CONFIG_PATH = r"\.config\.|\.env|\.rc$|Makefile$|Dockerfile$|docker-compose"
-CREDENTIAL_PATH = r"\.(?:env|pem|key|p12|pfx|jks|keystore)(?:$|[^a-z0-9])|id_rsa|id_ed25519|credentials|\.secret|\.token|\.password|\.aws/|\.ssh/"
-NETWORK_COMMAND = r"\b(?:curl|wget|scp|rsync|nc|ncat|socat)\b|https?://"
+# fixed values: paths and commands
+SYSTEM_PATH = r"(/etc/|/usr/|/var/|/sys/|/proc/|/boot/|/dev/)"
+SYSTEM_CRITICAL = r"^(/etc/|/usr/|/var/|/sys/|/proc/|/boot/)"
+CONFIG_PATH = r"(\.config\.|\.env|\.rc$|Makefile$|Dockerfile$|docker-compose)"
+CREDENTIAL_PATH = r"\.(env|pem|key|p12|pfx|jks|keystore)(?:$|[^a-z0-9])|id_rsa|id_ed25519|credentials|\.secret|\.token|\.password|\.aws/|\.ssh/"
+NETWORK_COMMAND = r"\b(curl|wget|scp|rsync|nc|ncat|socat)\b|https?://"
 REMOTE_PIPE_EXEC = r"(?:curl|wget)\b.*\|\s*(?:sh|bash|zsh|dash|ksh)\b"
 DECODE_PIPE_EXEC = [
     r"base64\s+(?:-d|--decode)\b.*\|\s*(?:sh|bash|zsh|dash|ksh)\b",
@@ -48,8 +49,8 @@ PROCESS_SUB_REMOTE = r"(?:bash|sh|zsh)\s+<\(\s*(?:curl|wget)\b"
 HEREDOC_EXEC = r"(?:sh|bash|zsh)\s+<<-?\s*['\"]?[a-zA-Z_]"
 VARIABLE_EXPANSION = r"(?:[a-zA-Z_]\w{0,2}=[^;\s]+;){2,}[^;$]{0,40}\$[a-zA-Z_{]"
 VARIABLE_EXEC_TRIGGER = r"\$[a-zA-Z_{][^\n]{0,60}(?:\||>|`|/tmp/|/dev/|https?://)"
-RECON = r"\b(?:uname|id|whoami|hostname|cat\s+/etc/(?:os-release|issue|passwd)|lsb_release|arch)\b"
-PRIVILEGE = r"\bsudo\b.*\b(?:chmod|chown|rm|mv|cp|useradd|usermod|visudo|passwd|install)\b"
+RECON = r"\b(uname|id|whoami|hostname|cat\s+/etc/(os-release|issue|passwd)|lsb_release|arch)\b"
+PRIVILEGE = r"\bsudo\b.*\b(chmod|chown|rm|mv|cp|useradd|usermod|visudo|passwd|install)\b"
 TEMP_PATH = r"/tmp/|/var/tmp/|c:\\temp\\"
 DOWNLOAD = r"(?:curl|wget)\s+.*https?://"
 CHMOD_EXEC = r"chmod\s+\+?[0-7]*x"
@@ -60,6 +61,7 @@ RECON_TOKENS = ["whoami", "id", "uname", "hostname", "printenv", "env", "/etc/os
 ARCHIVE_TOKENS = ["tar ", "zip ", "gzip ", "base64 "]
 RESTORE_TOKENS = ["base64 -d", "base64 --decode", "base64 -d ", "base64 --decode ", "tar -x", "tar x", "tar --extract", "unzip ", "gunzip ", "gzip -d", "gzip --decompress"]
 INSPECTION_TOKENS = ["tar -t", "tar t", "tar --list", "gzip -l", "gzip -t", "gzip --list", "gzip --test", "zip -t", "zip --test", "zip -sf", "zip --show-files"]
+# fixed values: commands by danger; words stand alone, phrases anywhere
 SAFE_COMMANDS = [
     "ls", "cat", "echo", "pwd", "whoami", "date", "env", "printenv", "hostname", "uname", "id", "wc", "sort", "uniq", "diff",
     "head", "tail", "less", "more", "file", "which", "type",
@@ -69,9 +71,10 @@ DESTRUCTIVE_PHRASES = ["git push", "git reset", "npm install", "pip install", "y
 DESTRUCTIVE_PATTERNS = [r"launchctl\s+(?:unload|disable)\s+.*(?:/Library|/System)", r"icacls\s+.*(?:/grant|/deny)"]
 WRITE_WORDS = ["cp", "mv", "mkdir", "touch", "ln", "rename"]
 WRITE_PHRASES = ["git add", "git commit"]
+# fixed values: high-danger commands, those that heed case first
 HIGH_DANGER_EXACT = [
     r"rm\s+.*-[^\s]*r[^\s]*f|rm\s+.*-[^\s]*f[^\s]*r|rm\s+-rf", r"\bdd\b.*\bof\s*=\s*/dev/", r"\bmkfs\b", r":\(\)\s*\{",
-    r"curl\s.*\|\s*(?:sh|bash)", r"wget\s.*\|\s*(?:sh|bash)", r">\s*/dev/", r"git\s+push\s+.*--force", r"chmod\s+777", r"\bsudo\b",
+    r"curl\s.*\|\s*(sh|bash)", r"wget\s.*\|\s*(sh|bash)", r">\s*/dev/", r"git\s+push\s+.*--force", r"chmod\s+777", r"\bsudo\b",
 ]
 HIGH_DANGER_ANY_CASE = [
     r"rmdir\s+/s\s+/q", r"Remove-Item\s+.*-Recurse\s+.*-Force", r"del\s+/[sq]\s+/[sq]", r"Set-ExecutionPolicy\s+(?:Unrestricted|Bypass)",
@@ -79,10 +82,11 @@ HIGH_DANGER_ANY_CASE = [
     r"netsh\s+(?:advfirewall|firewall)\s+set\s+.*state\s+off", r"wevtutil\s+cl\s+(?:System|Security|Application)",
     r"(?:nc|ncat|netcat)\s+.*-e\s+(?:/bin/|cmd)", r"\|\s*IEX\s*\(", r"shred\s+-[a-z]*u", r"cipher\s+/w:",
 ]
+# fixed values: injection patterns (Java needs the bracket in a negated class escaped)
 WEAK_INJECTION = [
     r"ignore\s+(?:\w+\s+)*(?:previous|above|prior)\s+(?:instructions?|prompts?)", r"disregard\s+(?:\w+\s+)*(?:previous|above)",
-    r"new (?:instructions?|task|goal)", r"system:\s*you are now", r"forget (?:everything|all|previous)", r"start (?:over|fresh|new)", r"from now on",
-    r"<\|endoftext\|>", r"###\s*Instruction:", r"\b(?:must|should)\b[^\n]*\b(?:now|immediately)\b",
+    r"new (instructions?|task|goal)", r"system:\s*you are now", r"forget (everything|all|previous)", r"start (over|fresh|new)", r"from now on",
+    r"<\|endoftext\|>", r"###\s*Instruction:", r"\b(must|should)\b[^\n]*\b(now|immediately)\b",
     r"忽略[^。]{0,20}(?:之前|所有|一切|上面).*?(?:指令|提示|规则|约束|要求)", r"忘记[^。]{0,20}(?:之前|所有|一切).*?(?:指令|提示|规则|约束|内容)",
     r"抛弃[^。]{0,20}(?:之前|所有|一切).*?(?:指令|提示|规则|约束)", r"遗忘[^。]{0,20}(?:之前|所有|一切|上面).*?(?:指令|提示|规则|约束)",
     r"无视[^。]{0,20}(?:之前|所有|一切|上面).*?(?:指令|提示|规则|约束|要求)", r"不要[^。]{0,20}(?:遵守|执行|按照).*?(?:之前|原本).*?(?:指令|提示|规则)",
@@ -92,26 +96,40 @@ WEAK_INJECTION = [
 ]
 STRONG_INJECTION = [
     r"<script\b", r"data:text/html;base64,", r"eval\s*\(|exec\s*\(|__import__\s*\(", r"<!--[^>]*(?:ignore|disregard)",
-    r"data:[^,]*base64,[^)]{0,2048}(?:curl|wget)", r"\$\{[A-Z_]+\}.*?(?:curl|wget)", r"git\s+push.*?http.*?@",
+    r"data:[^,]*base64,[^)]{0,2048}(?:curl|wget)", r"\$\{[A-Z_]+\}.*?(curl|wget)", r"git\s+push.*?http.*?@",
     r"(?:关闭|禁用|停用|取消|移除)[^。]{0,20}(?:安全|审核|检测|限制|过滤|防护)", r"(?:突破|绕过|跳过|无视)[^。]{0,20}(?:安全|限制|过滤|防护|审核|道德|伦理)",
     r"你\s*(?:现在|已经)?\s*是\s*(?:一个|一名)[^。]*?(?:邪恶|不受限|无约束|黑客|恶意)", r"(?:进入|切换|启动|激活)[^。]{0,20}(?:开发者|管理员|不受限|无约束|邪恶|神)\s*(?:模式|状态)",
     r"(?:模拟|扮演|假设|假如).*?你\s*(?:是|为)\s*(?:开发者|管理员|黑客|神)", r"【\s*(?:系统|管理|开发|操作者)\s*】", r"《\s*系统提示\s*》",
     r"\[系统\s*(?:提示|指令|命令|消息)[^\]]{0,15}?\]", r"(?:ignore|disregard).*?(?:指令|规则|提示)", r"(?:忽略|遗忘|忘记|抛弃).*?(?:instructions?|rules?|prompts?)",
 ]
-INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}]"
-INSTRUCTIONAL = [r"\b(?:must|should|need to)\b", r"\b(?:do not|don't|never)\b", r"\b(?:step \d+)\b", r"(?:now|next|instead)\s+(?:do|execute|run)"]
+# fixed values: code points that show nothing
+INVISIBLE = (
+    r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2065}\x{2066}-\x{2069}\x{206A}-\x{206F}\x{180B}-\x{180F}\x{115F}\x{1160}\x{3164}\x{FFA0}"
+    r"\x{17B4}\x{17B5}\x{00AD}\x{034F}\x{061C}\x{FEFF}\x{FE00}-\x{FE0E}\x{E0001}\x{E0020}-\x{E007F}\x{E0100}-\x{E01EF}]"
+)
+# fixed values: instructions, exfiltration, secrets and obfuscation in outputs
+INSTRUCTIONAL = [r"\b(must|should|need to)\b", r"\b(do not|don't|never)\b", r"\b(step \d+)\b", r"(?:now|next|instead)\s+(?:do|execute|run)"]
 EXFILTRATION = [
     r"curl.*?-d.*?@", r"wget.*?--post-data", r"nslookup.*?\$\{", r"aws\s+s3\s+cp.*?s3://", r"ping.*?-p\s+[0-9a-f]{32,}", r"ssh.*?-R.*?:\d+:",
-    r"(?:sendmail|mail).*?<.*?@", r"torsocks.*?(?:curl|wget)",
-    r"!\[.*?\]\(https?://(?!github\.com|raw\.githubusercontent\.com|img\.shields\.io|shields\.io|badge\.fury\.io).*?\?", r"git\s+(?:clone|push).*?http.*?@",
+    r"(sendmail|mail).*?<.*?@", r"torsocks.*?(curl|wget)",
+    r"!\[.*?\]\(https?://(?!github\.com|raw\.githubusercontent\.com|img\.shields\.io|shields\.io|badge\.fury\.io).*?\?", r"git\s+(clone|push).*?http.*?@",
 ]
-HIGH_SECRETS = [
-    r"(?:AWS_ACCESS_KEY_ID|AWS_SECRET_ACCESS_KEY)\s*=\s*[A-Za-z0-9/+=]{16,}", r"(?:ghp|ghs|ghu|github_pat)_[A-Za-z0-9]{36,}",
-    r"-----BEGIN\s+(?:RSA|EC|OPENSSH|DSA|PGP)\s+PRIVATE\s+KEY-----", r"(?:^|[\s,;\"'])Bearer\s+[a-zA-Z0-9._\-]{20,}", r"DATABASE_URL\s*=\s*\S+://\S+:\S+@",
-    r"OPENAI_API_KEY\s*=\s*sk-[A-Za-z0-9]{20,}", r"AKIA[A-Z0-9]{16}", r"xox[bprs]-[a-zA-Z0-9\-]{10,}",
-    r"(?:tenant_access_token|user_access_token|app_access_token)\s*[:=]\s*t-[a-zA-Z0-9]{20,}", r"(?:private[_\s-]?key|priv[_\s-]?key|wallet[_\s-]?key)\s*[:=]\s*['\"]?0x[a-fA-F0-9]{64}",
+SECRETS = [
+    r"(?:AWS_ACCESS_KEY_ID|AWS_SECRET_ACCESS_KEY)\s*=\s*[A-Za-z0-9/+=]{16,}",
+    r"(?:ghp|ghs|ghu|github_pat)_[A-Za-z0-9]{36,}",
+    r"-----BEGIN\s+(?:RSA|EC|OPENSSH|DSA|PGP)\s+PRIVATE\s+KEY-----",
+    r"(?:password|passwd)\s*[:=]\s*\S{8,}",
+    r"(?:api[_-]?key|secret[_-]?key|access[_-]?token)\s*[:=]\s*['\"]?\S{16,}",
+    r"(?:^|[\s,;\"'])Bearer\s+[a-zA-Z0-9._\-]{20,}",
+    r"DATABASE_URL\s*=\s*\S+://\S+:\S+@",
+    r"OPENAI_API_KEY\s*=\s*sk-[A-Za-z0-9]{20,}",
+    r"AKIA[A-Z0-9]{16}",
+    r"xox[bprs]-[a-zA-Z0-9\-]{10,}",
+    r"(?:tenant_access_token|user_access_token|app_access_token)\s*[:=]\s*t-[a-zA-Z0-9]{20,}",
+    r"(?:private[_\s-]?key|priv[_\s-]?key|wallet[_\s-]?key)\s*[:=]\s*['\"]?0x[a-fA-F0-9]{64}",
 ]
-OTHER_SECRETS = [r"(?:password|passwd)\s*[:=]\s*\S{8,}", r"(?:api[_-]?key|secret[_-]?key|access[_-]?token)\s*[:=]\s*['\"]?\S{16,}"]
+#: The severe ones: all but the general passwords and keys.
+HIGH_SECRETS = SECRETS[:3] + SECRETS[5:]
 OBFUSCATION_EXACT = [r"\$'(?:[^']*\\[0-7]{3}){2,}", r"\$'(?:[^']*\\x[0-9a-fA-F]{2}){2,}", r"\[::-1\]"]
 OBFUSCATION_ANY_CASE = [r"\\x[0-9a-f]{2}"]
 SAFE_PIPE_DOMAINS = ["brew.sh", "raw.githubusercontent.com", "get.pnpm.io", "bun.sh", "sh.rustup.rs", "get.docker.com", "install.python-poetry.org"]

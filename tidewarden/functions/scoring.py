@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .signals import any_of, count_of, dangerous_command, matches, text
+from .signals import any_of, count_of, dangerous_command, matches, normalized, text
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def d5(trust: Column) -> Column:
 def d6(content: Column, tool: Column | None = None, origin: Column | None = None, boost: float = 0.0) -> Column:
     """Injection score of a text, 0-3: invisible characters, weak, strong and tool-specific patterns, external boost."""
     body = F.substring(text(content), 1, 65536)
-    plain = F.regexp_replace(body, P.INVISIBLE, "")
+    plain = normalized(body)
     score = (
         F.least(F.regexp_count(body, F.lit(P.INVISIBLE)) * 0.8, F.lit(2.4))
         + F.least(count_of(plain, P.WEAK_INJECTION) * 0.3, F.lit(1.5))

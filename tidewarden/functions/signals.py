@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,41 @@ def text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+@functools.cache
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form without marks is one other character, these forms, and the longer forms of the rest.
+
+    Marks have an empty form, so that translate() drops them; the emoji selector U+FE0F stays.
+    """
+    one, to, longer, dropped = [], [], {}, []
+    for block in (range(0x80, 0xD800), range(0xE000, 0x11000), range(0x1D100, 0x1D800), range(0x1E000, 0x1F300), range(0x2F800, 0x2FA20), range(0xE0100, 0xE01F0)):
+        for c in map(chr, block):
+            plain = "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c)) if unicodedata.category(x) != "Mn" or x == "\uFE0F")
+            plain = unicodedata.normalize("NFC", plain)
+            if plain == "":
+                dropped.append(c)
+            elif len(plain) == 1 and plain != c:
+                one.append(c)
+                to.append(plain)
+            elif plain != c:
+                longer[c] = plain
+    return "".join(one + dropped), "".join(to), longer
+
+
+def normalized(c: Column) -> Column:
+    """Text with compatibility forms folded (full-width letters, ligatures), without accents, marks and invisible characters.
+
+    ASCII texts pass as they are. Forms of one character are translated in one pass; texts that hold a character with a longer form are
+    mapped character by character. Conjoining Hangul letters aren't composed.
+    """
+    one, to, longer = _folded()
+    several = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in longer) + "]"
+    spelled = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(spelled, x), x)), "")
+    folded = F.translate(F.when(c.rlike(several), wide).otherwise(c), one, to)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(folded, P.INVISIBLE, ""))
+
+
 def matches(c: Column, pattern: str, ignore_case: bool = True, dot_all: bool = False) -> Column:
     return text(c).rlike(P.rx(pattern, ignore_case, dot_all))
 
@@ -89,16 +127,6 @@ def archive_signals(tool: Column, payload: Column, command: Column) -> dict[str,
     return {"archive_action": makes, "archive_sensitive_material": sensitive, "archive_restore_action": restore, "archive_inspection_action": inspect}
 
 
-def content_origin(tool: Column, path: Column, command: Column) -> Column:
-    """external, user or unknown, from the tool, a path below /tmp and what the command fetches."""
-    tool = F.lower(text(tool))
-    fetches = matches(command, r"\b(?:curl|wget)\b|https?://")
-    return (
-        F.when(tool.isin(P.NETWORK_TOOLS), "external").when(tool.isin(P.READ_TOOLS) & text(path).startswith("/tmp/"), "external")
-        .when(tool.isin(P.READ_TOOLS), "user").when(tool.isin(P.SHELL_TOOLS) & fetches, "external").otherwise("unknown")
-    )
-
-
 def command_head(command: Column) -> Column:
     """The command without leading assignments and wrapper words, and out of two levels of ``bash -c``."""
     out = F.trim(text(command))

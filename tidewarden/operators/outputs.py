@@ -10,7 +10,7 @@ from ..functions import patterns as P
 from ..functions.signals import any_of, text
 
 
-def analyze_outputs(rows: DataFrame, multiplier: float = 1.3, allowed_paths: str | None = None, emergency: float = 0.9, escalate: float = 0.6, monitor: float = 0.3, with_entropy: bool = False) -> DataFrame:
+def analyze_outputs(rows: DataFrame, multiplier: float = 1.3, allowed_paths: str | None = None, emergency: float = 0.9, escalate: float = 0.6, monitor: float = 0.3, with_entropy: bool = True) -> DataFrame:
     """Add the four detector scores, their combined score and a tier to rows (output, origin, file_path).
 
     The tier is the higher of the score's and a floor: exfiltration and secrets escalate at least, severe secrets and

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
+
 
 def _with_now(rows: DataFrame, as_of: int | None) -> DataFrame:
     """Add now (microseconds): a literal, or the newest record by a one-row broadcast."""
@@ -49,22 +51,65 @@ def invalid_rates(events: DataFrame, invalid: Column, windows: tuple[int, ...] =
     return out.withColumn("alert", alert)
 
 
-def posture(scored: DataFrame, window: int = 900, unit: float = 1.0, as_of: int | None = None) -> DataFrame:
-    """One row: score 100 - min(100, 20 critical share + 10 high share + 25 recent high ratio), its state and the leading driver.
+#: Weight of the invalid rate and the lower bounds of the states, best first, by version.
+POSTURES = {1: (30.0, (("healthy", 90), ("guarded", 70), ("degraded", 40)), "critical"), 2: (15.0, (("healthy", 90), ("watch", 75), ("elevated", 50)), "critical")}
+
 
-    Shares are of all sessions by their highest level; the recent ratio is over the last ``window`` units.
+def posture(scored: DataFrame, invalid: Column | None = None, window: int = 900, unit: float = 1.0, as_of: int | None = None, version: int = 2) -> DataFrame:
+    """One row: score 100 - min(100, 20 a critical record + 10 a high one + 25 recent high ratio + 15 or 30 recent invalid rate), its state and up to three drivers.
+
+    invalid: whether a record is an invalid event, which has no risk; ratios are over the last ``window`` units, of valid and of all records.
     """
-    rows = _with_now(scored.select("session_id", "micros", "risk_rank"), as_of)
+    weight, states, worst = POSTURES[version]
+    rows = _with_now(scored.select("micros", "risk_rank", (F.coalesce(invalid, F.lit(False)) if invalid is not None else F.lit(False)).alias("bad")), as_of)
     recent = F.col("micros") >= F.col("now") - int(window * unit * 1e6)
-    sessions = rows.groupBy("session_id").agg(F.max("risk_rank").alias("top"), F.count_if(recent).alias("seen"), F.count_if(recent & (F.col("risk_rank") >= 2)).alias("high"))
-    one = sessions.agg(F.count("*").alias("sessions"), F.count_if(F.col("top") == 3).alias("critical"), F.count_if(F.col("top") == 2).alias("high_sessions"), F.sum("seen").alias("seen"), F.sum("high").alias("high"))
+    one = rows.agg(
+        F.count_if(~F.col("bad") & (F.col("risk_rank") == 3)).alias("critical"), F.count_if(~F.col("bad") & (F.col("risk_rank") == 2)).alias("high"), F.count_if(recent).alias("all"),
+        F.count_if(recent & ~F.col("bad")).alias("valid"), F.count_if(recent & ~F.col("bad") & (F.col("risk_rank") >= 2)).alias("risky"), F.count_if(recent & F.col("bad")).alias("wrong"),
+    )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    one = one.withColumns({"c": 20 * share("critical", "sessions"), "h": 10 * share("high_sessions", "sessions"), "r": 25 * share("high", "seen")})
-    score = F.round(100 - F.least(F.lit(100.0), F.col("c") + F.col("h") + F.col("r")), 4)
-    lead = F.array_max(F.array(*[F.struct(F.col(k).alias("impact"), F.lit(name).alias("name")) for k, name in (("c", "critical"), ("h", "high"), ("r", "recent"))]))
-    one = one.withColumn("score", score)
-    state = F.when(F.col("score") < 50, "critical").when(F.col("score") < 75, "elevated").when(F.col("score") < 90, "watch").otherwise("healthy")
-    return one.select("sessions", "score", state.alias("state"), F.when(lead["impact"] > 0, lead["name"]).alias("driver"))
+    one = one.withColumns({"high_ratio": share("risky", "valid"), "invalid_rate": share("wrong", "all")})
+    impact = [("critical", 20.0 * F.col("critical")), ("high", 10.0 * F.col("high")), ("recent_high", 25.0 * F.col("high_ratio")), ("recent_invalid", weight * F.col("invalid_rate"))]
+    total = F.lit(0.0)
+    for _, x in impact:
+        total = total + x
+    score = F.greatest(F.lit(0.0), 100 - F.least(F.lit(100.0), total))
+    ranked = F.sort_array(F.array(*[F.struct(x.alias("impact"), F.lit(-k).alias("nth"), F.lit(name).alias("name")) for k, (name, x) in enumerate(impact)]), asc=False)
+    drivers = F.slice(F.transform(F.filter(ranked, lambda x: x["impact"] > 0), lambda x: x["name"]), 1, 3)
+    state = F.lit(worst)
+    for name, least in reversed(states):
+        state = F.when(F.col("raw") >= least, name).otherwise(state)
+    one = one.withColumn("raw", score)
+    return one.select("critical", "high", F.round("high_ratio", 4).alias("high_ratio"), F.round("invalid_rate", 4).alias("invalid_rate"), F.round("raw", 1).alias("score"), state.alias("state"), F.array_join(drivers, ",").alias("drivers"))
+
+
+def session_list(scored: DataFrame, since: int | None = None, least: str | None = None, sort: str = "risk_level", most: int = 50, unit: float = 1.0) -> DataFrame:
+    """(session_id, risk_level, last_micros, events): sessions by their latest level, highest risk or newest first; 1 to 200 of them."""
+    last = F.max(F.struct("micros", "event_id", "risk_level"))
+    rows = _with_now(scored.select("session_id", "micros", "event_id", "risk_level"), None)
+    rows = rows.groupBy("session_id").agg(last.alias("last"), F.count("*").alias("events"), F.max("now").alias("now"))
+    rows = rows.select("session_id", F.col("last.risk_level").alias("risk_level"), F.col("last.micros").alias("last_micros"), "events", "now")
+    if since:
+        rows = rows.where(F.col("last_micros") >= F.col("now") - int(since * unit * 1e6))
+    rank = S.risk_rank(F.col("risk_level"))
+    if least:
+        rows = rows.where(rank >= S.risk_rank(F.lit(least)))
+    order = [F.desc("last_micros"), rank.desc()] if sort == "last_event" else [rank.desc(), F.desc("last_micros")]
+    return rows.drop("now").orderBy(*order, "session_id").limit(min(max(most, 1), 200))
+
+
+def alert_list(alerts: DataFrame, severity: str | None = None, acknowledged: bool | None = None, since: int | None = None, most: int = 100, unit: float = 1.0) -> DataFrame:
+    """Alerts (alert_id, severity, acknowledged, micros), newest first, 1 to 1000 of them, each with how many of all alerts are open, and open of high or critical severity."""
+    is_open = ~F.coalesce("acknowledged", F.lit(False))
+    counts = alerts.agg(F.count_if(is_open).alias("total_open"), F.count_if(is_open & F.col("severity").isin("high", "critical")).alias("priority_open"), F.max("micros").alias("now"))
+    rows = alerts.crossJoin(F.broadcast(counts))  # one row
+    if since:
+        rows = rows.where(F.col("micros") >= F.col("now") - int(since * unit * 1e6))
+    if severity is not None:
+        rows = rows.where(F.col("severity") == severity)
+    if acknowledged is not None:
+        rows = rows.where(is_open != F.lit(acknowledged))
+    return rows.drop("now").orderBy(F.desc("micros"), "alert_id").limit(min(max(most, 1), 1000))
 
 
 def audit_search(scored: DataFrame, session: int | None = None, since: int | None = None, risk: str | None = None, verdict: str | None = None, tool: str | None = None, most: int = 100) -> DataFrame:

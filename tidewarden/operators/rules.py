@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,38 +13,67 @@ from ..functions import patterns as P
 from ..functions.signals import text
 
 
+@dataclass(frozen=True)
+class Trigger:
+    """Which events a rule looks at: every part that is given has to fit. One without parts fits nothing."""
+
+    tools: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = ()
+    globs: tuple[str, ...] = ()  # shell patterns over the path's last part
+    commands: tuple[str, ...] = ()  # expressions over the command
+    paths: tuple[str, ...] = ()  # expressions over the path
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A rule: which events it looks at, weighted expressions over their text, paths that excuse a hit."""
+    """A rule: its triggers, weighted expressions over the content (else the command), shell patterns of paths that excuse a hit.
+
+    A trigger that is a tuple fits if any of its parts does; ``all_triggers`` tells whether all triggers or any must fit.
+    """
 
     id: str
     category: str
     level: str
-    tools: tuple[str, ...] = ()
-    extensions: tuple[str, ...] = ()
-    globs: tuple[str, ...] = ()
-    any_trigger: bool = False  # any of the trigger kinds instead of all
+    triggers: tuple[Trigger | tuple[Trigger, ...], ...] = ()
+    all_triggers: bool = False
     patterns: tuple[tuple[str, int], ...] = ()
-    excused: tuple[str, ...] = field(default=())
+    excused: tuple[str, ...] = ()
 
 
-#: Rules for the event view; a deployment reads its own with load_rules().
+#: Rules of our own for the event view; a deployment reads its rules with load_rules().
 RULES = [
-    Rule("goal-hijack-text", "goal_hijack", "high", ("read_file", "read", "cat", "http_request", "web_fetch"), patterns=((r"ignore.*(?:previous|prior|above).*(?:instruction|prompt|context)", 10),)),
-    Rule("goal-hijack-comment", "goal_hijack", "high", ("read_file", "read", "cat", "http_request", "web_fetch"), patterns=((r"<!--.*?(?:ignore|disregard|override|system|instruction).*?-->", 10),), excused=("*/fixtures/*",)),
-    Rule("http-upload", "tool_misuse", "critical", ("bash", "shell", "exec"), patterns=((r"curl.*-d.*@", 10), (r"wget.*--post-data", 10))),
-    Rule("remote-script", "code_execution", "critical", ("bash", "shell", "exec"), patterns=((r"(?:curl|wget).*\|\s*(?:ba|z)?sh", 9), (r"base64\s+-d.*\|\s*(?:ba|z)?sh", 9))),
-    Rule("privilege", "privilege_abuse", "critical", ("bash", "shell", "exec"), patterns=((r"sudo\s+chmod\s+777", 9), (r"sudo\b", 6))),
-    Rule("credential-file", "credential_access", "high", ("read_file", "read", "cat"), globs=("*id_rsa", "*/.env"), patterns=((r"id_rsa|\.env", 8),), excused=("/tmp/test_*",)),
-    Rule("shell-profile", "persistence", "high", ("write_file", "edit_file"), extensions=(".bashrc", ".zshrc", ".profile"), patterns=()),
+    Rule("view-override", "goal_hijack", "high", (Trigger(tools=("http_request",)),), patterns=((r"\ball previous instructions\b", 9), (r"rules\s+above", 6))),
+    Rule("view-comment", "goal_hijack", "medium", (Trigger(tools=("http_request", "read_file")),), patterns=((r"<!--[\s\S]*?\brules\b[\s\S]*?-->", 8),)),
+    Rule("stage-upload", "tool_misuse", "critical", (Trigger(tools=("bash",)), Trigger(commands=(r"/stage\.tar\b",))), True, ((r"\bcurl\s+-d\b", 10), (r"https://", 3))),
+    Rule("piped-script", "code_execution", "critical", (Trigger(tools=("bash", "shell")),), patterns=((r"\|\s*bash$", 9), (r"\|\s*sh$", 8))),
+    Rule("open-permissions", "privilege_abuse", "critical", (Trigger(commands=(r"^sudo ",)),), patterns=((r"\b777\b", 9), (r"^sudo\b", 5))),
+    Rule("secret-file", "credential_access", "high", (Trigger(tools=("read_file",)), (Trigger(globs=("id_[rd]sa", ".env*")), Trigger(paths=(r"^/etc/passwd$",)))), True, excused=("/home/*/.ssh/known_hosts",)),
+    Rule("profile-write", "persistence", "high", (Trigger(tools=("write_file",), extensions=(".bashrc", ".zshrc")),), excused=("/tmp/*",)),
 ]
 
+_MOST_TEXT = 102_400
+
+
+def _trigger(t: dict) -> Trigger:
+    names = {"tool_names": "tools", "file_extensions": "extensions", "file_patterns": "globs", "command_patterns": "commands", "path_patterns": "paths"}
+    return Trigger(**{names[k]: tuple(v) for k, v in t.items() if k in names})
+
+
+def parse_rule(r: dict) -> Rule:
+    """A rule from its nested form: triggers (plain, or logic with conditions, which may hold an OR list), detection, false_positive_filters."""
+    triggers = r.get("triggers") or {}
+    if "conditions" in triggers:
+        found = tuple(tuple(map(_trigger, c["OR"])) if "OR" in c else _trigger(c) for c in triggers["conditions"])
+    else:
+        found = (_trigger(triggers),)
+    patterns = tuple((p["pattern"], int(p.get("weight", 0))) for p in (r.get("detection") or {}).get("regex_patterns", []))
+    excused = tuple(x for f in r.get("false_positive_filters") or [] if f.get("type") == "whitelist_path" for x in f.get("paths", []))
+    return Rule(r["id"], r.get("category", ""), r.get("risk_level", "medium"), found, triggers.get("logic", "OR") == "AND", patterns, excused)
+
 
 def load_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Rules from JSON lines with Rule's fields: a small table, read through Spark so any store will do."""
-    names = set(Rule.__dataclass_fields__)
-    rows = [json.loads(r.value) for r in spark.read.text(path).collect()]
-    return [Rule(**{k: tuple(map(tuple, v)) if k == "patterns" else tuple(v) if isinstance(v, list) else v for k, v in r.items() if k in names}) for r in rows]
+    """Rules from JSON lines of their nested form: a small table, read through Spark so any store will do."""
+    return [parse_rule(json.loads(r.value)) for r in spark.read.text(path).collect()]
 
 
 def merge_rules(core: list[Rule], learned: list[tuple[Rule, str]]) -> list[Rule]:
@@ -53,32 +82,69 @@ def merge_rules(core: list[Rule], learned: list[tuple[Rule, str]]) -> list[Rule]
     return core + [r for r, status in learned if status in ("experimental", "stable") and r.id not in have]
 
 
+def glob_expression(glob: str) -> str:
+    """A regular expression for a shell pattern of *, ? and [...] (negated by !)."""
+    out, at = "", 0
+    while at < len(glob):
+        c = glob[at]
+        end = glob.find("]", at + 2) if c == "[" else -1
+        if end > 0:
+            inside = glob[at + 1 : end].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
+            out += "[" + ("^" + inside[1:] if inside[0] == "!" else r"\^" + inside[1:] if inside[0] == "^" else inside) + "]"
+            at = end + 1
+            continue
+        out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+        at += 1
+    return out
+
+
 def _glob(path: Column, globs: tuple[str, ...]) -> Column:
-    """Whether a path fits any shell pattern of * and ?."""
-    parts = ["".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in g) for g in globs]
-    return path.rlike(f"(?s)^(?:{'|'.join(parts)})$")
+    return path.rlike(f"(?s)^(?:{'|'.join(map(glob_expression, globs))})$")
+
+
+def _any(parts: list[Column]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | p
+    return out
 
 
-def rule_weight(rule: Rule, tool: Column, path: Column, body: Column) -> Column:
-    """The heaviest matching expression's weight, 0 for a rule without any, null where the rule doesn't apply."""
+def _fits(t: Trigger | tuple[Trigger, ...], tool: Column, path: Column, command: Column) -> Column:
+    if isinstance(t, tuple):
+        return _any([_fits(x, tool, path, command) for x in t])
     kinds = []
-    if rule.tools:
-        kinds.append(F.lower(tool).isin(list(rule.tools)))
-    if rule.extensions:
-        ends = F.lit(False)
-        for e in rule.extensions:
-            ends = ends | path.endswith(e)
-        kinds.append(ends)
-    if rule.globs:
-        kinds.append(_glob(path, rule.globs))
-    applies = F.lit(bool(kinds) and not rule.any_trigger)
+    if t.tools:
+        kinds.append(F.lower(tool).isin([x.lower() for x in t.tools]))
+    if t.extensions:
+        kinds.append(_any([path.endswith(e) for e in t.extensions]))
+    if t.globs:
+        kinds.append(_glob(F.substring_index(path, "/", -1), t.globs))
+    if t.commands:
+        kinds.append(_any([command.rlike(P.rx(p)) for p in t.commands]))
+    if t.paths:
+        kinds.append(_any([path.rlike(P.rx(p)) for p in t.paths]))
+    out = F.lit(bool(kinds))
     for k in kinds:
-        applies = applies | k if rule.any_trigger else applies & k
-    weight = F.lit(None).cast("int")
+        out = out & k
+    return out
+
+
+def rule_weight(rule: Rule, tool: Column, path: Column, command: Column, content: Column) -> Column:
+    """The heaviest matching expression's weight, 0 for a rule without any, null where the rule doesn't apply.
+
+    Expressions look at the content or, where that is empty, at the command: up to 102 400 characters.
+    """
+    fits = [_fits(t, tool, path, command) for t in rule.triggers]
+    if rule.all_triggers and fits:
+        applies = F.lit(True)
+        for f in fits:
+            applies = applies & f
+    else:
+        applies = _any(fits)
+    body = F.substring(F.when(content != "", content).otherwise(command), 1, _MOST_TEXT)
+    weight = F.lit(None).cast("int") if rule.patterns else F.lit(0)
     for pattern, w in sorted(rule.patterns, key=lambda x: x[1]):
         weight = F.when(body.rlike(P.rx(pattern, dot_all=True)), w).otherwise(weight)
-    if not rule.patterns:
-        weight = F.lit(0)
     if rule.excused:
         applies = applies & ~_glob(path, rule.excused)
     return F.when(applies, weight)
@@ -87,10 +153,9 @@ def rule_weight(rule: Rule, tool: Column, path: Column, body: Column) -> Column:
 def match_patterns(events: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(event_id, session_id, rule_id, category, risk_level, weight): rules compiled to one array of structs, so one pass and no join."""
     rules = RULES if rules is None else rules
-    tool, path = text("tool_name"), text("path")
-    body = F.substring(F.concat_ws(" ", "command", "path", "content"), 1, 102_400)
+    columns = (text("tool_name"), text("path"), text("command"), text("content"))
     found = [
-        F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.level).alias("risk_level"), rule_weight(r, tool, path, body).alias("weight"))
+        F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.level).alias("risk_level"), rule_weight(r, *columns).alias("weight"))
         for r in rules
     ]
     return events.select("event_id", "session_id", F.inline(F.array(*found))).where(F.col("weight").isNotNull())
@@ -112,23 +177,40 @@ def candidate_patterns(events: DataFrame) -> DataFrame:
     return rows.groupBy("candidate", "tool_name", "general").agg(F.min("event_id").alias("first_event_id"), F.count("*").alias("uses"))
 
 
-def pattern_lifecycle(feedback: DataFrame, confirms: int = 3, least: float = 0.7) -> DataFrame:
-    """(rule_id, confirmed, false_positives, confidence, status) from a feedback log (rule_id, confirmed, micros).
+def confidence(confirmed: Column, wrong: Column, triggers: Column, frameworks: Column, days: Column) -> Column:
+    """0-1: 0.3 share of confirmations, 0.2 frequency, 0.2 spread over frameworks, 0.2 accuracy, 0.1 recency."""
+    votes = confirmed + wrong
+    share = confirmed / F.greatest(votes, F.lit(1))
+    accuracy = 1 - wrong / F.greatest(votes, F.lit(1))
+    spread = F.when(frameworks > 0, F.least((frameworks - 1) / 2.0, F.lit(1.0))).otherwise(0.0)
+    recency = F.when(days <= 7, 1.0).when(days <= 30, 0.5).otherwise(0.2)
+    return 0.3 * share + 0.2 * F.least(triggers / 10.0, F.lit(1.0)) + 0.2 * spread + 0.2 * accuracy + 0.1 * recency
+
+
+def pattern_lifecycle(feedback: DataFrame, confirms: int = 3, least: float = 0.7, unit: float = 1.0) -> DataFrame:
+    """(rule_id, confirmed, false_positives, confidence, status) from a feedback log (rule_id, event_id, confirmed, micros, framework).
 
-    candidate; experimental from the first confirmation; stable from ``confirms`` confirmations at a confidence of ``least``;
-    deprecated once at least 3 votes are in and more than 0.3 of them are false positives. Deprecation is judged at every vote and is
-    final, so it is a running window per rule.
+    candidate; experimental from the first confirmation; stable from a later confirmation that makes ``confirms`` at a confidence of ``least``
+    (of one framework, just seen); deprecated once at least 3 votes are in and more than 0.3 of them are false positives. Each is judged at every
+    vote and deprecation is final, so a running window per rule decides. The confidence reported is over all votes, frameworks, and days up to the newest vote.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("rule_id").orderBy("micros", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = feedback.withColumns({"yes": F.count_if("confirmed").over(w), "votes": F.count("*").over(w)})
-    bad = (F.col("votes") >= 3) & ((F.col("votes") - F.col("yes")) > 0.3 * F.col("votes"))
-    out = rows.withColumn("bad", bad).groupBy("rule_id").agg(
-        F.max("yes").alias("confirmed"), (F.max("votes") - F.max("yes")).alias("false_positives"), F.round(F.max("yes") / F.max("votes"), 4).alias("confidence"), F.max("bad").alias("bad")
-    )
-    status = F.when(F.col("bad"), "deprecated").when((F.col("confirmed") >= confirms) & (F.col("confidence") >= least), "stable").when(F.col("confirmed") >= 1, "experimental").otherwise("candidate")
-    return out.withColumn("status", status).drop("bad")
+    no = F.col("votes") - F.col("yes")
+    bad = (F.col("votes") >= 3) & (no > 0.3 * F.col("votes"))
+    good = F.col("confirmed") & (F.col("yes") >= F.greatest(F.lit(confirms), F.lit(2))) & (confidence(F.col("yes"), no, F.col("votes"), F.lit(1), F.lit(0)) >= least)
+    out = rows.withColumns({"bad": bad, "good": good}).groupBy("rule_id").agg(
+        F.max("yes").alias("confirmed"), (F.max("votes") - F.max("yes")).alias("false_positives"), F.max("votes").alias("votes"), F.max("bad").alias("bad"), F.max("good").alias("good"),
+        F.countDistinct("framework").alias("frameworks"), F.max("micros").alias("last"),
+    )
+    now = feedback.agg(F.max("micros").alias("now"))
+    out = out.crossJoin(F.broadcast(now))  # one row
+    days = (F.col("now") - F.col("last")) / (unit * 1e6 * 86_400)
+    status = F.when(F.col("bad"), "deprecated").when(F.col("good"), "stable").when(F.col("confirmed") >= 1, "experimental").otherwise("candidate")
+    sure = F.round(confidence(F.col("confirmed"), F.col("false_positives"), F.col("votes"), F.col("frameworks"), days), 4)
+    return out.select("rule_id", "confirmed", "false_positives", sure.alias("confidence"), status.alias("status"))
 
 
 #: Review skills: name, priority, hints, tools and words.

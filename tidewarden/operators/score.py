@@ -18,8 +18,10 @@ def dimensions(events: DataFrame, boost: float = 0.0) -> DataFrame:
         S.d1(tool, command).alias("d1"), S.d2(path, command).alias("d2"), S.d3(tool, command).alias("d3"), S.d5(F.col("trust")).alias("d5"),
         F.round(S.d6(injected, tool, origin, boost), 4).alias("d6"),
     )
-    # one struct, unpacked: a filter on a level above isn't pushed below it, where it would repeat every pattern for each use
-    return events.select("*", F.inline(F.array(found)))
+    # one struct, made once a row. Its partition number keeps filters on levels above it: pushed below, they would repeat every pattern for each use
+    names = ["d1", "d2", "d3", "d5", "d6"]
+    rows = events.withColumn("_found", F.struct(found.alias("dims"), F.spark_partition_id().alias("part")))
+    return rows.select(*events.columns, *[F.col(f"_found.dims.{n}").alias(n) for n in names])
 
 
 def with_level(rows: DataFrame, d4: Column, t: S.Thresholds = S.Thresholds()) -> DataFrame:
@@ -46,31 +48,54 @@ def preset_comparison(events: DataFrame) -> DataFrame:
     return rows.select(F.inline(F.array(*levels))).groupBy("preset", "risk_level").agg(F.count("*").alias("n"))
 
 
-#: Tier of each taxonomy class.
-TIERS = {
-    "prompt_injection": "input", "sensitive_info_disclosure": "output", "unauthorized_code_execution": "action", "excessive_agency": "agent",
-    "tool_misuse": "action", "unmapped": "none",
+# fixed values: tier and name of each class
+TAXONOMY = {
+    "prompt_injection": "RT1", "jailbreak_attack": "RT1", "sensitive_info_disclosure": "RT1", "excessive_agency": "RT1", "unauthorized_code_execution": "RT1",
+    "hallucination": "RT1", "memory_poisoning": "RT1", "tool_misuse": "RT1", "malicious_propagation": "RT2", "misinformation_amplification": "RT2",
+    "insecure_output_handling": "RT2", "goal_drift": "RT2", "message_tampering": "RT2", "identity_spoofing": "RT2", "cascading_failure": "RT3",
+    "sandbox_escape": "RT3", "insufficient_monitoring": "RT3", "group_hallucination": "RT3", "malicious_emergence": "RT3", "rogue_agent": "RT3",
 }
+TIER_NAMES = {"RT1": "Atomic Risks", "RT2": "Communication Risks", "RT3": "System Risks"}
+INJECTION_PHRASES = ["ignore previous instructions", "disregard previous instructions", "system prompt", "developer message"]
 
 
 def classify(scored: DataFrame) -> DataFrame:
-    """Add subtype, tier and confidence; ordered rules, the first that fits decides."""
+    """Add subtype, tier and confidence; ordered rules, the first that fits decides, none gives ``unmapped``.
+
+    Optional columns take part where they exist: runtime_type (kind of a runtime event), trigger_detail and trigger_reason (of a deep
+    review), reason (text of a runtime event), hints (array). Nulls count as empty.
+    """
+    have = lambda name: F.lower(text(name)) if name in scored.columns else F.lit("")
     tool, command = F.col("tool_name"), F.col("command")
-    base = base_signals(tool, F.col("path"), F.col("content"), command)
+    hints = F.col("hints") if "hints" in scored.columns else None
+    base = base_signals(tool, F.col("path"), F.col("content"), command, hints)
     archive = archive_signals(tool, F.col("content"), command)
-    low = F.lower(F.concat_ws(" ", command, F.col("content")))
+    low = F.lower(F.concat_ws(" ", command, F.col("content"), have("reason")))
     phrases = F.lit(False)
-    for phrase in ("ignore previous instructions", "disregard previous instructions", "system prompt", "developer message"):
+    for phrase in INJECTION_PHRASES:
         phrases = phrases | low.contains(phrase)
     risky = F.col("risk_level").isin("high", "critical")
-    subtype = (
-        F.when((F.col("d6") >= 2.0) | phrases, "prompt_injection")
-        .when(base["credential_access"] & (base["network_activity"] | archive["archive_sensitive_material"]), "sensitive_info_disclosure")
-        .when(base["exec_action"] & (base["sudo_action"] | dangerous_execution(command)), "unauthorized_code_execution")
-        .when(risky & base["exec_action"], "tool_misuse").when(risky, "excessive_agency").otherwise("unmapped")
-    )
-    rows = scored.withColumn("subtype", subtype)
-    tier = F.lit("none")
-    for name, value in TIERS.items():
-        tier = F.when(F.col("subtype") == name, value).otherwise(tier)
-    return rows.withColumns({"tier": tier, "confidence": F.when(F.col("subtype").isin("tool_misuse", "excessive_agency"), "medium").when(F.col("subtype") == "unmapped", "low").otherwise("high")})
+    kind, detail, why = have("runtime_type"), have("trigger_detail"), have("trigger_reason")
+    # rule, class, whether its confidence is high
+    rules = [
+        (kind == "trajectory_alert", "cascading_failure", True),
+        (kind == "post_action_finding", "insecure_output_handling", True),
+        (kind == "budget_exhausted", "rogue_agent", False),
+        ((kind == "decision") & detail.isin("secret_harvest_archive", "tmp_staging_exfil"), "sandbox_escape", False),
+        ((F.col("d6") >= 2.0) | phrases, "prompt_injection", True),
+        (detail.isin("secret_plus_network", "secret_harvest_archive"), "sensitive_info_disclosure", True),
+        (base["credential_access"] & (base["network_activity"] | archive["archive_sensitive_material"]), "sensitive_info_disclosure", True),
+        ((kind == "alert") & low.contains("session_risk_escalation"), "tool_misuse", False),
+        (detail.isin("privilege_escalation_chain", "recon_then_sudo"), "unauthorized_code_execution", True),
+        (base["exec_action"] & (base["sudo_action"] | dangerous_execution(command)), "unauthorized_code_execution", True),
+        (detail == "tmp_staging_exfil", "sandbox_escape", False),
+        (why == "cumulative_risk", "excessive_agency", False),
+        (risky & base["exec_action"], "tool_misuse", False),
+    ]
+    found = F.lit(None).cast("struct<subtype:string,confidence:string>")
+    for rule, name, sure in reversed(rules):
+        found = F.when(rule, F.struct(F.lit(name).alias("subtype"), F.lit("high" if sure else "medium").alias("confidence"))).otherwise(found)
+    rows = scored.withColumn("_class", found)
+    tiers = F.create_map(*[F.lit(x) for pair in TAXONOMY.items() for x in pair])
+    subtype = F.coalesce(F.col("_class.subtype"), F.lit("unmapped"))
+    return rows.withColumns({"subtype": subtype, "tier": F.coalesce(F.element_at(tiers, subtype), F.lit("none")), "confidence": F.coalesce(F.col("_class.confidence"), F.lit("low"))}).drop("_class")

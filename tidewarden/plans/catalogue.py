@@ -11,7 +11,7 @@ from ..functions import outputs as O
 from ..functions import patterns as P
 from ..functions import scoring as S
 from ..functions.signals import any_of
-from ..operators import correlate, normalize, reports, rules, score, sequences, sessions
+from ..operators import correlate, escalate, normalize, reports, rules, score, sequences, sessions
 from ..sources.fixtures import agent_events, table, tool_outputs
 from . import oracle
 
@@ -48,8 +48,7 @@ def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entropy(spark: SparkSession, d: str) -> DataFrame:
-    """Entropy of the 4096 characters that the obfuscation rule looks at."""
-    return table(spark, d, "documents").select("doc_id", F.round(O.entropy(F.substring(F.coalesce("text", F.lit("")), 1, 4096)), 4).alias("entropy"))
+    return table(spark, d, "documents").select("doc_id", F.round(O.entropy(F.col("text")), 4).alias("entropy"))
 
 
 def pattern_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -60,12 +59,20 @@ def rule_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rules.rule_coverage(agent_events(spark, d))
 
 
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    """Scored events with kinds of runtime events and review details by event number."""
+    i = F.col("event_id")
+    kinds = F.when(i % 17 == 0, "trajectory_alert").when(i % 17 == 1, "post_action_finding").when(i % 17 == 2, "budget_exhausted").when(i % 17 == 3, "decision").when(i % 17 == 4, "alert")
+    detail = F.when(i % 19 == 0, "secret_plus_network").when(i % 19 == 1, "recon_then_sudo").when(i % 19 == 2, "tmp_staging_exfil")
+    return _scored(spark, d).withColumns({"runtime_type": kinds, "trigger_detail": detail, "trigger_reason": F.when(i % 23 == 0, "cumulative_risk"), "reason": F.when(i % 2 == 0, "session_risk_escalation")})
+
+
 def taxonomy_counts(spark: SparkSession, d: str) -> DataFrame:
-    return score.classify(_scored(spark, d)).groupBy("tier", "subtype").agg(F.count("*").alias("n"))
+    return score.classify(_observed(spark, d)).groupBy("tier", "subtype").agg(F.count("*").alias("n"))
 
 
 def live_overview(spark: SparkSession, d: str) -> DataFrame:
-    return reports.live_overview(score.classify(_scored(spark, d)))
+    return reports.live_overview(score.classify(_observed(spark, d)))
 
 
 def summary_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +89,48 @@ def invalid_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posture(spark: SparkSession, d: str) -> DataFrame:
-    return reports.posture(_scored(spark, d), unit=UNIT)
+    """Both versions, over the first session; plain enumeration commands stand for invalid events."""
+    scored = _scored(spark, d)
+    first = scored.agg(F.min("session_id").alias("first"))
+    one = scored.join(F.broadcast(first), F.col("session_id") == F.col("first"))  # one row
+    bad = F.coalesce(F.col("command") == "uname -a", F.lit(False))
+    return reports.posture(one, bad, unit=36.0).withColumn("version", F.lit(2)).unionByName(reports.posture(one, bad, unit=36.0, version=1).withColumn("version", F.lit(1)))
+
+
+def session_list(spark: SparkSession, d: str) -> DataFrame:
+    return reports.session_list(_scored(spark, d), since=3600, least="medium", unit=UNIT)
+
+
+def alert_list(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d).where("risk_rank >= 1")
+    alerts = rows.select(F.col("event_id").alias("alert_id"), F.col("risk_level").alias("severity"), (F.col("event_id") % 3 == 0).alias("acknowledged"), "micros")
+    return reports.alert_list(alerts, "high", False)
+
+
+def second_level(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth event speaks of a key domain, every ninth has a hint."""
+    i = F.col("event_id")
+    rows = _scored(spark, d).withColumn("content", F.when(i % 10 == 0, "steal the production password").when(i % 10 == 1, "read the api_key file").otherwise(F.col("content")))
+    hints = F.when(i % 9 == 0, F.array(F.lit("credential_exfiltration"))).when(i % 9 == 1, F.array(F.lit("Privilege_Escalation_Confirmed")))
+    return escalate.second_level(rows, hints, i % 31 == 0, F.when(i % 29 == 0, "L2")).select("event_id", "l2_run", "l2_level", "l2_score")
+
+
+def alert_thinning(spark: SparkSession, d: str) -> DataFrame:
+    rows = agent_events(spark, d).select(F.col("source_framework").alias("session_id"), "tool_name", "event_id", "micros")
+    return correlate.sampled_events(rows, 60.0, UNIT).select(F.col("session_id").alias("metric"), F.col("tool_name").alias("severity"), "event_id", F.col("suppressed").cast("long").alias("suppressed"))
+
+
+def missing_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    rows = agent_events(spark, d).select("event_id", F.when(i % 7 != 0, F.col("tool_name")).alias("tool"), F.when(i % 3 != 0, F.col("path")).alias("path"), F.when(i % 5 != 0, F.col("command")).alias("command"), F.when(F.col("trust") != "untrusted", F.col("trust")).alias("trust"))
+    return rows.select("event_id", F.array_join(escalate.missing_dimensions(F.col("tool"), F.col("path"), F.col("command"), F.col("trust")), ",").alias("missing"))
+
+
+def resolved_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth verdict is deferred and then decided."""
+    rows = _scored(spark, d).withColumn("v", F.when(F.col("event_id") % 4 == 0, "defer").otherwise(F.col("verdict")))
+    level = F.col("risk_level")
+    return rows.select("event_id", escalate.auto_resolved(F.col("v"), F.col("etype"), level).alias("block"), escalate.auto_resolved(F.col("v"), F.col("etype"), level, "allow_low_block_high").alias("by_level"))
 
 
 def session_risk(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +260,7 @@ def trajectory_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detection_quality(spark: SparkSession, d: str) -> DataFrame:
-    hit = any_of(F.col("text"), P.HIGH_SECRETS + P.OTHER_SECRETS + [P.REDACT])
+    hit = any_of(F.col("text"), P.SECRETS + [P.REDACT])
     unsafe = ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("unsafe")
     return correlate.detection_quality(table(spark, d, "documents").select(F.col("doc_id").alias("id"), hit.alias("detected")), table(spark, d, "labels").select(F.col("doc_id").alias("id"), unsafe))
 
@@ -223,7 +271,7 @@ def candidate_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 def pattern_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     events = agent_events(spark, d).where(F.col("event_id") % 20 == 0)
-    votes = events.select(F.concat_ws("-", "tool_name", (F.col("session_id") % 50).cast("string")).alias("rule_id"), "event_id", "micros", ((F.col("event_id") * 7919) % 100 < 75).alias("confirmed"))
+    votes = events.select(F.concat_ws("-", "tool_name", (F.col("session_id") % 50).cast("string")).alias("rule_id"), "event_id", "micros", F.col("source_framework").alias("framework"), ((F.col("event_id") * 7919) % 100 < 85).alias("confirmed"))
     return rules.pattern_lifecycle(votes)
 
 
@@ -274,6 +322,7 @@ def queries() -> dict[str, Query]:
         d4_frequency, trajectories, alerted_verdicts, suspicious_history, bypass_matches, enforcement_state, asof_quarantine, replay_enriched, evidence_snapshots,
         approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
         audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing, normalized_events, activity_states, busy_clients, session_recommendations, heartbeat_deltas,
+        session_list, alert_list, second_level, alert_thinning, missing_dimensions, resolved_verdicts,
     ]
     return {f.__name__: f for f in found}
 

@@ -111,30 +111,62 @@ alerts AS (
   SELECT session_id, sequence_id, risk_level, arg_min(trigger_event_id, (micros, trigger_event_id)) AS trigger_event_id, matched
   FROM hits GROUP BY session_id, sequence_id, risk_level, matched)"""
 
+
+def _thinned(source: str, key: str, seconds: int) -> str:
+    """CTEs that keep the first row of a key and then the first at least ``seconds`` units after the last kept one, with the number of those dropped in between."""
+    names = [k.strip() for k in key.split(",")]
+    same = " AND ".join(f"n.{k} = e.{k}" for k in names)
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY micros, event_id) AS rn FROM {source}),
+kept AS (WITH RECURSIVE e AS (
+  SELECT {key}, event_id, micros, rn, 0::BIGINT AS suppressed FROM numbered WHERE rn = 1
+  UNION ALL SELECT {', '.join('e.' + k for k in names)}, n.event_id, n.micros, n.rn, n.rn - e.rn - 1 FROM e JOIN LATERAL (SELECT event_id, micros, rn FROM numbered n WHERE {same} AND n.micros >= e.micros + {seconds} * {_UNIT} ORDER BY rn LIMIT 1) n ON true) SELECT * FROM e),
+thinned AS (SELECT * FROM kept)"""
+
+
 _CLASSIFIED = f"""
+observed AS (SELECT *, CASE event_id % 17 WHEN 0 THEN 'trajectory_alert' WHEN 1 THEN 'post_action_finding' WHEN 2 THEN 'budget_exhausted' WHEN 3 THEN 'decision' WHEN 4 THEN 'alert' ELSE '' END AS runtime_type,
+  CASE event_id % 19 WHEN 0 THEN 'secret_plus_network' WHEN 1 THEN 'recon_then_sudo' WHEN 2 THEN 'tmp_staging_exfil' ELSE '' END AS trigger_detail,
+  CASE WHEN event_id % 23 = 0 THEN 'cumulative_risk' ELSE '' END AS trigger_reason, CASE WHEN event_id % 2 = 0 THEN 'session_risk_escalation' ELSE '' END AS reason FROM scored),
 classified AS (
-  SELECT *, CASE subtype WHEN 'prompt_injection' THEN 'input' WHEN 'sensitive_info_disclosure' THEN 'output' WHEN 'unauthorized_code_execution' THEN 'action' WHEN 'excessive_agency' THEN 'agent' WHEN 'tool_misuse' THEN 'action' ELSE 'none' END AS tier
+  SELECT *, CASE WHEN subtype IN ('cascading_failure', 'sandbox_escape', 'rogue_agent') THEN 'RT3' WHEN subtype = 'insecure_output_handling' THEN 'RT2' WHEN subtype = 'unmapped' THEN 'none' ELSE 'RT1' END AS tier
   FROM (SELECT *, CASE
+      WHEN runtime_type = 'trajectory_alert' THEN 'cascading_failure' WHEN runtime_type = 'post_action_finding' THEN 'insecure_output_handling' WHEN runtime_type = 'budget_exhausted' THEN 'rogue_agent'
+      WHEN runtime_type = 'decision' AND trigger_detail IN ('secret_harvest_archive', 'tmp_staging_exfil') THEN 'sandbox_escape'
       WHEN d6 >= 2 OR contains(lower(concat_ws(' ', command, content)), 'ignore previous instructions') THEN 'prompt_injection'
-      WHEN tool_name IN {listed(P.READ_TOOLS)} AND {found('path', [P.CREDENTIAL_PATH])} AND {found("concat_ws(' ', path, content)", [P.NETWORK_COMMAND])} THEN 'sensitive_info_disclosure'
+      WHEN trigger_detail = 'secret_plus_network' THEN 'sensitive_info_disclosure'
+      WHEN tool_name IN ('read_file', 'read', 'cat', 'head', 'tail') AND {found('path', [P.CREDENTIAL_PATH])} AND {found("concat_ws(' ', path, content)", [P.NETWORK_COMMAND])} THEN 'sensitive_info_disclosure'
+      WHEN runtime_type = 'alert' AND reason <> '' THEN 'tool_misuse' WHEN trigger_detail = 'recon_then_sudo' THEN 'unauthorized_code_execution'
       WHEN (tool_name = 'bash' OR contains(lower(concat_ws(' ', path, content, command)), 'chmod')) AND (contains(lower(concat_ws(' ', path, content, command)), 'sudo ')
         OR {found('command', [P.REMOTE_PIPE_EXEC, *P.DECODE_PIPE_EXEC, P.EVAL_DECODE, P.SCRIPT_ENCODED_EXEC, P.PROCESS_SUB_REMOTE, P.HEREDOC_EXEC])} OR {found('command', [P.VARIABLE_EXPANSION, P.VARIABLE_EXEC_TRIGGER], '')}) THEN 'unauthorized_code_execution'
-      WHEN risk_rank >= 2 AND (tool_name = 'bash' OR contains(lower(concat_ws(' ', path, content, command)), 'chmod')) THEN 'tool_misuse'
-      WHEN risk_rank >= 2 THEN 'excessive_agency' ELSE 'unmapped' END AS subtype FROM scored))"""
-
-_RULES_SQL = " UNION ALL ".join(
-    f"SELECT event_id, session_id, '{i}' AS rule_id, '{c}' AS category, '{lv}' AS risk_level, {w} AS weight FROM rule_text WHERE {cond}"
-    for i, c, lv, w, cond in [
-        ("goal-hijack-text", "goal_hijack", "high", "10", f"tool_name IN ('read_file', 'http_request') AND {found('body', [r'ignore.*(?:previous|prior|above).*(?:instruction|prompt|context)'], 'is')}"),
-        ("goal-hijack-comment", "goal_hijack", "high", "10", f"tool_name IN ('read_file', 'http_request') AND {found('body', [r'<!--.*?(?:ignore|disregard|override|system|instruction).*?-->'], 'is')}"),
-        ("http-upload", "tool_misuse", "critical", "10", f"tool_name = 'bash' AND {found('body', [r'curl.*-d.*@', r'wget.*--post-data'], 'is')}"),
-        ("remote-script", "code_execution", "critical", "9", f"tool_name = 'bash' AND {found('body', [r'(?:curl|wget).*\|\s*(?:ba|z)?sh', r'base64\s+-d.*\|\s*(?:ba|z)?sh'], 'is')}"),
-        ("privilege", "privilege_abuse", "critical", f"CASE WHEN {found('body', [r'sudo\s+chmod\s+777'], 'is')} THEN 9 ELSE 6 END", f"tool_name = 'bash' AND {found('body', [r'sudo\b'], 'is')}"),
-        ("credential-file", "credential_access", "high", "8", f"tool_name = 'read_file' AND (path LIKE '%id_rsa' OR path LIKE '%/.env') AND {found('body', [r'id_rsa|\.env'], 'is')}"),
-        ("shell-profile", "persistence", "high", "0", "tool_name = 'write_file' AND (path LIKE '%.bashrc' OR path LIKE '%.zshrc' OR path LIKE '%.profile')"),
-    ]
-)
-_RULES = f"rule_text AS (SELECT *, concat_ws(' ', command, path, content) AS body FROM agent_events), matches AS ({_RULES_SQL})"
+      WHEN trigger_detail = 'tmp_staging_exfil' THEN 'sandbox_escape' WHEN trigger_reason = 'cumulative_risk' THEN 'excessive_agency'
+      WHEN risk_rank >= 2 AND (tool_name = 'bash' OR contains(lower(concat_ws(' ', path, content, command)), 'chmod')) THEN 'tool_misuse' ELSE 'unmapped' END AS subtype FROM observed))"""
+
+#: id, category, level, weight (null where no expression fits), condition; body is what expressions look at.
+_RULE_ROWS = [
+    ("view-override", "goal_hijack", "high", r"CASE WHEN regexp_matches(body, '\ball previous instructions\b', 'is') THEN 9 WHEN regexp_matches(body, 'rules\s+above', 'is') THEN 6 END", "tool_name = 'http_request'"),
+    ("view-comment", "goal_hijack", "medium", r"CASE WHEN regexp_matches(body, '<!--[\s\S]*?\brules\b[\s\S]*?-->', 'is') THEN 8 END", "tool_name IN ('http_request', 'read_file')"),
+    ("stage-upload", "tool_misuse", "critical", r"CASE WHEN regexp_matches(body, '\bcurl\s+-d\b', 'is') THEN 10 WHEN contains(body, 'https://') THEN 3 END", "tool_name = 'bash' AND contains(command, '/stage.tar')"),
+    ("piped-script", "code_execution", "critical", r"CASE WHEN regexp_matches(body, '\|\s*bash$', 'is') THEN 9 WHEN regexp_matches(body, '\|\s*sh$', 'is') THEN 8 END", "tool_name = 'bash'"),
+    ("open-permissions", "privilege_abuse", "critical", r"CASE WHEN regexp_matches(body, '\b777\b', 'is') THEN 9 WHEN regexp_matches(body, '^sudo\b', 'is') THEN 5 END", "starts_with(command, 'sudo ')"),
+    ("secret-file", "credential_access", "high", "0", "tool_name = 'read_file' AND (path LIKE '%/id_rsa' OR path LIKE '%/.env' OR path = '/etc/passwd')"),
+    ("profile-write", "persistence", "high", "0", "tool_name = 'write_file' AND (path LIKE '%.bashrc' OR path LIKE '%.zshrc') AND path NOT LIKE '/tmp/%'"),
+]
+_RULES_SQL = " UNION ALL ".join(f"SELECT *, '{i}' AS rule_id, '{c}' AS category, '{lv}' AS rule_level, {w} AS weight FROM rule_text WHERE {cond}" for i, c, lv, w, cond in _RULE_ROWS)
+_RULES = f"rule_text AS (SELECT event_id, session_id, tool_name, path, command, coalesce(content, command, '') AS body FROM agent_events), matches AS (SELECT event_id, session_id, rule_id, category, rule_level AS risk_level, weight FROM ({_RULES_SQL}) WHERE weight IS NOT NULL)"
+
+_SECOND = f"""
+varied AS (SELECT * REPLACE (CASE event_id % 10 WHEN 0 THEN 'steal the production password' WHEN 1 THEN 'read the api_key file' ELSE content END AS content),
+  CASE event_id % 9 WHEN 0 THEN 'credential_exfiltration' WHEN 1 THEN 'privilege_escalation_confirmed' ELSE '' END AS hint FROM scored),
+texts AS (SELECT *, substr(lower(concat_ws(' ', tool_name, hint, '{{' || concat_ws(',', '"command":"' || command || '"', '"path":"' || path || '"', '"content":"' || content || '"') || '}}')), 1, 65536) AS body FROM varied),
+rule_text AS (SELECT * FROM texts),
+hits AS (SELECT event_id, max(CASE rule_level WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS top, max(weight) AS heavy, count(*) AS n FROM ({_RULES_SQL}) WHERE weight IS NOT NULL GROUP BY ALL),
+k AS (SELECT t.*, coalesce(top, 0) AS top, coalesce(heavy, 0) AS heavy, regexp_matches(body, '\\b(prod|production|credential|credentials|secret|token|password|api_key|private_key|ssh_key)\\b') AS key_domain,
+  regexp_matches(body, '\\b(exfiltrat|bypass|disable\\s+security|privilege\\s+escalat|steal)\\b') AS intent FROM texts t LEFT JOIN hits USING (event_id)),
+b AS (SELECT *, greatest(risk_rank, CASE event_id % 9 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END, CASE WHEN key_domain AND intent THEN 3 WHEN key_domain AND tool_name = 'bash' THEN 2 ELSE 0 END, top) AS rank0 FROM k),
+r AS (SELECT *, greatest(rank0, CASE WHEN heavy >= 8 AND rank0 < 2 OR event_id % 31 = 0 THEN 2 ELSE 0 END) AS rank1,
+  event_id % 29 = 0 OR (etype = 'pre_action' AND risk_level = 'medium') OR key_domain OR event_id % 31 = 0 AS l2_run FROM b)
+SELECT event_id, l2_run, CASE WHEN l2_run THEN ['low', 'medium', 'high', 'critical'][rank1 + 1] ELSE risk_level END AS l2_level,
+  CASE WHEN l2_run THEN greatest(composite, [0.0::DOUBLE, 0.8, 1.5, 2.2][rank1 + 1]) ELSE composite END AS l2_score FROM r"""
 
 _SUMMARY = """
 SELECT CASE grouping(source_framework, etype, verdict, risk_level) WHEN 7 THEN 'source_framework' WHEN 11 THEN 'etype' WHEN 13 THEN 'verdict' WHEN 14 THEN 'risk_level' ELSE 'total' END AS dimension,
@@ -153,7 +185,7 @@ _OUTPUTS = """
 outputs AS (
   SELECT 'd' || doc_id AS output_id, text AS output, 'user' AS origin FROM documents
   UNION ALL SELECT 'p' || page_id, html, 'external' FROM pages),
-body AS (SELECT output_id, origin, substr(coalesce(output, ''), 1, 65536) AS body FROM outputs)"""
+body AS (SELECT output_id, origin, strip_accents(substr(coalesce(output, ''), 1, 65536)) AS body FROM outputs)"""
 
 _FP = f"""
 prints AS (
@@ -181,16 +213,18 @@ SQL: dict[str, str] = {
     "preset_comparison": f"WITH {VIEW}, {DIMENSIONS} SELECT preset, risk_level, count(*) AS n FROM ({_PRESETS}) GROUP BY ALL",
     "injection_scores": f"WITH {_OUTPUTS} SELECT output_id, round(least(3.0::DOUBLE, least(1.5::DOUBLE, 0.3::DOUBLE * {counted('body', P.WEAK_INJECTION)}) + least(2.4::DOUBLE, 0.8::DOUBLE * {counted('body', P.STRONG_INJECTION, 'is')})), 4) AS d6 FROM body",
     "output_findings": f"""WITH {_OUTPUTS},
+chars AS (SELECT output_id, u.ch, count(*) AS n FROM body, unnest(string_split(body, '')) AS u(ch) GROUP BY ALL),
+bits AS (SELECT output_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS bits FROM chars GROUP BY output_id),
 s AS (SELECT output_id, origin, {counted('body', P.INSTRUCTIONAL)} / 4.0::DOUBLE AS instructional, least(1.0::DOUBLE, 0.5::DOUBLE * {counted('body', [p for p in P.EXFILTRATION if '(?!' not in p])}) AS exfiltration,
-    least(1.0::DOUBLE, 0.5::DOUBLE * {counted('body', P.HIGH_SECRETS + P.OTHER_SECRETS)}) AS secret_exposure, {found('body', P.HIGH_SECRETS)} AS high_secret,
+    least(1.0::DOUBLE, 0.5::DOUBLE * {counted('body', P.SECRETS)}) AS secret_exposure, {found('body', P.HIGH_SECRETS)} AS high_secret,
     least(1.0::DOUBLE, 0.3::DOUBLE * ({found('body', P.DECODE_PIPE_EXEC)}::INT + {counted('body', [P.EVAL_DECODE, P.SCRIPT_ENCODED_EXEC, P.PROCESS_SUB_REMOTE, P.HEREDOC_EXEC])} + {counted('body', [P.VARIABLE_EXPANSION, P.VARIABLE_EXEC_TRIGGER, *P.OBFUSCATION_EXACT], '')}
-      + {counted('body', P.OBFUSCATION_ANY_CASE)} + {found('body', [P.REMOTE_PIPE_EXEC])}::INT)) AS obfuscation FROM body),
+      + {counted('body', P.OBFUSCATION_ANY_CASE)} + {found('body', [P.REMOTE_PIPE_EXEC])}::INT) + CASE WHEN length(body) > 50 AND bits > 5.5 THEN least(0.5, (bits - 5.5) / 2.5) ELSE 0 END) AS obfuscation FROM body JOIN bits USING (output_id)),
 c AS (SELECT *, round(least(3.0, (CASE WHEN instructional > 0.5 THEN instructional ELSE 0 END + exfiltration + secret_exposure + CASE WHEN obfuscation > 0.1 THEN obfuscation ELSE 0 END) * CASE WHEN origin = 'external' THEN 1.3::DOUBLE ELSE 1 END), 3) AS score FROM s),
 t AS (SELECT *, greatest(CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.3 THEN 1 ELSE 0 END, CASE WHEN exfiltration > 0 THEN 2 ELSE 0 END,
     CASE WHEN secret_exposure > 0 THEN CASE WHEN high_secret THEN 3 ELSE 2 END ELSE 0 END, CASE WHEN obfuscation > 0.1 THEN CASE WHEN exfiltration > 0 OR secret_exposure > 0 THEN 3 ELSE 1 END ELSE 0 END) AS tier_rank FROM c)
 SELECT output_id, instructional, exfiltration, secret_exposure, obfuscation, score, ['log_only', 'monitor', 'escalate', 'emergency'][tier_rank + 1] AS tier FROM t""",
-    "redact_secrets": f"SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '{_q(P.REDACT)}', '[REDACTED]', 'gi'), 1, 4000) AS redacted FROM documents",
-    "entropy": """WITH c AS (SELECT doc_id, u.ch, count(*) AS n FROM documents, unnest(string_split(substr(coalesce(text, ''), 1, 4096), '')) AS u(ch) GROUP BY ALL)
+    "redact_secrets": f"SELECT doc_id, regexp_replace(coalesce(text, ''), '{_q(P.REDACT)}', '[REDACTED]', 'gi') AS redacted FROM documents",
+    "entropy": """WITH c AS (SELECT doc_id, u.ch, count(*) AS n FROM documents, unnest(string_split(coalesce(text, ''), '')) AS u(ch) GROUP BY ALL)
 SELECT doc_id, round(coalesce((SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM c WHERE c.doc_id = d.doc_id), 0), 4) AS entropy FROM documents d""",
     "pattern_matches": f"WITH {VIEW}, {_RULES} SELECT event_id, session_id, rule_id, category, risk_level, weight FROM matches",
     "rule_coverage": f"WITH {VIEW}, {_RULES} SELECT rule_id, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM matches GROUP BY ALL",
@@ -206,10 +240,26 @@ FROM range(12) r(bucket) LEFT JOIN b USING (bucket) GROUP BY ALL""",
 w AS (SELECT w AS "window", count_if(micros >= now - w * 60 * {_UNIT}) AS total, count_if(bad AND micros >= now - w * 60 * {_UNIT}) AS invalid FROM n, (VALUES (1), (5), (15)) v(w) GROUP BY ALL),
 r AS (SELECT *, coalesce(round(invalid / nullif(total, 0), 6), 0) AS rate FROM w)
 SELECT "window", total, invalid, rate, CASE WHEN "window" = 1 AND invalid > 20 OR "window" = 5 AND rate > 0.01 THEN 'critical' WHEN "window" = 15 AND rate BETWEEN 0.001 AND 0.01 THEN 'warning' ELSE 'none' END AS alert FROM r""",
-    "posture": f"""{SCORED}, s AS (SELECT session_id, max(risk_rank) AS top, count_if(micros >= (SELECT max(micros) FROM scored) - 900 * {_UNIT}) AS seen, count_if(risk_rank >= 2 AND micros >= (SELECT max(micros) FROM scored) - 900 * {_UNIT}) AS high FROM scored GROUP BY ALL),
-p AS (SELECT count(*) AS sessions, 20 * count_if(top = 3) / count(*) AS c, 10 * count_if(top = 2) / count(*) AS h, coalesce(25 * sum(high) / nullif(sum(seen), 0), 0) AS r FROM s)
-SELECT sessions, round(100 - least(100, c + h + r), 4) AS score, CASE WHEN round(100 - least(100, c + h + r), 4) < 50 THEN 'critical' WHEN round(100 - least(100, c + h + r), 4) < 75 THEN 'elevated' WHEN round(100 - least(100, c + h + r), 4) < 90 THEN 'watch' ELSE 'healthy' END AS state,
-  CASE WHEN greatest(c, h, r) = 0 THEN NULL WHEN r = greatest(c, h, r) THEN 'recent' WHEN h = greatest(c, h, r) THEN 'high' ELSE 'critical' END AS driver FROM p""",
+    "posture": f"""{SCORED}, c AS (SELECT 2 AS version UNION ALL SELECT 1), m AS (SELECT *, coalesce(command = 'uname -a', false) AS bad, micros >= (SELECT max(micros) FROM scored) - 900 * 1000000::BIGINT * 36 AS recent FROM scored WHERE session_id = (SELECT min(session_id) FROM scored)),
+n AS (SELECT count_if(NOT bad AND risk_rank = 3) AS critical, count_if(NOT bad AND risk_rank = 2) AS high, coalesce(count_if(recent AND NOT bad AND risk_rank >= 2) / nullif(count_if(recent AND NOT bad), 0), 0) AS r, coalesce(count_if(recent AND bad) / nullif(count_if(recent), 0), 0) AS i FROM m),
+x AS (SELECT *, greatest(0.0::DOUBLE, 100 - least(100.0::DOUBLE, 20.0 * critical + 10.0 * high + 25.0 * r + CASE version WHEN 1 THEN 30.0 ELSE 15.0 END * i)) AS raw,
+  list_reverse_sort([{{'impact': 20.0 * critical, 'nth': 0, 'name': 'critical'}}, {{'impact': 10.0 * high, 'nth': -1, 'name': 'high'}}, {{'impact': 25.0 * r, 'nth': -2, 'name': 'recent_high'}}, {{'impact': CASE version WHEN 1 THEN 30.0 ELSE 15.0 END * i, 'nth': -3, 'name': 'recent_invalid'}}]) AS parts FROM n, c)
+SELECT version, critical, high, round(r, 4) AS high_ratio, round(i, 4) AS invalid_rate, round(raw, 1) AS score,
+  CASE WHEN raw >= 90 THEN 'healthy' WHEN version = 1 AND raw >= 70 THEN 'guarded' WHEN version = 1 AND raw >= 40 THEN 'degraded' WHEN version = 2 AND raw >= 75 THEN 'watch' WHEN version = 2 AND raw >= 50 THEN 'elevated' ELSE 'critical' END AS state,
+  array_to_string(list_transform(list_slice(list_filter(parts, lambda q: q.impact > 0), 1, 3), lambda q: q.name), ',') AS drivers FROM x""",
+    "session_list": f"""{SCORED}, l AS (SELECT session_id, arg_max(risk_level, (micros, event_id)) AS risk_level, max(micros) AS last_micros, count(*) AS events FROM scored GROUP BY session_id),
+k AS (SELECT *, CASE risk_level WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS rank FROM l)
+SELECT session_id, risk_level, last_micros, events FROM k WHERE rank >= 1 AND last_micros >= (SELECT max(last_micros) FROM k) - 3600 * {_UNIT} ORDER BY rank DESC, last_micros DESC, session_id LIMIT 50""",
+    "alert_list": f"""{SCORED}, a AS (SELECT event_id AS alert_id, risk_level AS severity, event_id % 3 = 0 AS acknowledged, micros FROM scored WHERE risk_rank >= 1)
+SELECT alert_id, severity, acknowledged, micros, (SELECT count_if(NOT acknowledged) FROM a) AS total_open, (SELECT count_if(NOT acknowledged AND severity IN ('high', 'critical')) FROM a) AS priority_open
+FROM a WHERE severity = 'high' AND NOT acknowledged ORDER BY micros DESC, alert_id LIMIT 100""",
+    "second_level": f"{SCORED}, {_SECOND}",
+    "alert_thinning": f"""WITH {VIEW}, c AS (SELECT source_framework AS metric, tool_name AS severity, event_id, micros FROM agent_events),
+{_thinned('c', 'metric, severity', 60)} SELECT metric, severity, event_id, suppressed FROM thinned""",
+    "missing_dimensions": f"""WITH {VIEW}, v AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN tool_name END AS tool, CASE WHEN event_id % 3 <> 0 THEN path END AS path, CASE WHEN event_id % 5 <> 0 THEN command END AS command, CASE WHEN trust <> 'untrusted' THEN trust END AS trust FROM agent_events)
+SELECT event_id, concat_ws(',', CASE WHEN tool IS NULL THEN 'd1' END, CASE WHEN path IS NULL AND NOT coalesce(contains(command, '/'), false) THEN 'd2' END, CASE WHEN tool = 'bash' AND command IS NULL THEN 'd3' END, CASE WHEN trust IS NULL THEN 'd5' END) AS missing FROM v""",
+    "resolved_verdicts": f"""{SCORED} SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN verdict WHEN etype <> 'pre_action' THEN 'defer' ELSE 'block' END AS block,
+  CASE WHEN event_id % 4 <> 0 THEN verdict WHEN etype <> 'pre_action' THEN 'defer' WHEN risk_level = 'low' THEN 'allow' ELSE 'block' END AS by_level FROM scored""",
     "session_risk": f"""{SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY micros DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY session_id) AS n FROM scored)
 SELECT session_id, count(*) AS events, count_if(risk_rank >= 2) AS high_events, max(composite) FILTER (back = 1) AS latest, round(sum(composite), 4) AS total, round(avg(composite), 4) AS mean_score,
   round(sum(composite * CASE WHEN back = n THEN 0.7::DOUBLE ** (n - 1) ELSE 0.3::DOUBLE * 0.7::DOUBLE ** (back - 1) END), 4) AS ewma, sum(risk_rank) AS points,
@@ -276,15 +326,17 @@ SELECT vec_id, similarity, round(CASE WHEN similarity <= 0.75 THEN 0 ELSE least(
     "trajectory_events": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS depth FROM conversations)
 SELECT conv_id || '-' || depth AS event_id, CASE WHEN depth > 0 THEN conv_id || '-' || (depth - 1) END AS parent_event_id, conv_id, CASE role WHEN 'user' THEN 'pre_prompt' WHEN 'assistant' THEN 'post_response' WHEN 'tool' THEN 'post_action' ELSE 'session' END AS etype,
   depth, length(text) AS n_chars, depth AS at_second FROM n""",
-    "detection_quality": f"""WITH d AS (SELECT doc_id, {found('text', P.HIGH_SECRETS + P.OTHER_SECRETS + [P.REDACT])} AS detected FROM documents), j AS (SELECT detected, toxic = 1 OR quality = 0 AS unsafe FROM d JOIN labels USING (doc_id)),
+    "detection_quality": f"""WITH d AS (SELECT doc_id, {found('text', P.SECRETS + [P.REDACT])} AS detected FROM documents), j AS (SELECT detected, toxic = 1 OR quality = 0 AS unsafe FROM d JOIN labels USING (doc_id)),
 n AS (SELECT count_if(unsafe AND detected) AS tp, count_if(NOT unsafe AND detected) AS fp, count_if(unsafe AND NOT detected) AS fn, count_if(NOT unsafe AND NOT detected) AS tn FROM j)
 SELECT tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 4) AS recall, round(fp / nullif(fp + tn, 0), 4) AS false_positive_rate, round(tp / nullif(tp + fp, 0), 4) AS precision FROM n""",
     "candidate_patterns": f"""WITH {VIEW} SELECT substr(sha256(tool_name || ':' || command), 1, 16) AS candidate, tool_name, regexp_replace(regexp_replace(command, 'https?://\\S+', '<URL>', 'g'), '(^|\\s)/\\S+', '\\1<PATH>', 'g') AS general, min(event_id) AS first_event_id, count(*) AS uses
 FROM agent_events WHERE command IS NOT NULL GROUP BY ALL""",
-    "pattern_lifecycle": f"""WITH {VIEW}, f AS (SELECT tool_name || '-' || session_id % 50 AS rule_id, event_id, micros, (event_id * 7919) % 100 < 75 AS ok FROM agent_events WHERE event_id % 20 = 0),
+    "pattern_lifecycle": f"""WITH {VIEW}, f AS (SELECT tool_name || '-' || session_id % 50 AS rule_id, event_id, micros, source_framework, (event_id * 7919) % 100 < 85 AS ok FROM agent_events WHERE event_id % 20 = 0),
 r AS (SELECT *, count_if(ok) OVER w AS yes, count(*) OVER w AS votes FROM f WINDOW w AS (PARTITION BY rule_id ORDER BY micros, event_id ROWS UNBOUNDED PRECEDING)),
-g AS (SELECT rule_id, max(yes) AS confirmed, max(votes) - max(yes) AS false_positives, round(max(yes) / max(votes), 4) AS confidence, bool_or(votes >= 3 AND votes - yes > 0.3 * votes) AS bad FROM r GROUP BY ALL)
-SELECT rule_id, confirmed, false_positives, confidence, CASE WHEN bad THEN 'deprecated' WHEN confirmed >= 3 AND confidence >= 0.7 THEN 'stable' WHEN confirmed >= 1 THEN 'experimental' ELSE 'candidate' END AS status FROM g""",
+g AS (SELECT rule_id, max(yes) AS y, max(votes) AS v, bool_or(votes >= 3 AND votes - yes > 0.3 * votes) AS bad, bool_or(ok AND yes >= 3 AND 0.5::DOUBLE * yes / votes + 0.2::DOUBLE * least(votes / 10, 1) + 0.1::DOUBLE >= 0.7) AS good,
+  count(DISTINCT source_framework) AS fw, (max(max(micros)) OVER () - max(micros)) / 86400e6 AS days FROM r GROUP BY rule_id)
+SELECT rule_id, y AS confirmed, v - y AS false_positives, round(0.3::DOUBLE * y / v + 0.2::DOUBLE * least(v / 10, 1) + 0.2::DOUBLE * least((fw - 1) / 2, 1) + 0.2::DOUBLE * (1 - (v - y) / v) + CASE WHEN days <= 7 THEN 0.1 WHEN days <= 30 THEN 0.05 ELSE 0.02 END, 4) AS confidence,
+  CASE WHEN bad THEN 'deprecated' WHEN good THEN 'stable' WHEN y >= 1 THEN 'experimental' ELSE 'candidate' END AS status FROM g""",
     "skill_routing": f"""WITH {VIEW}, b AS (SELECT event_id, tool_name, lower(concat_ws(' ', command, path, content)) AS body FROM agent_events),
 s AS (SELECT event_id, 5 * (tool_name = 'read_file')::INT + contains(body, 'id_rsa')::INT + contains(body, '.env')::INT + contains(body, 'passwd')::INT AS c,
   5 * (tool_name IN ('http_request', 'bash'))::INT + contains(body, 'curl')::INT + contains(body, 'http')::INT AS n, 5 * (tool_name = 'bash')::INT + contains(body, 'sudo')::INT + contains(body, 'rm -rf')::INT + contains(body, 'chmod')::INT AS h FROM b)
