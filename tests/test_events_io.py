@@ -69,10 +69,69 @@ def test_first_effects_are_idempotent(spark):
     assert {r.effect_id for r in first.collect()} == {"2", "3"} and workflow.first_effects(rows, first).count() == 0
 
 
-def test_rule_globs_and_excuses(spark):
-    rows = spark.createDataFrame([(1, 1, 1, "pre_action", "read_file", p, None, None, None) for p in ("/tmp/test_a/id_rsa", "/h/id_rsa", "/h/.env", "/h/env")], EVENT)
-    hits = rules.match_patterns(rows, [r for r in rules.RULES if r.id == "credential-file"])
-    assert hits.count() == 2
+def test_rule_triggers_globs_and_excuses(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(i, 1, 1, "pre_action", "read_file", p, None, None, None) for i, p in enumerate(("/h/id_rsa", "/h/id_dsa", "/h/.env.prod", "/h/env", "/etc/passwd", "/x/id_rsa/y"))], EVENT)
+    ids = lambda hits: sorted(r.event_id for r in hits.collect())
+    assert ids(rules.match_patterns(rows, [r for r in rules.RULES if r.id == "secret-file"])) == [0, 1, 2, 4]
+    nested = {
+        "id": "n", "category": "c", "risk_level": "high",
+        "triggers": {"logic": "AND", "conditions": [{"tool_names": ["BASH", "read_file"]}, {"OR": [{"file_extensions": [".md"]}, {"file_patterns": ["READ[!0-9]*"]}, {"command_patterns": ["^cat\\b"]}]}]},
+        "detection": {"regex_patterns": [{"pattern": "do.*this", "weight": 4}, {"pattern": "now", "weight": 9}]}, "false_positive_filters": [{"type": "whitelist_path", "paths": ["/tmp/*"]}],
+    }
+    empty = {"id": "e", "triggers": {}, "detection": {}}
+    (tmp_path / "rules.json").write_text(json.dumps(nested) + "\n" + json.dumps(empty) + "\n")
+    loaded = rules.load_rules(spark, str(tmp_path / "rules.json"))
+    assert [r.id for r in loaded] == ["n", "e"] and [r.id for r in rules.merge_rules(loaded[:1], [(loaded[0], "stable"), (loaded[1], "stable"), (rules.RULES[0], "deprecated")])] == ["n", "e"]
+    cases = [("read_file", "/a/x.md", None, "do all\nthis"), ("read_file", "/a/README", None, "NOW"), ("read_file", "/a/READ1", None, "now"), ("bash", None, "cat now", None), ("bash", None, "cat now", "other"), ("read_file", "/tmp/x.md", None, "now"), ("write", "/a/x.md", None, "now")]
+    rows = spark.createDataFrame([(i, 1, 1, "pre_action", *c, None) for i, c in enumerate(cases)], EVENT)
+    assert sorted((r.event_id, r.weight) for r in rules.match_patterns(rows, loaded).collect()) == [(0, 4), (1, 9), (3, 9)]
+
+
+def test_learned_rules_follow_the_sequential_version(spark):
+    import random
+
+    r = random.Random(2)
+    log = [(f"r{k % 60}", k, r.random() < (0.95 if k % 3 else 0.75), k * 1000, "ab"[k % 2]) for k in range(600)]
+
+    def fold(votes):
+        state, c, f = "candidate", 0, 0
+        for ok in votes:
+            c, f = c + ok, f + (not ok)
+            sure = 0.5 * c / (c + f) + 0.2 * min((c + f) / 10, 1) + 0.1
+            if c + f >= 3 and f / (c + f) > 0.3:
+                state = "deprecated"
+            elif ok and state == "candidate":
+                state = "experimental"
+            elif ok and state == "experimental" and c >= 3 and sure >= 0.7:
+                state = "stable"
+        return state
+
+    expected = {}
+    for name in {x[0] for x in log}:
+        expected[name] = fold([x[2] for x in log if x[0] == name])
+    got = rules.pattern_lifecycle(spark.createDataFrame(log, "rule_id string, event_id long, confirmed boolean, micros long, framework string")).collect()
+    assert {x.rule_id: x.status for x in got} == expected and {"stable", "deprecated"} <= set(expected.values())
+
+
+def test_approvals_expire_in_streams(spark, tmp_path):
+    from tidewarden.streaming import events as streams
+
+    second = 1_000_000
+    batches = [
+        [(1, "request", 100), (2, "request", 100), (3, "request", 101), (4, "allow", 90)], [(1, "allow", 105), (2, "deny", 130), (9, "request", 400)], [(9, "allow", 405), (8, "request", 900)],
+    ]
+    for k, batch in enumerate(batches):
+        frame = spark.createDataFrame([(a, kind, t * second) for a, kind, t in batch], "approval_id long, kind string, micros long").withColumn("occurred_at", F.timestamp_micros("micros"))
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    schema = spark.read.parquet(str(tmp_path / "in" / "b0")).schema
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = streams.approval_stream(source, 20, late="0 seconds").writeStream.format("memory").queryName("approvals").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert query.awaitTermination(180)
+    got = {r.approval_id: r.state for r in spark.table("approvals").collect()}
+    assert got == {1: "allowed", 2: "expired", 3: "expired", 9: "allowed"}
 
 
 def test_streams_equal_batches(spark, tmp_path):

@@ -88,3 +88,36 @@ def risk_hints(tool: Column, command: Column) -> Column:
     """shell_execution and destructive_pattern, where they hold."""
     shell = F.lower(text(tool)).isin("bash", "shell", "terminal", "command", "exec")
     return F.array_compact(F.array(F.when(shell, "shell_execution"), F.when(matches(command, r"rm\s+-rf|sudo|chmod\s+777|mkfs|dd\s+if="), "destructive_pattern")))
+
+
+def chat_invalid(raw_type: Column, run: Column, seq: Column) -> Column:
+    """Whether a chat event lacks its run id or sequence number, and so belongs into the quarantine."""
+    return (F.substring_index(text(raw_type), ":", 1) == "chat") & (run.isNull() | seq.isNull())
+
+
+def trace_id(run: Column, approval: Column, given: Column) -> Column:
+    """The run's id, else the approval's, else the given one, else a random one."""
+    filled = [F.when(text(c) != "", c) for c in (run, approval, given)]
+    return F.coalesce(*filled, F.uuid())
+
+
+#: Payload keys that stand for an output, first to last.
+OUTPUT_KEYS = ["toolOutput", "tool_output", "commandOutput", "command_output", "exitOutput", "stdout"]
+
+
+def output_of(event_type: Column, payload: Column) -> Column:
+    """The output in a payload map: its own key, or for actions done without output and result the first alias that is there."""
+    own = F.element_at(payload, "output")
+    alias = F.coalesce(*[F.element_at(payload, k) for k in OUTPUT_KEYS])
+    bare = (event_type == "post_action") & ~F.map_contains_key(payload, "output") & ~F.map_contains_key(payload, "result")
+    return F.when(bare, alias).otherwise(own)
+
+
+def framework_of(given: Column, adapter: Column, adapters: dict[str, str]) -> Column:
+    """The given framework, or where it is empty or unknown that of the calling adapter, else unknown."""
+    low = F.lower(F.trim(text(adapter)))
+    found = F.lit("unknown")
+    for name, framework in adapters.items():
+        found = F.when(low == name, framework).otherwise(found)
+    explicit = F.trim(text(given))
+    return F.when((explicit != "") & (F.lower(explicit) != "unknown"), explicit).otherwise(found)

@@ -133,6 +133,28 @@ def enforcement(scored: DataFrame, threshold: int = 3, cooldown: float = 600.0,
     return rows.withColumn("triggers", reached & ~F.col("enforced")).drop("risk_rank")
 
 
+def forced_enforcement(scored: DataFrame, forced: DataFrame, threshold: int = 3, cooldown: float = 600.0, unit: float = 1.0) -> DataFrame:
+    """enforcement() with sessions forced into it by findings (session_id, micros): a forced state holds for ``cooldown`` units from its last
+    finding before the event, and isn't refreshed by events. Findings at the same time come first. A union and one window, as no range join is needed."""
+    rows = enforcement(scored, threshold, cooldown, unit).select("session_id", *ORDER, "high_before", "enforced").withColumn("_side", F.lit(1))
+    marks = forced.select("session_id", "micros", F.lit(None).cast(dict(rows.dtypes)["event_id"]).alias("event_id"), F.lit(None).cast("bigint").alias("high_before"), F.lit(None).cast("boolean").alias("enforced"), F.lit(0).alias("_side"))
+    last = F.last(F.when(F.col("_side") == 0, F.col("micros")), ignorenulls=True).over(Window.partitionBy("session_id").orderBy("micros", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.unionByName(marks).withColumn("_last", last).where("_side = 1")
+    held = F.coalesce(F.col("micros") - F.col("_last") < int(cooldown * unit * 1e6), F.lit(False))
+    return both.select("session_id", *ORDER, (F.col("enforced") | held).alias("enforced"), held.alias("forced"))
+
+
+def output_summary(findings: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """(session_id, events, latest, total, mean_score, ewma) of output scores (session_id, micros, event_id, score) in order; the recurrence is a weighted sum."""
+    newest = Window.partitionBy("session_id").orderBy(F.col("micros").desc(), F.col("event_id").desc())
+    rows = findings.select("session_id", "score", (F.row_number().over(newest) - 1).alias("back"), F.count("*").over(Window.partitionBy("session_id")).alias("n"))
+    weight = F.when(F.col("back") == F.col("n") - 1, F.pow(F.lit(1 - alpha), F.col("back"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("back")))
+    return rows.groupBy("session_id").agg(
+        F.count("*").alias("events"), F.round(F.max(F.when(F.col("back") == 0, F.col("score"))), 4).alias("latest"), F.round(F.sum("score"), 4).alias("total"),
+        F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.sum(F.col("score") * weight), 4).alias("ewma"),
+    )
+
+
 def as_of(events: DataFrame, states: DataFrame, key: str = "session_id", state: str = "state") -> DataFrame:
     """Each event with the latest state strictly before it (by micros): a union and one window, as no range join is needed."""
     left = events.withColumn("_state", F.lit(None).cast(states.schema[state].dataType)).withColumn("_side", F.lit(0))

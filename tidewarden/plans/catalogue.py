@@ -182,6 +182,32 @@ def enforcement_state(spark: SparkSession, d: str) -> DataFrame:
     return sessions.enforcement(_scored(spark, d), cooldown=10, unit=UNIT).select("session_id", "event_id", "high_before", "enforced", "triggers")
 
 
+def forced_enforcement(spark: SparkSession, d: str) -> DataFrame:
+    """Critical events of even number stand for findings that force enforcement."""
+    scored = _scored(spark, d)
+    forced = scored.where("risk_rank = 3 and event_id % 2 = 0").select("session_id", "micros")
+    return sessions.forced_enforcement(scored, forced, cooldown=10, unit=UNIT).select("event_id", "enforced", "forced")
+
+
+def output_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Composite scores stand for the scores of outputs."""
+    return sessions.output_summary(_scored(spark, d).select("session_id", "micros", "event_id", F.col("composite").alias("score")))
+
+
+def derived_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Trace ids, outputs, frameworks and invalid chat events from varied raw fields."""
+    i = F.col("event_id")
+    rows = agent_events(spark, d).select("event_id", "etype", "source_framework", i.cast("string").alias("given"), F.when(i % 3 == 0, F.concat(F.lit("run"), i)).alias("run"), F.when(i % 2 == 0, F.concat(F.lit("ap"), i)).alias("approval"), F.when(i % 5 != 0, i).alias("seq"),
+        F.create_map(F.when(i % 4 == 0, "output").when(i % 4 == 1, "result").otherwise("other"), F.lit("own"), F.when(i % 6 == 3, "stdout").otherwise("toolOutput"), F.lit("alias")).alias("payload"))
+    adapters = {"adapter-one": "codex", "adapter-two": "openclaw"}
+    adapter = F.when(i % 3 == 1, "Adapter-One").when(i % 3 == 2, "adapter-two")
+    return rows.select(
+        "event_id", normalize.trace_id(F.col("run"), F.col("approval"), F.col("given")).alias("trace_id"), normalize.output_of(F.col("etype"), F.col("payload")).alias("output"),
+        normalize.framework_of(F.when(i % 4 == 0, "unknown").when(i % 4 == 1, F.col("source_framework")), adapter, adapters).alias("framework"),
+        normalize.chat_invalid(F.when(i % 2 == 0, "chat:final").otherwise("agent:bootstrap"), F.col("run"), F.col("seq")).alias("invalid"),
+    )
+
+
 def asof_quarantine(spark: SparkSession, d: str) -> DataFrame:
     scored = _scored(spark, d)
     states = scored.where("risk_rank = 3").select("session_id", "micros", F.when(F.col("event_id") % 2 == 0, "quarantined").otherwise("released").alias("state"))
@@ -322,7 +348,7 @@ def queries() -> dict[str, Query]:
         d4_frequency, trajectories, alerted_verdicts, suspicious_history, bypass_matches, enforcement_state, asof_quarantine, replay_enriched, evidence_snapshots,
         approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
         audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing, normalized_events, activity_states, busy_clients, session_recommendations, heartbeat_deltas,
-        session_list, alert_list, second_level, alert_thinning, missing_dimensions, resolved_verdicts,
+        session_list, alert_list, second_level, alert_thinning, missing_dimensions, resolved_verdicts, forced_enforcement, output_summary, derived_fields,
     ]
     return {f.__name__: f for f in found}
 

@@ -247,6 +247,16 @@ x AS (SELECT *, greatest(0.0::DOUBLE, 100 - least(100.0::DOUBLE, 20.0 * critical
 SELECT version, critical, high, round(r, 4) AS high_ratio, round(i, 4) AS invalid_rate, round(raw, 1) AS score,
   CASE WHEN raw >= 90 THEN 'healthy' WHEN version = 1 AND raw >= 70 THEN 'guarded' WHEN version = 1 AND raw >= 40 THEN 'degraded' WHEN version = 2 AND raw >= 75 THEN 'watch' WHEN version = 2 AND raw >= 50 THEN 'elevated' ELSE 'critical' END AS state,
   array_to_string(list_transform(list_slice(list_filter(parts, lambda q: q.impact > 0), 1, 3), lambda q: q.name), ',') AS drivers FROM x""",
+    "forced_enforcement": f"""{SCORED}, r AS (SELECT session_id, event_id, micros, coalesce(count_if(risk_rank >= 2) OVER (PARTITION BY session_id ORDER BY micros, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hb, micros - lag(micros) OVER {_ORDER} AS gap FROM scored),
+f AS (SELECT r.event_id, max(q.micros) AS last FROM r JOIN scored q ON q.session_id = r.session_id AND q.risk_rank = 3 AND q.event_id % 2 = 0 AND q.micros <= r.micros GROUP BY ALL)
+SELECT event_id, (hb >= 3 AND coalesce(gap, 1e18) < 10 * {_UNIT}) OR coalesce(micros - last < 10 * {_UNIT}, false) AS enforced, coalesce(micros - last < 10 * {_UNIT}, false) AS forced FROM r LEFT JOIN f USING (event_id)""",
+    "output_summary": f"""{SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY micros DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY session_id) AS n FROM scored)
+SELECT session_id, count(*) AS events, round(max(composite) FILTER (back = 1), 4) AS latest, round(sum(composite), 4) AS total, round(avg(composite), 4) AS mean_score,
+  round(sum(composite * CASE WHEN back = n THEN 0.7::DOUBLE ** (n - 1) ELSE 0.3::DOUBLE * 0.7::DOUBLE ** (back - 1) END), 4) AS ewma FROM r GROUP BY session_id""",
+    "derived_fields": f"""WITH {VIEW} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'run' || event_id WHEN event_id % 2 = 0 THEN 'ap' || event_id ELSE event_id::VARCHAR END AS trace_id,
+  CASE WHEN event_id % 4 = 0 THEN 'own' WHEN event_id % 4 IN (2, 3) AND etype = 'post_action' THEN 'alias' END AS output,
+  CASE WHEN event_id % 4 = 1 THEN source_framework WHEN event_id % 3 = 1 THEN 'codex' WHEN event_id % 3 = 2 THEN 'openclaw' ELSE 'unknown' END AS framework,
+  event_id % 2 = 0 AND (event_id % 3 <> 0 OR event_id % 5 = 0) AS invalid FROM agent_events""",
     "session_list": f"""{SCORED}, l AS (SELECT session_id, arg_max(risk_level, (micros, event_id)) AS risk_level, max(micros) AS last_micros, count(*) AS events FROM scored GROUP BY session_id),
 k AS (SELECT *, CASE risk_level WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS rank FROM l)
 SELECT session_id, risk_level, last_micros, events FROM k WHERE rank >= 1 AND last_micros >= (SELECT max(last_micros) FROM k) - 3600 * {_UNIT} ORDER BY rank DESC, last_micros DESC, session_id LIMIT 50""",

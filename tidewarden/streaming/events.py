@@ -86,3 +86,45 @@ def session_state(events: DataFrame, **options) -> DataFrame:
     rows = dimensions(events).select("session_id", "event_id", "micros", "d1", "d2", "d3", "d5", "d6")
     schema = "session_id long, event_id long, prior_high long, d4 int, risk_rank int, rises boolean, enforced boolean"
     return rows.groupBy("session_id").transformWithStateInPandas(SessionScorer(**options), schema, "Append", "None")
+
+
+class ApprovalTimer(StatefulProcessor):
+    """Per approval: the request waits for its answer until an event-time timer fires; emits one row (approval_id, state, micros) when it is decided.
+
+    An answer within the timeout is allowed or denied; none is expired. An answer that comes before its request is kept for it.
+    """
+
+    def __init__(self, timeout_ms: int):
+        self.timeout = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("approval", "asked long, answered long, decision string, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        asked, answered, decision, done = self.state.get() if self.state.exists() else (None, None, None, False)
+        for r in pd.concat(list(rows)).sort_values("micros").itertuples(index=False):
+            if r.kind == "request" and asked is None:
+                asked = int(r.micros)
+                self.handle.registerTimer(asked // 1000 + self.timeout)
+            elif r.kind != "request" and answered is None:
+                answered, decision = int(r.micros), r.kind
+        if not done and asked is not None and answered is not None and asked <= answered <= asked + self.timeout * 1000:
+            done = True
+            yield pd.DataFrame([(key[0], "allowed" if decision == "allow" else "denied", answered)], columns=["approval_id", "state", "micros"])
+        self.state.update((asked, answered, decision, done))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        asked, _, _, done = self.state.get() if self.state.exists() else (None, None, None, True)
+        self.state.clear()
+        if not done:
+            yield pd.DataFrame([(key[0], "expired", asked + self.timeout * 1000)], columns=["approval_id", "state", "micros"])
+
+    def close(self) -> None:
+        pass
+
+
+def approval_stream(events: DataFrame, timeout: float, time: str = "occurred_at", late: str = "10 minutes") -> DataFrame:
+    """(approval_id, state, micros) of approvals as they are decided; events: approval_id long, kind (request, allow, deny), micros, an event time. Needs the RocksDB state store."""
+    rows = events.withWatermark(time, late).select("approval_id", "kind", "micros", time)
+    return rows.groupBy("approval_id").transformWithStateInPandas(ApprovalTimer(int(timeout * 1000)), "approval_id long, state string, micros long", "Append", "EventTime")
