@@ -88,26 +88,33 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
+def _blocks(size: np.ndarray):
+    """(lo, hi) of runs of pieces of about _BLOCK bytes."""
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + 8 * _BLOCK)))
+        yield lo, hi
+        lo = hi
+
+
 def _alike(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, place): the pieces buf[start : start + size] that differ, in the order of their key, and the place of each piece among them.
 
-    Pieces are sorted by two hashes, and neighbours with the same ones are compared byte by byte.
+    Pieces are sorted by two hashes, and neighbours with the same ones are compared byte by byte, a block at a time.
     """
     one, two = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
-    upto = np.cumsum(size)
-    lo = 0
-    while lo < len(start):  # a block of pieces at a time
-        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _BLOCK)))
+    for lo, hi in _blocks(size):
         first = int(start[lo:hi].min())
         values = K._BYTE[buf[first : int((start[lo:hi] + size[lo:hi]).max())]]
         for out, v, which in ((one, values, 1), (two, K.mix(values), 2)):
             out[lo:hi] = K.spans_hash(K.prefix(v, which), start[lo:hi] - first, start[lo:hi] - first + size[lo:hi], which)
-        lo = hi
     order = np.lexsort((two, one, key))
     a, b = order[:-1], order[1:]
     same = (key[a] == key[b]) & (one[a] == one[b]) & (two[a] == two[b]) & (size[a] == size[b])
-    at = np.flatnonzero(same)
-    if len(at):
+    twins = np.flatnonzero(same)
+    for lo, hi in _blocks(size[a[twins]]):
+        at = twins[lo:hi]
         differ = buf[_ranges(start[a[at]], size[a[at]])] != buf[_ranges(start[b[at]], size[a[at]])]
         same[at] &= ~np.logical_or.reduceat(differ, np.cumsum(size[a[at]]) - size[a[at]])
     new = np.append(True, ~same)[: len(order)]
@@ -116,6 +123,15 @@ def _alike(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray
     return order[new], place
 
 
+def _copied(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces one after the other."""
+    out = np.empty(int(size.sum()), np.uint8)
+    at = np.cumsum(size) - size
+    for lo, hi in _blocks(size):
+        out[at[lo] : at[hi - 1] + size[hi - 1]] = buf[_ranges(start[lo:hi], size[lo:hi])]
+    return out
+
+
 def _spread_keys(blobs: list[bytes], hot_docs: int) -> list[bytes]:
     """Answer each group's keys with those in at least two documents, and those in at least hot_docs."""
     parts = [X.split_blobs(b) for b in blobs]
@@ -138,27 +154,31 @@ def _known(got: list[tuple[int, int, bytes]], level: int) -> tuple[np.ndarray, n
 
 
 def _gather(ids: list, texts: list, got: list, window: int, k: int):
-    """Distinct segments of a group (key, size, least document, bytes), in the order of their key, and all their occurrences."""
+    """Distinct segments of a group (key, size, least document, bytes), in the order of their key, all their occurrences, and the group's bytes."""
     known, hot = _known(got, 0)
-    body, keys, sizes, docs, parts = [], [], [], [], []
-    for at, part in K.chunks([t or b"" for t in texts], _BLOCK):
+    texts = [t or b"" for t in texts]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    keys, starts, counts, docs, parts = [], [], [], [], []
+    offset = 0
+    for at, part in K.chunks(texts, _BLOCK):
         b = _Bytes(part, window, k)
         key, start, count = b.segments(known, hot)
         owner = np.array([_LAST if ids[at + d] is None else ids[at + d] for d in range(len(part))], np.int64)
-        parts.append((at, b.chunk, owner, start, count))
-        body.append(b.chunk.buf[_ranges(start, count + window - 1)])
+        parts.append((at, b.chunk.start, b.chunk.end, owner, start, count, offset))
         keys.append(key)
-        sizes.append(count + window - 1)
+        starts.append(start + offset)
+        counts.append(count)
         docs.append(owner[b.owner[start]])
+        offset += len(b.chunk.buf)
     if not parts:
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, np.zeros(0, np.uint8), none, parts
-    body, keys, sizes, docs = (np.concatenate(x) for x in (body, keys, sizes, docs))
-    start = np.cumsum(sizes) - sizes
-    first, place = _alike(body, start, sizes, keys)
+        return none.view(np.uint64), none, none, buf, none, parts, buf
+    keys, starts, counts, docs = (np.concatenate(x) for x in (keys, starts, counts, docs))
+    sizes = counts + window - 1
+    first, place = _alike(buf, starts, sizes, keys)
     least = np.full(len(first), _LAST)
     np.minimum.at(least, place, docs)
-    return keys[first], sizes[first], least, body[_ranges(start[first], sizes[first])], place, parts
+    return keys[first], sizes[first], least, _copied(buf, starts[first], sizes[first]), place, parts, buf
 
 
 def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
@@ -183,7 +203,7 @@ def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
         ends = np.append(bounds[bounds > lo], len(first))
         over = np.flatnonzero(upto[ends - 1] - (upto[lo] - size[lo]) > most)
         hi = int(ends[over[0]]) if len(over) else len(first)
-        text = buf[_ranges(start[first[lo:hi]], size[lo:hi])]
+        text = _copied(buf, start[first[lo:hi]], size[lo:hi])
         index = RunIndex(text, size[lo:hi], least[lo:hi], window)
         at, length, owner = index.statistics(text, size[lo:hi], own=True)
         inside = _ranges(at, windows[lo:hi])
@@ -226,30 +246,31 @@ def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "
     shared = X.answers(X.entries(dealt, first), lambda blobs: _spread_keys(blobs, hot_docs))
 
     def ask(group, ids, texts, got):
-        keys, sizes, least, body, _, _ = _gather(ids, texts, got, window, k)
+        keys, sizes, least, body, *_ = _gather(ids, texts, got, window, k)
         upto = np.append(0, np.cumsum(sizes))
         return X.send(group, 2, n, keys, lambda lo, hi: X.join_blobs([X.pack_array(keys[lo:hi]), X.pack_array(sizes[lo:hi].astype(np.int32)), X.pack_array(least[lo:hi]), X._squeeze(body[upto[lo] : upto[hi]].tobytes())]))
 
     found = X.answers(X.entries_after(dealt, shared, ask), lambda blobs: _answer(blobs, window, index_bytes))
 
     def cut(group, ids, texts, got):
-        _, sizes, _, _, place, parts = _gather(ids, texts, got, window, k)
+        _, sizes, _, _, place, parts, buf = _gather(ids, texts, got, window, k)
         windows = sizes - window + 1
         first_of = np.cumsum(windows) - windows
         replies = [X.unpack_array(raw) for level, _, raw in got if level == 2]
         least = np.concatenate(replies) if replies else np.zeros(0, np.int64)
         rows, used = [], 0
-        for at, chunk, owner, start, count in parts:
+        for at, starts, ends, owner, start, count, offset in parts:
             mine = place[used : used + len(start)]
             used += len(start)
             position = _ranges(start, count)
             smallest = least[_ranges(first_of[mine], count)]
-            doc = owner[np.searchsorted(chunk.start, position, "right") - 1] if len(position) else np.zeros(0, np.int64)
-            gone = K.covered(len(chunk.buf), position[smallest < doc], window)
-            for d, (lo, hi) in enumerate(zip(chunk.start.tolist(), chunk.end.tolist(), strict=True)):
+            doc = owner[np.searchsorted(starts, position, "right") - 1] if len(position) else np.zeros(0, np.int64)
+            mine_buf = buf[offset : offset + int(ends[-1])]
+            gone = K.covered(len(mine_buf), position[smallest < doc], window)
+            for d, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 mine_ = gone[lo:hi]
                 spans = int(mine_[:1].sum() + (mine_[1:] & ~mine_[:-1]).sum())
-                rows.append((ids[at + d], hi - lo, int(mine_.sum()), spans, hashlib.sha256(chunk.buf[lo:hi][~mine_].tobytes()).hexdigest()))
+                rows.append((ids[at + d], hi - lo, int(mine_.sum()), spans, hashlib.sha256(mine_buf[lo:hi][~mine_].tobytes()).hexdigest()))
         return X.table_of(_RESULT, rows)
 
     return X.entries_after(dealt, shared.unionByName(found), cut, RESULT)
