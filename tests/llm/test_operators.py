@@ -555,3 +555,44 @@ def test_keys_and_arrays_pack_and_unpack():
     assert X.unpack_array(X.pack_array(np.array([1, 2, 300], np.uint32))).tolist() == [1, 2, 300]
     uniq, place = K.unique_inverse(keys[[3, 1, 3, 2]])
     assert (uniq[place] == keys[[3, 1, 3, 2]]).all()
+
+
+def test_rows_between_groups_and_buckets_grow_with_the_input():
+    from tidewarden.llm import exchange as X
+
+    for size in (2 << 30, 50 << 30, 500 << 30):
+        rows = [X.group_count(size * k) ** 2 for k in (1, 4)]
+        assert rows[1] <= 4.2 * rows[0]
+    assert X.group_count(1 << 20) == 1 and X.group_count(100, 10) == 10
+
+
+def test_null_and_repeated_ids_fill_no_group(spark):
+    from tidewarden.llm import exchange as X
+
+    rows = spark.createDataFrame([(None if i % 2 else 5, f"text {i}") for i in range(800)], "doc_id long, text string")
+    groups = {r.g: r.n for r in rows.groupBy(X.group_of(8).alias("g")).count().withColumnRenamed("count", "n").collect()}
+    assert len(groups) == 8 and max(groups.values()) < 150
+
+
+def test_settled_rows_are_counted_and_leave_no_shuffle_setting(spark):
+    from tidewarden.llm import exchange as X
+
+    before = spark.conf.get(X._CLEANUP)
+    df, n = X.settle(spark.range(1000).repartition(7).groupBy("id").count(), each=300)
+    assert n == 1000 and df.count() == 1000 and df.rdd.getNumPartitions() <= 4 and spark.conf.get(X._CLEANUP) == before
+    assert X.settle(spark.range(0))[1] == 0
+
+
+def test_weighted_and_plain_similarity_both_link(spark):
+    from tidewarden.llm.dartminhash import near_duplicates
+
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(900)) for _ in range(n))
+    line, a, tail = text(12), text(60), text(12)
+    rows = [
+        (1, f"{a} {' '.join([line] * 3)}"), (2, f"{a} {' '.join([line] * 30)}"),  # the same distinct shingles, other counts
+        (11, f"{' '.join([line] * 60)} {text(25)}"), (12, f"{' '.join([line] * 60)} {text(25)}"),  # alike by counts alone
+        (21, tail), (22, f"{text(30)} {tail}"),
+    ]
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 11: 11, 12: 11, 21: 21, 22: 22}
