@@ -140,3 +140,46 @@ def test_session_operators_shuffle_once(spark):
     plan = sessions.accumulation(random_events(spark, 6))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert F is not None
+
+
+def test_bypass_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidewarden.operators import correlate
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    long = [" ".join(r.sample(words, 26)) for _ in range(4)]
+
+    def command():
+        kind = r.random()
+        if kind < 0.3:
+            return r.choice(["rm -rf /a", "bash -c 'rm -rf /a'", "RM -rf /a", "chmod 777 x", "ls", "wipe and delete it", "delete all", ""])
+        base = r.choice(long).split()
+        for _ in range(r.randint(0, 2)):
+            base[r.randrange(len(base))] = r.choice(words)
+        return " ".join(base)
+
+    rows = [(i, r.randint(1, 4), r.randint(1, 60) * 1_000_000, r.choice(["pre_action", "pre_action", "post_action"]), r.choice(["bash", "shell", "exec"]), r.choice([None, "/p"]), command(), None, r.choice(["block", "allow"]), r.choice([1, 2, 3])) for i in range(400)]
+    schema = "event_id long, session_id long, micros long, etype string, tool_name string, path string, command string, content string, verdict string, risk_rank int"
+    scored = spark.createDataFrame(rows, schema)
+    prints = [x.asDict() for x in correlate.fingerprints(scored).where("etype = 'pre_action'").collect()]
+    for ttl, most in ((20.0, 256), (1e6, 3)):
+        expected = {}
+        for c in prints:
+            earlier = sorted((p for p in prints if p["session_id"] == c["session_id"] and p["verdict"] == "block" and p["risk_rank"] >= 2 and (p["micros"], p["event_id"]) < (c["micros"], c["event_id"])), key=lambda p: (p["micros"], p["event_id"]))
+            for p in reversed(earlier[-most:]):
+                if p["micros"] < c["micros"] - ttl * 1e6:
+                    break
+                other, a, b = p["tool_name"] != c["tool_name"], set(p["tokens"]), set(c["tokens"])
+                rule = (
+                    "exact" if p["raw"] == c["raw"] else ("normalized_cross_tool" if other else "normalized_same_tool") if p["norm"] == c["norm"]
+                    else "intent_cross_tool" if p["intent"] == c["intent"] != "non-destructive" and other else "similar_cross_tool" if other and a | b and len(a & b) / len(a | b) >= 0.92 else None
+                )
+                if rule:
+                    expected[c["event_id"]] = (p["event_id"], rule)
+                    break
+        got = {x.event_id: (x.prior_event_id, x.rule) for x in correlate.detect_bypass(scored, ttl, most).select(*map(F.col, ("event_id", "prior_event_id", "rule"))).collect()}
+        assert got == expected and len({x for _, x in expected.values()}) == 5

@@ -29,27 +29,65 @@ def detect_bypass(scored: DataFrame, ttl: float = 86_400.0, most: int = 256, sim
     prior on which a rule fires is named; rules: same action; same text and tool; same text, other tool; same destructive intent,
     other tool; words alike (Jaccard >= ``similar``), other tool.
 
-    The join is on the session, with at most ``most`` priors for each event by their number in the session: linear in the events.
+    No event meets all priors of its session: for each key (action, text, intent, set of words) the newest prior before an event is carried
+    along one order of the session, with the newest of another tool. Sets of words are compared once a session, not once an event, and meet at
+    the first words of their order by hash, as two alike sets share one. The age and the number bound only what is newest, so they are tested on it.
     """
-    rows = fingerprints(scored).where(F.col("etype") == "pre_action").select("event_id", "session_id", "micros", "tool_name", "raw", "norm", "tokens", "intent", "verdict", "risk_rank")
-    prior = rows.where((F.col("verdict") == "block") & (F.col("risk_rank") >= 2)).withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("micros", "event_id")))
-    total = prior.select("session_id", F.col("micros").alias("p_micros"), F.col("event_id").alias("p_id"), F.col("seq"), *[F.col(c).alias(f"p_{c}") for c in ("tool_name", "raw", "norm", "tokens", "intent")])
-    # how many priors each event has behind it, for the cap
-    marks = rows.select("session_id", "micros", "event_id", ((F.col("verdict") == "block") & (F.col("risk_rank") >= 2)).alias("is_prior"))
-    behind = F.count_if("is_prior").over(Window.partitionBy("session_id").orderBy("micros", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    marks = marks.select("event_id", F.coalesce(behind, F.lit(0)).alias("behind"))
-    current = rows.select("event_id", "session_id", "micros", "tool_name", "raw", "norm", "tokens", "intent").join(marks, "event_id")
-    joined = current.join(total, "session_id").where(
-        (F.struct("p_micros", "p_id") < F.struct("micros", "event_id")) & (F.col("p_micros") >= F.col("micros") - int(ttl * unit * 1e6)) & (F.col("seq") > F.col("behind") - most)
-    )
-    other = F.col("tool_name") != F.col("p_tool_name")
-    alike = F.size(F.array_intersect("tokens", "p_tokens")) / F.greatest(F.size(F.array_union("tokens", "p_tokens")), F.lit(1))
+    rows = fingerprints(scored).where(F.col("etype") == "pre_action")
+    is_prior = (F.col("verdict") == "block") & (F.col("risk_rank") >= 2)
+    order = Window.partitionBy("session_id").orderBy("micros", "event_id")
+    rows = rows.select("event_id", "session_id", "micros", "tool_name", "raw", "norm", "intent", F.array_sort(F.array_distinct("tokens")).alias("words"), is_prior.alias("is_prior"))
+    rows = rows.withColumn("upto", F.count_if("is_prior").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"set": F.xxhash64("words"), "behind": F.col("upto") - F.col("is_prior").cast("int"), "prior": F.when(F.col("is_prior"), F.struct("micros", "event_id", "upto", "tool_name", "raw", "norm", "intent"))})
+    recent = lambda p: F.when((p["micros"] >= F.col("micros") - int(ttl * unit * 1e6)) & (p["upto"] > F.col("behind") - most), p)
+    for key in ("raw", "norm"):
+        before = Window.partitionBy("session_id", key).orderBy("micros", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn(f"by_{key}", recent(F.last("prior", ignorenulls=True).over(before)))
+    rows = _newest_of_another_tool(rows, "intent", "by_intent").withColumn("by_intent", F.when(F.col("intent") != "non-destructive", recent(F.col("by_intent"))))
+    sets = _alike_sets(rows, similar)
+    asked = rows.select("event_id", "session_id", "micros", "tool_name", "set", "behind").join(sets, ["session_id", "set"]).withColumn("prior", F.lit(None).cast(rows.schema["prior"].dataType)).drop("set")
+    priors = rows.where("is_prior").select("event_id", "session_id", "micros", "tool_name", "behind", F.col("set").alias("other_set"), "prior")
+    found = _newest_of_another_tool(asked.unionByName(priors), "other_set", "by_set", after=F.col("prior").isNotNull()).where("prior is null").withColumn("by_set", recent(F.col("by_set")))
+    found = found.groupBy("event_id").agg(F.max("by_set").alias("by_set"))
+    rows = rows.join(found, "event_id", "left").withColumn("best", F.greatest("by_raw", "by_norm", "by_intent", "by_set")).where(F.col("best").isNotNull())
+    other = F.col("tool_name") != F.col("best.tool_name")
     rule = (
-        F.when(F.col("raw") == F.col("p_raw"), "exact").when((F.col("norm") == F.col("p_norm")) & ~other, "normalized_same_tool").when(F.col("norm") == F.col("p_norm"), "normalized_cross_tool")
-        .when((F.col("intent") == F.col("p_intent")) & (F.col("intent") != "non-destructive") & other, "intent_cross_tool").when((alike >= similar) & other, "similar_cross_tool")
+        F.when(F.col("raw") == F.col("best.raw"), "exact").when((F.col("norm") == F.col("best.norm")) & ~other, "normalized_same_tool").when(F.col("norm") == F.col("best.norm"), "normalized_cross_tool")
+        .when((F.col("intent") == F.col("best.intent")) & (F.col("intent") != "non-destructive") & other, "intent_cross_tool").otherwise("similar_cross_tool")
     )
-    hits = joined.withColumn("rule", rule).where(F.col("rule").isNotNull())
-    return hits.groupBy("event_id").agg(F.max(F.struct("p_micros", "p_id", "rule")).alias("best")).select("event_id", F.col("best.p_id").alias("prior_event_id"), F.col("best.rule").alias("rule"))
+    return rows.select("event_id", F.col("best.event_id").alias("prior_event_id"), rule.alias("rule"))
+
+
+def _newest_of_another_tool(rows: DataFrame, key: str, name: str, after: Column | None = None) -> DataFrame:
+    """Add the newest prior before each row with its key and another tool.
+
+    Beside each prior stands the newest before it of another tool: the one before the last change of tool. after: where rows of an event come
+    after others of the same time and id.
+    """
+    order = Window.partitionBy("session_id", key).orderBy("micros", "event_id", *([after] if after is not None else []))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_last", F.last("prior", ignorenulls=True).over(before))
+    change = F.col("prior").isNotNull() & (F.col("_last.tool_name") != F.col("prior.tool_name"))
+    carried = F.last(F.when(change, F.col("_last")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_pair", F.when(F.col("prior").isNotNull(), F.struct(F.col("prior").alias("last"), carried.alias("other"))))
+    rows = rows.withColumn("_pair", F.last("_pair", ignorenulls=True).over(before))
+    newest = F.when(F.col("_pair.last.tool_name") != F.col("tool_name"), F.col("_pair.last")).otherwise(F.col("_pair.other"))
+    return rows.withColumn(name, newest).drop("_last", "_pair")
+
+
+def _alike_sets(rows: DataFrame, similar: float) -> DataFrame:
+    """(session_id, set, other_set): sets of words of events, and the sets of priors in their session that are as alike as ``similar``.
+
+    A prefix of n - ceil(similar * n) + 1 words in order of their hash suffices for two alike sets to share a word.
+    """
+    distinct = rows.groupBy("session_id", "set").agg(F.first("words").alias("words"), F.max("is_prior").alias("is_prior")).where(F.size("words") > 0)
+    n = F.size("words")
+    by_hash = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["h"])
+    keyed = distinct.withColumn("word", F.explode(F.slice(by_hash, 1, (n - F.ceil(F.lit(similar) * n - 1e-9) + 1).cast("int"))))
+    other = keyed.where("is_prior").select("session_id", "word", F.col("set").alias("other_set"), F.col("words").alias("other_words"))
+    both = keyed.join(other, ["session_id", "word"])
+    alike = F.size(F.array_intersect("words", "other_words")) / F.size(F.array_union("words", "other_words")) >= similar
+    return both.where(alike).select("session_id", "set", "other_set").distinct()
 
 
 def replay_enriched(events: DataFrame, effects: DataFrame) -> DataFrame:
