@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,24 +187,38 @@ def trajectory_events(turns: DataFrame) -> DataFrame:
 def sampled_events(events: DataFrame, window: float, unit: float = 1.0) -> DataFrame:
     """(session_id, tool_name, event_id, suppressed): one event per session and tool in a window that starts at the last emitted one.
 
-    A gap of at least the window starts a new run on its own; within a run the emission times are a short fold over
-    the run's rows, so no fold spans a whole key unless its rows never pause.
+    Which event is next depends on the last emitted one, so it can't be told from a row's neighbours: the events are sorted by key and time, and a
+    pass over the sorted rows jumps from one emitted event to the next. It holds one key's last time and count, not the key's rows.
     """
     tick = int(window * unit * 1e6)
     key = ["session_id", "tool_name"]
-    order = Window.partitionBy(*key).orderBy("micros", "event_id")
-    rows = events.select(*key, "event_id", "micros").withColumn("gap", F.col("micros") - F.lag("micros").over(order))
-    rows = rows.withColumn("run", F.count_if(F.col("gap").isNull() | (F.col("gap") >= tick)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct("micros", "event_id"))).alias("rows"))
-    none = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(0).alias("dropped"), F.array().cast("array<struct<event_id:bigint,suppressed:int>>").alias("out"))
-    folded = F.aggregate(
-        "rows", none,
-        lambda s, x: F.when(
-            s["at"].isNull() | (x["micros"] - s["at"] >= tick),
-            F.struct(x["micros"].alias("at"), F.lit(0).alias("dropped"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), s["dropped"].alias("suppressed")))).alias("out")),
-        ).otherwise(F.struct(s["at"].alias("at"), (s["dropped"] + 1).alias("dropped"), s["out"].alias("out"))),
-    )
-    return runs.select(*key, F.inline(folded["out"]))
+    rows = events.select(*key, "event_id", "micros").repartition(*key).sortWithinPartitions(*key, "micros", "event_id")
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        last = due = None
+        dropped = 0
+        for batch in batches:
+            micros = batch["micros"].to_numpy()
+            coded = [batch[k].factorize(use_na_sentinel=False)[0] for k in key]
+            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in coded], axis=0)) + 1 if len(batch) else []
+            emitted, suppressed = [], []
+            for lo, hi in zip([0, *cut], [*cut, len(batch)], strict=True):
+                name = tuple(None if pd.isna(x) else x for x in batch[key].iloc[lo]) if hi > lo else last
+                if name != last:
+                    last, due, dropped = name, None, 0
+                at = lo
+                while at < hi:
+                    nxt = at if due is None else at + int(np.searchsorted(micros[at:hi], due))
+                    dropped += nxt - at
+                    if nxt < hi:
+                        emitted.append(nxt)
+                        suppressed.append(dropped)
+                        due, dropped, nxt = micros[nxt] + tick, 0, nxt + 1
+                    at = nxt
+            yield batch[[*key, "event_id"]].iloc[emitted].assign(suppressed=np.array(suppressed, np.int32))
+
+    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*key, "event_id"]) + ", suppressed int")
 
 
 def first_requests(requests: DataFrame, ttl: float, unit: float = 1.0) -> DataFrame:

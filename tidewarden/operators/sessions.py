@@ -19,26 +19,17 @@ def frequency_d4(events: DataFrame, unit: float = 1.0, burst: int = 10, repetiti
     """Add freq_d4: 2 for ``burst`` calls of one tool within 5 time units, 1 for ``repetitive`` of one tool or ``rate`` of all within 60.
 
     The bounds are inclusive; the row itself counts, later rows of the same instant don't. ``unit`` is the
-    length of a time unit in seconds. Every tool of the session counts, not the row's alone, so a list of the calls
-    of the last 60 units is looked through, but only where their number reaches a threshold.
+    length of a time unit in seconds. Every tool of the session counts, not the row's alone: a tool has n calls in a window if its n-th newest call
+    lies in it, and the largest time of an n-th newest call, over all rows so far, is that of some tool's newest call. So running maxima decide, in one order of the session.
     """
     tick = int(unit * 1e6)
-    out = events
-    session = Window.partitionBy("session_id").orderBy("micros")
-    everyone = Window.partitionBy("session_id", "micros").orderBy(F.col("event_id").desc())
-    out = out.withColumn("all60", F.count("*").over(session.rangeBetween(-60 * tick, 0)) - (F.row_number().over(everyone) - 1))
-    tools = F.collect_list(F.struct("micros", "event_id", "tool_name")).over(session.rangeBetween(-60 * tick, 0))
-    busy = (F.col("all60") >= min(burst, repetitive))
-    out = out.withColumn("calls", F.when(busy, tools))
-    here = F.struct("micros", "event_id")
-
-    def most(width: int) -> Column:
-        near = F.filter("calls", lambda c: (c["micros"] >= F.col("micros") - width * tick) & (F.struct(c["micros"].alias("micros"), c["event_id"].alias("event_id")) <= here))
-        names = F.transform(near, lambda c: c["tool_name"])
-        return F.coalesce(F.array_max(F.transform(F.array_distinct(names), lambda t: F.size(F.filter(names, lambda n: n == t)))), F.lit(0))
-
-    value = F.when(most(5) >= burst, 2).when((most(60) >= repetitive) | (F.col("all60") >= rate), 1).otherwise(0)
-    return out.withColumn("freq_d4", value).drop("all60", "calls")
+    by_tool = Window.partitionBy("session_id", "tool_name").orderBy(*ORDER)
+    so_far = _session().rowsBetween(Window.unboundedPreceding, 0)
+    out = events.withColumns({"_burst": F.lag("micros", burst - 1).over(by_tool), "_many": F.lag("micros", repetitive - 1).over(by_tool)})
+    out = out.withColumns({"_burst": F.max("_burst").over(so_far), "_many": F.max("_many").over(so_far), "_all": F.lag("micros", rate - 1).over(_session())})
+    within = lambda c, width: F.coalesce(F.col(c) >= F.col("micros") - width * tick, F.lit(False))
+    value = F.when(within("_burst", 5), 2).when(within("_many", 60) | within("_all", 60), 1).otherwise(0)
+    return out.withColumn("freq_d4", value).drop("_burst", "_many", "_all")
 
 
 def accumulation(events: DataFrame, mid: int = 2, high: int = 5, t: S.Thresholds = S.Thresholds(), freq: Column | None = None) -> DataFrame:
