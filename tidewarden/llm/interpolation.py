@@ -44,18 +44,20 @@ def is_held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
 class _Tokens:
     """All tokens of a group with their contexts: words, then one end for each document."""
 
-    def __init__(self, ids: list, texts: list[bytes | None], split):
+    def __init__(self, ids: list, texts: list[bytes | None], split, bits: int = 64):
+        """split(id): whether a document is held out; bits: how many of a hash's upper bits keys keep."""
+        self.mask = np.uint64(((1 << 64) - 1) ^ ((1 << 64 - bits) - 1))
         token, owner = [], []
-        for at, part in K.chunks([t or b"" for t in texts]):
+        for at, part in K.chunks([t or b"" for t in texts], 1 << 18):
             c = K.Chunk.of(part)
             start, end, doc = c.words()
             c.buf = _LOWER[c.buf]
             place = np.concatenate([doc, np.arange(len(part))])
             order = np.argsort(place, kind="stable")
             token.append(np.concatenate([c.word_hash(start, end), np.full(len(part), _END)])[order])
-            owner.append(place[order] + at)
+            owner.append((place[order] + at).astype(np.int32))
         self.token = np.concatenate(token) if token else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
         self.train = ~np.array([split(i) for i in ids], bool)
         self.back = [self._shift(1), self._shift(2)]
         self.first = np.flatnonzero(np.diff(self.owner, prepend=-1))
@@ -72,14 +74,14 @@ class _Tokens:
         out = self.token
         for j in range(order - 1):
             out = K.mix(out + self.back[j] * np.uint64(0x9E3779B97F4A7C15 + 2 * j))
-        return out
+        return out & self.mask
 
     def start_key(self, order: int) -> np.uint64:
         """The context of that order at a document's start."""
         out = np.full(1, _START)
         for j in range(order - 1):
             out = K.mix(out + np.full(1, _START) * np.uint64(0x9E3779B97F4A7C15 + 2 * j))
-        return out[0]
+        return out[0] & self.mask
 
 
 class _Level:
@@ -97,6 +99,8 @@ class _Level:
         self.train = np.bincount(self.place, weight, minlength=len(self.keys)).astype(np.int64)
         if starts:
             self.train[place[-1]] += int(t.train.sum())
+        if len(self.keys) < 1 << 31:
+            self.place = self.place.astype(np.int32)
         self.local = np.zeros(len(self.keys), bool)
         self.local[self.place[alone[wanted]]] = True
         self.asked = np.flatnonzero(~self.local)
@@ -111,6 +115,8 @@ class _Level:
 
     def spread(self, t: _Tokens, values: np.ndarray) -> np.ndarray:
         """values of the distinct n-grams, for each token."""
+        if values.dtype == np.int64 and (not len(values) or values.max() < 1 << 31):
+            values = values.astype(np.int32)
         out = np.zeros(len(t.token), values.dtype)
         out[self.wanted] = values[self.place]
         return out
@@ -124,15 +130,13 @@ class _Level:
 
 
 class _Counts:
-    """Levels 1..upto of a group; of the orders whose replies are known, each token's counts in the corpus and in its own group."""
+    """The n-grams of order upto of a group (last); of the orders whose replies are known, each token's counts in the corpus and in its own group."""
 
     def __init__(self, t: _Tokens, replies: list[np.ndarray], most: int, upto: int):
-        self.levels: list[_Level] = []
         self.count, self.context, self.own, self.own_context = [], [], [], []
         wanted, alone = np.ones(len(t.token), bool), np.zeros(len(t.token), bool)
         for order in range(1, upto + 1):
-            level = _Level(t, order, wanted, alone, most)
-            self.levels.append(level)
+            self.last = level = _Level(t, order, wanted, alone, most)
             if order <= len(replies):
                 level.resolve(replies[order - 1])
                 self.count.append(level.spread(t, level.total))
@@ -228,7 +232,11 @@ def score(
     """
     spark = docs.sparkSession
     X.ensure_checkpoint_dir(spark)
-    n = max(_FOLDS, X.group_count(X.text_bytes(docs, text_col), group_bytes, 8 << 20))
+    size = X.text_bytes(docs, text_col)
+    n = max(_FOLDS, X.group_count(size, group_bytes, 6 << 20))
+    # n-grams are told apart by 64 bits of hash, or as many as leave less than one pair of equal keys to expect
+    bits = min(64, 2 * max(16, (size // 4).bit_length()))
+    start = _START & np.uint64(((1 << 64) - 1) ^ ((1 << 64 - bits) - 1))
     dealt = X.deal(docs, n, id_col, text_col)
 
     def held(i):
@@ -250,7 +258,7 @@ def score(
                 out.append((grp, bucket, level, X.pack_array(_small(reply[place[at : at + len(k)]]))))
                 at += len(k)
             if level == 1:
-                seen = (total > 0) & (uniq != _START)
+                seen = (total > 0) & (uniq != start)
                 out.append((_TOTALS, rows[0][1], _TOTALS, struct.pack("<qq", int(seen.sum()), int(total[seen].sum()))))
             return X.table_of(X._REPLY, out)
 
@@ -262,7 +270,7 @@ def score(
         def make(group, ids, texts, got=(), level=level):
             if not ids:
                 return X.table_of(X._ENTRY, [])
-            last = _Counts(_Tokens(ids, texts, held), _replies(got, level - 1), order, level).levels[-1]
+            last = _Counts(_Tokens(ids, texts, held, bits), _replies(got, level - 1), order, level).last
             keys, train = last.keys[last.asked], last.train[last.asked]
             return X.send(group, level, n, keys, lambda lo, hi: X.join_blobs([X.pack_keys(keys[lo:hi]), X.pack_array(_small(train[lo:hi]))]))
 
@@ -274,9 +282,12 @@ def score(
         """The group's replies in one row, and the histogram of its tokens' estimates from all other groups."""
         if not ids:  # totals pass through
             return X.table_of(X._REPLY, [(group, b, lv, raw) for lv, b, raw in got])
-        t = _Tokens(ids, texts, held)
+        t = _Tokens(ids, texts, held, bits)
         replies = _replies(got, order)
-        bucket, estimates, first = _Counts(t, replies, order, order).parts(t.train[t.owner], held_out=True)
+        counts = _Counts(t, replies, order, order)
+        del counts.last
+        bucket, estimates, first = counts.parts(t.train[t.owner], held_out=True)
+        del counts
         cell = bucket
         for e in estimates:
             ratio = np.log2(np.maximum(e, 1e-300) / (first + 1.0))
@@ -326,15 +337,17 @@ def score(
     def finish(group, ids, texts, got):
         if not ids:
             return X.table_of(_RESULT, [])
-        t = _Tokens(ids, texts, held)
+        t = _Tokens(ids, texts, held, bits)
         packed = next(raw for lv, _, raw in got if lv == _COUNTS)
         replies = [X.unpack_array(x).astype(np.int64) for x in X.split_blobs(packed)]
-        bucket, estimates, first = _Counts(t, replies, order, order).parts(np.arange(len(t.token)), held_out=False)
-        w = table[bucket]
+        counts = _Counts(t, replies, order, order)
+        del counts.last, replies, texts
+        bucket, estimates, first = counts.parts(slice(None), held_out=False)
+        del counts
         base = (first + 1.0) / below
-        p = w[:, 0] * base
+        p = table[bucket, 0] * base
         for j, e in enumerate(estimates):
-            p = p + w[:, j + 1] * e
+            p += table[bucket, j + 1] * e
         m = len(ids)
         columns = [
             np.bincount(t.owner, minlength=m), np.bincount(t.owner[first > 0], minlength=m),
