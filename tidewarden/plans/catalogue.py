@@ -40,7 +40,7 @@ def injection_scores(spark: SparkSession, d: str) -> DataFrame:
 def output_findings(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.outputs import analyze_outputs
 
-    return analyze_outputs(tool_outputs(spark, d)).select("output_id", "instructional", "exfiltration", "secret_exposure", "obfuscation", "score", "tier")
+    return analyze_outputs(tool_outputs(spark, d)).select("output_id", "instructional", "exfiltration", "secret_exposure", F.round("obfuscation", 4).alias("obfuscation"), "score", "tier")
 
 
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:

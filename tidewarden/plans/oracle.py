@@ -222,7 +222,7 @@ s AS (SELECT output_id, origin, {counted('body', P.INSTRUCTIONAL)} / 4.0::DOUBLE
 c AS (SELECT *, round(least(3.0, (CASE WHEN instructional > 0.5 THEN instructional ELSE 0 END + exfiltration + secret_exposure + CASE WHEN obfuscation > 0.1 THEN obfuscation ELSE 0 END) * CASE WHEN origin = 'external' THEN 1.3::DOUBLE ELSE 1 END), 3) AS score FROM s),
 t AS (SELECT *, greatest(CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.3 THEN 1 ELSE 0 END, CASE WHEN exfiltration > 0 THEN 2 ELSE 0 END,
     CASE WHEN secret_exposure > 0 THEN CASE WHEN high_secret THEN 3 ELSE 2 END ELSE 0 END, CASE WHEN obfuscation > 0.1 THEN CASE WHEN exfiltration > 0 OR secret_exposure > 0 THEN 3 ELSE 1 END ELSE 0 END) AS tier_rank FROM c)
-SELECT output_id, instructional, exfiltration, secret_exposure, obfuscation, score, ['log_only', 'monitor', 'escalate', 'emergency'][tier_rank + 1] AS tier FROM t""",
+SELECT output_id, instructional, exfiltration, secret_exposure, round(obfuscation, 4) AS obfuscation, score, ['log_only', 'monitor', 'escalate', 'emergency'][tier_rank + 1] AS tier FROM t""",
     "redact_secrets": f"SELECT doc_id, regexp_replace(coalesce(text, ''), '{_q(P.REDACT)}', '[REDACTED]', 'gi') AS redacted FROM documents",
     "entropy": """WITH c AS (SELECT doc_id, u.ch, count(*) AS n FROM documents, unnest(string_split(coalesce(text, ''), '')) AS u(ch) GROUP BY ALL)
 SELECT doc_id, round(coalesce((SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM c WHERE c.doc_id = d.doc_id), 0), 4) AS entropy FROM documents d""",
