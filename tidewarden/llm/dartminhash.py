@@ -155,7 +155,7 @@ def band_keys(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFram
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, part in K.chunks(texts, 1 << 18):
+            for at, part in K.chunks(texts, 1 << 16):
                 doc, key, count = shingles(part, size)
                 n, m = np.bincount(doc, minlength=len(part)), np.bincount(doc, count, minlength=len(part)).astype(np.int64)
                 keys = _bands(signatures(doc, key, count.astype(np.float64), len(part), k), bands, per_band)

@@ -45,17 +45,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession):
-    """Inside, plans that are made and run drop their shuffle files as soon as they have run."""
-    before = spark.conf.get(_CLEANUP, "false")
+    """Inside, plans that are made and run drop their shuffle files as soon as they have run, and texts reach Python in small batches."""
+    before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    if not before[_BATCH] or not 0 < int(before[_BATCH]) <= _MOST_ROWS:
+        spark.conf.set(_BATCH, str(_MOST_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def settle(df: DataFrame, each: int = 200_000) -> tuple[DataFrame, int]:

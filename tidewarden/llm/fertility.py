@@ -76,7 +76,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 class WordTokens:
     """Token ids of words, each encoded once; at most ``most`` words are remembered."""
 
-    def __init__(self, model: str, most: int = 200_000):
+    def __init__(self, model: str, most: int = 100_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)

@@ -133,7 +133,7 @@ class Chunk:
         return spans_hash(prefix(self.byte_values(), 0), start, end, 0)
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20):
+def chunks(texts: list[bytes], most: int = 1 << 18):
     """(first index, texts) of consecutive runs of at most about most bytes; a longer text stands alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -161,7 +161,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
 
     def distinct(bodies: list[bytes]) -> np.ndarray:
         """Ascending distinct grams of the texts."""
-        parts = [K.unique_counts(grams(part, order)[0])[0] for _, part in K.chunks(bodies)]
+        parts = [K.unique_counts(grams(part, order)[0])[0] for _, part in K.chunks(bodies, 1 << 20)]
         return K.unique_counts(np.concatenate(parts))[0] if parts else np.zeros(0, np.uint64)
 
     def ask(group, ids, texts, got):
@@ -171,7 +171,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
         bodies = opened(texts)[1]
         g = distinct(bodies)
         count = np.zeros(len(g), np.int64)
-        for _, part in K.chunks([b for b, use in zip(bodies, known & ~out, strict=True) if use]):
+        for _, part in K.chunks([b for b, use in zip(bodies, known & ~out, strict=True) if use], 1 << 20):
             mine, c = K.unique_counts(grams(part, order)[0])
             count[np.searchsorted(g, mine)] += c
         mixed = K.mix(g)
@@ -243,7 +243,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
         logp = np.empty(len(g))
         logp[K.sort_order(K.mix(g))] = np.concatenate([X.unpack_array(raw) for level, _, raw in got if level == 0])
         rows = []
-        for at, part in K.chunks(bodies):
+        for at, part in K.chunks(bodies, 1 << 20):
             mine, owner = grams(part, order)
             uniq, place = K.unique_inverse(mine)
             per = logp[np.searchsorted(g, uniq)][place]
