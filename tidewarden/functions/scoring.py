@@ -54,14 +54,17 @@ def paths_of(path: Column, command: Column) -> Column:
 
 
 def d2(path: Column, command: Column) -> Column:
-    """Sensitivity of the paths, 0-3: system 3, else configuration 1, else credentials 2; no path 1."""
-    paths = paths_of(path, command)
-    score = F.transform(
-        paths,
-        lambda p: F.when(matches(p, P.SYSTEM_CRITICAL, ignore_case=False), 3).when(matches(p, P.CONFIG_PATH), 1)
-        .when(matches(p, P.CREDENTIAL_PATH) | F.lower(p).contains(".gnupg/"), 2).otherwise(0),
+    """Sensitivity of the paths, 0-3: system 3, else configuration 1, else credentials 2; no path 1.
+
+    The paths stand in lines, so that each level is one expression over all of them (see paths_of for what counts as one).
+    """
+    words = F.regexp_replace(F.concat(F.regexp_replace(text(command), r"\s+", "\n"), F.lit("\n")), r"(?m)^(?![/~]|(?!-)[^\n]*/)[^\n]*\n", "")
+    lines = F.concat(F.when(text(path) != "", F.concat(F.regexp_replace(text(path), r"\n", " "), F.lit("\n"))).otherwise(""), words)
+    secret = rf"(?m)^(?!.*{P.CONFIG_PATH})(?=.*(?:{P.CREDENTIAL_PATH}|\.gnupg/))"
+    return (
+        F.when(lines == "", 1).when(matches(lines, rf"(?m){P.SYSTEM_CRITICAL}", ignore_case=False), 3).when(matches(lines, secret), 2)
+        .when(matches(lines, rf"(?m){P.CONFIG_PATH}"), 1).otherwise(0)
     )
-    return F.when(F.size(paths) == 0, 1).otherwise(F.array_max(score))
 
 
 def d3(tool: Column, command: Column) -> Column:
@@ -81,14 +84,31 @@ def d5(trust: Column) -> Column:
     return F.when(trust.isin("privileged", "elevated"), 0).when(trust == "standard", 1).otherwise(2)
 
 
-def d6(content: Column, tool: Column | None = None, origin: Column | None = None, boost: float = 0.0) -> Column:
-    """Injection score of a text, 0-3: invisible characters, weak, strong and tool-specific patterns, external boost."""
-    body = F.substring(text(content), 1, 65536)
-    plain = normalized(body)
+def scanned(content: Column) -> Column:
+    """The part of a text that counts: 65 536 characters."""
+    return F.substring(text(content), 1, 65536)
+
+
+def weak_hits(plain: Column) -> Column:
+    return count_of(plain, P.WEAK_INJECTION)
+
+
+def strong_hits(plain: Column) -> Column:
+    return count_of(plain, P.STRONG_INJECTION, dot_all=True)
+
+
+def d6(content: Column, tool: Column | None = None, origin: Column | None = None, boost: float = 0.0, plain: Column | None = None, hits: tuple[Column, Column] | None = None) -> Column:
+    """Injection score of a text, 0-3: invisible characters, weak, strong and tool-specific patterns, external boost.
+
+    plain: a column that already holds normalized(scanned(content)), so that it is made once and not for each pattern; hits: columns of weak_hits
+    and strong_hits of it.
+    """
+    body = scanned(content)
+    plain = normalized(body) if plain is None else plain
+    weak, strong = hits or (weak_hits(plain), strong_hits(plain))
     score = (
         F.least(F.regexp_count(body, F.lit(P.INVISIBLE)) * 0.8, F.lit(2.4))
-        + F.least(count_of(plain, P.WEAK_INJECTION) * 0.3, F.lit(1.5))
-        + F.least(count_of(plain, P.STRONG_INJECTION, dot_all=True) * 0.8, F.lit(2.4))
+        + F.least(weak * 0.3, F.lit(1.5)) + F.least(strong * 0.8, F.lit(2.4))
     )
     if tool is not None:
         reads = matches(plain, r"<!--\s*IMPORTANT.*?-->", dot_all=True).cast("int") + matches(plain, r"!\[.*?\]\(https?://[^)]+\?[^)]+\)", ignore_case=False).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -17,8 +18,9 @@ def text(c: Column | str) -> Column:
 
 
 @functools.cache
-def _folded() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility form without marks is one other character, these forms, and the longer forms of the rest.
+def _folded() -> tuple[str, str, dict[str, str], str]:
+    """Characters whose compatibility form without marks is one other character, these forms, the longer forms of the rest,
+    and an expression for the latter.
 
     Marks have an empty form, so that translate() drops them; the emoji selector U+FE0F stays.
     """
@@ -34,7 +36,11 @@ def _folded() -> tuple[str, str, dict[str, str]]:
                 to.append(plain)
             elif plain != c:
                 longer[c] = plain
-    return "".join(one + dropped), "".join(to), longer
+    points = sorted(map(ord, longer))
+    starts = [x for k, x in enumerate(points) if not k or points[k - 1] != x - 1]
+    ends = [x for k, x in enumerate(points) if k + 1 == len(points) or points[k + 1] != x + 1]
+    several = "[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in zip(starts, ends, strict=True)) + "]"
+    return "".join(one + dropped), "".join(to), longer, several
 
 
 def normalized(c: Column) -> Column:
@@ -43,11 +49,10 @@ def normalized(c: Column) -> Column:
     ASCII texts pass as they are. Forms of one character are translated in one pass; texts that hold a character with a longer form are
     mapped character by character. Conjoining Hangul letters aren't composed.
     """
-    one, to, longer = _folded()
-    several = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in longer) + "]"
-    spelled = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    one, to, longer, several = _folded()
+    spelled = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")  # one constant
     wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(spelled, x), x)), "")
-    folded = F.translate(F.when(c.rlike(several), wide).otherwise(c), one, to)
+    folded = F.translate(F.when(F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(several), wide).otherwise(c), one, to)
     return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(folded, P.INVISIBLE, ""))
 
 

@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.signals import archive_signals, base_signals, dangerous_execution, text
+from ..functions.signals import archive_signals, base_signals, dangerous_execution, normalized, text
 
 
 def dimensions(events: DataFrame, boost: float = 0.0) -> DataFrame:
     """Add d1, d2, d3, d5 and d6. Needs tool_name, path, command, content and trust; nulls count as empty."""
     tool, path, command, content = (F.col(c) for c in ("tool_name", "path", "command", "content"))
     origin = F.when(F.lower(text(tool)).isin("http_request", "fetch", "web_fetch"), "external").otherwise("user")
-    injected = F.concat_ws(" ", command, path, content)
-    found = F.struct(
-        S.d1(tool, command).alias("d1"), S.d2(path, command).alias("d2"), S.d3(tool, command).alias("d3"), S.d5(F.col("trust")).alias("d5"),
-        F.round(S.d6(injected, tool, origin, boost), 4).alias("d6"),
-    )
-    # one struct, made once a row. Its partition number keeps filters on levels above it: pushed below, they would repeat every pattern for each use
-    names = ["d1", "d2", "d3", "d5", "d6"]
-    rows = events.withColumn("_found", F.struct(found.alias("dims"), F.spark_partition_id().alias("part")))
-    return rows.select(*events.columns, *[F.col(f"_found.dims.{n}").alias(n) for n in names])
+    # the text is made plain once a row, in a column of its own
+    rows = events.withColumn("_text", F.concat_ws(" ", command, path, content)).withColumn("_plain", normalized(S.scanned(F.col("_text"))))
+    # the partition's number adds nothing, but keeps filters on levels above: pushed below, they would repeat every pattern for each use
+    nothing = F.spark_partition_id() * 0
+    # one projection each, as the compiled code of all in one would be too long for the just-in-time compiler
+    steps = {
+        "_weak": S.weak_hits(F.col("_plain")), "_strong": S.strong_hits(F.col("_plain")), "d1": S.d1(tool, command), "d2": S.d2(path, command), "d3": S.d3(tool, command), "d5": S.d5(F.col("trust")),
+        "d6": F.round(S.d6(F.col("_text"), tool, origin, boost, F.col("_plain"), (F.col("_weak"), F.col("_strong"))), 4),
+    }
+    for name, column in steps.items():
+        rows = rows.select("*", (column + nothing).alias(name))
+    return rows.drop("_text", "_plain", "_weak", "_strong")
 
 
 def with_level(rows: DataFrame, d4: Column, t: S.Thresholds = S.Thresholds()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import outputs as O
 from ..functions import patterns as P
 from ..functions import scoring as S
-from ..functions.signals import any_of
+from ..functions.signals import any_of, normalized
 from ..operators import correlate, escalate, normalize, reports, rules, score, sequences, sessions
 from ..sources.fixtures import agent_events, table, tool_outputs
 from . import oracle
@@ -34,7 +34,8 @@ def preset_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def injection_scores(spark: SparkSession, d: str) -> DataFrame:
-    return tool_outputs(spark, d).select("output_id", F.round(S.d6(F.col("output")), 4).alias("d6"))
+    rows = tool_outputs(spark, d).withColumn("plain", normalized(S.scanned(F.col("output"))))
+    return rows.select("output_id", F.round(S.d6(F.col("output"), plain=F.col("plain")), 4).alias("d6"))
 
 
 def output_findings(spark: SparkSession, d: str) -> DataFrame:
