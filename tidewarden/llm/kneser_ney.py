@@ -209,8 +209,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
         _, _, g, c = shard(table)
         return X.table_of([("kind", pa.int32()), ("key", pa.int32()), ("n", pa.int64())], shard_statistics(g, c, order))
 
-    sent, _ = X.settle(X.entries_after(dealt, marks, ask))
-    mid, _ = X.settle(sent.groupBy("bucket").applyInArrow(merge, X.REPLIES))
+    sent, _ = X.settle(X.entries_after(dealt, marks, ask), each=1)  # few rows, each of them large
+    mid, _ = X.settle(sent.groupBy("bucket").applyInArrow(merge, X.REPLIES), each=1)
     pairs, of_order = np.zeros(1 << 16, np.int64), {k: [0] * 4 for k in range(3, order + 1)}
     with X.tidy(docs.sparkSession):
         # at most 65,536 pairs and four counts an order
