@@ -298,7 +298,7 @@ def score(
         rows.append((group, 0, _COUNTS, X.join_blobs([X.pack_array(_small(x)) for x in replies])))
         return X.table_of(X._REPLY, rows)
 
-    kept = X.entries_after(dealt, replies, tally, X.REPLIES).checkpoint()
+    kept, _ = X.settle(X.entries_after(dealt, replies, tally, X.REPLIES), each=1)  # a row or two a group, each of them large
 
     def open_cells(batches):
         for batch in batches:
