@@ -15,7 +15,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 14))
 
 
 def test_pipeline_keeps_columns_and_decides(spark):

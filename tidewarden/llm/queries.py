@@ -77,6 +77,24 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), default_model())
 
 
+def op11_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    return assign_shards(_table(spark, sf_dir, "documents"), 24)
+
+
+def op12_rank_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op13_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -89,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_winnowing": op8_winnowing,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
         "op9_substring_dedup": op9_substring_dedup,
+        "op11_minimax_shards": op11_minimax_shards,
+        "op12_rank_convergence": op12_rank_convergence,
+        "op13_refined_whitening": op13_refined_whitening,
     }
 
 
