@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as P
 from .signals import has_token, text
 
 # fixed values
@@ -71,9 +72,22 @@ def activity(last_micros: Column, now_micros: Column, unit: float = 1.0) -> Colu
     return F.when(age <= 120, "hot").when(age <= 900, "warm").otherwise("idle")
 
 
-def payload_preview(payload: Column, most: int = 200) -> Column:
-    """(hash, preview) of a payload text."""
-    return F.struct(F.sha2(text(payload), 256).alias("hash"), F.substring(text(payload), 1, most).alias("preview"))
+def payload_preview(payload: Column, most: int = 96) -> Column:
+    """(hash, preview) of a payload, a JSON object with sorted keys or any other text.
+
+    The preview is its command, input or tool_input (the first that it has) or all of it, on one line, with the first value after each of four markers
+    hidden, of at most ``most`` characters. A nested value is shown as JSON.
+    """
+    body = text(payload)
+    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    shown = body
+    for key in ("tool_input", "input", "command"):
+        shown = F.when(F.array_contains(keys, key), text(F.get_json_object(body, f"$.{key}"))).otherwise(shown)
+    shown = F.regexp_replace(F.replace(shown, F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+$", "")
+    for marker in P.PREVIEW_MARKERS:
+        shown = F.regexp_replace(shown, f"(?is)^(.*?{marker})[^ ]*", "$1…")
+    preview = F.when(F.length(shown) > most, F.concat(F.substring(shown, 1, most - 1), F.lit("…"))).otherwise(shown)
+    return F.struct(F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("hash"), preview.alias("preview"))
 
 
 def call_cost(input_tokens: Column, output_tokens: Column, price_in: Column, price_out: Column) -> Column:

@@ -31,10 +31,39 @@ def secret_exposure(c: Column) -> Column:
 def entropy(c: Column) -> Column:
     """Shannon entropy of the characters in bits, over the whole text: how often each distinct character occurs is the length that its removal takes off."""
     body = text(c)
+    return F.when(F.length(body) > 0, _entropy_of(body, _alphabet(body))).otherwise(0.0)
+
+
+def _alphabet(body: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(body, "")), lambda x: x != "")
+
+
+def _entropy_of(body: Column, letters: Column) -> Column:
     n = F.length(body)
-    counts = F.transform(F.filter(F.array_distinct(F.split(body, "")), lambda x: x != ""), lambda x: (n - F.length(F.replace(body, x, F.lit("")))).cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k))
-    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
+    counts = F.transform(letters, lambda x: (n - F.length(F.replace(body, x, F.lit("")))).cast("double"))
+    return F.log2(n.cast("double")) - F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k)) / n
+
+
+#: Bits a character that hidden code has; a text of so many bits has more distinct characters than 2 ** BITS.
+BITS = 5.5
+
+
+def entropy_above(c: Column, least: float = BITS) -> Column:
+    """entropy() of a text longer than 50 characters where it can exceed ``least`` bits, else null.
+
+    The few commonest letters bound it: with their counts known, it is largest if all other characters differ evenly.
+    """
+    body = text(c)
+    n = F.length(body).cast("double")
+    often = F.transform(F.lit(list(" eantirso")), lambda x: n - F.length(F.replace(body, x, F.lit(""))))
+    known = F.aggregate(often, F.lit(0.0), lambda s, k: s + k)
+    spent = F.aggregate(often, F.lit(0.0), lambda s, k: s + F.when(k > 0, k * F.log2(k)).otherwise(0.0))
+    # at most 96 printable characters of ASCII and one more a character beyond it
+    others = F.least(n - known, F.lit(128.0) + F.octet_length(body) - n)
+    rest = n - known
+    bound = F.log2(n) - (spent + F.when(rest > 0, rest * F.log2(rest / others)).otherwise(0.0)) / n
+    letters = _alphabet(body)
+    return F.when((n > 50) & (bound > least - 1e-6), F.when(F.size(letters) > 2**least - 1, _entropy_of(body, letters)))
 
 
 def safe_pipe(c: Column) -> Column:
@@ -56,11 +85,17 @@ def obfuscation(c: Column, measured: Column | None = None) -> Column:
     )
     extra = F.lit(0.0)
     if measured is not None:
-        extra = F.when((F.length(c) > 50) & (measured > 5.5), F.least((measured - 5.5) / 2.5, F.lit(0.5))).otherwise(0.0)
+        extra = F.when((F.length(c) > 50) & (measured > BITS), F.least((measured - BITS) / 2.5, F.lit(0.5))).otherwise(0.0)
     return F.least(hits * 0.3 + extra, F.lit(1.0))
 
 
-def redacted(c: Column, most: int | None = None) -> Column:
-    """The text with secrets replaced; ``most`` characters of it, or all."""
-    out = F.regexp_replace(text(c), P.rx(P.REDACT), "[REDACTED]")
-    return out if most is None else F.substring(out, 1, most)
+def redacted(c: Column) -> Column:
+    """The whole text with secrets replaced."""
+    return F.regexp_replace(text(c), P.rx(P.REDACT), "[REDACTED]")
+
+
+def compact(c: Column, most: int = 160) -> Column:
+    """A text on one line with single spaces and secrets replaced, cut with a mark beyond ``most`` characters; null for one without words."""
+    one = F.regexp_replace(F.trim(F.regexp_replace(text(c), r"(?U)\s+", " ")), P.rx(P.REDACT), "[REDACTED]")
+    cut = F.concat(F.regexp_replace(F.substring(one, 1, most - 14), r"(?U)\s+$", ""), F.lit("...[truncated]"))
+    return F.when(one != "", F.when(F.length(one) > most, cut).otherwise(one))

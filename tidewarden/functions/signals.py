@@ -25,8 +25,10 @@ def _folded() -> tuple[str, str, dict[str, str], str]:
     Marks have an empty form, so that translate() drops them; the emoji selector U+FE0F stays.
     """
     one, to, longer, dropped = [], [], {}, []
-    for block in (range(0x80, 0xD800), range(0xE000, 0x11000), range(0x1D100, 0x1D800), range(0x1E000, 0x1F300), range(0x2F800, 0x2FA20), range(0xE0100, 0xE01F0)):
+    for block in (range(0x80, 0xD800), range(0xE000, 0x110000)):
         for c in map(chr, block):
+            if not unicodedata.decomposition(c) and unicodedata.category(c) != "Mn":
+                continue
             plain = "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c)) if unicodedata.category(x) != "Mn" or x == "\uFE0F")
             plain = unicodedata.normalize("NFC", plain)
             if plain == "":

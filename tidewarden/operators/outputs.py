@@ -11,7 +11,7 @@ from ..functions.signals import any_of, text
 
 
 def analyze_outputs(rows: DataFrame, multiplier: float = 1.3, allowed_paths: str | None = None, emergency: float = 0.9, escalate: float = 0.6, monitor: float = 0.3, with_entropy: bool = True) -> DataFrame:
-    """Add the four detector scores, their combined score and a tier to rows (output, origin, file_path).
+    """Add the four detector scores, their combined score, a tier and patterns_matched to rows (output, origin, file_path).
 
     The tier is the higher of the score's and a floor: exfiltration and secrets escalate at least, severe secrets and
     obfuscation beside either are an emergency. Paths that fit ``allowed_paths`` are logged only. One projection; texts count up
@@ -19,20 +19,22 @@ def analyze_outputs(rows: DataFrame, multiplier: float = 1.3, allowed_paths: str
     """
     rows = rows.withColumn("_body", O.plain(F.col("output")))
     body = F.col("_body")
-    measured = O.entropy(body) if with_entropy else None
+    measured = O.entropy_above(body) if with_entropy else None
     rows = rows.withColumns({
         "instructional": O.instructional(body), "exfiltration": O.exfiltration(body), "secret_exposure": O.secret_exposure(body), "obfuscation": O.obfuscation(body, measured),
         "_severe": any_of(body, P.HIGH_SECRETS),
     })
     some = lambda c, least: F.when(F.col(c) > least, F.col(c)).otherwise(0.0)
     total = some("instructional", 0.5) + F.col("exfiltration") + F.col("secret_exposure") + some("obfuscation", 0.1)
-    score = F.round(F.least(total * F.when(F.col("origin") == "external", multiplier).otherwise(1.0), F.lit(3.0)), 3)
+    combined = F.least(F.least(total, F.lit(3.0)) * F.when(F.col("origin") == "external", multiplier).otherwise(1.0), F.lit(3.0))
     allowed = text("file_path").rlike(allowed_paths) if allowed_paths else F.lit(False)
-    rows = rows.withColumn("score", F.when(allowed, 0.0).otherwise(score))
+    rows = rows.withColumn("_raw", F.when(allowed, 0.0).otherwise(combined)).withColumn("score", F.round("_raw", 3))
     leaks = (F.col("exfiltration") > 0) | (F.col("secret_exposure") > 0)
     rank = F.greatest(
-        F.when(F.col("score") >= emergency, 3).when(F.col("score") >= escalate, 2).when(F.col("score") >= monitor, 1).otherwise(0),
+        F.when(F.col("_raw") >= emergency, 3).when(F.col("_raw") >= escalate, 2).when(F.col("_raw") >= monitor, 1).otherwise(0),
         F.when(F.col("exfiltration") > 0, 2).otherwise(0), F.when(F.col("secret_exposure") > 0, F.when(F.col("_severe"), 3).otherwise(2)).otherwise(0),
         F.when(F.col("obfuscation") > 0.1, F.when(leaks, 3).otherwise(1)).otherwise(0),
     )
-    return rows.withColumn("tier", F.get(F.lit(O.TIERS), F.when(allowed, 0).otherwise(rank))).drop("_body", "_severe")
+    found = [("indirect_injection", F.col("instructional") > 0.5), ("exfiltration", F.col("exfiltration") > 0), ("secret_exposure", F.col("secret_exposure") > 0), ("obfuscation", F.col("obfuscation") > 0.1)]
+    names = F.array_compact(F.array(*[F.when(hit & ~allowed, name) for name, hit in found]))
+    return rows.withColumns({"tier": F.get(F.lit(O.TIERS), F.when(allowed, 0).otherwise(rank)), "patterns_matched": names}).drop("_body", "_severe", "_raw")

@@ -37,18 +37,17 @@ def high_risk_trend(scored: DataFrame, bucket: int = 300, buckets: int = 12, uni
 
 
 def invalid_rates(events: DataFrame, invalid: Column, windows: tuple[int, ...] = (1, 5, 15), unit: float = 60.0, as_of: int | None = None) -> DataFrame:
-    """(window, total, invalid, rate, alert) for each window length in units: over 20 invalid in 1, over 1 % in 5, over 0.1 % in 15."""
+    """(window, total, invalid, rate, alert) for each window length in units: critical for over 20 invalid in 1 or over 1 % in 5, medium for 0.1 to 1 % in 15; rates are tested before they are rounded."""
     rows = _with_now(events.select("micros", invalid.alias("bad")), as_of)
     rows = rows.where(F.col("micros") >= F.col("now") - int(max(windows) * unit * 1e6))
     inside = {w: F.col("micros") >= F.col("now") - int(w * unit * 1e6) for w in windows}
     counts = rows.agg(*[F.count_if(c).alias(f"t{w}") for w, c in inside.items()], *[F.count_if(c & F.col("bad")).alias(f"i{w}") for w, c in inside.items()])
     parts = [F.struct(F.lit(w).alias("window"), F.col(f"t{w}").alias("total"), F.col(f"i{w}").alias("invalid")) for w in windows]
     out = counts.select(F.inline(F.array(*parts)))
-    rate = F.when(F.col("total") > 0, F.round(F.col("invalid") / F.col("total"), 6)).otherwise(0.0)
-    out = out.withColumn("rate", rate)
-    alert = F.when((F.col("window") == 1) & (F.col("invalid") > 20), "critical").when((F.col("window") == 5) & (F.col("rate") > 0.01), "critical")
-    alert = alert.when((F.col("window") == 15) & (F.col("rate") >= 0.001) & (F.col("rate") <= 0.01), "warning").otherwise("none")
-    return out.withColumn("alert", alert)
+    rate = F.when(F.col("total") > 0, F.col("invalid") / F.col("total")).otherwise(0.0)
+    alert = F.when((F.col("window") == 1) & (F.col("invalid") > 20), "critical").when((F.col("window") == 5) & (rate > 0.01), "critical")
+    alert = alert.when((F.col("window") == 15) & (F.col("total") > 0) & (rate >= 0.001) & (rate <= 0.01), "medium").otherwise("none")
+    return out.select("*", F.round(rate, 6).alias("rate"), alert.alias("alert"))
 
 
 #: Weight of the invalid rate and the lower bounds of the states, best first, by version.
