@@ -28,9 +28,19 @@ def by_session(rows):
     return out
 
 
+def _rank(a, b, c, d, e, f, t):
+    """The level of one row, step by step."""
+    score = round((t.weight_max * max(a, b, c) + t.weight_d4 * d + t.weight_d5 * e) * (1.0 + t.injection * f / 3.0), 4)
+    rank = 3 if score >= t.critical else 2 if score >= t.high else 1 if score >= t.medium else 0
+    if (a == 3 and b >= 2) or c == 3:
+        rank = 3
+    elif a == b == c == 0:
+        rank = 0
+    return 1 if f >= 2.0 and rank == 0 else rank
+
+
 def test_accumulation_equals_a_sequential_count(spark):
     from tidewarden.functions.scoring import Thresholds
-    from tidewarden.streaming.events import _rank
 
     rows = sessions.accumulation(random_events(spark, 1)).collect()
     for events in by_session(rows).values():
@@ -183,3 +193,36 @@ def test_bypass_against_all_pairs(spark):
                     break
         got = {x.event_id: (x.prior_event_id, x.rule) for x in correlate.detect_bypass(scored, ttl, most).select(*map(F.col, ("event_id", "prior_event_id", "rule"))).collect()}
         assert got == expected and len({x for _, x in expected.values()}) == 5
+
+
+def test_blocks_give_the_rows_of_one_window(spark):
+    """Every operator that takes blocks, at several sizes, with one session of a third of all rows."""
+    from tidewarden.operators import blocks
+
+    rows = random_events(spark, 7, 420, 3)
+    r = random.Random(8)
+    hot = spark.createDataFrame([(1000 + i, 77, r.randrange(40) * SECOND, "pre_action", *r.choice(KINDS), None, r.choice(["standard", None])) for i in range(210)], EVENT)
+    rows = rows.unionByName(hot).unionByName(spark.createDataFrame([(2000 + i, None, i, "pre_action", *KINDS[i % 4], None, None) for i in range(60)], EVENT))
+    rows = score_events(rows).cache()
+    ops = {
+        "accumulation": lambda x: sessions.accumulation(x).select("event_id", "session_id", "prior_high", "d4", "composite", "risk_level"),
+        "risk": sessions.session_risk, "changes": sessions.risk_changes, "points": sessions.cumulative_points, "enforcement": lambda x: sessions.enforcement(x, 3, 5.0), "history": sequences.suspicious_history, "trajectories": sequences.detect_trajectories,
+    }
+    expected = {name: sorted(map(str, op(rows).collect())) for name, op in ops.items()}
+    for most in (200, 11):
+        split = blocks.split_long_sessions(rows, most).cache()
+        sizes = split.groupBy("session_id", "block").count().collect()
+        assert sum(x["count"] for x in sizes) == rows.count() and max(x["count"] for x in sizes) <= max(3 * most, 40) and len(sizes) > 4
+        for name, op in ops.items():
+            assert sorted(map(str, op(split).collect())) == expected[name], (name, most)
+    assert "block" in blocks.split_long_sessions(rows, 10_000).columns and blocks.split_long_sessions(rows.limit(0), 5).count() == 0
+
+
+def test_tails_reach_over_short_blocks(spark):
+    from tidewarden.operators import blocks
+
+    rows = spark.createDataFrame([(1, t, t, 1 + t // 2) for t in range(12)] + [(2, t, t, 0) for t in range(3)], "session_id long, micros long, event_id long, block int")
+    got = blocks.with_tail(rows, 5).collect()
+    for b in range(1, 7):
+        assert sorted(x.micros for x in got if x.session_id == 1 and x.block == b and x._tail) == list(range(max(0, 2 * (b - 1) - 5), 2 * (b - 1)))
+    assert not any(x._tail for x in got if x.session_id == 2)

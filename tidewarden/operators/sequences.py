@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.signals import archive_signals, base_signals, has_token, matches, text
-from .sessions import ORDER
+from .blocks import ORDER, in_order, part, running, with_tail
 
 
 @dataclass(frozen=True)
@@ -70,12 +70,14 @@ def detect_trajectories(events: DataFrame, sequences: list[Sequence] | None = No
 
     A window is the last ``within_events`` events of the session, the row included, that are at most
     ``within_time`` units older. Steps match greedily in order; one event can't be two steps. Each window is an
-    array of at most ten small structs over one sort by session; a fold walks the steps.
+    array of at most ten small structs over one sort by session; a fold walks the steps. Long sessions may be split into blocks (operators.blocks), which
+    then begin with the last rows before them.
     """
     sequences = SEQUENCES if sequences is None else sequences
-    rows = events.select("session_id", *ORDER, *[f.alias(n) for n, f in step_flags(events).items()])
-    order = Window.partitionBy("session_id").orderBy(*ORDER)
-    rows = rows.select("session_id", *ORDER, *[_matched(s, order, unit).alias(f"m{i}") for i, s in enumerate(sequences)])
+    rows = events.select(*part(events), *ORDER, *[f.alias(n) for n, f in step_flags(events).items()])
+    rows = with_tail(rows, max(s.within_events for s in sequences) - 1)
+    order = in_order(rows)
+    rows = rows.select("session_id", *ORDER, "_tail", *[_matched(s, order, unit).alias(f"m{i}") for i, s in enumerate(sequences)]).where("not _tail")
     found = [F.struct(F.lit(s.id).alias("sequence_id"), F.lit(s.level).alias("risk_level"), F.col(f"m{i}").alias("matched")) for i, s in enumerate(sequences)]
     hits = rows.select("session_id", *ORDER, F.inline(F.array(*found))).where(F.col("matched").isNotNull())
     hits = hits.withColumn("matched", F.array_join(F.transform(F.array_sort("matched"), lambda i: i.cast("string")), ","))
@@ -95,7 +97,7 @@ def suspicious_history(events: DataFrame) -> DataFrame:
     """(session_id, event_id, pattern): events whose session up to them shows one of five patterns; the first in order names it.
 
     Running flags over one window; a stage that needs an earlier stage is a running maximum of the
-    row's flag and the earlier stage's running flag.
+    row's flag and the earlier stage's running flag. Long sessions may be split into blocks (operators.blocks).
     """
     tool, path, command = F.col("tool_name"), F.col("path"), F.lower(text("command"))
     payload = F.lower(F.to_json(F.struct("command", "content", "path")))
@@ -104,21 +106,17 @@ def suspicious_history(events: DataFrame) -> DataFrame:
     network = base["network_activity"] | has_token(payload, P.NETWORK_TOKENS)
     archive = archive_signals(tool, payload, command)["archive_sensitive_material"]
     rows = events.select(
-        "session_id", *ORDER, base["credential_access"].alias("cred"), network.alias("net"), base["read_action"].alias("read"), base["write_action"].alias("write"),
+        *part(events), *ORDER, base["credential_access"].alias("cred"), network.alias("net"), base["read_action"].alias("read"), base["write_action"].alias("write"),
         base["exec_action"].alias("exec"), base["sudo_action"].alias("sudo"), (base["tmp_path_touched"] & (base["write_action"] | has_token(payload, P.STAGING_TOKENS))).alias("stage"),
         (base["tmp_path_touched"] & network).alias("exfil"), (base["recon_action"] | has_token(payload, P.RECON_TOKENS)).alias("recon"), archive.alias("archive"),
     )
-    w = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-
-    def ever(c: Column) -> Column:
-        return F.max(c).over(w)
-
-    rows = rows.withColumns({"saw_cred": ever(F.col("cred")), "saw_net": ever(F.col("net")), "saw_read": ever(F.col("read")), "saw_stage": ever(F.col("stage")), "saw_recon": ever(F.col("recon")), "creds": F.count_if("cred").over(w), "n": F.count("*").over(w)})
-    rows = rows.withColumn("saw_write", ever(F.col("write") & F.col("saw_read")))
-    rows = rows.withColumns({
-        "p1": F.col("saw_cred") & F.col("saw_net"), "p2": ever(F.col("sudo") & F.col("saw_write")), "p3": ever(F.col("exfil") & F.col("saw_stage")),
-        "p4": ever(F.col("sudo") & F.col("saw_recon")), "p5": ever(F.col("archive") & (F.col("creds") >= 2)),
-    })
+    ever = {f"saw_{n}": ("max", F.col(n)) for n in ("cred", "net", "read", "stage", "recon")}
+    rows = running(rows, ever | {"creds": ("sum", F.col("cred").cast("long")), "n": ("sum", F.lit(1).cast("long"))}, inclusive=True)
+    rows = running(rows, {"saw_write": ("max", F.col("write") & F.col("saw_read"))}, inclusive=True)
+    rows = running(rows, {
+        "p2": ("max", F.col("sudo") & F.col("saw_write")), "p3": ("max", F.col("exfil") & F.col("saw_stage")),
+        "p4": ("max", F.col("sudo") & F.col("saw_recon")), "p5": ("max", F.col("archive") & (F.col("creds") >= 2)),
+    }, inclusive=True).withColumn("p1", F.col("saw_cred") & F.col("saw_net"))
     pattern = (
         F.when(F.col("n") < 2, None).when(F.col("p1"), "secret_plus_network").when(F.col("p2"), "privilege_escalation_chain").when(F.col("p3"), "tmp_staging_exfil")
         .when(F.col("p4"), "recon_then_sudo").when(F.col("p5"), "secret_harvest_archive")

@@ -1,4 +1,8 @@
-"""Session operators. All of them order a session by (micros, event_id) and share one partitioning by session."""
+"""Session operators. All of them order a session by (micros, event_id) and share one partitioning by session.
+
+accumulation, session_risk, risk_changes, enforcement and cumulative_points also take rows whose long sessions are split
+into blocks (operators.blocks), and give the same rows.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from .blocks import ORDER, blocked, part, running
 from .score import dimensions, with_level
 
-ORDER = ("micros", "event_id")
-
 
 def _session(*more: str) -> Window:
     return Window.partitionBy("session_id").orderBy(*ORDER, *more)
@@ -45,39 +48,38 @@ def accumulation(events: DataFrame, mid: int = 2, high: int = 5, t: S.Thresholds
             S.composite(*(F.col(c) for c in ("d1", "d2", "d3")), F.greatest(F.lit(k), "freq"), F.col("d5"), F.col("d6"), t), F.col("sc_rule"), F.col("d6"), t
         )) >= 2).cast("int") for k in (0, 1, 2)
     })
-    before = _session().rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("c0", F.coalesce(F.sum("h0").over(before), F.lit(0)))
-    rows = rows.withColumn("c1", F.lit(mid) + F.coalesce(F.sum(F.when(F.col("c0") >= mid, F.col("h1")).otherwise(0)).over(before), F.lit(0)))
+    rows = running(rows, {"c0": ("sum", F.col("h0"))})
+    rows = running(rows, {"c1": ("sum", F.when(F.col("c0") >= mid, F.col("h1")).otherwise(0))}).withColumn("c1", F.lit(mid) + F.col("c1"))
     rows = rows.withColumn("second", (F.col("c0") >= mid) & (F.col("c1") >= high))
-    rows = rows.withColumn("c2", F.lit(high) + F.coalesce(F.sum(F.when(F.col("second"), F.col("h2")).otherwise(0)).over(before), F.lit(0)))
+    rows = running(rows, {"c2": ("sum", F.when(F.col("second"), F.col("h2")).otherwise(0))}).withColumn("c2", F.lit(high) + F.col("c2"))
     count = F.when(F.col("c0") < mid, F.col("c0")).when(F.col("c1") < high, F.col("c1")).otherwise(F.col("c2"))
     rows = rows.withColumn("prior_high", count.cast("long"))
     d4 = F.greatest(F.when(F.col("prior_high") >= high, 2).when(F.col("prior_high") >= mid, 1).otherwise(0), "freq")
     return with_level(rows, d4, t).drop("h0", "h1", "h2", "c0", "c1", "c2", "second", "freq")
 
 
-def ewma(value: Column, alpha: float, rank_desc: Column, n: Column) -> Column:
-    """A row's share of the moving average seeded with the first value; sum the shares."""
-    weight = F.when(rank_desc == n, F.pow(F.lit(1 - alpha), n - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), rank_desc - 1))
-    return weight * value
-
-
 def session_risk(scored: DataFrame, alpha: float = 0.3) -> DataFrame:
     """Per session: events, high_events, latest, total, mean_score, ewma, points and velocity.
 
-    Two windows over one sort rank the rows; the rest is one aggregate over the same partitioning.
+    One window ranks the rows from the newest, and one aggregate over the same partitioning sums them up, with the moving average (seeded with the first
+    value) as a sum of decayed shares. A block's sum decays by the rows of the blocks after it: a second aggregate over one row a block.
     """
-    rows = scored.select("session_id", *ORDER, "composite", "risk_rank")
-    rows = rows.withColumns({
-        "back": F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("micros").desc(), F.col("event_id").desc())),
-        "n": F.count("*").over(Window.partitionBy("session_id")),
-    })
-    rows = rows.withColumn("share", ewma(F.col("composite"), alpha, F.col("back"), F.col("n")))
-    out = rows.groupBy("session_id").agg(
-        F.count("*").alias("events"), F.count_if(F.col("risk_rank") >= 2).alias("high_events"),
-        F.max(F.when(F.col("back") == 1, F.col("composite"))).alias("latest"), F.max(F.when(F.col("back") == F.col("n"), F.col("composite"))).alias("first"),
-        F.round(F.sum("composite"), 4).alias("total"), F.round(F.avg("composite"), 4).alias("mean_score"), F.round(F.sum("share"), 4).alias("ewma"),
-        F.sum("risk_rank").alias("points"),
+    rows = scored.select(*part(scored), *ORDER, "composite", "risk_rank")
+    back = F.row_number().over(Window.partitionBy(*part(rows)).orderBy(F.col("micros").desc(), F.col("event_id").desc()))
+    rows = rows.withColumn("share", alpha * F.pow(F.lit(1 - alpha), back - 1) * F.col("composite"))
+    at, value = F.struct(*ORDER), F.struct(*ORDER, "composite")
+    blocks = rows.groupBy(*part(rows)).agg(
+        F.count("*").alias("n"), F.count_if(F.col("risk_rank") >= 2).alias("high"), F.max(value).alias("last"), F.min(value).alias("first"),
+        F.sum("composite").alias("total"), F.sum("share").alias("share"), F.sum("risk_rank").alias("points"), F.min(at).alias("start"),
+    )
+    if blocked(rows):
+        after = F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy(F.col("start").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        blocks = blocks.withColumn("share", F.col("share") * F.pow(F.lit(1 - alpha), after))
+    events, first = F.sum("n"), F.min("first")["composite"]
+    out = blocks.groupBy("session_id").agg(
+        events.alias("events"), F.sum("high").alias("high_events"), F.max("last")["composite"].alias("latest"), first.alias("first"),
+        F.round(F.sum("total"), 4).alias("total"), F.round(F.sum("total") / events, 4).alias("mean_score"),
+        F.round(F.sum("share") + F.pow(F.lit(1 - alpha), events) * first, 4).alias("ewma"), F.sum("points").alias("points"),
     )
     change = F.col("latest") - F.col("first")
     velocity = F.when(F.col("events") < 2, "unknown").when(change > 0.25, "up").when(change < -0.25, "down").otherwise("flat")
@@ -107,21 +109,19 @@ def timeline(scored: DataFrame, most: int = 1000) -> DataFrame:
 
 def risk_changes(scored: DataFrame) -> DataFrame:
     """Session starts and rises of the risk level, with an alert flag at high or above."""
-    before = F.lag("risk_rank").over(_session())
-    rows = scored.select("session_id", *ORDER, "risk_level", "risk_rank", before.alias("previous"))
+    rows = running(scored.select(*part(scored), *ORDER, "risk_level", "risk_rank"), {"previous": ("last", F.col("risk_rank"))})
     rows = rows.where(F.col("previous").isNull() | (F.col("risk_rank") > F.col("previous")))
     return rows.select("session_id", "event_id", "risk_level", F.when(F.col("previous").isNull(), "start").otherwise("rise").alias("change"), (F.col("risk_rank") >= 2).alias("alert"))
 
 
 def enforcement(scored: DataFrame, threshold: int = 3, cooldown: float = 600.0, unit: float = 1.0) -> DataFrame:
     """Add high_before, enforced and triggers: a session with ``threshold`` high-risk events is enforced until ``cooldown`` units pass without any event."""
-    rows = scored.select("session_id", *ORDER, "risk_rank")
-    before = _session().rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("high_before", F.coalesce(F.count_if(F.col("risk_rank") >= 2).over(before), F.lit(0)))
-    gap = (F.col("micros") - F.lag("micros").over(_session())) / (unit * 1e6)
+    rows = scored.select(*part(scored), *ORDER, "risk_rank")
+    rows = running(rows, {"high_before": ("sum", (F.col("risk_rank") >= 2).cast("long")), "_last": ("last", F.col("micros"))})
+    gap = (F.col("micros") - F.col("_last")) / (unit * 1e6)
     rows = rows.withColumn("enforced", F.coalesce((F.col("high_before") >= threshold) & (gap < cooldown), F.lit(False)))
     reached = F.col("high_before") + (F.col("risk_rank") >= 2).cast("int") >= threshold
-    return rows.withColumn("triggers", reached & ~F.col("enforced")).drop("risk_rank")
+    return rows.withColumn("triggers", reached & ~F.col("enforced")).drop("risk_rank", "_last", "block")
 
 
 def forced_enforcement(scored: DataFrame, forced: DataFrame, threshold: int = 3, cooldown: float = 600.0, unit: float = 1.0) -> DataFrame:
@@ -158,7 +158,7 @@ def as_of(events: DataFrame, states: DataFrame, key: str = "session_id", state:
 
 def cumulative_points(scored: DataFrame, least: int = 5) -> DataFrame:
     """Events at which a session's running risk points reach ``least``."""
-    rows = scored.select("session_id", *ORDER, F.sum("risk_rank").over(_session().rowsBetween(Window.unboundedPreceding, 0)).alias("points"), "risk_rank")
+    rows = running(scored.select(*part(scored), *ORDER, "risk_rank"), {"points": ("sum", F.col("risk_rank"))}, inclusive=True)
     return rows.where((F.col("points") >= least) & (F.col("points") - F.col("risk_rank") < least)).select("session_id", "event_id", "points")
 
 

@@ -11,7 +11,7 @@ from ..functions import outputs as O
 from ..functions import patterns as P
 from ..functions import scoring as S
 from ..functions.signals import any_of, normalized
-from ..operators import correlate, escalate, normalize, reports, rules, score, sequences, sessions
+from ..operators import blocks, correlate, escalate, normalize, reports, rules, score, sequences, sessions
 from ..sources.fixtures import agent_events, table, tool_outputs
 from . import oracle
 
@@ -41,7 +41,7 @@ def injection_scores(spark: SparkSession, d: str) -> DataFrame:
 def output_findings(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.outputs import analyze_outputs
 
-    return analyze_outputs(tool_outputs(spark, d)).select("output_id", "instructional", "exfiltration", "secret_exposure", F.round("obfuscation", 4).alias("obfuscation"), "score", "tier")
+    return analyze_outputs(tool_outputs(spark, d)).select("output_id", "instructional", "exfiltration", "secret_exposure", F.round("obfuscation", 4).alias("obfuscation"), "score", "tier", F.array_join("patterns_matched", ",").alias("patterns"))
 
 
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
@@ -90,10 +90,8 @@ def invalid_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posture(spark: SparkSession, d: str) -> DataFrame:
-    """Both versions, over the first session; plain enumeration commands stand for invalid events."""
-    scored = _scored(spark, d)
-    first = scored.agg(F.min("session_id").alias("first"))
-    one = scored.join(F.broadcast(first), F.col("session_id") == F.col("first"))  # one row
+    """Both versions, over all records; plain enumeration commands stand for invalid events."""
+    one = _scored(spark, d)
     bad = F.coalesce(F.col("command") == "uname -a", F.lit(False))
     return reports.posture(one, bad, unit=36.0).withColumn("version", F.lit(2)).unionByName(reports.posture(one, bad, unit=36.0, version=1).withColumn("version", F.lit(1)))
 
@@ -158,6 +156,35 @@ def d4_accumulation(spark: SparkSession, d: str) -> DataFrame:
     return sessions.accumulation(agent_events(spark, d)).select("event_id", "session_id", "prior_high", "d4", "composite", "risk_level")
 
 
+def _accounts(spark: SparkSession, d: str) -> DataFrame:
+    """The events of six accounts as six long sessions, in blocks of about 500 events."""
+    return blocks.split_long_sessions(agent_events(spark, d).withColumn("session_id", F.col("session_id") % 6), 500)
+
+
+def account_accumulation(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.accumulation(_accounts(spark, d)).select("event_id", "session_id", "prior_high", "d4", "composite", "risk_level")
+
+
+def account_risk(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.session_risk(score.score_events(_accounts(spark, d)))
+
+
+def account_changes(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.risk_changes(score.score_events(_accounts(spark, d)))
+
+
+def account_enforcement(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.enforcement(score.score_events(_accounts(spark, d)), cooldown=10, unit=UNIT / 400).select("session_id", "event_id", "high_before", "enforced", "triggers")
+
+
+def account_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.detect_trajectories(_accounts(spark, d), unit=UNIT)
+
+
+def account_history(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.suspicious_history(_accounts(spark, d))
+
+
 def d4_frequency(spark: SparkSession, d: str) -> DataFrame:
     return sessions.frequency_d4(agent_events(spark, d), UNIT, 4, 12, 30).select("event_id", "freq_d4")
 
@@ -297,7 +324,7 @@ def candidate_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pattern_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    events = agent_events(spark, d).where(F.col("event_id") % 20 == 0)
+    events = agent_events(spark, d)
     votes = events.select(F.concat_ws("-", "tool_name", (F.col("session_id") % 50).cast("string")).alias("rule_id"), "event_id", "micros", F.col("source_framework").alias("framework"), ((F.col("event_id") * 7919) % 100 < 85).alias("confirmed"))
     return rules.pattern_lifecycle(votes)
 
@@ -350,6 +377,7 @@ def queries() -> dict[str, Query]:
         approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
         audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing, normalized_events, activity_states, busy_clients, session_recommendations, heartbeat_deltas,
         session_list, alert_list, second_level, alert_thinning, missing_dimensions, resolved_verdicts, forced_enforcement, output_summary, derived_fields,
+        account_accumulation, account_risk, account_changes, account_enforcement, account_trajectories, account_history,
     ]
     return {f.__name__: f for f in found}
 

@@ -208,6 +208,9 @@ _PRESETS = " UNION ALL ".join(
 
 _EDGES = [10.0, 50.0, 100.0, 250.0]
 
+#: Written out here, not taken from the library.
+_SECRET = r"(AKIA[0-9A-Z]{16}|ghp_[a-zA-Z0-9]{36}|sk-[a-zA-Z0-9]{32,}|-----BEGIN[A-Z ]*PRIVATE KEY-----|[a-zA-Z_]*(SECRET|TOKEN|PASSWORD|API_KEY)[a-zA-Z_]*[ \t\n\v\f\r]*[=:][ \t\n\v\f\r]*[^ \t\n\v\f\r]+)"
+
 SQL: dict[str, str] = {
     "score_events": f"{SCORED} SELECT {_COLUMNS} FROM scored",
     "preset_comparison": f"WITH {VIEW}, {DIMENSIONS} SELECT preset, risk_level, count(*) AS n FROM ({_PRESETS}) GROUP BY ALL",
@@ -219,11 +222,12 @@ s AS (SELECT output_id, origin, {counted('body', P.INSTRUCTIONAL)} / 4.0::DOUBLE
     least(1.0::DOUBLE, 0.5::DOUBLE * {counted('body', P.SECRETS)}) AS secret_exposure, {found('body', P.HIGH_SECRETS)} AS high_secret,
     least(1.0::DOUBLE, 0.3::DOUBLE * ({found('body', P.DECODE_PIPE_EXEC)}::INT + {counted('body', [P.EVAL_DECODE, P.SCRIPT_ENCODED_EXEC, P.PROCESS_SUB_REMOTE, P.HEREDOC_EXEC])} + {counted('body', [P.VARIABLE_EXPANSION, P.VARIABLE_EXEC_TRIGGER, *P.OBFUSCATION_EXACT], '')}
       + {counted('body', P.OBFUSCATION_ANY_CASE)} + {found('body', [P.REMOTE_PIPE_EXEC])}::INT) + CASE WHEN length(body) > 50 AND bits > 5.5 THEN least(0.5, (bits - 5.5) / 2.5) ELSE 0 END) AS obfuscation FROM body JOIN bits USING (output_id)),
-c AS (SELECT *, round(least(3.0, (CASE WHEN instructional > 0.5 THEN instructional ELSE 0 END + exfiltration + secret_exposure + CASE WHEN obfuscation > 0.1 THEN obfuscation ELSE 0 END) * CASE WHEN origin = 'external' THEN 1.3::DOUBLE ELSE 1 END), 3) AS score FROM s),
-t AS (SELECT *, greatest(CASE WHEN score >= 0.9 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.3 THEN 1 ELSE 0 END, CASE WHEN exfiltration > 0 THEN 2 ELSE 0 END,
+c AS (SELECT *, least(3.0::DOUBLE, least(3.0::DOUBLE, CASE WHEN instructional > 0.5 THEN instructional ELSE 0 END + exfiltration + secret_exposure + CASE WHEN obfuscation > 0.1 THEN obfuscation ELSE 0 END) * CASE WHEN origin = 'external' THEN 1.3::DOUBLE ELSE 1 END) AS raw FROM s),
+t AS (SELECT *, greatest(CASE WHEN raw >= 0.9 THEN 3 WHEN raw >= 0.6 THEN 2 WHEN raw >= 0.3 THEN 1 ELSE 0 END, CASE WHEN exfiltration > 0 THEN 2 ELSE 0 END,
     CASE WHEN secret_exposure > 0 THEN CASE WHEN high_secret THEN 3 ELSE 2 END ELSE 0 END, CASE WHEN obfuscation > 0.1 THEN CASE WHEN exfiltration > 0 OR secret_exposure > 0 THEN 3 ELSE 1 END ELSE 0 END) AS tier_rank FROM c)
-SELECT output_id, instructional, exfiltration, secret_exposure, round(obfuscation, 4) AS obfuscation, score, ['log_only', 'monitor', 'escalate', 'emergency'][tier_rank + 1] AS tier FROM t""",
-    "redact_secrets": f"SELECT doc_id, regexp_replace(coalesce(text, ''), '{_q(P.REDACT)}', '[REDACTED]', 'gi') AS redacted FROM documents",
+SELECT output_id, instructional, exfiltration, secret_exposure, round(obfuscation, 4) AS obfuscation, round(raw, 3) AS score, ['log_only', 'monitor', 'escalate', 'emergency'][tier_rank + 1] AS tier,
+  concat_ws(',', CASE WHEN instructional > 0.5 THEN 'indirect_injection' END, CASE WHEN exfiltration > 0 THEN 'exfiltration' END, CASE WHEN secret_exposure > 0 THEN 'secret_exposure' END, CASE WHEN obfuscation > 0.1 THEN 'obfuscation' END) AS patterns FROM t""",
+    "redact_secrets": f"SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SECRET}', '[REDACTED]', 'gi') AS redacted FROM documents",
     "entropy": """WITH c AS (SELECT doc_id, u.ch, count(*) AS n FROM documents, unnest(string_split(coalesce(text, ''), '')) AS u(ch) GROUP BY ALL)
 SELECT doc_id, round(coalesce((SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM c WHERE c.doc_id = d.doc_id), 0), 4) AS entropy FROM documents d""",
     "pattern_matches": f"WITH {VIEW}, {_RULES} SELECT event_id, session_id, rule_id, category, risk_level, weight FROM matches",
@@ -238,9 +242,9 @@ SELECT r.bucket::INT AS bucket, count(b.bucket) AS total, coalesce(count_if(b.ri
 FROM range(12) r(bucket) LEFT JOIN b USING (bucket) GROUP BY ALL""",
     "invalid_rates": f"""WITH {VIEW}, n AS (SELECT micros, tool_name = 'bash' AND command = 'uname -a' AS bad, max(micros) OVER () AS now FROM agent_events),
 w AS (SELECT w AS "window", count_if(micros >= now - w * 60 * {_UNIT}) AS total, count_if(bad AND micros >= now - w * 60 * {_UNIT}) AS invalid FROM n, (VALUES (1), (5), (15)) v(w) GROUP BY ALL),
-r AS (SELECT *, coalesce(round(invalid / nullif(total, 0), 6), 0) AS rate FROM w)
-SELECT "window", total, invalid, rate, CASE WHEN "window" = 1 AND invalid > 20 OR "window" = 5 AND rate > 0.01 THEN 'critical' WHEN "window" = 15 AND rate BETWEEN 0.001 AND 0.01 THEN 'warning' ELSE 'none' END AS alert FROM r""",
-    "posture": f"""{SCORED}, c AS (SELECT 2 AS version UNION ALL SELECT 1), m AS (SELECT *, coalesce(command = 'uname -a', false) AS bad, micros >= (SELECT max(micros) FROM scored) - 900 * 1000000::BIGINT * 36 AS recent FROM scored WHERE session_id = (SELECT min(session_id) FROM scored)),
+r AS (SELECT *, coalesce(invalid::DOUBLE / nullif(total, 0), 0) AS raw FROM w)
+SELECT "window", total, invalid, round(raw, 6) AS rate, CASE WHEN "window" = 1 AND invalid > 20 OR "window" = 5 AND raw > 0.01 THEN 'critical' WHEN "window" = 15 AND raw BETWEEN 0.001 AND 0.01 THEN 'medium' ELSE 'none' END AS alert FROM r""",
+    "posture": f"""{SCORED}, c AS (SELECT 2 AS version UNION ALL SELECT 1), m AS (SELECT *, coalesce(command = 'uname -a', false) AS bad, micros >= (SELECT max(micros) FROM scored) - 900 * 1000000::BIGINT * 36 AS recent FROM scored),
 n AS (SELECT count_if(NOT bad AND risk_rank = 3) AS critical, count_if(NOT bad AND risk_rank = 2) AS high, coalesce(count_if(recent AND NOT bad AND risk_rank >= 2) / nullif(count_if(recent AND NOT bad), 0), 0) AS r, coalesce(count_if(recent AND bad) / nullif(count_if(recent), 0), 0) AS i FROM m),
 x AS (SELECT *, greatest(0.0::DOUBLE, 100 - least(100.0::DOUBLE, 20.0 * critical + 10.0 * high + 25.0 * r + CASE version WHEN 1 THEN 30.0 ELSE 15.0 END * i)) AS raw,
   list_reverse_sort([{{'impact': 20.0 * critical, 'nth': 0, 'name': 'critical'}}, {{'impact': 10.0 * high, 'nth': -1, 'name': 'high'}}, {{'impact': 25.0 * r, 'nth': -2, 'name': 'recent_high'}}, {{'impact': CASE version WHEN 1 THEN 30.0 ELSE 15.0 END * i, 'nth': -3, 'name': 'recent_invalid'}}]) AS parts FROM n, c)
@@ -264,6 +268,8 @@ SELECT session_id, risk_level, last_micros, events FROM k WHERE rank >= 1 AND la
 SELECT alert_id, severity, acknowledged, micros, (SELECT count_if(NOT acknowledged) FROM a) AS total_open, (SELECT count_if(NOT acknowledged AND severity IN ('high', 'critical')) FROM a) AS priority_open
 FROM a WHERE severity = 'high' AND NOT acknowledged ORDER BY micros DESC, alert_id LIMIT 100""",
     "second_level": f"{SCORED}, {_SECOND}",
+    "sampled_events": f"""WITH {VIEW}, c AS (SELECT session_id, tool_name, event_id, micros FROM agent_events),
+{_thinned('c', 'session_id, tool_name', 5)} SELECT session_id, tool_name, event_id, suppressed FROM thinned""",
     "alert_thinning": f"""WITH {VIEW}, c AS (SELECT source_framework AS metric, tool_name AS severity, event_id, micros FROM agent_events),
 {_thinned('c', 'metric, severity', 60)} SELECT metric, severity, event_id, suppressed FROM thinned""",
     "missing_dimensions": f"""WITH {VIEW}, v AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN tool_name END AS tool, CASE WHEN event_id % 3 <> 0 THEN path END AS path, CASE WHEN event_id % 5 <> 0 THEN command END AS command, CASE WHEN trust <> 'untrusted' THEN trust END AS trust FROM agent_events)
@@ -336,12 +342,12 @@ SELECT vec_id, similarity, round(CASE WHEN similarity <= 0.75 THEN 0 ELSE least(
     "trajectory_events": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS depth FROM conversations)
 SELECT conv_id || '-' || depth AS event_id, CASE WHEN depth > 0 THEN conv_id || '-' || (depth - 1) END AS parent_event_id, conv_id, CASE role WHEN 'user' THEN 'pre_prompt' WHEN 'assistant' THEN 'post_response' WHEN 'tool' THEN 'post_action' ELSE 'session' END AS etype,
   depth, length(text) AS n_chars, depth AS at_second FROM n""",
-    "detection_quality": f"""WITH d AS (SELECT doc_id, {found('text', P.SECRETS + [P.REDACT])} AS detected FROM documents), j AS (SELECT detected, toxic = 1 OR quality = 0 AS unsafe FROM d JOIN labels USING (doc_id)),
+    "detection_quality": f"""WITH d AS (SELECT doc_id, {found('text', P.SECRETS)} OR {found('text', [_SECRET])} AS detected FROM documents), j AS (SELECT detected, toxic = 1 OR quality = 0 AS unsafe FROM d JOIN labels USING (doc_id)),
 n AS (SELECT count_if(unsafe AND detected) AS tp, count_if(NOT unsafe AND detected) AS fp, count_if(unsafe AND NOT detected) AS fn, count_if(NOT unsafe AND NOT detected) AS tn FROM j)
 SELECT tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 4) AS recall, round(fp / nullif(fp + tn, 0), 4) AS false_positive_rate, round(tp / nullif(tp + fp, 0), 4) AS precision FROM n""",
     "candidate_patterns": f"""WITH {VIEW} SELECT substr(sha256(tool_name || ':' || command), 1, 16) AS candidate, tool_name, regexp_replace(regexp_replace(command, 'https?://\\S+', '<URL>', 'g'), '(^|\\s)/\\S+', '\\1<PATH>', 'g') AS general, min(event_id) AS first_event_id, count(*) AS uses
 FROM agent_events WHERE command IS NOT NULL GROUP BY ALL""",
-    "pattern_lifecycle": f"""WITH {VIEW}, f AS (SELECT tool_name || '-' || session_id % 50 AS rule_id, event_id, micros, source_framework, (event_id * 7919) % 100 < 85 AS ok FROM agent_events WHERE event_id % 20 = 0),
+    "pattern_lifecycle": f"""WITH {VIEW}, f AS (SELECT tool_name || '-' || session_id % 50 AS rule_id, event_id, micros, source_framework, (event_id * 7919) % 100 < 85 AS ok FROM agent_events),
 r AS (SELECT *, count_if(ok) OVER w AS yes, count(*) OVER w AS votes FROM f WINDOW w AS (PARTITION BY rule_id ORDER BY micros, event_id ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT rule_id, max(yes) AS y, max(votes) AS v, bool_or(votes >= 3 AND votes - yes > 0.3 * votes) AS bad, bool_or(ok AND yes >= 3 AND 0.5::DOUBLE * yes / votes + 0.2::DOUBLE * least(votes / 10, 1) + 0.1::DOUBLE >= 0.7) AS good,
   count(DISTINCT source_framework) AS fw, (max(max(micros)) OVER () - max(micros)) / 86400e6 AS days FROM r GROUP BY rule_id)
@@ -367,3 +373,9 @@ SELECT session_id, CASE WHEN lv = 'critical' THEN 'escalate' WHEN lv IN ('high',
     "heartbeat_deltas": f"""{SCORED}, r AS (SELECT session_id, max(event_id) AS done FROM scored WHERE risk_rank = 3 AND event_id % 2 = 0 GROUP BY ALL)
 SELECT session_id, min(event_id) AS from_event_id, count(*) AS records, bool_or(risk_rank >= 2) AS has_high FROM scored LEFT JOIN r USING (session_id) WHERE event_id > coalesce(done, -1) GROUP BY session_id""",
 }
+
+# the same over six accounts as long sessions
+_ACCOUNT = VIEW.replace("user_id AS session_id", "user_id % 6 AS session_id")
+for _name, _of in [("account_accumulation", "d4_accumulation"), ("account_risk", "session_risk"), ("account_changes", "risk_changes"), ("account_enforcement", "enforcement_state"), ("account_trajectories", "trajectories"), ("account_history", "suspicious_history")]:
+    SQL[_name] = SQL[_of].replace(VIEW, _ACCOUNT)
+SQL["account_enforcement"] = SQL["account_enforcement"].replace(f"/ {_UNIT} AS gap", f"/ {_UNIT // 400} AS gap")
