@@ -176,6 +176,14 @@ def test_bypass_against_all_pairs(spark):
     schema = "event_id long, session_id long, micros long, etype string, tool_name string, path string, command string, content string, verdict string, risk_rank int"
     scored = spark.createDataFrame(rows, schema)
     prints = [x.asDict() for x in correlate.fingerprints(scored).where("etype = 'pre_action'").collect()]
+
+    def fires(p, c):
+        other, a, b = p["tool_name"] != c["tool_name"], set(p["tokens"]), set(c["tokens"])
+        return (
+            "exact" if p["raw"] == c["raw"] else ("normalized_cross_tool" if other else "normalized_same_tool") if p["norm"] == c["norm"]
+            else "intent_cross_tool" if p["intent"] == c["intent"] != "non-destructive" and other else "similar_cross_tool" if other and a | b and len(a & b) / len(a | b) >= 0.92 else None
+        )
+
     for ttl, most in ((20.0, 256), (1e6, 3)):
         expected = {}
         for c in prints:
@@ -183,16 +191,24 @@ def test_bypass_against_all_pairs(spark):
             for p in reversed(earlier[-most:]):
                 if p["micros"] < c["micros"] - ttl * 1e6:
                     break
-                other, a, b = p["tool_name"] != c["tool_name"], set(p["tokens"]), set(c["tokens"])
-                rule = (
-                    "exact" if p["raw"] == c["raw"] else ("normalized_cross_tool" if other else "normalized_same_tool") if p["norm"] == c["norm"]
-                    else "intent_cross_tool" if p["intent"] == c["intent"] != "non-destructive" and other else "similar_cross_tool" if other and a | b and len(a & b) / len(a | b) >= 0.92 else None
-                )
+                rule = fires(p, c)
                 if rule:
                     expected[c["event_id"]] = (p["event_id"], rule)
                     break
         got = {x.event_id: (x.prior_event_id, x.rule) for x in correlate.detect_bypass(scored, ttl, most).select(*map(F.col, ("event_id", "prior_event_id", "rule"))).collect()}
         assert got == expected and len({x for _, x in expected.values()}) == 5
+        if most == 256:
+            # a replay in which matched events are blocked and become priors
+            replay, kept = {}, {}
+            for c in sorted(prints, key=lambda p: (p["micros"], p["event_id"])):
+                earlier = kept.setdefault(c["session_id"], [])
+                hit = next(((p["event_id"], rule) for p in reversed(earlier[-most:]) if p["micros"] >= c["micros"] - ttl * 1e6 and (rule := fires(p, c))), None)
+                if hit:
+                    replay[c["event_id"]] = hit
+                if hit or (c["verdict"] == "block" and c["risk_rank"] >= 2):
+                    earlier.append(c)
+            rounds = correlate.detect_bypass_rounds(scored, ttl, most).collect()
+            assert {x.event_id: (x.prior_event_id, x.rule) for x in rounds} == replay != expected and max(x.round for x in rounds) > 2
 
 
 def test_blocks_give_the_rows_of_one_window(spark):

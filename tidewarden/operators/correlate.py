@@ -35,8 +35,39 @@ def detect_bypass(scored: DataFrame, ttl: float = 86_400.0, most: int = 256, sim
     along one order of the session, with the newest of another tool. Sets of words are compared once a session, not once an event, and meet at
     the first words of their order by hash, as two alike sets share one. The age and the number bound only what is newest, so they are tested on it.
     """
-    rows = fingerprints(scored).where(F.col("etype") == "pre_action")
     is_prior = (F.col("verdict") == "block") & (F.col("risk_rank") >= 2)
+    return _bypass(fingerprints(scored).where(F.col("etype") == "pre_action"), is_prior, ttl, most, similar, unit).drop("session_id")
+
+
+def detect_bypass_rounds(scored: DataFrame, ttl: float = 86_400.0, most: int = 256, similar: float = 0.92, unit: float = 1.0) -> DataFrame:
+    """(event_id, prior_event_id, rule, round): detect_bypass() where an event that is matched is blocked at its prior's risk and is a prior itself from then on.
+
+    What an event matches depends on earlier events alone, so rounds that start from the blocks of the round before reach the one fixed point, the result of a replay in
+    order: after a round the first events of each chain stand. Sessions whose blocks a round left as they were are settled and leave; the end is a round that
+    leaves none. ``round`` is that in which the session settled. Each round is written to the shared checkpoint folder, so that the lineage doesn't grow.
+    """
+    from .blocks import durable
+
+    columns = ["event_id", "session_id", "micros", "tool_name", "command", "path", "content", "etype", "verdict", "risk_rank"]
+    rows = fingerprints(scored.select(*columns)).where(F.col("etype") == "pre_action")
+    own = (F.col("verdict") == "block") & (F.col("risk_rank") >= 2)
+    rows = durable(rows.select("event_id", "session_id", "micros", "tool_name", "raw", "norm", "tokens", "intent", own.alias("own")).withColumn("blocked", F.col("own")))
+    done, turn = None, 0
+    while True:
+        turn += 1
+        found = _bypass(rows, F.col("blocked"), ttl, most, similar, unit)
+        after = durable(rows.join(found.select("event_id", "prior_event_id", "rule"), "event_id", "left").withColumn("next", F.col("own") | F.col("rule").isNotNull()))
+        moved = after.where(F.col("next") != F.col("blocked")).select(F.col("session_id").alias("_moved")).distinct()
+        same = F.col("session_id").eqNullSafe(F.col("_moved"))
+        settled = after.join(moved, same, "left_anti").where(F.col("rule").isNotNull()).select("event_id", "prior_event_id", "rule", F.lit(turn).alias("round"))
+        done = settled if done is None else done.unionByName(settled)
+        if moved.isEmpty():
+            return done
+        rows = after.join(moved, same, "left_semi").withColumn("blocked", F.col("next")).drop("next", "prior_event_id", "rule")
+
+
+def _bypass(rows: DataFrame, is_prior: Column, ttl: float, most: int, similar: float, unit: float) -> DataFrame:
+    """detect_bypass() over pre_actions with fingerprints, with the session."""
     order = Window.partitionBy("session_id").orderBy("micros", "event_id")
     rows = rows.select("event_id", "session_id", "micros", "tool_name", "raw", "norm", "intent", F.array_sort(F.array_distinct("tokens")).alias("words"), is_prior.alias("is_prior"))
     rows = rows.withColumn("upto", F.count_if("is_prior").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -57,7 +88,7 @@ def detect_bypass(scored: DataFrame, ttl: float = 86_400.0, most: int = 256, sim
         F.when(F.col("raw") == F.col("best.raw"), "exact").when((F.col("norm") == F.col("best.norm")) & ~other, "normalized_same_tool").when(F.col("norm") == F.col("best.norm"), "normalized_cross_tool")
         .when((F.col("intent") == F.col("best.intent")) & (F.col("intent") != "non-destructive") & other, "intent_cross_tool").otherwise("similar_cross_tool")
     )
-    return rows.select("event_id", F.col("best.event_id").alias("prior_event_id"), rule.alias("rule"))
+    return rows.select("session_id", "event_id", F.col("best.event_id").alias("prior_event_id"), rule.alias("rule"))
 
 
 def _newest_of_another_tool(rows: DataFrame, key: str, name: str, after: Column | None = None) -> DataFrame:
@@ -100,9 +131,9 @@ def replay_enriched(events: DataFrame, effects: DataFrame) -> DataFrame:
 
 
 def evidence_snapshots(scored: DataFrame, most: int = 50) -> DataFrame:
-    """(session_id, trigger_event_id, from_event_id, records, high, highest, actions): up to ``most`` records up to each rise to critical.
+    """(session_id, trigger_event_id, from_event_id, records, high, highest, blocked, action): up to ``most`` records up to each rise to critical.
 
-    Snapshot bounds come from row numbers in the session, so that a record is matched by an equi-join on the session and a range of numbers.
+    Windows over the session count a snapshot's records; snapshot_records() lists them.
     """
     order = Window.partitionBy("session_id").orderBy("micros", "event_id")
     rows = scored.select("session_id", "event_id", "micros", "risk_rank", "verdict").withColumn("seq", F.row_number().over(order)).withColumn("before", F.lag("risk_rank").over(order))
@@ -116,6 +147,14 @@ def evidence_snapshots(scored: DataFrame, most: int = 50) -> DataFrame:
     return rows.select("session_id", F.col("event_id").alias("trigger_event_id"), "from_event_id", "records", "high", S.level_of_rank(F.col("highest")).alias("highest"), "blocked", action.alias("action"))
 
 
+def snapshot_records(records: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The records (session_id, event_id, ...) of each snapshot's range of ids in its session, by a range join in bins (operators.ranges)."""
+    from .ranges import range_join
+
+    bounds = snapshots.select("session_id", "trigger_event_id", "from_event_id", F.col("trigger_event_id").alias("to_event_id"))
+    return range_join(records, bounds, "session_id", "event_id", "from_event_id", "to_event_id").drop("from_event_id", "to_event_id")
+
+
 def approval_outcomes(requests: DataFrame, resolutions: DataFrame, timeout: float, unit: float = 1.0, as_of: int | None = None, on_timeout: str = "block") -> DataFrame:
     """(approval_id, state, verdict): resolved within the timeout, timed out, or pending at ``as_of`` (the newest time of either table)."""
     done = resolutions.groupBy("approval_id").agg(F.min(F.struct("micros", "decision")).alias("first"))

@@ -12,6 +12,8 @@ from ..functions import patterns as P
 from ..functions import scoring as S
 from ..functions.signals import any_of, normalized
 from ..operators import blocks, correlate, escalate, normalize, reports, rules, score, sequences, sessions
+from ..operators.ranges import limit_requests
+from ..operators.vectors import similar_vectors
 from ..sources.fixtures import agent_events, table, tool_outputs
 from . import oracle
 
@@ -309,6 +311,41 @@ def vector_scores(spark: SparkSession, d: str) -> DataFrame:
     return correlate.vector_scores(vectors.where("label <> 0"), vectors.where("label = 0"))
 
 
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector, mixed with the next one, against all vectors."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    mixed = F.zip_with("embedding", "other", lambda a, b: 0.65 * a.cast("double") + 0.35 * b.cast("double"))
+    asked = vectors.where("vec_id % 50 = 0").join(after, "vec_id").select("vec_id", mixed.alias("embedding"))
+    return similar_vectors(asked, vectors).withColumn("similarity", F.round("similarity", 4))
+
+
+def snapshot_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of each snapshot, and of the empty range where the id of the trigger is 4 modulo 5."""
+    scored = _scored(spark, d)
+    snapshots = correlate.evidence_snapshots(scored).withColumn("from_event_id", F.when(F.col("trigger_event_id") % 5 == 4, F.col("trigger_event_id") + 1).otherwise(F.col("from_event_id")))
+    return correlate.snapshot_records(scored.select("session_id", "event_id", "risk_level"), snapshots)
+
+
+def _varied(spark: SparkSession, d: str) -> DataFrame:
+    """Scored events of which every third goes by another tool, so that blocked commands come back as others."""
+    i = F.col("event_id")
+    events = agent_events(spark, d).withColumn("tool_name", F.when(i % 3 == 1, "web_fetch").when(i % 3 == 2, "fetch").otherwise(F.col("tool_name")))
+    return score.score_events(events)
+
+
+def bypass_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.detect_bypass_rounds(_varied(spark, d), ttl=200.0, unit=UNIT).drop("round")
+
+
+def request_limits(spark: SparkSession, d: str) -> DataFrame:
+    return limit_requests(agent_events(spark, d), 5, 20.0, UNIT)
+
+
+def account_limits(spark: SparkSession, d: str) -> DataFrame:
+    return limit_requests(_accounts(spark, d), 3, 0.1, UNIT)
+
+
 def trajectory_events(spark: SparkSession, d: str) -> DataFrame:
     return correlate.trajectory_events(table(spark, d, "conversations"))
 
@@ -377,7 +414,7 @@ def queries() -> dict[str, Query]:
         approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
         audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing, normalized_events, activity_states, busy_clients, session_recommendations, heartbeat_deltas,
         session_list, alert_list, second_level, alert_thinning, missing_dimensions, resolved_verdicts, forced_enforcement, output_summary, derived_fields,
-        account_accumulation, account_risk, account_changes, account_enforcement, account_trajectories, account_history,
+        account_accumulation, account_risk, account_changes, account_enforcement, account_trajectories, account_history, account_limits, vector_search, snapshot_records, bypass_rounds, request_limits,
     ]
     return {f.__name__: f for f in found}
 

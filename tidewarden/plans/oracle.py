@@ -202,6 +202,15 @@ fired AS (
       WHEN c.tool_name <> p.tool_name AND len(list_intersect(c.tokens, p.tokens)) / greatest(len(list_distinct(list_concat(c.tokens, p.tokens))), 1) >= 0.92 THEN 'similar_cross_tool' END AS rule
   FROM prints3 c JOIN prints3 p ON p.session_id = c.session_id AND p.verdict = 'block' AND p.risk_rank >= 2 AND (p.micros, p.event_id) < (c.micros, c.event_id) AND p.micros >= c.micros - 86400 * {_UNIT})"""
 
+def _limited(most: int, tick: int) -> str:
+    """A fold over each session that carries the times of allowed requests."""
+    return f"""numbered AS (SELECT session_id, event_id, micros, row_number() OVER {_ORDER} AS rn FROM agent_events),
+f AS (SELECT session_id, event_id, rn, [micros] AS kept, true AS allowed FROM numbered WHERE rn = 1
+  UNION ALL SELECT n.session_id, n.event_id, n.rn, CASE WHEN len(list_filter(f.kept, lambda t: n.micros - t < {tick})) < {most} THEN list_append(list_filter(f.kept, lambda t: n.micros - t < {tick}), n.micros) ELSE f.kept END,
+    len(list_filter(f.kept, lambda t: n.micros - t < {tick})) < {most} FROM f JOIN numbered n ON n.session_id = f.session_id AND n.rn = f.rn + 1)
+SELECT session_id, event_id, allowed FROM f"""
+
+
 _PRESETS = " UNION ALL ".join(
     f"SELECT '{name}' AS preset, risk_level FROM ({levelled('dims', '0', *t)})" for name, t in [("low", (1.2, 1.9, 2.6)), ("medium", (0.8, 1.5, 2.2)), ("high", (0.6, 1.2, 1.8)), ("strict", (0.5, 1.0, 1.5))]
 )
@@ -339,6 +348,10 @@ t AS (SELECT 'session' AS dimension, session_id::VARCHAR AS value, count(*) AS n
     "replay_page": f"{SCORED}, p AS (SELECT event_id, session_id, verdict FROM scored WHERE event_id < 500 ORDER BY event_id DESC LIMIT 50) SELECT *, (SELECT min(event_id) FROM p) AS next_cursor FROM p",
     "vector_scores": """WITH c AS (SELECT embedding AS v FROM embeddings WHERE label = 0), s AS (SELECT vec_id, round(max(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[])), 4) AS similarity FROM embeddings, c WHERE label <> 0 GROUP BY vec_id)
 SELECT vec_id, similarity, round(CASE WHEN similarity <= 0.75 THEN 0 ELSE least(2 * (similarity - 0.75) / 0.25, 2) END, 4) AS score FROM s""",
+    "vector_search": """WITH q AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: 0.65::DOUBLE * x[1] + 0.35::DOUBLE * x[2]) AS u FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0),
+c AS (SELECT min(vec_id) AS vec_id, count(*) AS copies, embedding::DOUBLE[] AS v FROM embeddings GROUP BY embedding)
+SELECT query_id, vec_id, copies, round(list_cosine_similarity(u, v), 4) AS similarity FROM q, c WHERE list_cosine_similarity(u, v) >= 0.75""",
+    "request_limits": f"WITH RECURSIVE {VIEW}, {_limited(5, 20 * _UNIT)}",
     "trajectory_events": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS depth FROM conversations)
 SELECT conv_id || '-' || depth AS event_id, CASE WHEN depth > 0 THEN conv_id || '-' || (depth - 1) END AS parent_event_id, conv_id, CASE role WHEN 'user' THEN 'pre_prompt' WHEN 'assistant' THEN 'post_response' WHEN 'tool' THEN 'post_action' ELSE 'session' END AS etype,
   depth, length(text) AS n_chars, depth AS at_second FROM n""",
@@ -378,4 +391,7 @@ SELECT session_id, min(event_id) AS from_event_id, count(*) AS records, bool_or(
 _ACCOUNT = VIEW.replace("user_id AS session_id", "user_id % 6 AS session_id")
 for _name, _of in [("account_accumulation", "d4_accumulation"), ("account_risk", "session_risk"), ("account_changes", "risk_changes"), ("account_enforcement", "enforcement_state"), ("account_trajectories", "trajectories"), ("account_history", "suspicious_history")]:
     SQL[_name] = SQL[_of].replace(VIEW, _ACCOUNT)
+SQL["account_limits"] = f"WITH RECURSIVE {_ACCOUNT}, {_limited(3, _UNIT // 10)}"
+SQL["snapshot_records"] = f"""{SCORED}, s AS (SELECT trigger_event_id, session_id, CASE WHEN trigger_event_id % 5 = 4 THEN trigger_event_id + 1 ELSE from_event_id END AS low FROM (WITH {SQL['evidence_snapshots'].removeprefix(SCORED).lstrip(', ')}))
+SELECT r.session_id, r.event_id, r.risk_level, s.trigger_event_id FROM scored r JOIN s ON s.session_id = r.session_id AND r.event_id BETWEEN s.low AND s.trigger_event_id"""
 SQL["account_enforcement"] = SQL["account_enforcement"].replace(f"/ {_UNIT} AS gap", f"/ {_UNIT // 400} AS gap")
