@@ -165,15 +165,24 @@ def test_tiers_use_unrounded_scores(spark):
     assert analyze_outputs(rows.limit(1), emergency=1.3004, escalate=1.0).first().tier == "escalate"
 
 
-def test_entropy_bound_keeps_every_high_text(spark):
-    import random
-
-    r = random.Random(3)
-    letters = [chr(c) for c in range(33, 127)]
-    texts = ["".join(r.choice(letters[:k]) for _ in range(n)) for k in (20, 44, 46, 50, 70, 94) for n in (51, 200, 3000)] + ["the rain in spain stays mainly in the plain " * 9, "".join(map(chr, range(0x400, 0x480))), "é" * 60]
-    rows = spark.createDataFrame([(t,) for t in texts], "c string").select(O.entropy(F.col("c")).alias("e"), O.entropy_above(F.col("c")).alias("a"), F.length("c").alias("n")).collect()
-    assert all(x.a == x.e if x.e > O.BITS else x.a is None or x.a == x.e for x in rows) and sum(x.e > O.BITS for x in rows) >= 5
-    assert [x.a for x in rows][-3] is None
+def test_needed_literals_lose_no_match(spark):
+    """Every pattern of outputs on a text that it finds, in upper and lower case, with and without its literals."""
+    from tidewarden.functions import patterns as P
+    from tidewarden.functions.signals import matches
+
+    samples = [
+        "You MUST go", "We should", "need to", "DO NOT", "don't", "NEVER", "Step 12 ", "now  execute", "NEXT run", "Instead do", "CURL x -d @f", "wget --post-data=1", "nslookup ${a}.x", "AWS  s3 cp a s3://b",
+        "ping -p " + "0f" * 20, "ssh -R 80:h:9090:", "sendmail < a@b", "torsocks WGET x", "![a](https://evil.example/p?x)", "git  clone http://u:p@h", "AWS_SECRET_ACCESS_KEY=" + "a" * 20, "GHP_" + "a" * 36, "github_pat_" + "b" * 40,
+        "-----BEGIN  RSA PRIVATE KEY-----", "passwd : abcdefghi", "Api-Key = 'abcdefghijklmnopq", "access_token=abcdefghijklmnopq", " Bearer " + "x" * 24, "DATABASE_URL=pg://u:p@h", "OPENAI_API_KEY=sk-" + "a" * 24,
+        "AKIA" + "A1" * 8, "xoxb-0123456789ab", "tenant_access_token: t-" + "a" * 24, "Private Key = 0x" + "aF" * 32, "base64 --decode x | SH", "xxd -r x | bash", "printf '\\x41' \\x41 | sh", "eval (base64", "python3 -c 'exec", "perl -e decode",
+        "bash <( curl x", "sh <<-EOF", "a=b;c=d; $x", "$HOME | x", "$'\\101\\102'", "$'\\x41\\x42'", "s[::-1]", "\\xAB", "curl x | ZSH", "plain words of no interest",
+    ]
+    rows = spark.createDataFrame([(s,) for s in samples], "c string")
+    exact = {P.VARIABLE_EXPANSION, P.VARIABLE_EXEC_TRIGGER, *P.OBFUSCATION_EXACT}
+    every = list(O._NEEDS)
+    got = rows.select(*[F.struct(O.found(F.col("c"), p, ignore_case=p not in exact).alias("a"), matches(F.col("c"), p, p not in exact).alias("b")).alias(f"p{k}") for k, p in enumerate(every)]).collect()
+    assert all(r[k].a == r[k].b for r in got for k in range(len(every)))
+    assert [p for k, p in enumerate(every) if not any(r[k].b for r in got)] == []
 
 
 def test_invalid_rates_and_posture_by_hand(spark):

@@ -2,68 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import patterns as P
-from .signals import any_of, count_of, matches, normalized, text
+from .signals import matches, normalized, text
 
 TIERS = ["log_only", "monitor", "escalate", "emergency"]
 
 
+#: Lower-case literals of which a text must hold one for a pattern of an output to be found in it, list by list in the order of the patterns.
+_NEEDS = dict(
+    zip(
+        [*P.INSTRUCTIONAL, *P.EXFILTRATION, *P.SECRETS, *P.DECODE_PIPE_EXEC, *P.OBFUSCATION_EXACT, *P.OBFUSCATION_ANY_CASE],
+        [
+            ["must", "should", "need to"], ["do not", "don't", "never"], ["step "], ["now", "next", "instead"],
+            ["curl"], ["wget"], ["nslookup"], ["aws"], ["ping"], ["ssh"], ["mail"], ["torsocks"], ["](http"], ["git"],
+            ["aws_"], ["ghp_", "ghs_", "ghu_", "github_pat_"], ["-----begin"], ["passw"], ["key", "token"], ["bearer"], ["database_url"], ["openai_api_key"], ["akia"], ["xox"], ["access_token"], ["0x"],
+            ["base64"], ["xxd"], ["printf"], ["$'"], ["$'"], ["[::-1]"], ["\\x"],
+        ],
+        strict=True,
+    )
+) | {
+    P.EVAL_DECODE: ["eval"], P.SCRIPT_ENCODED_EXEC: ["python", "perl", "ruby"], P.PROCESS_SUB_REMOTE: ["<("], P.HEREDOC_EXEC: ["<<"], P.VARIABLE_EXPANSION: ["$"], P.VARIABLE_EXEC_TRIGGER: ["$"],
+    P.REMOTE_PIPE_EXEC: ["curl", "wget"],
+}
+
+
 def plain(c: Column) -> Column:
     """The scanned text: at most 64 K characters, normalised."""
     return normalized(F.substring(text(c), 1, 65536))
 
 
-def instructional(c: Column) -> Column:
-    return count_of(c, P.INSTRUCTIONAL) / 4.0
+def found(c: Column, pattern: str, low: Column | None = None, ignore_case: bool = True) -> Column:
+    """Whether a pattern is found; low: the text in lower case. Few texts hold the literals that a pattern needs, and only those are searched by it."""
+    low = F.lower(c) if low is None else low
+    some = F.lit(False)
+    for literal in _NEEDS[pattern]:
+        some = some | low.contains(literal)
+    return some & matches(c, pattern, ignore_case)
 
 
-def exfiltration(c: Column) -> Column:
-    return F.least(count_of(c, P.EXFILTRATION) * 0.5, F.lit(1.0))
+def _count(c: Column, patterns: list[str], low: Column | None, ignore_case: bool = True) -> Column:
+    total = F.lit(0)
+    for p in patterns:
+        total = total + found(c, p, low, ignore_case).cast("int")
+    return total
 
 
-def secret_exposure(c: Column) -> Column:
-    return F.least(count_of(c, P.SECRETS) * 0.5, F.lit(1.0))
+def instructional(c: Column, low: Column | None = None) -> Column:
+    return _count(c, P.INSTRUCTIONAL, low) / 4.0
 
 
-def entropy(c: Column) -> Column:
-    """Shannon entropy of the characters in bits, over the whole text: how often each distinct character occurs is the length that its removal takes off."""
-    body = text(c)
-    return F.when(F.length(body) > 0, _entropy_of(body, _alphabet(body))).otherwise(0.0)
+def exfiltration(c: Column, low: Column | None = None) -> Column:
+    return F.least(_count(c, P.EXFILTRATION, low) * 0.5, F.lit(1.0))
 
 
-def _alphabet(body: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(body, "")), lambda x: x != "")
+def secret_exposure(c: Column, low: Column | None = None) -> Column:
+    return F.least(_count(c, P.SECRETS, low) * 0.5, F.lit(1.0))
 
 
-def _entropy_of(body: Column, letters: Column) -> Column:
-    n = F.length(body)
-    counts = F.transform(letters, lambda x: (n - F.length(F.replace(body, x, F.lit("")))).cast("double"))
-    return F.log2(n.cast("double")) - F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k)) / n
+def severe_secret(c: Column, low: Column | None = None) -> Column:
+    return _count(c, P.HIGH_SECRETS, low) > 0
 
 
-#: Bits a character that hidden code has; a text of so many bits has more distinct characters than 2 ** BITS.
-BITS = 5.5
+@F.pandas_udf(DoubleType())
+def _bits(texts: pd.Series) -> pd.Series:
+    out = np.zeros(len(texts))
+    for k, t in enumerate(texts):
+        if t:
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            counts = np.bincount(points) if points.max() < 4096 else np.unique(points, return_counts=True)[1]
+            counts = counts[counts > 0].astype(float)
+            out[k] = np.log2(len(points)) - (counts * np.log2(counts)).sum() / len(points)
+    return pd.Series(out)
 
 
-def entropy_above(c: Column, least: float = BITS) -> Column:
-    """entropy() of a text longer than 50 characters where it can exceed ``least`` bits, else null.
+def entropy(c: Column) -> Column:
+    """Shannon entropy of the characters in bits, over the whole text.
 
-    The few commonest letters bound it: with their counts known, it is largest if all other characters differ evenly.
+    One count a text in Arrow batches: built-in functions need a pass a distinct character, or an object a character, and measured more than ten times as long.
     """
-    body = text(c)
-    n = F.length(body).cast("double")
-    often = F.transform(F.lit(list(" eantirso")), lambda x: n - F.length(F.replace(body, x, F.lit(""))))
-    known = F.aggregate(often, F.lit(0.0), lambda s, k: s + k)
-    spent = F.aggregate(often, F.lit(0.0), lambda s, k: s + F.when(k > 0, k * F.log2(k)).otherwise(0.0))
-    # at most 96 printable characters of ASCII and one more a character beyond it
-    others = F.least(n - known, F.lit(128.0) + F.octet_length(body) - n)
-    rest = n - known
-    bound = F.log2(n) - (spent + F.when(rest > 0, rest * F.log2(rest / others)).otherwise(0.0)) / n
-    letters = _alphabet(body)
-    return F.when((n > 50) & (bound > least - 1e-6), F.when(F.size(letters) > 2**least - 1, _entropy_of(body, letters)))
+    return _bits(text(c))
 
 
 def safe_pipe(c: Column) -> Column:
@@ -76,12 +99,19 @@ def safe_pipe(c: Column) -> Column:
     return (F.size(urls) == 1) & known
 
 
-def obfuscation(c: Column, measured: Column | None = None) -> Column:
+#: Bits a character that hidden code has.
+BITS = 5.5
+
+
+def obfuscation(c: Column, measured: Column | None = None, low: Column | None = None) -> Column:
     """Hidden code, 0-1: 0.3 a hit, and an entropy term where a measured entropy is given."""
+    decoded = F.lit(False)
+    for p in P.DECODE_PIPE_EXEC:
+        decoded = decoded | found(c, p, low)
     hits = (
-        any_of(c, P.DECODE_PIPE_EXEC).cast("int") + count_of(c, [P.EVAL_DECODE, P.SCRIPT_ENCODED_EXEC, P.PROCESS_SUB_REMOTE, P.HEREDOC_EXEC])
-        + count_of(c, [P.VARIABLE_EXPANSION, P.VARIABLE_EXEC_TRIGGER, *P.OBFUSCATION_EXACT], ignore_case=False) + count_of(c, P.OBFUSCATION_ANY_CASE)
-        + (matches(c, P.REMOTE_PIPE_EXEC) & ~safe_pipe(c)).cast("int")
+        decoded.cast("int") + _count(c, [P.EVAL_DECODE, P.SCRIPT_ENCODED_EXEC, P.PROCESS_SUB_REMOTE, P.HEREDOC_EXEC], low)
+        + _count(c, [P.VARIABLE_EXPANSION, P.VARIABLE_EXEC_TRIGGER, *P.OBFUSCATION_EXACT], low, ignore_case=False) + _count(c, P.OBFUSCATION_ANY_CASE, low)
+        + (found(c, P.REMOTE_PIPE_EXEC, low) & ~safe_pipe(c)).cast("int")
     )
     extra = F.lit(0.0)
     if measured is not None:
