@@ -59,6 +59,10 @@ def test_approval_states_and_merging(spark):
     results = spark.createDataFrame([(1, "high", 0.5), (1, "critical", 0.0), (2, "low", 0.9)], "event_id long, target_level string, confidence double")
     base = spark.createDataFrame([(1, "medium"), (2, "high"), (3, "low")], "event_id long, risk_level string")
     assert {r.event_id: r.risk_level for r in workflow.merge_analyses(results, base).collect()} == {1: "high", 2: "high", 3: "low"}
+    ordered = spark.createDataFrame([(1, "high", 0.8, 0), (1, "critical", 0.9, 1), (2, "high", 0.7, 0), (2, "critical", 0.1, 1), (3, "medium", 0.9, 0), (3, "low", 1.0, 2)], "event_id long, target_level string, confidence double, position int")
+    low = spark.createDataFrame([(k, "low") for k in (1, 2, 3)], "event_id long, risk_level string")
+    assert {r.event_id: r.risk_level for r in workflow.merge_analyses(ordered, low).collect()} == {1: "high", 2: "critical", 3: "medium"}
+    assert {r.event_id: r.risk_level for r in workflow.merge_analyses(ordered, low, F.col("event_id") == 1).collect()} == {1: "critical", 2: "critical", 3: "medium"}
     reply = spark.createDataFrame([(1, 'x ```json\n{"risk_level": "high", "reason": "r"}\n```'), (2, "none"), (3, '{"risk_level": "odd"}')], "event_id long, response string")
     assert [(r.risk_level, r.state) for r in workflow.review_rows(reply).orderBy("event_id").collect()] == [("high", "completed"), (None, "degraded"), (None, "degraded")]
 

@@ -126,3 +126,15 @@ def test_sliding_and_session_windows_equal_batches(spark, tmp_path):
                 group = []
             group.append(e)
     assert {(r.session_id, r.events, r.high) for r in out.collect()} == expected
+
+
+def test_thinning_in_streams_equals_batches(spark, tmp_path):
+    from tidewarden.operators import correlate
+
+    rows = rows_of_events(9, 200)
+    shuffled = rows[:]
+    random.Random(3).shuffle(shuffled)
+    source = batches(spark, tmp_path / "e", [shuffled[:120], shuffled[120:], [(9999, 99, START + 9000 * SECOND, "pre_action", *KINDS[2], None, None)]], EVENT)
+    out, _ = run(guard.thinned_stream(source, 9.0, late="600 seconds"), "thinned", tmp_path, spark)
+    expected = {(r.session_id, r.tool_name, r.event_id, r.suppressed) for r in correlate.sampled_events(timed(spark, rows, EVENT), 9.0).collect()}
+    assert {tuple(r) for r in out.collect()} == expected and any(x[3] for x in expected)

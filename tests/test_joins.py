@@ -68,3 +68,33 @@ def test_vector_search_recall_and_exactness(spark):
     assert vectors.similar_vectors(asked.limit(0), table).count() == 0 and vectors.similar_vectors(asked, table.limit(0)).count() == 0
     bits, tables = vectors.plan_tables(10**6, 0.75, 0.98)
     assert bits == 20 and tables < 120
+
+
+def test_chains_of_a_block():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        tick = int(rng.integers(1, 12))
+        micros = np.sort(rng.integers(0, 60, int(rng.integers(1, 40)))) if rng.random() < 0.7 else np.arange(int(rng.integers(1, 30)))
+        upper, due, dropped = ranges.entry_table(micros, tick)
+        for begin in range(int(micros[0]) - 3, int(micros[0]) + tick + 1):
+            now, count, at = begin, 0, None
+            for k, t in enumerate(micros):
+                if t >= now:
+                    now, count, at = t + tick, 0, k
+                else:
+                    count += 1
+            k = int(np.searchsorted(upper, begin))
+            assert (k == len(upper)) == (at is None)
+            if at is not None:
+                assert (due[k], dropped[k]) == (now, count)
+
+
+@pytest.mark.parametrize("blocks", [None, 2, 9])
+def test_thinning_in_blocks_equals_one_pass(spark, blocks):
+    r = random.Random(6)
+    rows = [(1, "bash", i, r.randrange(400) * SECOND) for i in range(300)] + [(r.choice([2, 3, None]), r.choice(["bash", None, "x"]), 1000 + i, r.randrange(300) * SECOND) for i in range(150)]
+    rows += [(9, "regular", 2000 + i, i * SECOND) for i in range(120)] + [(8, "burst", 3000 + i, 5 * SECOND) for i in range(40)]
+    table = spark.createDataFrame(rows, "session_id long, tool_name string, event_id long, micros long").repartition(3)
+    expected = sorted(map(str, (tuple(x) for x in correlate.sampled_events(table, 7.0).collect())))
+    assert sorted(map(str, (tuple(x) for x in ranges.thin_events(table, 7.0, blocks=blocks).collect()))) == expected
+    assert ranges.thin_events(table.limit(0), 7.0).count() == 0

@@ -207,3 +207,11 @@ def test_folding_beyond_the_basic_plane(spark):
     plain = lambda c: unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c)) if unicodedata.category(x) != "Mn"))
     rows = spark.createDataFrame([(f"a{chr(c)}b",) for c in samples], "c string")
     assert [r[0] for r in rows.select(normalized(F.col("c"))).collect()] == [f"a{plain(chr(c))}b" for c in samples]
+
+
+def test_paths_of_a_payload(spark):
+    import json
+
+    payloads = [{"path": "/a", "file": "", "target": 3, "source": "b/c", "command": "cp ~/x -o/y ./z w"}, {"command": 5}, None, [1]]
+    rows = spark.createDataFrame([(k, None if p is None else json.dumps(p)) for k, p in enumerate(payloads)], "k int, p string").orderBy("k")
+    assert [r[0] for r in rows.select(S.payload_paths(F.col("p"))).collect()] == [["/a", "b/c", "~/x", "./z"], [], [], []]

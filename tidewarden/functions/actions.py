@@ -66,6 +66,33 @@ def review_trigger(manual: Column, eager: Column, pattern: Column, points: Colum
     )
 
 
+# fixed values: what a reason of a review says, and its code; the first that fits counts
+REASON_CODES = [
+    ("hard cap exceeded", "hard_cap_exceeded"), ("llm call failed", "llm_call_failed"), ("max reasoning turns exceeded", "max_turns_exceeded"), ("format retry failed", "format_retry_failed"),
+    ("response parse failed", "llm_response_parse_failed"), ("unresolvable risk level", "llm_response_unresolvable_risk_level"), ("requested non-whitelisted tool", "requested_non_whitelisted_tool"),
+    ("tool call budget exhausted", "tool_call_budget_exhausted"), ("budget exhausted", "budget_exhausted"), ("local l3 unavailable", "local_l3_unavailable"), ("local l3 review did not complete", "local_l3_not_completed"),
+    ("analysis degraded", "analysis_exception"),
+]
+
+
+def review_runtime(requested_tier: Column, effective_tier: Column, actual_tier: Column, available: Column, trace: Column, reason: Column | None = None, code: Column | None = None) -> Column:
+    """(requested, state, reason, code) of a deep review; trace: a struct (degradation_reason, reason_code, trigger_reason, degraded), or null."""
+    given = lambda c: F.nullif(F.trim(text(c)), F.lit(""))
+    reason = F.nullif(text(reason), F.lit("")) if reason is not None else F.lit(None).cast("string")
+    code = F.nullif(text(code), F.lit("")) if code is not None else F.lit(None).cast("string")
+    trigger, degraded, why = text(given(trace["trigger_reason"])), F.coalesce(trace["degraded"], F.lit(False)), given(trace["degradation_reason"])
+    requested = F.coalesce((requested_tier == "L3") | (effective_tier == "L3"), F.lit(False))
+    unmatched = (actual_tier == "L1") & (trigger == "trigger_not_matched")
+    state = F.when(actual_tier == "L3", "completed").when(requested, F.when(unmatched, "not_triggered").when(degraded, "degraded").otherwise("skipped")).when(available, "enabled")
+    told = F.when(state == "not_triggered", F.coalesce(reason, why, F.lit("L3 trigger not matched"))).when(state == "degraded", F.coalesce(reason, why)).otherwise(reason)
+    low = F.lower(F.trim(text(told)))
+    found = F.when((trigger == "trigger_not_matched") | F.coalesce(state == "not_triggered", F.lit(False)), "trigger_not_matched")
+    for words, name in REASON_CODES:
+        found = found.when(low.contains(words), name)
+    found = found.when(F.coalesce(state == "skipped", F.lit(False)), "requested_but_not_run").when(degraded | F.coalesce(state == "degraded", F.lit(False)), "unknown_degraded")
+    return F.struct(requested.alias("requested"), state.alias("state"), told.alias("reason"), F.coalesce(code, given(trace["reason_code"]), found).alias("code"))
+
+
 def activity(last_micros: Column, now_micros: Column, unit: float = 1.0) -> Column:
     """hot within two minutes, warm within fifteen, else idle."""
     age = (now_micros - last_micros) / (unit * 1e6)

@@ -53,6 +53,17 @@ def paths_of(path: Column, command: Column) -> Column:
     return F.concat(F.filter(F.array(text(path)), lambda p: p != ""), words)
 
 
+# fixed values: the keys of a payload that name paths
+PATH_KEYS = ["path", "file_path", "file", "target", "destination", "source"]
+
+
+def payload_paths(payload: Column) -> Column:
+    """The paths of a payload (JSON): its texts under six keys, then the words of its command that look like paths."""
+    v = F.try_parse_json(payload)
+    named = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.try_variant_get(v, f"$.{k}", "string")) for k in PATH_KEYS]
+    return F.concat(F.filter(F.array_compact(F.array(*named)), lambda p: p != ""), paths_of(F.lit(None), F.try_variant_get(v, "$.command", "string")))
+
+
 def d2(path: Column, command: Column) -> Column:
     """Sensitivity of the paths, 0-3: system 3, else configuration 1, else credentials 2; no path 1.
 

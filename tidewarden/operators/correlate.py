@@ -156,7 +156,7 @@ def snapshot_records(records: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def approval_outcomes(requests: DataFrame, resolutions: DataFrame, timeout: float, unit: float = 1.0, as_of: int | None = None, on_timeout: str = "block") -> DataFrame:
-    """(approval_id, state, verdict): resolved within the timeout, timed out, or pending at ``as_of`` (the newest time of either table)."""
+    """(approval_id, state, verdict, reason_code): resolved within the timeout, timed out, or pending at ``as_of`` (the newest time of either table)."""
     done = resolutions.groupBy("approval_id").agg(F.min(F.struct("micros", "decision")).alias("first"))
     rows = requests.select("approval_id", F.col("micros").alias("asked")).join(done, "approval_id", "left")
     if as_of is None:
@@ -169,7 +169,8 @@ def approval_outcomes(requests: DataFrame, resolutions: DataFrame, timeout: floa
     state = F.when(in_time, F.when(F.col("first.decision") == "allow", "allowed").otherwise("denied")).when(F.col("now") > due, "expired").otherwise("pending")
     rows = rows.withColumn("state", state)
     verdict = F.when(F.col("state") == "allowed", "allow").when(F.col("state") == "denied", "block").when(F.col("state") == "expired", on_timeout)
-    return rows.select("approval_id", "state", verdict.alias("verdict"))
+    code = F.when(F.col("state") == "allowed", "approval_allowed").when(F.col("state") == "denied", "approval_denied").when(F.col("state") == "expired", "approval_timeout")
+    return rows.select("approval_id", "state", verdict.alias("verdict"), code.alias("reason_code"))
 
 
 def vector_scores(queries: DataFrame, corpus: DataFrame, most_broadcast: int = 100_000, least: float = 0.75) -> DataFrame:

@@ -71,3 +71,127 @@ def limit_requests(requests: DataFrame, most: int, window: float, unit: float =
             yield b[["session_id", "event_id"]].assign(allowed=allowed)
 
     return rows.mapInPandas(run, f"session_id {kinds['session_id']}, event_id {kinds['event_id']}, allowed boolean")
+
+
+# -- thinning: one event of a key in a window that starts at the last one kept -------------------------
+
+_KEY = ["session_id", "tool_name"]
+
+
+def chain_ends(micros: np.ndarray, tick: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, if it is kept: when the next one may be kept after the last kept row of the chain that it starts, and how many rows follow that.
+
+    The row kept after another is a pointer; pointers are doubled until all chains have left the rows.
+    """
+    n = len(micros)
+    following = np.searchsorted(micros, micros + tick)
+    last = np.where(following < n, following, np.arange(n))
+    while (last[last] != last).any():
+        last = last[last]
+    return micros[last] + tick, n - 1 - last
+
+
+def entry_table(micros: np.ndarray, tick: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(upper, due, dropped): what a block makes of the time from which an event may be kept: up to upper[k] it leaves due[k], with dropped[k] rows after the last kept one.
+
+    That time lies within a window of the block's first row, and chains of neighbours merge, so few entries are left.
+    """
+    due, after = chain_ends(micros, tick)
+    some = min(int(np.searchsorted(micros, micros[0] + tick)) + 1, len(micros))
+    due, after, upper = due[:some], after[:some], micros[:some]
+    ends = np.append(np.flatnonzero((np.diff(due) != 0) | (np.diff(after) != 0)), some - 1)
+    return upper[ends], due[ends], after[ends]
+
+
+def thin_events(events: DataFrame, window: float, unit: float = 1.0, blocks: int | None = None) -> DataFrame:
+    """correlate.sampled_events() for keys of any size: (session_id, tool_name, event_id, suppressed).
+
+    The sorted rows are cut into ranges (of Spark's choice, or so many blocks), whichever key they belong to. A key that goes on over several ranges has
+    one summary a range, which says what the range does with any time at which it may begin; the summaries are composed in order of the ranges, and then every range is
+    thinned from its own beginning. No task holds more of a key than a range, and the summaries of a key are short rows, one a range.
+    """
+    from .blocks import durable
+
+    tick = int(window * unit * 1e6)
+    order = [*_KEY, "micros", "event_id"]
+    rows = events.select(*_KEY, "event_id", "micros")
+    rows = rows.repartitionByRange(blocks, *order) if blocks else rows.repartitionByRange(*order)
+    rows = durable(rows.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    kinds = dict(rows.dtypes)
+    keyed = ", ".join(f"{k} {kinds[k]}" for k in _KEY)
+
+    def runs(batch: pd.DataFrame):
+        coded = [batch[k].factorize(use_na_sentinel=False)[0] for k in _KEY]
+        cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in coded], axis=0)) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(batch)], strict=True):
+            yield tuple(None if pd.isna(x) else x for x in batch[_KEY].iloc[lo]), lo, hi
+
+    def summarise(batches):
+        first = name = part = None
+        held: list[np.ndarray] = []
+        out = []
+
+        def add():
+            micros = np.concatenate(held)
+            upper, due, dropped = entry_table(micros, tick)
+            out.append((*name, part, upper, due, dropped, len(micros)))
+
+        for b in batches:
+            if not len(b):
+                continue
+            part, micros = int(b["part"].iloc[0]), b["micros"].to_numpy()
+            for key, lo, hi in runs(b):
+                if name is not None and key != name:
+                    if first:
+                        add()
+                    first, held = False, []
+                if name is None:
+                    first = True
+                name = key
+                held.append(micros[lo:hi])
+        if held:
+            add()
+        yield pd.DataFrame(out, columns=[*_KEY, "part", "upper", "due", "dropped", "n"])
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("part")
+        due, dropped, out = None, 0, []
+        for r in group.itertuples(index=False):
+            out.append((due, dropped))
+            k = 0 if due is None else int(np.searchsorted(r.upper, due))
+            if k == len(r.upper):
+                dropped += r.n
+            else:
+                due, dropped = int(r.due[k]), int(r.dropped[k])
+        return group[[*_KEY, "part"]].assign(due=pd.array([d for d, _ in out], "Int64"), dropped=[n for _, n in out])
+
+    def thin(batches):
+        name = due = None
+        dropped = 0
+        for b in batches:
+            if not len(b):
+                continue
+            micros, kept, counts = b["micros"].to_numpy(), [], []
+            for key, lo, hi in runs(b):
+                if key != name:
+                    name, due, dropped = key, b["due"].iloc[lo], b["dropped"].iloc[lo]
+                    due, dropped = (None if pd.isna(due) else int(due)), (0 if pd.isna(dropped) else int(dropped))
+                at = lo
+                while at < hi:
+                    nxt = at if due is None else at + int(np.searchsorted(micros[at:hi], due))
+                    dropped += nxt - at
+                    if nxt < hi:
+                        kept.append(nxt)
+                        counts.append(dropped)
+                        due, dropped, nxt = int(micros[nxt]) + tick, 0, nxt + 1
+                    at = nxt
+            yield b[[*_KEY, "event_id"]].iloc[kept].assign(suppressed=np.array(counts, np.int64))
+
+    parts = rows.mapInPandas(summarise, f"{keyed}, part int, upper array<long>, due array<long>, dropped array<long>, n long")
+    begun = durable(parts.groupBy(*_KEY).applyInPandas(compose, f"{keyed}, part int, due long, dropped long").where("due is not null or dropped > 0"))
+    begun = begun.select(*[F.col(k).alias(f"_{k}") for k in _KEY], F.col("part").alias("_part"), "due", "dropped")
+    same = F.col("part") == F.col("_part")
+    for k in _KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    entered = rows.join(F.broadcast(begun), same, "left")  # two rows a range at most
+    return entered.select(*order, "due", "dropped").mapInPandas(thin, f"{keyed}, event_id {kinds['event_id']}, suppressed long")

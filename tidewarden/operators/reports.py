@@ -36,6 +36,55 @@ def high_risk_trend(scored: DataFrame, bucket: int = 300, buckets: int = 12, uni
     return out.withColumn("ratio", F.when(F.col("total") > 0, F.round(F.col("high") / F.col("total"), 4)).otherwise(0.0))
 
 
+def risk_direction(scored: DataFrame, unit: float = 60.0, as_of: int | None = None) -> DataFrame:
+    """One row: numbers, totals and ratios of high risk in the last 5, 15 and 60 units, and the direction of the last 5 against the 5 before."""
+    rows = _with_now(scored.select("micros", (F.col("risk_rank") >= 2).alias("high")), as_of)
+    age = lambda w: F.col("micros") >= F.col("now") - int(w * unit * 1e6)
+    one = rows.where(age(60)).agg(
+        *[F.count_if(age(w)).alias(f"total_{w}") for w in (5, 15, 60)], *[F.count_if(age(w) & F.col("high")).alias(f"high_{w}") for w in (5, 15, 60)], F.count_if(age(10) & ~age(5) & F.col("high")).alias("before")
+    )
+    ratio = {f"ratio_{w}": F.when(F.col(f"total_{w}") > 0, F.round(F.col(f"high_{w}") / F.col(f"total_{w}"), 6)).otherwise(0.0) for w in (5, 15, 60)}
+    direction = F.when(F.col("high_5") > F.col("before"), "up").when(F.col("high_5") < F.col("before"), "down").otherwise("flat")
+    return one.withColumns(ratio).withColumn("direction", direction).drop("before")
+
+
+def session_posture(current: DataFrame) -> DataFrame:
+    """One row over sessions' current levels (session_id, risk_rank, mapped: whether the latest record is classified): score 100 - min(100, 20 a critical + 10 a high session), level, drivers."""
+    one = current.agg(F.count_if(F.col("risk_rank") == 3).alias("critical"), F.count_if(F.col("risk_rank") == 2).alias("high"), F.count_if("mapped").alias("mapped"))
+    score = F.greatest(F.lit(0.0), 100 - F.least(F.lit(100.0), 20.0 * F.col("critical") + 10.0 * F.col("high")))
+    level = F.when(score < 50, "critical").when(score < 75, "elevated").when(score < 90, "watch").otherwise("healthy")
+    drivers = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat_ws(":", F.lit(n), F.col(c).cast("string"))) for c, n in (("critical", "critical_sessions"), ("high", "high_sessions"), ("mapped", "mapped_active_sessions"))]))
+    return one.select("critical", "high", F.round(score, 1).alias("score"), level.alias("level"), F.array_join(drivers, ",").alias("drivers"))
+
+
+def session_counts(current: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """(name, total_sessions, high_or_critical_count, critical_count, high_or_critical_ratio, critical_ratio) of the ``most`` keys with most high, then critical, then all sessions (then by name)."""
+    rows = current.groupBy(F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("unknown")).alias("name")).agg(
+        F.count(F.lit(1)).alias("total_sessions"), F.count_if(F.col("risk_rank") >= 2).alias("high_or_critical_count"), F.count_if(F.col("risk_rank") == 3).alias("critical_count")
+    )
+    share = lambda c: F.round(F.col(c) / F.col("total_sessions"), 6)
+    rows = rows.withColumns({"high_or_critical_ratio": share("high_or_critical_count"), "critical_ratio": share("critical_count")})
+    return rows.orderBy(F.desc("high_or_critical_count"), F.desc("critical_count"), F.desc("total_sessions"), "name").limit(most)
+
+
+def current_sessions(scored: DataFrame, *more: str) -> DataFrame:
+    """The latest record of each session, with further columns."""
+    names = ("risk_level", "risk_rank", "source_framework", "workspace_root", *more)
+    last = scored.groupBy("session_id").agg(F.max_by(F.struct(*names), F.struct("micros", "event_id")).alias("x"), F.max("micros").alias("last_micros"))
+    return last.select("session_id", "last_micros", "x.*")
+
+
+def top_usage(usage: DataFrame) -> DataFrame:
+    """(dimension, value): the label of each dimension with most tokens, then most calls, then the first by name; usage as usage_rollup() gives it."""
+    order = F.struct((-(F.col("input_tokens") + F.col("output_tokens"))).alias("tokens"), (-F.col("calls")).alias("calls"), "value")
+    return usage.groupBy("dimension").agg(F.min_by("value", order).alias("value"))
+
+
+def replay_range(scored: DataFrame, session: int, first: int, last: int) -> DataFrame:
+    """A session's records with ids from ``first`` to ``last``, both included, in order; the filters reach the scan."""
+    return scored.where((F.col("session_id") == session) & F.col("event_id").between(first, last)).orderBy("event_id")
+
+
 def invalid_rates(events: DataFrame, invalid: Column, windows: tuple[int, ...] = (1, 5, 15), unit: float = 60.0, as_of: int | None = None) -> DataFrame:
     """(window, total, invalid, rate, alert) for each window length in units: critical for over 20 invalid in 1 or over 1 % in 5, medium for 0.1 to 1 % in 15; rates are tested before they are rounded."""
     rows = _with_now(events.select("micros", invalid.alias("bad")), as_of)

@@ -166,15 +166,51 @@ def rule_coverage(events: DataFrame, rules: list[Rule] | None = None) -> DataFra
     return match_patterns(events, rules).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("session_id").alias("sessions"))
 
 
-def candidate_patterns(events: DataFrame) -> DataFrame:
-    """(candidate, tool_name, general, first_event_id, uses): one candidate per tool and command, with addresses and paths generalised."""
+# fixed values: what stands for addresses and paths in a learned expression, and the words and codes of categories in the order in which they are tried
+GENERAL = [(r"https?://[^\s\"'|&;]+", "\x01", r"https?://\S+"), (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "\x02", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"), (r"/[\w./-]+", "\x03", r"[\w./-]+")]
+CATEGORY_CODES = [("ASI01", "goal_hijack"), ("ASI02", "data_exfiltration"), ("ASI03", "privilege_abuse"), ("ASI04", "supply_chain"), ("ASI05", "code_execution")]
+CATEGORY_WORDS = [("data_exfiltration", ("curl", "wget", "nc ", "ncat")), ("privilege_abuse", ("sudo", "chmod", "chown")), ("code_execution", ("eval", "exec", "python -c", "bash -c"))]
+
+
+def learned_expression(command: Column) -> Column:
+    """A command as a regular expression: addresses and paths stand for any of their kind, all else for itself."""
+    out = command
+    for pattern, mark, _ in GENERAL:
+        out = F.regexp_replace(out, pattern, mark)
+    out = F.regexp_replace(out, r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0B\f])", r"\\$1")
+    for _, mark, general in GENERAL:
+        out = F.replace(out, F.lit(mark), F.lit(general))
+    return out
+
+
+def learned_category(command: Column, reasons: Column | None = None) -> Column:
+    """The category of a learned rule: by the first reason with a code, else by words of the command, else unknown."""
+    low, out = F.lower(text(command)), F.lit("unknown")
+    for name, words in reversed(CATEGORY_WORDS):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | low.contains(w)
+        out = F.when(hit, name).otherwise(out)
+    if reasons is None:
+        return out
+
+    def coded(r: Column) -> Column:
+        c = F.lit(None).cast("string")
+        for code, name in reversed(CATEGORY_CODES):
+            c = F.when(r.contains(code), name).otherwise(c)
+        return c
+
+    return F.coalesce(F.get(F.filter(F.transform(reasons, coded), lambda c: c.isNotNull()), F.lit(0)), out)
+
+
+def candidate_patterns(events: DataFrame, reasons: Column | None = None) -> DataFrame:
+    """(candidate, rule_id, tool_name, category, pattern, first_event_id, uses): one candidate for each tool and command, of its first event."""
     rows = events.where(F.length(text("command")) > 0)
     key = F.substring(F.sha2(F.concat_ws(":", "tool_name", "command"), 256), 1, 16)
-    general = F.regexp_replace(F.col("command"), r"https?://\S+", "<URL>")
-    general = F.regexp_replace(general, r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<IP>")
-    general = F.regexp_replace(general, r"(^|\s)/\S+", "$1<PATH>")
-    rows = rows.select("event_id", "tool_name", key.alias("candidate"), general.alias("general"))
-    return rows.groupBy("candidate", "tool_name", "general").agg(F.min("event_id").alias("first_event_id"), F.count("*").alias("uses"))
+    rows = rows.select("event_id", "tool_name", "command", key.alias("candidate"), (reasons if reasons is not None else F.lit(None).cast("array<string>")).alias("reasons"))
+    first = rows.groupBy("candidate", "tool_name", "command").agg(F.min("event_id").alias("first_event_id"), F.count("*").alias("uses"), F.min_by("reasons", "event_id").alias("reasons"))
+    rule_id = F.concat(F.lit("EV-"), F.upper(F.substring("candidate", 1, 8)))
+    return first.select("candidate", rule_id.alias("rule_id"), "tool_name", learned_category(F.col("command"), F.col("reasons")).alias("category"), learned_expression(F.col("command")).alias("pattern"), "first_event_id", "uses")
 
 
 def confidence(confirmed: Column, wrong: Column, triggers: Column, frameworks: Column, days: Column) -> Column:
@@ -221,14 +257,31 @@ SKILLS = [
 ]
 
 
-def route_skills(events: DataFrame) -> DataFrame:
-    """(event_id, skill, score): tool 5, each word 1; the best, then the higher priority; nothing fits: general."""
-    body, tool = F.lower(F.concat_ws(" ", "command", "path", "content")), text("tool_name")
+def route_skills(events: DataFrame, hints: Column | None = None) -> DataFrame:
+    """(event_id, skill, score): each risk hint 10, tool 5, each word 1; the best, then the higher priority; nothing fits: general."""
+    body, tool = F.lower(F.concat_ws(" ", "command", "path", "content")), F.lower(text("tool_name"))
+    told = F.array_distinct(F.transform(F.coalesce(hints, F.array().cast("array<string>")), F.lower)) if hints is not None else None
     scored = []
-    for name, priority, _, tools, words in SKILLS:
+    for name, priority, known, tools, words in SKILLS:
         score = F.when(tool.isin(list(tools)), 5).otherwise(0)
+        if told is not None:
+            score = score + 10 * F.size(F.array_intersect(told, F.lit(list(known))))
         for word in words:
             score = score + body.contains(word).cast("int")
         scored.append(F.struct(score.alias("score"), F.lit(priority).alias("priority"), F.lit(name).alias("skill")))
     best = F.array_max(F.array(*scored))
     return events.select("event_id", F.when(best["score"] > 0, best["skill"]).otherwise("general").alias("skill"), best["score"].alias("score"))
+
+
+def dry_run(events: DataFrame, rules: list[Rule] | None = None, hints: Column | None = None, problem: Column | None = None) -> DataFrame:
+    """(event_id, matched, skill, finding): a rule set and the skill routing over a whole table of events, before they are put to use.
+
+    matched: the ids of the rules that fire, sorted; finding: why an event isn't valid (problem, null for valid ones), in which case nothing is matched for
+    it. Matching is one projection; only the matches are grouped.
+    """
+    rows = events.withColumn("_problem", problem if problem is not None else F.lit(None).cast("string"))
+    good = rows.where(F.col("_problem").isNull())
+    hits = match_patterns(good, rules).groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("matched"))
+    out = route_skills(good, hints).join(hits, "event_id", "left").select("event_id", F.coalesce("matched", F.lit("")).alias("matched"), "skill", F.lit(None).cast("string").alias("finding"))
+    bad = rows.where(F.col("_problem").isNotNull()).select("event_id", F.lit(None).cast("string").alias("matched"), F.lit(None).cast("string").alias("skill"), F.col("_problem").alias("finding"))
+    return out.unionByName(bad)

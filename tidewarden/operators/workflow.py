@@ -27,12 +27,19 @@ def approval_states(log: DataFrame, retries: dict[str, int] | None = None) -> Da
     return rows.select("approval_id", state.alias("state"), "attempts")
 
 
-def merge_analyses(results: DataFrame, base: DataFrame) -> DataFrame:
+def merge_analyses(results: DataFrame, base: DataFrame, force: Column | None = None) -> DataFrame:
     """Best analyzer result per event by level, then confidence; confidence 0 doesn't count and a level never falls below the base level.
 
-    results: (event_id, target_level, confidence); base: (event_id, risk_level).
+    results: (event_id, target_level, confidence, and position where analyzers have an order); base: (event_id, risk_level). The first analyzer (position 0) is decisive
+    with at least high risk at a confidence of 0.8: later results of its event don't count then, unless ``force`` (a boolean column of results) asks for them.
     """
-    best = results.where(F.col("confidence") > 0).groupBy("event_id").agg(F.max(F.struct(risk_rank(F.col("target_level")).alias("rank"), "confidence", "target_level")).alias("best"))
+    rank = risk_rank(F.col("target_level"))
+    rows = results.where(F.col("confidence") > 0)
+    if "position" in results.columns:
+        asked = F.coalesce(force, F.lit(False)) if force is not None else F.lit(False)
+        first = rows.where((F.col("position") == 0) & (rank >= 2) & (F.col("confidence") >= 0.8) & ~asked).select("event_id").distinct()
+        rows = rows.where(F.col("position") == 0).unionByName(rows.where(F.col("position") != 0).join(first, "event_id", "left_anti").select(rows.columns))
+    best = rows.groupBy("event_id").agg(F.max(F.struct(rank.alias("rank"), "confidence", "target_level")).alias("best"))
     rows = base.join(best, "event_id", "left")
     lift = F.coalesce(F.col("best.rank"), F.lit(-1)) > risk_rank(F.col("risk_level"))
     return rows.withColumn("risk_level", F.when(lift, F.col("best.target_level")).otherwise(F.col("risk_level"))).drop("best")

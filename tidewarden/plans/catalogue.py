@@ -11,8 +11,8 @@ from ..functions import outputs as O
 from ..functions import patterns as P
 from ..functions import scoring as S
 from ..functions.signals import any_of, normalized
-from ..operators import blocks, correlate, escalate, normalize, reports, rules, score, sequences, sessions
-from ..operators.ranges import limit_requests
+from ..operators import benchmark, blocks, correlate, escalate, evidence, normalize, reports, rollups, rules, score, sequences, sessions, snapshots
+from ..operators.ranges import limit_requests, thin_events
 from ..operators.vectors import similar_vectors
 from ..sources.fixtures import agent_events, table, tool_outputs
 from . import oracle
@@ -118,7 +118,7 @@ def second_level(spark: SparkSession, d: str) -> DataFrame:
 
 def alert_thinning(spark: SparkSession, d: str) -> DataFrame:
     rows = agent_events(spark, d).select(F.col("source_framework").alias("session_id"), "tool_name", "event_id", "micros")
-    return correlate.sampled_events(rows, 60.0, UNIT).select(F.col("session_id").alias("metric"), F.col("tool_name").alias("severity"), "event_id", F.col("suppressed").cast("long").alias("suppressed"))
+    return thin_events(rows, 60.0, UNIT).select(F.col("session_id").alias("metric"), F.col("tool_name").alias("severity"), "event_id", F.col("suppressed").cast("long").alias("suppressed"))
 
 
 def missing_dimensions(spark: SparkSession, d: str) -> DataFrame:
@@ -282,6 +282,91 @@ def latency_pressure(spark: SparkSession, d: str) -> DataFrame:
     return reports.latency_pressure(agent_events(spark, d).withColumn("seconds", F.col("value") / 400), "tool_name", "seconds")
 
 
+def risk_direction(spark: SparkSession, d: str) -> DataFrame:
+    return reports.risk_direction(_scored(spark, d), 60 * UNIT / 100)
+
+
+def session_posture(spark: SparkSession, d: str) -> DataFrame:
+    return reports.session_posture(reports.current_sessions(_scored(spark, d)).withColumn("mapped", F.col("risk_rank") >= 1))
+
+
+def session_counts(spark: SparkSession, d: str) -> DataFrame:
+    current = reports.current_sessions(_scored(spark, d))
+    framework = reports.session_counts(current, "source_framework").withColumn("key", F.lit("framework"))
+    return framework.unionByName(reports.session_counts(current, "workspace_root").withColumn("key", F.lit("workspace")))
+
+
+def top_usage(spark: SparkSession, d: str) -> DataFrame:
+    return reports.top_usage(reports.usage_rollup(agent_events(spark, d)))
+
+
+def replay_range(spark: SparkSession, d: str) -> DataFrame:
+    return reports.replay_range(_scored(spark, d), 7, 100, 900).select("event_id", "session_id", "risk_level", "verdict")
+
+
+def replay_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Days of a session stand for labelled records; every third is unsafe, every seventh has no label, and some have no decision."""
+    i = F.col("event_id")
+    day = F.floor(F.col("micros") / 86_400_000_000)
+    record = F.concat_ws("-", F.col("session_id").cast("string"), day.cast("string"))
+    rows = _scored(spark, d).select(record.alias("record_id"), "event_id", "etype", F.when(i % 9 == 0, "defer").otherwise(F.col("verdict")).alias("verdict"), "risk_rank", F.when(i % 5 == 0, "l3").when(i % 5 == 1, "L2").otherwise("L1").alias("tier"), "session_id", day.alias("day"))
+    labels = rows.select("record_id", F.when((F.col("session_id") + F.col("day")) % 7 == 0, "odd").when((F.col("session_id") + F.col("day")) % 3 == 0, "unsafe").otherwise("safe").alias("label")).distinct()
+    return benchmark.replay_scores(benchmark.replay_records(rows.where((F.col("session_id") + F.col("day")) % 10 != 0), labels))
+
+
+def metric_lines(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    counts = scored.groupBy("verdict", "risk_level", "source_framework").agg(F.count("*").alias("n"))
+    buckets = reports.latency_histogram(scored, "composite", "source_framework", (0.5, 1.5, 2.5)).withColumnRenamed("edge", "le")
+    return benchmark.exposition(counts, "decisions_total", ["verdict", "risk_level", "source_framework"]).unionByName(benchmark.exposition(buckets, "risk_score_bucket", ["source_framework", "le"]))
+
+
+def rule_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh event has a hint of credentials, every eleventh one of two kinds; events of number 12 modulo 13 lack a name and are findings."""
+    i = F.col("event_id")
+    hints = F.when(i % 7 == 0, F.array(F.lit("Credential_Access"))).when(i % 11 == 0, F.array(F.lit("shell_execution"), F.lit("data_exfiltration"), F.lit("shell_execution")))
+    return rules.dry_run(agent_events(spark, d), None, hints, F.when(i % 13 == 12, "event_id missing"))
+
+
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return reports.latency_histogram(_scored(spark, d), "composite", "source_framework", (0.5, 1.0, 1.5, 2.0, 2.5))
+
+
+def value_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of values and numbers of sessions by framework, merged from sketches of hours."""
+    return rollups.merge_sketches(rollups.sketch_hours(agent_events(spark, d), "source_framework", "value", "session_id"), "source_framework")
+
+
+def session_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth decision is resolved later, every eighth of these twice, and every ninth resolution has no decision."""
+    scored, i = _scored(spark, d), F.col("event_id")
+    base = scored.select(
+        "session_id", "event_id", "micros", F.lit(0).alias("seq"), F.lit("decision").alias("record_type"), F.when(i % 4 == 0, "defer").otherwise(F.col("verdict")).alias("verdict"), F.when(i % 3 == 0, "L1").otherwise("L2").alias("tier"), "risk_rank",
+        "tool_name", F.when(i % 5 == 0, F.array(F.lit("shell"), F.lit("net"))).when(i % 5 == 1, F.array(F.lit("net"))).alias("hints"), "composite", "d1", "d2", "d3", (i % 3).cast("int").alias("d4"), "d5", "d6",
+    )
+    again = base.where(i % 4 == 0).withColumns({"record_type": F.lit("decision_resolution"), "seq": F.lit(1), "verdict": F.when(i % 3 == 0, "allow").otherwise("block"), "tier": F.lit("human"), "risk_rank": F.lit(0)})
+    twice = again.where(i % 32 == 0).withColumns({"seq": F.lit(2), "verdict": F.lit("modify"), "risk_rank": F.lit(3)})
+    alone = again.where(i % 36 == 0).withColumn("event_id", -i)
+    out = rollups.session_aggregates(base.unionByName(again).unionByName(twice).unionByName(alone))
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return out.select("session_id", "event_count", "high_risk_event_count", "d4_sum", "first_micros", "last_micros", "cumulative_score", shown(F.col("verdicts")).alias("verdicts"), shown(F.col("tiers")).alias("tiers"), F.array_join("tools", ",").alias("tools"), F.array_join("hints", ",").alias("hints"), F.col("latest.d6").alias("last_d6"))
+
+
+def compat_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Event fields as nested payloads of five kinds, at different places."""
+    i = F.col("event_id")
+    names = ["ContextPerception", "memory_recall", "compat:Planning", "reasoning", "intentdetection", "other"]
+    kind = F.get(F.lit(names), (i % 6).cast("int"))
+    inner = F.struct(
+        F.when(i % 4 == 0, F.col("command")).alias("intent"), F.when(i % 4 == 1, F.lit("  ")).otherwise(F.col("tool_name")).alias("query"), F.col("path").alias("cwd"), (i % 7).alias("max_results"), F.col("tool_name").alias("task"),
+        F.array(F.lit(" a "), F.lit(""), F.col("content")).alias("constraints"), F.col("content").alias("problem_statement"), F.struct(F.lit("  ").alias("x"), F.col("path").alias("y")).alias("target_hints"),
+    )
+    outer = F.struct(F.when(i % 3 == 0, F.lit("top")).alias("query"), F.when(i % 3 == 1, F.lit(" 12 ")).alias("max_results"), inner.alias("arguments"), F.struct(F.struct(kind.alias("raw_event_type"), F.lit("deep").alias("target")).alias("compat")).alias("_meta"))
+    rows = agent_events(spark, d).select("event_id", F.lit("reasoning").alias("event_subtype"), F.when(i % 11 == 10, F.lit("[1]")).otherwise(F.to_json(outer)).alias("payload"))
+    out = evidence.compatibility_evidence(rows)
+    return out.select("event_id", "compat_event_type", "summary_kind", F.array_join(F.array_sort(F.transform(F.map_entries("summary"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("summary"))
+
+
 def workspace_rollup(spark: SparkSession, d: str) -> DataFrame:
     return reports.workspace_rollup(_scored(spark, d))
 
@@ -327,6 +412,11 @@ def snapshot_records(spark: SparkSession, d: str) -> DataFrame:
     return correlate.snapshot_records(scored.select("session_id", "event_id", "risk_level"), snapshots)
 
 
+def review_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    events = agent_events(spark, d)
+    return snapshots.review_snapshots(score.score_events(events), sequences.detect_trajectories(events, unit=UNIT))
+
+
 def _varied(spark: SparkSession, d: str) -> DataFrame:
     """Scored events of which every third goes by another tool, so that blocked commands come back as others."""
     i = F.col("event_id")
@@ -414,7 +504,8 @@ def queries() -> dict[str, Query]:
         approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
         audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing, normalized_events, activity_states, busy_clients, session_recommendations, heartbeat_deltas,
         session_list, alert_list, second_level, alert_thinning, missing_dimensions, resolved_verdicts, forced_enforcement, output_summary, derived_fields,
-        account_accumulation, account_risk, account_changes, account_enforcement, account_trajectories, account_history, account_limits, vector_search, snapshot_records, bypass_rounds, request_limits,
+        account_accumulation, account_risk, account_changes, account_enforcement, account_trajectories, account_history, account_limits, vector_search, snapshot_records, bypass_rounds, request_limits, risk_direction, session_posture, session_counts, top_usage, replay_range, replay_scores, metric_lines, rule_dry_run, review_snapshots,
+        score_histogram, value_sketches, session_aggregates, compat_evidence,
     ]
     return {f.__name__: f for f in found}
 

@@ -330,7 +330,7 @@ FROM n t JOIN n r ON r.session_id = t.session_id AND r.seq BETWEEN t.seq - 49 AN
 a AS (SELECT event_id - event_id % 3 AS approval_id, micros, CASE WHEN event_id % 2 = 0 THEN 'allow' ELSE 'deny' END AS decision FROM agent_events WHERE event_id % 3 <> 0 AND event_id % 7 < 4),
 f AS (SELECT approval_id, min(micros) AS m, arg_min(decision, (micros, decision)) AS decision FROM a GROUP BY ALL), n AS (SELECT max(micros) AS now FROM agent_events WHERE event_id % 3 = 0 OR event_id % 7 < 4),
 s AS (SELECT q.approval_id, CASE WHEN m >= asked AND m <= asked + {_UNIT} // 100 THEN CASE WHEN decision = 'allow' THEN 'allowed' ELSE 'denied' END WHEN now > asked + {_UNIT} // 100 THEN 'expired' ELSE 'pending' END AS state FROM q LEFT JOIN f USING (approval_id), n)
-SELECT approval_id, state, CASE state WHEN 'allowed' THEN 'allow' WHEN 'denied' THEN 'block' WHEN 'expired' THEN 'block' END AS verdict FROM s""",
+SELECT approval_id, state, CASE state WHEN 'allowed' THEN 'allow' WHEN 'denied' THEN 'block' WHEN 'expired' THEN 'block' END AS verdict, CASE state WHEN 'allowed' THEN 'approval_allowed' WHEN 'denied' THEN 'approval_denied' WHEN 'expired' THEN 'approval_timeout' END AS reason_code FROM s""",
     "token_budget": f"""WITH {VIEW}, t AS (SELECT event_id, micros, strftime(occurred_at, '%Y-%m-%d') AS day, input_tokens + output_tokens AS tokens FROM agent_events), r AS (SELECT *, sum(tokens) OVER (PARTITION BY day ORDER BY micros, event_id) AS upto FROM t)
 SELECT day, sum(tokens) AS used, count_if(tokens = 0) AS unknown, arg_min(event_id, (micros, event_id)) FILTER (upto >= 100000) AS exhausted_by FROM r GROUP BY day""",
     "usage_rollup": f"""WITH {VIEW} SELECT CASE grouping(source_framework, tool_name) WHEN 1 THEN 'framework' WHEN 2 THEN 'tool' ELSE 'total' END AS dimension, coalesce(source_framework, tool_name, '') AS value, count(*) AS calls, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens,
@@ -352,14 +352,74 @@ SELECT vec_id, similarity, round(CASE WHEN similarity <= 0.75 THEN 0 ELSE least(
 c AS (SELECT min(vec_id) AS vec_id, count(*) AS copies, embedding::DOUBLE[] AS v FROM embeddings GROUP BY embedding)
 SELECT query_id, vec_id, copies, round(list_cosine_similarity(u, v), 4) AS similarity FROM q, c WHERE list_cosine_similarity(u, v) >= 0.75""",
     "request_limits": f"WITH RECURSIVE {VIEW}, {_limited(5, 20 * _UNIT)}",
+    "risk_direction": f"""{SCORED}, n AS (SELECT (SELECT max(micros) FROM scored) - micros AS age, risk_rank >= 2 AS high FROM scored),
+c AS (SELECT count_if(age <= 3 * {_UNIT}) AS total_5, count_if(age <= 9 * {_UNIT}) AS total_15, count_if(age <= 36 * {_UNIT}) AS total_60, count_if(high AND age <= 3 * {_UNIT}) AS high_5, count_if(high AND age <= 9 * {_UNIT}) AS high_15,
+  count_if(high AND age <= 36 * {_UNIT}) AS high_60, count_if(high AND age > 3 * {_UNIT} AND age <= 6 * {_UNIT}) AS earlier FROM n)
+SELECT * EXCLUDE (earlier), round(high_5 / total_5, 6) AS ratio_5, round(high_15 / total_15, 6) AS ratio_15, round(high_60 / total_60, 6) AS ratio_60, CASE WHEN high_5 > earlier THEN 'up' WHEN high_5 < earlier THEN 'down' ELSE 'flat' END AS direction FROM c""",
+    "session_posture": f"""{SCORED}, l AS (SELECT arg_max(risk_rank, (micros, event_id)) AS r FROM scored GROUP BY session_id), c AS (SELECT count_if(r = 3) AS critical, count_if(r = 2) AS high, count_if(r >= 1) AS mapped FROM l),
+s AS (SELECT *, 100 - least(100, 20 * critical + 10 * high) AS score FROM c)
+SELECT critical, high, score::DOUBLE AS score, CASE WHEN score < 50 THEN 'critical' WHEN score < 75 THEN 'elevated' WHEN score < 90 THEN 'watch' ELSE 'healthy' END AS level,
+  concat_ws(',', CASE WHEN critical > 0 THEN 'critical_sessions:' || critical END, CASE WHEN high > 0 THEN 'high_sessions:' || high END, CASE WHEN mapped > 0 THEN 'mapped_active_sessions:' || mapped END) AS drivers FROM s""",
+    "session_counts": f"""{SCORED}, l AS (SELECT arg_max(risk_rank, (micros, event_id)) AS r, arg_max(source_framework, (micros, event_id)) AS f, arg_max(workspace_root, (micros, event_id)) AS w FROM scored GROUP BY session_id),
+k AS (SELECT 'framework' AS key, f AS name, r FROM l UNION ALL SELECT 'workspace', CASE WHEN w = '' THEN 'unknown' ELSE w END, r FROM l),
+c AS (SELECT key, name, count(*) AS total_sessions, count_if(r >= 2) AS high_or_critical_count, count_if(r = 3) AS critical_count FROM k GROUP BY ALL)
+SELECT *, round(high_or_critical_count / total_sessions, 6) AS high_or_critical_ratio, round(critical_count / total_sessions, 6) AS critical_ratio FROM c
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY high_or_critical_count DESC, critical_count DESC, total_sessions DESC, name) <= 10""",
+    "top_usage": f"""WITH {VIEW}, u AS (SELECT 'total' AS dimension, '' AS value, input_tokens + output_tokens AS t FROM agent_events UNION ALL SELECT 'framework', source_framework, input_tokens + output_tokens FROM agent_events UNION ALL SELECT 'tool', tool_name, input_tokens + output_tokens FROM agent_events),
+s AS (SELECT dimension, value, sum(t) AS t, count(*) AS calls FROM u GROUP BY ALL) SELECT dimension, value FROM s QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY t DESC, calls DESC, value) = 1""",
+    "replay_range": f"{SCORED} SELECT event_id, session_id, risk_level, verdict FROM scored WHERE session_id = 7 AND event_id BETWEEN 100 AND 900",
+    "replay_scores": f"""{SCORED}, d AS (SELECT session_id || '-' || (micros // 86400000000) AS record_id, session_id + micros // 86400000000 AS k, etype, CASE WHEN event_id % 9 = 0 THEN 'defer' ELSE verdict END AS v, risk_rank, event_id % 5 AS m FROM scored),
+l AS (SELECT DISTINCT record_id, k % 3 = 0 AS unsafe FROM d WHERE k % 7 <> 0), p AS (SELECT * FROM d WHERE k % 10 <> 0),
+r AS (SELECT l.record_id, unsafe, count(p.record_id) AS events, count_if(v = 'block') AS blocked, count_if(v = 'defer') AS deferred, coalesce(max(risk_rank), 0) AS top, coalesce(bool_or(etype = 'pre_action'), false) AS pre, coalesce(bool_or(etype = 'post_action'), false) AS post,
+  count_if(m >= 2) AS l1, count_if(m = 1) AS l2, count_if(m = 0) AS l3 FROM l LEFT JOIN p USING (record_id) GROUP BY ALL),
+x AS (SELECT *, blocked + deferred > 0 AS stopped, blocked + deferred > 0 OR top >= 2 AS hit FROM r),
+n AS (SELECT count(*) AS records, count_if(unsafe AND hit) AS tp, count_if(NOT unsafe AND hit) AS fp, count_if(unsafe AND NOT hit) AS fn, count_if(NOT unsafe AND NOT hit) AS tn, count_if(unsafe AND stopped) AS st, count_if(pre) AS pre, count_if(post) AS post,
+  sum(events) AS events, sum(blocked) AS blocked, sum(deferred) AS deferred, sum(l1) AS "L1", sum(l2) AS "L2", sum(l3) AS "L3", count_if(top = 0) AS max_low, count_if(top = 1) AS max_medium, count_if(top = 2) AS max_high, count_if(top = 3) AS max_critical FROM x)
+SELECT * EXCLUDE (st, pre, post), round(tp / nullif(tp + fn, 0), 6) AS unsafe_recall, round(fp / nullif(fp + tn, 0), 6) AS safe_false_positive_rate, round(tp / nullif(tp + fp, 0), 6) AS precision, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy,
+  round(st / nullif(tp + fn, 0), 6) AS prevention_recall, round(pre / records, 6) AS pre_action_coverage, round(post / records, 6) AS post_action_coverage FROM n""",
+    "metric_lines": f"""{SCORED}, c AS (SELECT verdict, risk_level, source_framework, count(*) AS n FROM scored GROUP BY ALL), b AS (SELECT source_framework, le, count_if(le = '+Inf' OR composite <= TRY_CAST(le AS DOUBLE)) AS n FROM scored, (VALUES ('0.5'), ('1.5'), ('2.5'), ('+Inf')) v(le) GROUP BY ALL)
+SELECT 'decisions_total{{verdict="' || verdict || '",risk_level="' || risk_level || '",source_framework="' || source_framework || '"}} ' || n AS line FROM c UNION ALL SELECT 'risk_score_bucket{{source_framework="' || source_framework || '",le="' || le || '"}} ' || n FROM b""",
+    "rule_dry_run": f"""WITH {VIEW}, {_RULES}, b AS (SELECT event_id, tool_name, lower(concat_ws(' ', command, path, content)) AS body FROM agent_events WHERE event_id % 13 <> 12),
+s AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 10 ELSE 0 END + 5 * (tool_name = 'read_file')::INT + contains(body, 'id_rsa')::INT + contains(body, '.env')::INT + contains(body, 'passwd')::INT AS c,
+  CASE WHEN event_id % 7 <> 0 AND event_id % 11 = 0 THEN 10 ELSE 0 END + 5 * (tool_name IN ('http_request', 'bash'))::INT + contains(body, 'curl')::INT + contains(body, 'http')::INT AS n,
+  CASE WHEN event_id % 7 <> 0 AND event_id % 11 = 0 THEN 10 ELSE 0 END + 5 * (tool_name = 'bash')::INT + contains(body, 'sudo')::INT + contains(body, 'rm -rf')::INT + contains(body, 'chmod')::INT AS h FROM b),
+m AS (SELECT event_id, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS matched FROM matches GROUP BY event_id)
+SELECT event_id, coalesce(matched, '') AS matched, CASE WHEN greatest(c, n, h) = 0 THEN 'general' WHEN c = greatest(c, n, h) THEN 'credential-review' WHEN n = greatest(c, n, h) THEN 'network-review' ELSE 'shell-review' END AS skill, NULL AS finding FROM s LEFT JOIN m USING (event_id)
+UNION ALL SELECT event_id, NULL, NULL, 'event_id missing' FROM agent_events WHERE event_id % 13 = 12""",
+    "score_histogram": f"""{SCORED}, e AS (SELECT * FROM (VALUES (0.5), (1.0), (1.5), (2.0), (2.5), (NULL)) v(edge))
+SELECT source_framework, edge::DOUBLE AS edge, count_if(edge IS NULL OR composite <= edge) AS n FROM scored, e GROUP BY ALL""",
+    "session_aggregates": f"""{SCORED}, base AS (SELECT session_id, event_id, micros, 0 AS seq, 'decision' AS kind, CASE WHEN event_id % 4 = 0 THEN 'defer' ELSE verdict END AS verdict, CASE WHEN event_id % 3 = 0 THEN 'L1' ELSE 'L2' END AS tier, risk_rank, tool_name,
+  CASE event_id % 5 WHEN 0 THEN ['shell', 'net'] WHEN 1 THEN ['net'] END AS hints, composite, event_id % 3 AS d4, d6 FROM scored),
+again AS (SELECT * REPLACE ('resolution' AS kind, 1 AS seq, CASE WHEN event_id % 3 = 0 THEN 'allow' ELSE 'block' END AS verdict, 'human' AS tier, 0 AS risk_rank) FROM base WHERE event_id % 4 = 0),
+r AS (SELECT * FROM base UNION ALL SELECT * FROM again UNION ALL SELECT * REPLACE (2 AS seq, 'modify' AS verdict, 3 AS risk_rank) FROM again WHERE event_id % 32 = 0 UNION ALL SELECT * REPLACE (-event_id AS event_id) FROM again WHERE event_id % 36 = 0),
+live AS (SELECT a.* FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.session_id = a.session_id AND b.event_id = a.event_id AND b.kind = 'resolution' AND b.seq = a.seq + 1)),
+v AS (SELECT session_id, string_agg(verdict || ':' || n, ',' ORDER BY verdict) AS verdicts FROM (SELECT session_id, verdict, count(*) AS n FROM live GROUP BY ALL) GROUP BY 1),
+t AS (SELECT session_id, string_agg(tier || ':' || n, ',' ORDER BY tier) AS tiers FROM (SELECT session_id, tier, count(*) AS n FROM live GROUP BY ALL) GROUP BY 1),
+h AS (SELECT session_id, count_if(risk_rank >= 2) AS high_risk_event_count FROM live GROUP BY 1),
+w AS (SELECT session_id, string_agg(DISTINCT x, ',' ORDER BY x) AS hints FROM r, unnest(hints) u(x) GROUP BY 1),
+b AS (SELECT session_id, count_if(kind = 'decision') AS event_count, sum(d4) FILTER (kind = 'decision') AS d4_sum, min(micros) AS first_micros, max(micros) AS last_micros, floor(arg_max(composite, (micros, seq, event_id)))::BIGINT AS cumulative_score,
+  floor(arg_max(d6, (micros, seq, event_id)))::INT AS last_d6, string_agg(DISTINCT tool_name, ',' ORDER BY tool_name) AS tools FROM r GROUP BY 1)
+SELECT b.*, high_risk_event_count, verdicts, tiers, coalesce(hints, '') AS hints FROM b JOIN v USING (session_id) JOIN t USING (session_id) JOIN h USING (session_id) LEFT JOIN w USING (session_id)""",
+    "compat_evidence": f"""WITH {VIEW}, k AS (SELECT *, ['context_perception', 'memory_recall', 'planning', 'reasoning', 'intent_detection', NULL][(event_id % 6)::INT + 1] AS kind FROM agent_events),
+q AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'query=top' WHEN event_id % 4 <> 1 THEN 'query=' || tool_name END AS query FROM k),
+s AS (SELECT event_id, kind, CASE WHEN event_id % 11 = 10 THEN NULL ELSE nullif(CASE kind
+  WHEN 'context_perception' THEN concat_ws(';', CASE WHEN event_id % 4 = 0 THEN 'intent=' || command END, query, 'target=deep', 'workspace=' || path)
+  WHEN 'memory_recall' THEN concat_ws(';', 'max_results=' || CASE WHEN event_id % 3 = 1 THEN 12 ELSE event_id % 7 END, query, 'working_directory=' || path)
+  WHEN 'planning' THEN concat_ws(';', 'constraints=["a"' || coalesce(',"' || content || '"', '') || ']', 'task=' || tool_name)
+  WHEN 'reasoning' THEN 'problem_statement=' || content WHEN 'intent_detection' THEN 'target_hints={{"y":"' || path || '"}}' END, '') END AS summary FROM q)
+SELECT event_id, CASE WHEN summary IS NOT NULL THEN kind END AS compat_event_type, CASE WHEN summary IS NOT NULL THEN CASE kind WHEN 'planning' THEN 'planning_summary' WHEN 'reasoning' THEN 'reasoning_summary' WHEN 'intent_detection' THEN 'intent_summary' ELSE 'compat_summary' END END AS summary_kind, summary FROM s""",
     "trajectory_events": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS depth FROM conversations)
 SELECT conv_id || '-' || depth AS event_id, CASE WHEN depth > 0 THEN conv_id || '-' || (depth - 1) END AS parent_event_id, conv_id, CASE role WHEN 'user' THEN 'pre_prompt' WHEN 'assistant' THEN 'post_response' WHEN 'tool' THEN 'post_action' ELSE 'session' END AS etype,
   depth, length(text) AS n_chars, depth AS at_second FROM n""",
     "detection_quality": f"""WITH d AS (SELECT doc_id, {found('text', P.SECRETS)} OR {found('text', [_SECRET])} AS detected FROM documents), j AS (SELECT detected, toxic = 1 OR quality = 0 AS unsafe FROM d JOIN labels USING (doc_id)),
 n AS (SELECT count_if(unsafe AND detected) AS tp, count_if(NOT unsafe AND detected) AS fp, count_if(unsafe AND NOT detected) AS fn, count_if(NOT unsafe AND NOT detected) AS tn FROM j)
 SELECT tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 4) AS recall, round(fp / nullif(fp + tn, 0), 4) AS false_positive_rate, round(tp / nullif(tp + fp, 0), 4) AS precision FROM n""",
-    "candidate_patterns": f"""WITH {VIEW} SELECT substr(sha256(tool_name || ':' || command), 1, 16) AS candidate, tool_name, regexp_replace(regexp_replace(command, 'https?://\\S+', '<URL>', 'g'), '(^|\\s)/\\S+', '\\1<PATH>', 'g') AS general, min(event_id) AS first_event_id, count(*) AS uses
-FROM agent_events WHERE command IS NOT NULL GROUP BY ALL""",
+    "candidate_patterns": f"""WITH {VIEW}, c AS (SELECT substr(sha256(tool_name || ':' || command), 1, 16) AS candidate, tool_name, command, min(event_id) AS first_event_id, count(*) AS uses FROM agent_events WHERE command IS NOT NULL GROUP BY ALL),
+m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(command, 'https?://[^\\s"''|&;]+', chr(1), 'g'), '\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}', chr(2), 'g'), '/[\\w./-]+', chr(3), 'g') AS marked FROM c),
+e AS (SELECT *, regexp_replace(marked, '([()\\[\\]{{}}?*+|^$\\\\.&~# -])', '\\\\\\1', 'g') AS escaped FROM m)
+SELECT candidate, 'EV-' || upper(substr(candidate, 1, 8)) AS rule_id, tool_name, CASE WHEN regexp_matches(lower(command), 'curl|wget|nc |ncat') THEN 'data_exfiltration' WHEN regexp_matches(lower(command), 'sudo|chmod|chown') THEN 'privilege_abuse'
+  WHEN regexp_matches(lower(command), 'eval|exec|python -c|bash -c') THEN 'code_execution' ELSE 'unknown' END AS category,
+  replace(replace(replace(escaped, chr(1), 'https?://\\S+'), chr(2), '\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}'), chr(3), '[\\w./-]+') AS pattern, first_event_id, uses FROM e""",
     "pattern_lifecycle": f"""WITH {VIEW}, f AS (SELECT tool_name || '-' || session_id % 50 AS rule_id, event_id, micros, source_framework, (event_id * 7919) % 100 < 85 AS ok FROM agent_events),
 r AS (SELECT *, count_if(ok) OVER w AS yes, count(*) OVER w AS votes FROM f WINDOW w AS (PARTITION BY rule_id ORDER BY micros, event_id ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT rule_id, max(yes) AS y, max(votes) AS v, bool_or(votes >= 3 AND votes - yes > 0.3 * votes) AS bad, bool_or(ok AND yes >= 3 AND 0.5::DOUBLE * yes / votes + 0.2::DOUBLE * least(votes / 10, 1) + 0.1::DOUBLE >= 0.7) AS good,
@@ -394,4 +454,13 @@ for _name, _of in [("account_accumulation", "d4_accumulation"), ("account_risk",
 SQL["account_limits"] = f"WITH RECURSIVE {_ACCOUNT}, {_limited(3, _UNIT // 10)}"
 SQL["snapshot_records"] = f"""{SCORED}, s AS (SELECT trigger_event_id, session_id, CASE WHEN trigger_event_id % 5 = 4 THEN trigger_event_id + 1 ELSE from_event_id END AS low FROM (WITH {SQL['evidence_snapshots'].removeprefix(SCORED).lstrip(', ')}))
 SELECT r.session_id, r.event_id, r.risk_level, s.trigger_event_id FROM scored r JOIN s ON s.session_id = r.session_id AND r.event_id BETWEEN s.low AND s.trigger_event_id"""
+SQL["review_snapshots"] = f"""{SCORED}, {_ALERTS}, a AS (SELECT trigger_event_id, arg_min(sequence_id, (CASE risk_level WHEN 'critical' THEN 0 ELSE 1 END, sequence_id)) AS sequence_id FROM alerts GROUP BY 1),
+n AS (SELECT s.*, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS seq, sequence_id FROM scored s LEFT JOIN a ON a.trigger_event_id = s.event_id),
+g AS (SELECT t.session_id, t.event_id AS trigger_event_id, CASE WHEN t.sequence_id IS NOT NULL THEN 'trajectory_alert' ELSE 'threshold' END AS trigger_reason, t.sequence_id AS trigger_detail, min(r.event_id) AS from_record, t.event_id AS to_record, count(*) AS record_count,
+  sha256(string_agg(r.event_id || '|' || r.verdict || '|' || r.risk_level || '|' || r.micros, chr(10) ORDER BY r.seq)) AS fingerprint, t.risk_level AS current_level, count_if(r.risk_rank >= 2) AS high_count,
+  concat_ws(', ', CASE WHEN count_if(r.verdict = 'allow') > 0 THEN 'allow=' || count_if(r.verdict = 'allow') END, CASE WHEN count_if(r.verdict = 'block') > 0 THEN 'block=' || count_if(r.verdict = 'block') END) AS decisions,
+  ['low', 'medium', 'high', 'critical'][max(r.risk_rank) + 1] AS highest
+  FROM n t JOIN n r ON r.session_id = t.session_id AND r.seq BETWEEN t.seq - 49 AND t.seq WHERE t.risk_rank >= 2 OR t.sequence_id IS NOT NULL GROUP BY ALL)
+SELECT 'l3snap-' || substr(sha256(concat_ws('|', session_id, trigger_event_id, trigger_reason, coalesce(trigger_detail, ''), from_record, to_record, fingerprint)), 1, 16) AS snapshot_id, *,
+  CASE highest WHEN 'critical' THEN 'escalate' WHEN 'low' THEN 'none' ELSE 'inspect' END AS action, highest || ' risk across ' || record_count || ' record(s) from ' || from_record || ' to ' || to_record || '; decisions: ' || decisions AS summary FROM g"""
 SQL["account_enforcement"] = SQL["account_enforcement"].replace(f"/ {_UNIT} AS gap", f"/ {_UNIT // 400} AS gap")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT = (
@@ -18,13 +18,28 @@ def read_events_jsonl(spark: SparkSession, path: str, multi_line: bool = False)
     return reader.option("multiLine", multi_line).json(path)
 
 
-def read_session_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, type, name, arguments, call_id, session_id, text) of session log lines; other kinds of lines are skipped."""
-    inner = "id string, type string, name string, arguments string, call_id string, output string, role string"
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.from_json("value", f"type string, payload struct<{inner.replace(' ', ':').replace(',:', ', ')}>").alias("r"))
+_LINE = "type string, payload struct<id: string, type: string, name: string, arguments: string, call_id: string, output: string, role: string>"
+LOG = ("file", "line", "type", "name", "arguments", "call_id", "session_id", "text")
+
+
+def _log_lines(lines: DataFrame) -> DataFrame:
+    """Lines (file, line, value) of session logs parsed; session_id only where a line names it; other kinds of lines are skipped."""
+    rows = lines.select("file", "line", F.from_json("value", _LINE).alias("r"))
     rows = rows.where((F.col("r.type") == "session_meta") | ((F.col("r.type") == "response_item") & F.col("r.payload.type").isin("function_call", "function_call_output", "message")))
     kind = F.when(F.col("r.type") == "session_meta", "session_meta").otherwise(F.col("r.payload.type"))
-    return rows.select("file", kind.alias("type"), "r.payload.name", "r.payload.arguments", "r.payload.call_id", F.when(kind == "session_meta", F.col("r.payload.id")).alias("session_id"), F.col("r.payload.output").alias("text"))
+    session = F.when(kind == "session_meta", F.nullif("r.payload.id", F.lit("")))
+    return rows.select("file", "line", kind.alias("type"), "r.payload.name", "r.payload.arguments", "r.payload.call_id", session.alias("session_id"), F.col("r.payload.output").alias("text"))
+
+
+def read_session_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, type, name, arguments, call_id, session_id, text) of session log lines; a line has the last session id that its file names up to it.
+
+    line orders the lines of a file: the start of its split, and the place of the line in it. Files may be split, as no line needs its number.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
+    rows = _log_lines(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line"), "value"))
+    up_to = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("session_id", F.last("session_id", ignorenulls=True).over(up_to)).select(*LOG)
 
 
 def read_trajectories(spark: SparkSession, path: str, manifest: str) -> tuple[DataFrame, DataFrame]:
@@ -64,3 +79,9 @@ def runtime_feed(rows: DataFrame, session: str | None = None, least_rank: int =
     if session is not None:
         out = out.where(F.col("session_id") == session)
     return out if kinds is None else out.where(F.col("etype").isin(kinds))
+
+
+def feed_replay(rows: DataFrame, most: int = 50, **filters) -> DataFrame:
+    """The newest ``most`` rows of a feed with the filters of runtime_feed(), oldest first: what a late subscriber gets before the stream."""
+    newest = runtime_feed(rows, **filters).orderBy(F.desc("micros"), F.desc("event_id")).limit(most)
+    return newest.orderBy("micros", "event_id")

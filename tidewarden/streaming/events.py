@@ -45,10 +45,10 @@ def ingest_once(events: DataFrame, key: str = "event_id", time: str = "occurred_
 class SessionScorer(StatefulProcessor):
     """Per session: number of high-risk events, last time and last level; emits d4, level, rises and enforcement for each event.
 
-    State is one row a session that goes after ``ttl_ms`` of processing time without an event. Rows of a batch are taken in (micros, event_id) order.
+    State is one row a session; with ``ttl_ms`` it goes after so much processing time without an event. Rows of a batch are taken in (micros, event_id) order.
     """
 
-    def __init__(self, threshold: int = 3, cooldown_micros: int = 600_000_000, ttl_ms: int = 86_400_000, t: Thresholds | None = None):
+    def __init__(self, threshold: int = 3, cooldown_micros: int = 600_000_000, ttl_ms: int | None = None, t: Thresholds | None = None):
         self.threshold, self.cooldown, self.ttl, self.t = threshold, cooldown_micros, ttl_ms, t or Thresholds()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -110,10 +110,14 @@ def score_rows(rows: pd.DataFrame, high: int, last: int | None, rank: int, thres
 
 
 def session_state(events: DataFrame, **options) -> DataFrame:
-    """(session_id, event_id, prior_high, d4, risk_rank, rises, enforced) by session state; needs the RocksDB state store."""
+    """(session_id, event_id, prior_high, d4, risk_rank, rises, enforced) by session state; needs the RocksDB state store.
+
+    With ``ttl_ms`` idle state goes by processing time, for which a query must run on: with an availableNow trigger it wouldn't end. guard.guarded_stream()
+    lets idle state go by event time under any trigger.
+    """
     rows = dimensions(events).select("session_id", "event_id", "micros", "d1", "d2", "d3", "d5", "d6")
     schema = "session_id long, event_id long, prior_high long, d4 int, risk_rank int, rises boolean, enforced boolean"
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionScorer(**options), schema, "Append", "ProcessingTime")
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionScorer(**options), schema, "Append", "ProcessingTime" if options.get("ttl_ms") else "None")
 
 
 class ApprovalTimer(StatefulProcessor):

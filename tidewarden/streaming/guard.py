@@ -235,3 +235,71 @@ class LateRows(StreamingQueryListener):
     def table(self, spark: SparkSession) -> DataFrame:
         """(query, batch, dropped): a row for each batch that lost rows."""
         return spark.createDataFrame([(q, b, n) for (q, b), n in sorted(self.dropped.items())], "query string, batch long, dropped long")
+
+
+class EventThinner(StatefulProcessor):
+    """Per key: keeps one event in a window that starts at the last one kept, in event-time order, with the number dropped in between.
+
+    Events wait until the watermark has passed them. State goes once a window has passed since the last kept event and none waits, as what was
+    dropped before is reported with the next event only within ``ttl_ms``.
+    """
+
+    def __init__(self, tick: int, ttl_ms: int):
+        self.tick, self.ttl = tick, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "due long, dropped long, timer long")
+        self.waiting = handle.getListState("waiting", "event_id long, micros long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        due, dropped, timer = self.state.get() if self.state.exists() else (None, 0, None)
+        for batch in rows:
+            self.waiting.appendList(list(zip(batch["event_id"].tolist(), batch["micros"].tolist(), strict=True)))
+            first = -(-int(batch["micros"].min()) // 1000)
+            if timer is None or first < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                timer = first
+                self.handle.registerTimer(timer)
+        self.state.update((due, dropped, timer))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs()
+        due, dropped, _ = self.state.get() if self.state.exists() else (None, 0, None)
+        rows = sorted(self.waiting.get(), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
+        ready = [r for r in rows if r[1] <= now * 1000]
+        micros, kept, at = np.array([r[1] for r in ready], np.int64), [], 0
+        while at < len(ready):
+            nxt = at if due is None else at + int(np.searchsorted(micros[at:], due))
+            dropped += nxt - at
+            if nxt < len(ready):
+                kept.append((key[0], key[1], ready[nxt][0], dropped))
+                due, dropped, nxt = int(micros[nxt]) + self.tick, 0, nxt + 1
+            at = nxt
+        rest = rows[len(ready) :]
+        if rest:
+            self.waiting.put(rest)
+            timer = -(-rest[0][1] // 1000)
+        else:
+            self.waiting.clear()
+            timer = None if due is None else due // 1000 + self.ttl
+            if timer is None or timer <= now:
+                self.state.clear()
+                timer = None
+        if timer is not None:
+            self.handle.registerTimer(timer)
+            self.state.update((due, dropped, timer))
+        if kept:
+            yield pd.DataFrame(kept, columns=["session_id", "tool_name", "event_id", "suppressed"])
+
+    def close(self) -> None:
+        pass
+
+
+def thinned_stream(events: DataFrame, window: float, unit: float = 1.0, time: str = "occurred_at", late: str = "10 minutes", ttl_ms: int = 86_400_000) -> DataFrame:
+    """(session_id, tool_name, event_id, suppressed): correlate.sampled_events() over a stream, in event-time order whatever the order of arrival. Needs the RocksDB state store."""
+    rows = events.withWatermark(time, late).select("session_id", "tool_name", "event_id", "micros", time)
+    processor = EventThinner(int(window * unit * 1e6), ttl_ms)
+    return rows.groupBy("session_id", "tool_name").transformWithStateInPandas(processor, "session_id long, tool_name string, event_id long, suppressed long", "Append", "EventTime")
