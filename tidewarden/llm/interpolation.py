@@ -34,6 +34,12 @@ _TOTALS, _CELLS, _COUNTS = -1, -2, -3  # kinds of rows beside replies
 _STEPS = 2  # histogram steps in an octave
 _SPAN = 128 * _STEPS
 _FOLDS = 8  # groups at least
+#: Bits of a hash that tell n-grams above the first order apart, at every size of the corpus; tokens have all 64.
+GRAM_BITS = 54
+
+
+def _mask(order: int) -> np.uint64:
+    return np.uint64((1 << 64) - 1 if order == 1 else ((1 << 64) - 1) ^ ((1 << 64 - GRAM_BITS) - 1))
 
 
 def is_held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
@@ -44,9 +50,8 @@ def is_held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
 class _Tokens:
     """All tokens of a group with their contexts: words, then one end for each document."""
 
-    def __init__(self, ids: list, texts: list[bytes | None], split, bits: int = 64):
-        """split(id): whether a document is held out; bits: how many of a hash's upper bits keys keep."""
-        self.mask = np.uint64(((1 << 64) - 1) ^ ((1 << 64 - bits) - 1))
+    def __init__(self, ids: list, texts: list[bytes | None], split):
+        """split(id): whether a document is held out."""
         token, owner = [], []
         for at, part in K.chunks([t or b"" for t in texts], 1 << 18):
             c = K.Chunk.of(part)
@@ -74,14 +79,14 @@ class _Tokens:
         out = self.token
         for j in range(order - 1):
             out = K.mix(out + self.back[j] * np.uint64(0x9E3779B97F4A7C15 + 2 * j))
-        return out & self.mask
+        return out & _mask(order)
 
     def start_key(self, order: int) -> np.uint64:
         """The context of that order at a document's start."""
         out = np.full(1, _START)
         for j in range(order - 1):
             out = K.mix(out + np.full(1, _START) * np.uint64(0x9E3779B97F4A7C15 + 2 * j))
-        return out[0] & self.mask
+        return out[0] & _mask(order)
 
 
 class _Level:
@@ -227,6 +232,9 @@ def score(
     Mixture weights belong to the frequency class (whole log2) of the longest context seen. They are learned on all training tokens, each with the counts
     of its group of documents deleted; rows are dealt into at least eight groups by id and text.
 
+    Tokens are told apart by 64 bits of hash, n-grams above by ``GRAM_BITS``, whatever the size of the corpus: of V distinct tokens V**2 / 2**65 pairs are
+    expected to be taken for one (three in a million runs at 10**7, three pairs at 10**10), of N distinct n-grams a share of N / 2**54.
+
     The driver holds totals and one histogram; its size follows the quantisation (frequency classes and ratios by half octaves),
     not the corpus. Replies (a few bits an n-gram) are checkpointed in the shared folder.
     """
@@ -234,9 +242,6 @@ def score(
     X.ensure_checkpoint_dir(spark)
     size = X.text_bytes(docs, text_col)
     n = max(_FOLDS, X.group_count(size, group_bytes, 6 << 20))
-    # n-grams are told apart by 64 bits of hash, or as many as leave less than one pair of equal keys to expect
-    bits = min(64, 2 * max(16, (size // 4).bit_length()))
-    start = _START & np.uint64(((1 << 64) - 1) ^ ((1 << 64 - bits) - 1))
     dealt = X.deal(docs, n, id_col, text_col)
 
     def held(i):
@@ -258,7 +263,7 @@ def score(
                 out.append((grp, bucket, level, X.pack_array(_small(reply[place[at : at + len(k)]]))))
                 at += len(k)
             if level == 1:
-                seen = (total > 0) & (uniq != start)
+                seen = (total > 0) & (uniq != _START)
                 out.append((_TOTALS, rows[0][1], _TOTALS, struct.pack("<qq", int(seen.sum()), int(total[seen].sum()))))
             return X.table_of(X._REPLY, out)
 
@@ -270,7 +275,7 @@ def score(
         def make(group, ids, texts, got=(), level=level):
             if not ids:
                 return X.table_of(X._ENTRY, [])
-            last = _Counts(_Tokens(ids, texts, held, bits), _replies(got, level - 1), order, level).last
+            last = _Counts(_Tokens(ids, texts, held), _replies(got, level - 1), order, level).last
             keys, train = last.keys[last.asked], last.train[last.asked]
             return X.send(group, level, n, keys, lambda lo, hi: X.join_blobs([X.pack_keys(keys[lo:hi]), X.pack_array(_small(train[lo:hi]))]))
 
@@ -282,7 +287,7 @@ def score(
         """The group's replies in one row, and the histogram of its tokens' estimates from all other groups."""
         if not ids:  # totals pass through
             return X.table_of(X._REPLY, [(group, b, lv, raw) for lv, b, raw in got])
-        t = _Tokens(ids, texts, held, bits)
+        t = _Tokens(ids, texts, held)
         replies = _replies(got, order)
         counts = _Counts(t, replies, order, order)
         del counts.last
@@ -337,7 +342,7 @@ def score(
     def finish(group, ids, texts, got):
         if not ids:
             return X.table_of(_RESULT, [])
-        t = _Tokens(ids, texts, held, bits)
+        t = _Tokens(ids, texts, held)
         packed = next(raw for lv, _, raw in got if lv == _COUNTS)
         replies = [X.unpack_array(x).astype(np.int64) for x in X.split_blobs(packed)]
         counts = _Counts(t, replies, order, order)
