@@ -596,3 +596,13 @@ def test_weighted_and_plain_similarity_both_link(spark):
     ]
     got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 11: 11, 12: 11, 21: 21, 22: 22}
+
+
+def test_shared_ids_join_the_classes_of_their_texts(spark):
+    from tidewarden.llm.dartminhash import near_duplicates
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(3, a), (4, b), (5, a), (5, b), (6, c), (7, d), (8, c), (8, d), (9, d), (9, a), (10, "alone by itself in the whole table"), (None, a)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got if r.doc_id) == [(i, 3, 10) for i in (3, 4, 5, 5, 6, 7, 8, 8, 9, 9)] + [(10, 10, 1)]
+    assert [(r.class_id, r.class_size) for r in got if r.doc_id is None] == [(None, 1)]

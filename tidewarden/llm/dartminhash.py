@@ -371,7 +371,7 @@ def near_duplicates(
     unweighted signature too, so that both similarities find their pairs.
     Equal texts are one class from the start and travel as one representative. Null texts and texts without words are
     classes of their own row's id. A null id has a null class and links to nothing. Rows that share an
-    id share its class. Other columns are not read; an empty table gives an empty result.
+    id share its class, and so join the classes of all their texts. Other columns are not read; an empty table gives an empty result.
 
     In a bucket every text is first tested against one centre, another one in every bucket. While a turn still joins many classes of large buckets, texts
     outside a bucket's largest class meet changing members of it and of the second largest. Then the rest is finished
@@ -425,6 +425,13 @@ def near_duplicates(
             pairs = pairs.unionByName(_open_pairs(sized(large), sets, similarity))
         join_classes(pairs.distinct())
     by_id = heads.join(nodes.select(F.col("id").alias("head"), "root"), "head", "left").select("id", F.coalesce("root", "head").alias("class_id"))
+    # an id whose rows have texts of several classes joins them
+    several = by_id.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last").select("id", "a")
+    joint, n_joint = settle(by_id.join(several, "id").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct())
+    if n_joint:
+        classes = joint.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        merged = components(classes.select("id", F.col("id").alias("root")), joint).withColumnRenamed("id", "class_id")
+        by_id = by_id.join(merged, "class_id", "left").select("id", F.coalesce("root", "class_id").alias("class_id"))
     by_id = by_id.groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = rows.select("id").join(by_id, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
