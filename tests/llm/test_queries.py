@@ -78,3 +78,15 @@ def test_pipeline_with_repeated_null_and_shared_ids(spark, tmp_path):
     assert all(x.n_chars == len(x.text) for x in got)
     assert [t for i, t in expected].count(a) == 1 and len(expected) == 12
     assert sorted((x.doc_id for x in packed), key=str) == sorted((i for i, _ in expected), key=str)
+
+
+def test_pipeline_keeps_columns_of_any_name_and_kind(spark):
+    import corpus_pipeline as P
+
+    words = " ".join(f"word{k} and" for k in range(40))
+    rows = [(k, f"{words} {' '.join(f'own{k}x{j}' for j in range(40))}", "en", "s", 1, f"kept{k}", {"a": k}) for k in range(5)] + [(9, None, "en", "s", None, "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row_key string, more map<string,int>")
+    for _, stage in P.STAGES[:3]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and {(r.doc_id, r._row_key, (r.more or {}).get("a")) for r in out.collect()} <= {(k, f"kept{k}", k) for k in range(5)} | {(9, "none", None)}
+    assert P.quality(spark, docs, SMALL).count() == 5
