@@ -21,52 +21,54 @@ from tidewarden.llm import dartminhash, doubling, exchange, fertility, packing,
 #: Beyond so many rows, keys are joined by shuffle instead of a broadcast.
 MOST_BROADCAST = 1_000_000
 
-KEY = "_row_key"
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a 64-bit key of each row's content; nulls count, as the hash itself skips them."""
-    return docs.withColumn(KEY, F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a 64-bit key of each row's content, under a name that they don't have; nulls count, as the hash itself skips them, and maps by their JSON."""
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    value = {c: F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, kind in docs.dtypes}
+    return docs.withColumn(key, F.xxhash64(*[x for c in docs.columns for x in (value[c], F.col(c).isNull())])), key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside the rules and bands of op 10."""
-    rows = _keyed(docs)
-    judged = fertility.quality_rules(rows, fertility.default_model(), id_col=KEY)
-    bad = exchange.settle(judged.where(~F.col("kept")).select(F.col("doc_id").alias(KEY)).distinct())
-    return rows.join(exchange.sized(bad, MOST_BROADCAST), KEY, "left_anti").select(docs.columns)
+    rows, key = _keyed(docs)
+    judged = fertility.quality_rules(rows, fertility.default_model(), id_col=key)
+    bad = exchange.settle(judged.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
+    return rows.join(exchange.sized(bad, MOST_BROADCAST), key, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every near-duplicate class of op 6: that of least id (a null id comes last), then of least key."""
-    rows = _keyed(docs)
-    classes = dartminhash.near_duplicates(rows, KEY).where("class_size > 1").select(F.col("doc_id").alias(KEY), "class_id")
-    members, _ = exchange.settle(classes.groupBy(KEY, "class_id").agg(F.count("*").alias("copies")))
-    named = members.join(rows.select(KEY, "doc_id").distinct(), KEY)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY))
-    keep, _ = exchange.settle(named.groupBy("class_id").agg(first.alias("first")).select(F.col(f"first.{KEY}").alias(KEY)))
-    repeated = exchange.sized(exchange.settle(members.where("copies > 1").join(keep, KEY, "left_semi").select(KEY)), MOST_BROADCAST)
-    gone = exchange.sized(exchange.settle(members.join(keep, KEY, "left_anti").select(KEY)), MOST_BROADCAST)
-    single = rows.join(gone, KEY, "left_anti").join(repeated, KEY, "left_anti")
-    once = rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
+    rows, key = _keyed(docs)
+    classes = dartminhash.near_duplicates(rows, key).where("class_size > 1").select(F.col("doc_id").alias(key), "class_id")
+    members, _ = exchange.settle(classes.groupBy(key, "class_id").agg(F.count("*").alias("copies")))
+    named = members.join(rows.select(key, "doc_id").distinct(), key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key))
+    keep, _ = exchange.settle(named.groupBy("class_id").agg(first.alias("first")).select(F.col(f"first.{key}").alias(key)))
+    repeated = exchange.sized(exchange.settle(members.where("copies > 1").join(keep, key, "left_semi").select(key)), MOST_BROADCAST)
+    gone = exchange.sized(exchange.settle(members.join(keep, key, "left_anti").select(key)), MOST_BROADCAST)
+    single = rows.join(gone, key, "left_anti").join(repeated, key, "left_anti")
+    once = rows.join(repeated, key, "left_semi").dropDuplicates([key])
     return single.unionByName(once).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long passages that op 9 finds more than once."""
-    rows = _keyed(docs)
-    cut = doubling.substring_dedup(rows, id_col=KEY).where("n_words > n_removed").select(F.col("doc_id").alias(KEY), F.col("kept_text").alias("text"))
+    rows, key = _keyed(docs)
+    cut = doubling.substring_dedup(rows, id_col=key).where("n_words > n_removed").select(F.col("doc_id").alias(key), F.col("kept_text").alias("text"))
     # equal rows are cut alike: one text for each key
-    out = rows.drop("text").join(cut.dropDuplicates([KEY]), KEY).withColumn("n_chars", F.length("text").cast("long"))
+    out = rows.drop("text").join(cut.dropDuplicates([key]), key).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark, by op 8."""
-    rows = _keyed(docs)
-    found = winnow.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
-    bad = exchange.settle(found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct())
-    return rows.join(exchange.sized(bad, MOST_BROADCAST), KEY, "left_anti").select(docs.columns)
+    rows, key = _keyed(docs)
+    found = winnow.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    bad = exchange.settle(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct())
+    return rows.join(exchange.sized(bad, MOST_BROADCAST), key, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
