@@ -370,8 +370,8 @@ s AS (SELECT dimension, value, sum(t) AS t, count(*) AS calls FROM u GROUP BY AL
     "replay_range": f"{SCORED} SELECT event_id, session_id, risk_level, verdict FROM scored WHERE session_id = 7 AND event_id BETWEEN 100 AND 900",
     "replay_scores": f"""{SCORED}, d AS (SELECT session_id || '-' || (micros // 86400000000) AS record_id, session_id + micros // 86400000000 AS k, etype, CASE WHEN event_id % 9 = 0 THEN 'defer' ELSE verdict END AS v, risk_rank, event_id % 5 AS m FROM scored),
 l AS (SELECT DISTINCT record_id, k % 3 = 0 AS unsafe FROM d WHERE k % 7 <> 0), p AS (SELECT * FROM d WHERE k % 10 <> 0),
-r AS (SELECT l.record_id, unsafe, count(p.record_id) AS events, count_if(v = 'block') AS blocked, count_if(v = 'defer') AS deferred, coalesce(max(risk_rank), 0) AS top, coalesce(bool_or(etype = 'pre_action'), false) AS pre, coalesce(bool_or(etype = 'post_action'), false) AS post,
-  count_if(m >= 2) AS l1, count_if(m = 1) AS l2, count_if(m = 0) AS l3 FROM l LEFT JOIN p USING (record_id) GROUP BY ALL),
+r AS (SELECT l.record_id, unsafe, count(p.record_id) AS events, coalesce(count_if(v = 'block'), 0) AS blocked, coalesce(count_if(v = 'defer'), 0) AS deferred, coalesce(max(risk_rank), 0) AS top, coalesce(bool_or(etype = 'pre_action'), false) AS pre, coalesce(bool_or(etype = 'post_action'), false) AS post,
+  coalesce(count_if(m >= 2), 0) AS l1, coalesce(count_if(m = 1), 0) AS l2, coalesce(count_if(m = 0), 0) AS l3 FROM l LEFT JOIN p USING (record_id) GROUP BY ALL),
 x AS (SELECT *, blocked + deferred > 0 AS stopped, blocked + deferred > 0 OR top >= 2 AS hit FROM r),
 n AS (SELECT count(*) AS records, count_if(unsafe AND hit) AS tp, count_if(NOT unsafe AND hit) AS fp, count_if(unsafe AND NOT hit) AS fn, count_if(NOT unsafe AND NOT hit) AS tn, count_if(unsafe AND stopped) AS st, count_if(pre) AS pre, count_if(post) AS post,
   sum(events) AS events, sum(blocked) AS blocked, sum(deferred) AS deferred, sum(l1) AS "L1", sum(l2) AS "L2", sum(l3) AS "L3", count_if(top = 0) AS max_low, count_if(top = 1) AS max_medium, count_if(top = 2) AS max_high, count_if(top = 3) AS max_critical FROM x)
