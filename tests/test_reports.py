@@ -74,4 +74,19 @@ def test_dry_run_finds_invalid_events(spark):
     rows = spark.createDataFrame([(1, 1, "read_file", "/h/id_rsa", None, None), (2, 1, "bash", None, "ls", None)], "event_id long, session_id long, tool_name string, path string, command string, content string").withColumns({"etype": F.lit("pre_action"), "micros": F.lit(0)})
     got = {r.event_id: tuple(r)[1:] for r in rules.dry_run(rows, None, F.array(F.lit("SHELL_EXECUTION")), F.when(F.col("event_id") == 2, "bad")).collect()}
     assert got[2] == (None, None, "bad") and "secret-file" in got[1][0] and got[1][1:] == ("shell-review", None)
-    assert validate
+
+
+def test_review_queue_of_invalid_events(spark):
+    rows = spark.createDataFrame([(1, None, "sudo ls", "x"), (2, "HIGH", None, None), (3, "odd", None, "Bash"), (4, "low", "rm -rf /", "bash"), (5, None, None, None), (3, "odd", None, "Bash")], "event_id long, risk_level string, command string, tool string")
+    _, broken = validate.quarantine(rows, F.array(F.lit("schema")))
+    queue = validate.review_queue(broken, F.col("risk_level"), F.col("command"), F.col("tool")).collect()
+    assert sorted((r.event_id, r.inferred_risk) for r in queue) == [(1, "high"), (2, "high"), (3, "medium")]
+
+
+def test_violations_of_decisions_and_effects(spark):
+    rows = spark.createDataFrame(
+        [("allow", True, None, False, None, ["a"], ["b"], None, "r"), ("block", False, None, True, "session", None, None, None, None), ("modify", None, None, True, "session", ["a"], ["a"], ["c"], "")],
+        "decision string, final boolean, modified_payload string, rewrite boolean, scope string, enforced array<string>, degraded array<string>, unsupported array<string>, degrade_reason string",
+    )
+    got = rows.select(validate.decision_violations().alias("d"), validate.effect_violations().alias("e")).collect()
+    assert [(r.d, r.e) for r in got] == [([], []), (["final", "rewrite"], []), (["modified_payload", "session_scope"], ["overlap", "reason"])]

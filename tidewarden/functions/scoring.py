@@ -165,3 +165,19 @@ def fallback_verdict(event_type: Column, tool: Column, command: Column) -> Colum
     """Without a scorer: dangerous actions block, other actions defer, the rest is allowed."""
     risky = F.lower(text(tool)).isin(P.DANGEROUS_TOOLS) & dangerous_command(command)
     return F.when((event_type == "pre_action") & risky, "block").when(event_type == "pre_action", "defer").otherwise("allow")
+
+
+# fixed values: what a verdict says first, by level
+REASONS = {"critical": "Critical risk: action blocked", "high": "High risk: action blocked", "medium": "Medium risk: allowed with audit", "low": "Low risk: safe operation"}
+
+
+def reason(etype: Column, level: Column, dims: list[Column], score: Column, rule: Column, tool: Column) -> Column:
+    """Why a verdict was given: for actions the level, the six dimensions, the score, a short circuit and the tool; a fixed text for other types. dims: d1 to d6."""
+    first = F.lit(REASONS["low"])
+    for name, said in REASONS.items():
+        first = F.when(level == name, said).otherwise(first)
+    told = F.format_string("D1=%d D2=%d D3=%d D4=%d D5=%d D6=%.2f", *[d.cast("int") for d in dims[:5]], dims[5].cast("double"))
+    given = lambda name, c: F.when(text(c) != "", F.concat(F.lit(name + "="), text(c)))
+    built = F.concat_ws(" | ", first, told, F.format_string("score=%.4f", score.cast("double")), given("short_circuit", rule), given("tool", tool))
+    watched = F.concat(F.lit("Non-blocking event type '"), etype, F.lit("': observation only"))
+    return F.when(etype.isin("post_action", "post_response", "error", "session"), watched).when(etype == "pre_prompt", "Pre-prompt events are fail-open to avoid blocking user input").otherwise(built)

@@ -14,7 +14,7 @@ from .blocks import ORDER, in_order, part, running, with_tail
 
 @dataclass(frozen=True)
 class Sequence:
-    """Ordered steps (names of step flags) within so many events of a session and so many time units."""
+    """Ordered steps within so many events of a session and so many time units: names of step flags, or ``tool:a,b`` for events of these tools (any case)."""
 
     id: str
     level: str
@@ -46,6 +46,13 @@ def step_flags(events: DataFrame) -> dict[str, Column]:
     }
 
 
+def flags_of(events: DataFrame, sequences: list[Sequence]) -> dict[str, Column]:
+    """The flag of every step of the sequences."""
+    known, tool = step_flags(events), F.lower(text("tool_name"))
+    steps = dict.fromkeys(step for s in sequences for step in s.steps)
+    return {step: tool.isin([t.strip().lower() for t in step[5:].split(",")]) if step.startswith("tool:") else known[step] for step in steps}
+
+
 def _matched(s: Sequence, order: Window, unit: float) -> Column:
     """Ids of the events that match a sequence in the window that ends at the row, null without a match."""
     names = list(dict.fromkeys(s.steps))
@@ -74,7 +81,7 @@ def detect_trajectories(events: DataFrame, sequences: list[Sequence] | None = No
     then begin with the last rows before them.
     """
     sequences = SEQUENCES if sequences is None else sequences
-    rows = events.select(*part(events), *ORDER, *[f.alias(n) for n, f in step_flags(events).items()])
+    rows = events.select(*part(events), *ORDER, *[f.alias(n) for n, f in flags_of(events, sequences).items()])
     rows = with_tail(rows, max(s.within_events for s in sequences) - 1)
     order = in_order(rows)
     rows = rows.select("session_id", *ORDER, "_tail", *[_matched(s, order, unit).alias(f"m{i}") for i, s in enumerate(sequences)]).where("not _tail")

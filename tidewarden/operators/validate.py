@@ -45,3 +45,18 @@ def quarantine(events: DataFrame, violations: Column) -> tuple[DataFrame, DataFr
     broken = rows.where(F.size("violations") > 0)
     stamp = F.sha2(F.to_json(F.struct(*[F.col(c) for c in events.columns])), 256)
     return rows.where(F.size("violations") == 0).drop("violations"), broken.withColumn("fingerprint", stamp)
+
+
+def inferred_risk(level: Column, command: Column, tool: Column) -> Column:
+    """The risk of an event that can't be scored: its own level, else high for ``rm -rf`` or sudo, medium for a shell, low."""
+    low, own = F.lower(text(command)), F.lower(text(level))
+    return (
+        F.when(own.isin("low", "medium", "high", "critical"), own).when(low.contains("rm -rf") | low.contains("sudo"), "high")
+        .when(F.lower(text(tool)).isin("bash", "shell", "exec", "sudo"), "medium").otherwise("low")
+    )
+
+
+def review_queue(broken: DataFrame, level: Column, command: Column, tool: Column) -> DataFrame:
+    """Broken rows of quarantine() of at least medium inferred risk, with it, one for each fingerprint."""
+    rows = broken.withColumn("inferred_risk", inferred_risk(level, command, tool))
+    return rows.where(F.col("inferred_risk") != "low").dropDuplicates(["fingerprint"])

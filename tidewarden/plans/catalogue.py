@@ -282,6 +282,12 @@ def latency_pressure(spark: SparkSession, d: str) -> DataFrame:
     return reports.latency_pressure(agent_events(spark, d).withColumn("seconds", F.col("value") / 400), "tool_name", "seconds")
 
 
+def verdict_reasons(spark: SparkSession, d: str) -> DataFrame:
+    dims = [F.col(c) for c in ("d1", "d2", "d3", "d4", "d5", "d6")]
+    kind = F.when(F.col("event_id") % 10 == 9, "pre_prompt").otherwise(F.col("etype"))
+    return _scored(spark, d).select("event_id", S.reason(kind, F.col("risk_level"), dims, F.col("composite"), F.col("sc_rule"), F.col("tool_name")).alias("reason"))
+
+
 def risk_direction(spark: SparkSession, d: str) -> DataFrame:
     return reports.risk_direction(_scored(spark, d), 60 * UNIT / 100)
 
@@ -504,7 +510,7 @@ def queries() -> dict[str, Query]:
         approval_outcomes, sampled_events, token_budget, usage_rollup, latency_histogram, latency_pressure, workspace_rollup, dashboard, priority_sessions, audit_search,
         audit_stats, replay_page, vector_scores, trajectory_events, detection_quality, candidate_patterns, pattern_lifecycle, skill_routing, normalized_events, activity_states, busy_clients, session_recommendations, heartbeat_deltas,
         session_list, alert_list, second_level, alert_thinning, missing_dimensions, resolved_verdicts, forced_enforcement, output_summary, derived_fields,
-        account_accumulation, account_risk, account_changes, account_enforcement, account_trajectories, account_history, account_limits, vector_search, snapshot_records, bypass_rounds, request_limits, risk_direction, session_posture, session_counts, top_usage, replay_range, replay_scores, metric_lines, rule_dry_run, review_snapshots,
+        account_accumulation, account_risk, account_changes, account_enforcement, account_trajectories, account_history, account_limits, vector_search, snapshot_records, bypass_rounds, request_limits, risk_direction, session_posture, session_counts, top_usage, replay_range, replay_scores, metric_lines, rule_dry_run, review_snapshots, verdict_reasons,
         score_histogram, value_sketches, session_aggregates, compat_evidence,
     ]
     return {f.__name__: f for f in found}

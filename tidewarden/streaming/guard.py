@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.scoring import Thresholds
 from ..operators.score import dimensions
-from ..operators.sequences import SEQUENCES, Sequence, step_flags
+from ..operators.sequences import SEQUENCES, Sequence, flags_of
 from .events import score_rows
 
 RING = 50
@@ -197,7 +197,7 @@ def guarded_stream(events: DataFrame, marks: DataFrame | None = None, time: str
     sequences.detect_trajectories and sessions.as_of.
     """
     guard = SessionGuard(**options)
-    flags = step_flags(events)
+    flags = flags_of(events, guard.sequences)
     bits = F.lit(0).cast("long")
     for k, name in enumerate(guard.names):
         bits = bits + F.when(flags[name], 1 << k).otherwise(0)
