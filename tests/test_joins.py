@@ -70,6 +70,40 @@ def test_vector_search_recall_and_exactness(spark):
     assert bits == 20 and tables < 120
 
 
+def test_vector_search_without_recall_finds_every_pair(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(40, 16))
+    x = (base[rng.integers(0, 40, 2400)] + rng.normal(size=(2400, 16)) * rng.uniform(0.3, 0.9, (2400, 1))).astype(np.float32)
+    x[900] = 2 * x[50]  # a multiple is a vector of its own
+    rows = [(i, x[i].tolist()) for i in range(2400)] + [(7, x[60].tolist()), (50, [0.0] * 16), (None, x[1].tolist()), (100, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(vectors, "BLOCK", 500)
+    monkeypatch.setattr(vectors, "block_counts", lambda n, m: (2, 5))
+    got = sorted((r.query_id, r.vec_id, r.copies) for r in vectors.similar_vectors(table.where("vec_id % 50 = 0"), table).collect())
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit[::50] @ unit.T >= 0.75
+    expected = [(50 * int(q), 7 if c == 60 else int(c), 2 if c == 60 else 1) for q, c in np.argwhere(near)]
+    assert got == sorted(expected) and len(got) > 500
+    some = vectors.similar_vectors(table.where("vec_id % 50 = 0 and vec_id > 50"), table.where("vec_id >= 100"), recall=0.98).count()
+    assert 0 < some <= len(got)
+
+
+def test_vector_scores_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 8))
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(500)] + [(3, x[600].tolist()), (900, None), (901, [0.0] * 8), (902, [1.0] * 9), (None, x[0].tolist())], "vec_id long, embedding array<double>")
+    corpus = spark.createDataFrame([(i, x[i].tolist()) for i in range(500, 700)] + [(990, None)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "block_counts", lambda n, m: (3, 4))
+    out = correlate.vector_scores(queries, corpus)
+    assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+    got = {r.vec_id: r for r in out.collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = (unit[:500] @ unit[500:].T).max(axis=1)
+    best[3] = 1.0
+    assert all(abs(got[i].similarity - best[i]) < 6e-5 for i in range(500)) and len(got) == 504
+    assert got[900].similarity is None and got[902].similarity is None and np.isnan(got[901].similarity) and abs(got[None].similarity - best[0]) < 6e-5
+
+
 def test_chains_of_a_block():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -173,34 +173,24 @@ def approval_outcomes(requests: DataFrame, resolutions: DataFrame, timeout: floa
     return rows.select("approval_id", "state", verdict.alias("verdict"), code.alias("reason_code"))
 
 
-def vector_scores(queries: DataFrame, corpus: DataFrame, most_broadcast: int = 100_000, least: float = 0.75) -> DataFrame:
+def vector_scores(queries: DataFrame, corpus: DataFrame, least: float = 0.75) -> DataFrame:
     """(vec_id, similarity, score): the largest cosine similarity of each query to the corpus of attack vectors.
 
-    The corpus is a curated list: it is broadcast as one array after a count shows at most ``most_broadcast`` rows. A larger one is dealt
-    into that many rows a slice, and the best of the slices is taken; each slice is broadcast in turn.
+    All pairs are compared by products of blocks (operators.vectors), of which each gives one candidate a query; the best of the candidates is taken. A query that can't be
+    compared (null, or null entries, or with a corpus of none) has a null similarity.
     """
-    n = corpus.count()
-    slices = max(1, -(-n // most_broadcast))
-    best = None
-    for k in range(slices):
-        part = corpus.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == k)
-        listed = part.agg(F.collect_list(_unit("embedding")).alias("corpus"))
-        both = queries.select("vec_id", _unit("embedding").alias("u")).crossJoin(F.broadcast(listed))
-        found = both.select("vec_id", F.array_max(F.transform("corpus", lambda v: _dot(v, F.col("u")))).alias("similarity"))
-        best = found if best is None else best.unionByName(found)
-    if slices > 1:
-        best = best.groupBy("vec_id").agg(F.max("similarity").alias("similarity"))
-    best = best.withColumn("similarity", F.round("similarity", 4))
-    return best.withColumn("score", F.round(S.vector_score(F.col("similarity"), least), 4))
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def _unit(name: str) -> Column:
-    norm = F.sqrt(_dot(F.col(name), F.col(name)))
-    return F.transform(F.col(name), lambda x: x.cast("double") / norm)
+    from .vectors import by_blocks
+
+    usable = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+
+    def best(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(u)), (u @ v.T).argmax(axis=1)
+
+    asked = queries.select("vec_id", "embedding")
+    found = by_blocks(asked.where(usable), corpus.select("embedding").where(usable), best).select("vec_id", "similarity")
+    rows = found.unionByName(asked.select("vec_id", F.lit(None).cast("double").alias("similarity")))
+    rows = rows.groupBy("vec_id").agg(F.round(F.max("similarity"), 4).alias("similarity"))
+    return rows.withColumn("score", F.round(S.vector_score(F.col("similarity"), least), 4))
 
 
 def detection_quality(detected: DataFrame, labels: DataFrame) -> DataFrame:
