@@ -235,6 +235,25 @@ def test_blocks_give_the_rows_of_one_window(spark):
     assert "block" in blocks.split_long_sessions(rows, 10_000).columns and blocks.split_long_sessions(rows.limit(0), 5).count() == 0
 
 
+def test_short_blocks_need_few_partitions(spark):
+    """Blocks of five rows lie in one range of Spark's, and what is made of the rows is stored with them."""
+    from tidewarden.operators import blocks
+
+    rows = random_events(spark, 9, 400, 2)
+    calls = []
+    split = blocks.split_long_sessions(rows, 5, lambda x: calls.append(x.columns) or x.select(*blocks.part(x), *blocks.ORDER), each=150)
+    assert split.columns == ["session_id", "block", "micros", "event_id"] and all("block" in c for c in calls)
+    got = split.collect()
+    sizes = {}
+    for x in sorted(got, key=lambda x: (str(x.session_id), x.micros, x.event_id)):
+        sizes.setdefault((x.session_id, x.block), []).append((x.micros, x.event_id))
+    assert len(got) == 400 and max(map(len, sizes.values())) <= 5
+    for session in {s for s, _ in sizes}:
+        ends = [(v[0], v[-1]) for (s, b), v in sorted(((k, v) for k, v in sizes.items() if k[0] == session), key=lambda x: x[0][1])]
+        assert all(one[1] < two[0] for one, two in zip(ends, ends[1:]))
+    assert split.where("block > 0").rdd.getNumPartitions() <= 2 * rows.rdd.getNumPartitions() + 3
+
+
 def test_tails_reach_over_short_blocks(spark):
     from tidewarden.operators import blocks
 

@@ -7,6 +7,8 @@ block, and between blocks by windows over one row a block. Rows without that col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +30,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def split_long_sessions(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Add block: 0 in sessions of at most ``most`` rows, else the number of a range of about ``most`` rows in order of session, time and id.
+def split_long_sessions(rows: DataFrame, most: int = 1_000_000, then: Callable[[DataFrame], DataFrame] | None = None, each: int = 100_000) -> DataFrame:
+    """Add block: 0 in sessions of at most ``most`` rows, else the number of a range of at most ``most`` rows in order of session, time and id.
 
-    Ranges come from Spark's own range partitioning, which samples all rows: blocks hold equal numbers of rows, however the session's rows are spread over
-    time. Only rows of long sessions are sorted into ranges and checkpointed, so that blocks stay the same when a lost task is run again.
+    Spark's own range partitioning, which samples all rows, deals the rows of long sessions into partitions of about ``each`` rows (or ``most``, if that is more), so that
+    their number, and the sample that the driver takes for their bounds, is small however short the blocks. A partition is sorted and cut into blocks by its row numbers: blocks
+    hold equal numbers of rows, however the session's rows are spread over time. Only rows of long sessions are sorted and checkpointed, so that blocks stay the same
+    when a lost task is run again. then: what is made of each row (one for one) before that, so that operators, which read the rows several times, find it done.
     """
+    then = then or (lambda x: x)
     sizes = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     found = sizes.agg(F.count(F.lit(1)).alias("sessions"), F.sum("_n").alias("rows")).first()
     if not found.sessions:
-        return rows.withColumn("block", F.lit(0))
+        return then(rows.withColumn("block", F.lit(0).cast("long")))
     small = F.broadcast if found.sessions <= 100_000 else (lambda x: x)
     marked = rows.join(small(sizes.select(F.col(KEY).alias("_key"), F.lit(True).alias("_long"))), F.col(KEY).eqNullSafe(F.col("_key")), "left").drop("_key")
-    long = marked.where("_long").drop("_long").repartitionByRange(-(-found.rows // most), KEY, *ORDER)
-    ranges = durable(long.withColumn("block", F.spark_partition_id() + 1))
-    return marked.where("_long is null").drop("_long").withColumn("block", F.lit(0)).unionByName(ranges)
+    long = marked.where("_long").drop("_long").repartitionByRange(-(-found.rows // max(most, each)), KEY, *ORDER).sortWithinPartitions(KEY, *ORDER)
+    # the partition's number stands above the row's number in it
+    at = F.monotonically_increasing_id()
+    numbered = long.withColumn("block", (F.shiftright(at, 33) + 1) * (1 << 33) + F.floor(at.bitwiseAND((1 << 33) - 1) / most).cast("long"))
+    ranges = durable(then(numbered))
+    return then(marked.where("_long is null").drop("_long").withColumn("block", F.lit(0).cast("long"))).unionByName(ranges)
 
 
 def blocked(rows: DataFrame) -> bool:

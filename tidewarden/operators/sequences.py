@@ -72,16 +72,22 @@ def _matched(s: Sequence, order: Window, unit: float) -> Column:
     return F.when(F.size(ids) == len(s.steps), ids)
 
 
+def stepped(events: DataFrame, sequences: list[Sequence] | None = None) -> DataFrame:
+    """The place of events in their sessions and the flags of all steps of the sequences."""
+    sequences = SEQUENCES if sequences is None else sequences
+    return events.select(*part(events), *ORDER, *[f.alias(n) for n, f in flags_of(events, sequences).items()])
+
+
 def detect_trajectories(events: DataFrame, sequences: list[Sequence] | None = None, unit: float = 1.0) -> DataFrame:
     """(session_id, sequence_id, risk_level, trigger_event_id, matched): first trigger of every distinct set of matched events.
 
     A window is the last ``within_events`` events of the session, the row included, that are at most
     ``within_time`` units older. Steps match greedily in order; one event can't be two steps. Each window is an
     array of at most ten small structs over one sort by session; a fold walks the steps. Long sessions may be split into blocks (operators.blocks), which
-    then begin with the last rows before them.
+    then begin with the last rows before them. Events may be stepped() already.
     """
     sequences = SEQUENCES if sequences is None else sequences
-    rows = events.select(*part(events), *ORDER, *[f.alias(n) for n, f in flags_of(events, sequences).items()])
+    rows = stepped(events, sequences) if "tool_name" in events.columns else events
     rows = with_tail(rows, max(s.within_events for s in sequences) - 1)
     order = in_order(rows)
     rows = rows.select("session_id", *ORDER, "_tail", *[_matched(s, order, unit).alias(f"m{i}") for i, s in enumerate(sequences)]).where("not _tail")
@@ -100,23 +106,28 @@ def apply_alerts(scored: DataFrame, alerts: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("alerted") & (F.col("etype") == "pre_action"), "block").otherwise(F.col("verdict"))).drop("alerted")
 
 
-def suspicious_history(events: DataFrame) -> DataFrame:
-    """(session_id, event_id, pattern): events whose session up to them shows one of five patterns; the first in order names it.
-
-    Running flags over one window; a stage that needs an earlier stage is a running maximum of the
-    row's flag and the earlier stage's running flag. Long sessions may be split into blocks (operators.blocks).
-    """
+def history_flags(events: DataFrame) -> DataFrame:
+    """The place of events in their sessions and what each does, as suspicious_history() needs it."""
     tool, path, command = F.col("tool_name"), F.col("path"), F.lower(text("command"))
     payload = F.lower(F.to_json(F.struct("command", "content", "path")))
     command = F.when(command != "", command).otherwise(payload)
     base = base_signals(tool, path, payload, command)
     network = base["network_activity"] | has_token(payload, P.NETWORK_TOKENS)
     archive = archive_signals(tool, payload, command)["archive_sensitive_material"]
-    rows = events.select(
+    return events.select(
         *part(events), *ORDER, base["credential_access"].alias("cred"), network.alias("net"), base["read_action"].alias("read"), base["write_action"].alias("write"),
         base["exec_action"].alias("exec"), base["sudo_action"].alias("sudo"), (base["tmp_path_touched"] & (base["write_action"] | has_token(payload, P.STAGING_TOKENS))).alias("stage"),
         (base["tmp_path_touched"] & network).alias("exfil"), (base["recon_action"] | has_token(payload, P.RECON_TOKENS)).alias("recon"), archive.alias("archive"),
     )
+
+
+def suspicious_history(events: DataFrame) -> DataFrame:
+    """(session_id, event_id, pattern): events whose session up to them shows one of five patterns; the first in order names it.
+
+    Running flags over one window; a stage that needs an earlier stage is a running maximum of the
+    row's flag and the earlier stage's running flag. Long sessions may be split into blocks (operators.blocks), and events may have their history_flags() already.
+    """
+    rows = history_flags(events) if "tool_name" in events.columns else events
     ever = {f"saw_{n}": ("max", F.col(n)) for n in ("cred", "net", "read", "stage", "recon")}
     rows = running(rows, ever | {"creds": ("sum", F.col("cred").cast("long")), "n": ("sum", F.lit(1).cast("long"))}, inclusive=True)
     rows = running(rows, {"saw_write": ("max", F.col("write") & F.col("saw_read"))}, inclusive=True)

@@ -35,19 +35,24 @@ def frequency_d4(events: DataFrame, unit: float = 1.0, burst: int = 10, repetiti
     return out.withColumn("freq_d4", value).drop("_burst", "_many", "_all")
 
 
-def accumulation(events: DataFrame, mid: int = 2, high: int = 5, t: S.Thresholds = S.Thresholds(), freq: Column | None = None) -> DataFrame:
-    """Score events in session order, with d4 from the number of earlier high-risk events (>= ``high``: 2, >= ``mid``: 1).
-
-    d4 feeds the level that feeds the count. The count only grows, so a session has three phases with
-    a fixed d4 each, and three running sums replace the recurrence: no fold, no Python.
-    """
+def phases(events: DataFrame, t: S.Thresholds = S.Thresholds(), freq: Column | None = None) -> DataFrame:
+    """The dimensions of events, and whether each is of high risk at d4 of 0, 1 and 2 (h0 to h2); freq is the d4 that the frequency of calls gives."""
     freq = F.lit(0) if freq is None else freq
     rows = dimensions(events).withColumn("freq", freq).withColumn("sc_rule", S.short_circuit(F.col("d1"), F.col("d2"), F.col("d3")))
-    rows = rows.withColumns({
+    return rows.withColumns({
         f"h{k}": (S.risk_rank(S.level(
             S.composite(*(F.col(c) for c in ("d1", "d2", "d3")), F.greatest(F.lit(k), "freq"), F.col("d5"), F.col("d6"), t), F.col("sc_rule"), F.col("d6"), t
         )) >= 2).cast("int") for k in (0, 1, 2)
     })
+
+
+def accumulation(events: DataFrame, mid: int = 2, high: int = 5, t: S.Thresholds = S.Thresholds(), freq: Column | None = None) -> DataFrame:
+    """Score events in session order, with d4 from the number of earlier high-risk events (>= ``high``: 2, >= ``mid``: 1).
+
+    d4 feeds the level that feeds the count. The count only grows, so a session has three phases with
+    a fixed d4 each, and three running sums replace the recurrence: no fold, no Python. Events may have their phases() already.
+    """
+    rows = events if "h0" in events.columns else phases(events, t, freq)
     rows = running(rows, {"c0": ("sum", F.col("h0"))})
     rows = running(rows, {"c1": ("sum", F.when(F.col("c0") >= mid, F.col("h1")).otherwise(0))}).withColumn("c1", F.lit(mid) + F.col("c1"))
     rows = rows.withColumn("second", (F.col("c0") >= mid) & (F.col("c1") >= high))
