@@ -90,3 +90,12 @@ def test_violations_of_decisions_and_effects(spark):
     )
     got = rows.select(validate.decision_violations().alias("d"), validate.effect_violations().alias("e")).collect()
     assert [(r.d, r.e) for r in got] == [([], []), (["final", "rewrite"], []), (["modified_payload", "session_scope"], ["overlap", "reason"])]
+
+
+def test_a_replayed_range_is_cut_out_at_the_scan(spark):
+    from tidewarden.plans import catalogue
+    from tests.conftest import SMALL
+
+    shown = catalogue.replay_range(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    pushed = shown[shown.index("PushedFilters") :]
+    assert "EqualTo(user_id,7)" in pushed and "GreaterThanOrEqual(event_id,100)" in pushed

@@ -80,9 +80,9 @@ def top_usage(usage: DataFrame) -> DataFrame:
     return usage.groupBy("dimension").agg(F.min_by("value", order).alias("value"))
 
 
-def replay_range(scored: DataFrame, session: int, first: int, last: int) -> DataFrame:
-    """A session's records with ids from ``first`` to ``last``, both included, in order; the filters reach the scan."""
-    return scored.where((F.col("session_id") == session) & F.col("event_id").between(first, last)).orderBy("event_id")
+def replay_range(records: DataFrame, session: int, first: int, last: int) -> DataFrame:
+    """A session's records with ids from ``first`` to ``last``, both included, in order; the filters reach the scan of events, so score what this gives, not before it."""
+    return records.where((F.col("session_id") == session) & F.col("event_id").between(first, last)).orderBy("event_id")
 
 
 def invalid_rates(events: DataFrame, invalid: Column, windows: tuple[int, ...] = (1, 5, 15), unit: float = 60.0, as_of: int | None = None) -> DataFrame:
