@@ -34,9 +34,14 @@ def detect_bypass(scored: DataFrame, ttl: float = 86_400.0, most: int = 256, sim
     No event meets all priors of its session: for each key (action, text, intent, set of words) the newest prior before an event is carried
     along one order of the session, with the newest of another tool. Sets of words are compared once a session, not once an event, and meet at
     the first words of their order by hash, as two alike sets share one. The age and the number bound only what is newest, so they are tested on it.
+    Several joins read the events, so these are written once, scored and with fingerprints, to the shared checkpoint folder.
     """
-    is_prior = (F.col("verdict") == "block") & (F.col("risk_rank") >= 2)
-    return _bypass(fingerprints(scored).where(F.col("etype") == "pre_action"), is_prior, ttl, most, similar, unit).drop("session_id")
+    from .blocks import durable
+
+    prior = (F.col("verdict") == "block") & (F.col("risk_rank") >= 2)
+    rows = fingerprints(scored.where(F.col("etype") == "pre_action"))
+    rows = durable(rows.select("event_id", "session_id", "micros", "tool_name", "raw", "norm", "tokens", "intent", prior.alias("own")))
+    return _bypass(rows, F.col("own"), ttl, most, similar, unit).drop("session_id")
 
 
 def detect_bypass_rounds(scored: DataFrame, ttl: float = 86_400.0, most: int = 256, similar: float = 0.92, unit: float = 1.0) -> DataFrame:
