@@ -126,3 +126,18 @@ def test_pieces_of_a_log_share_its_session(spark, tmp_path):
     assert query.awaitTermination(180) and len([p for p in query.recentProgress if p["numInputRows"]]) == 3
     got = {r.name: r.session_id for r in spark.table("tail").where("type = 'function_call'").collect()}
     assert got == {"a0": "s1", "b0": None, "a1": "s1", "a2": "s1", "b1": "s9", "a3": "s1", "a4": "s2", "b2": "s9"}
+
+
+def test_events_are_scored_once_for_aggregates_and_bypasses(spark, monkeypatch):
+    """The plans behind the stored rows read no table of events again."""
+    from tidewarden.operators import blocks
+    from tidewarden.plans import catalogue
+    from tests.conftest import SMALL
+
+    stored, real = [], blocks.durable
+    monkeypatch.setattr(blocks, "durable", lambda df: stored.append(df) or real(df))
+    for query in (catalogue.session_aggregates, catalogue.bypass_matches):
+        stored.clear()
+        out = query(spark, SMALL)
+        scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+        assert scans(out) == 0 and [scans(x) for x in stored] == [1]

@@ -35,6 +35,11 @@ def session_aggregates(records: DataFrame) -> DataFrame:
     Events and d4 count decisions alone; high risk and the maps count the records that stand. The score is the whole part of the last
     composite, as is d6 of the last dimensions. records: session_id, event_id, micros, seq, record_type, verdict, tier, risk_rank, tool_name, hints, composite, d1-d6.
     """
+    from .blocks import durable
+
+    # four aggregates read the records
+    needed = ["session_id", "event_id", "micros", "seq", "record_type", "verdict", "tier", "risk_rank", "tool_name", "hints", "composite", "d1", "d2", "d3", "d4", "d5", "d6"]
+    records = durable(records.select(*needed))
     at = F.struct("micros", "seq", "event_id")
     decision = F.col("record_type") != "decision_resolution"
     dims = [*[F.col(d).cast("int").alias(d) for d in ("d1", "d2", "d3", "d4", "d5")], F.floor("d6").cast("int").alias("d6")]
