@@ -252,3 +252,20 @@ def test_needed_literals_of_injections_and_commands_lose_no_match(spark):
         F.struct(danger, count_of(F.col("c"), P.WEAK_INJECTION), F.regexp_count("c", F.lit(P.INVISIBLE))).alias("b"),
     ).collect()
     assert [(samples[i], tuple(x.a), tuple(x.b)) for i, x in enumerate(both) if tuple(x.a) != tuple(x.b)] == []
+
+
+def test_compiled_methods_of_scoring_are_short(spark):
+    """The just-in-time compiler takes methods of up to 8000 bytes; a longer one is interpreted row by row."""
+    from tests.conftest import SMALL
+    from tidewarden.plans import catalogue
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("injection_scores", "risk_changes", "d4_accumulation"):
+            plan = catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan()
+            codes = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+            sizes = [int(codes.apply(k)._3().maxMethodCodeSize()) for k in range(codes.size())]
+            assert max(sizes) < 8000, (name, sizes)
+            assert plan.toString().count("get_json_object") <= 1, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from .blocks import ORDER, blocked, part, running
-from .score import dimensions, with_level
+from .score import apart, dimensions, with_level
 
 
 def _session(*more: str) -> Window:
@@ -39,7 +39,7 @@ def phases(events: DataFrame, t: S.Thresholds = S.Thresholds(), freq: Column | N
     """The dimensions of events, and whether each is of high risk at d4 of 0, 1 and 2 (h0 to h2); freq is the d4 that the frequency of calls gives."""
     freq = F.lit(0) if freq is None else freq
     rows = dimensions(events).withColumn("freq", freq).withColumn("sc_rule", S.short_circuit(F.col("d1"), F.col("d2"), F.col("d3")))
-    return rows.withColumns({
+    return apart(rows, {
         f"h{k}": (S.risk_rank(S.level(
             S.composite(*(F.col(c) for c in ("d1", "d2", "d3")), F.greatest(F.lit(k), "freq"), F.col("d5"), F.col("d6"), t), F.col("sc_rule"), F.col("d6"), t
         )) >= 2).cast("int") for k in (0, 1, 2)
