@@ -269,3 +269,15 @@ def test_sequences_of_tools(spark):
     chain = sequences.Sequence("fetch-then-run", "high", ("tool:web_fetch, curl", "sensitive_read", "tool:sh"), 5, 60.0)
     got = sequences.detect_trajectories(spark.createDataFrame(rows, EVENT), [chain]).collect()
     assert [(r.sequence_id, r.trigger_event_id, r.matched) for r in got] == [("fetch-then-run", 3, "0,2,3")]
+
+
+def test_accumulation_reads_blocks_few_times(spark):
+    """Blocks of any thresholds give the rows of one window, and their summaries don't nest: two readings of the rows, not one for each pair of phases."""
+    from tidewarden.operators import blocks
+
+    rows = random_events(spark, 12, 300, 2).cache()
+    split = blocks.split_long_sessions(rows, 9).cache()
+    one = lambda x, *p: sorted(map(str, sessions.accumulation(x, *p).select("event_id", "session_id", "prior_high", "d4", "composite").collect()))
+    for p in ((2, 5), (3, 4), (1, 9)):
+        assert one(split, *p) == one(rows, *p), p
+    assert sessions.accumulation(sessions.phases(split))._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 2

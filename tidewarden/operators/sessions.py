@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from .blocks import ORDER, blocked, part, running
+from .blocks import ORDER, blocked, in_order, part, running
 from .score import apart, dimensions, with_level
 
 
@@ -46,21 +46,59 @@ def phases(events: DataFrame, t: S.Thresholds = S.Thresholds(), freq: Column | N
     })
 
 
+def _phase_starts(rows: DataFrame, mid: int, more: int) -> DataFrame:
+    """Per block the sums before it (_p0 to _p2) and the sums of its session where the second and the third phase begin (_base1, _base2); rows have the sums inside blocks."""
+    c1, c2 = F.col("c1"), F.col("c2")
+    sums = rows.where("block > 0").groupBy("session_id", "block").agg(
+        *[F.coalesce(F.sum(f"h{k}"), F.lit(0)).alias(f"_n{k}") for k in (0, 1, 2)], *[F.min(f"_{x}{k}").alias(f"_{x}{k}") for x in "be" for k in range(1, mid + 1)],
+        *[F.min(F.when(c1 >= k, c2)).alias(f"_s{k}") for k in range(1, more + 1)],
+    )
+    earlier, whole = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("session_id")
+    sums = sums.withColumns({f"_p{k}": F.coalesce(F.sum(f"_n{k}").over(earlier), F.lit(0)) for k in (0, 1, 2)})
+    p0, p1, p2 = F.col("_p0"), F.col("_p1"), F.col("_p2")
+    # before the block the second phase has begun, or the block lacks k events for it
+    start = F.when(p0 >= mid, p1)
+    for k in range(1, mid + 1):
+        start = start.when(p0 == mid - k, F.col(f"_b{k}") + p1)
+    sums = sums.withColumn("_base1", F.min(start).over(whole))
+    left = more + F.col("_base1") - p1
+    begun = F.when(left <= 0, p2)
+    for k in range(1, more + 1):
+        begun = begun.when(left == k, F.col(f"_s{k}") + p2)
+    start = F.when(p0 >= mid, begun)
+    for k in range(1, mid + 1):
+        start = start.when(p0 == mid - k, F.col(f"_e{k}") + p2)
+    sums = sums.withColumn("_base2", F.min(start).over(whole))
+    return sums.select(F.col("session_id").alias("_key"), F.col("block").alias("_block"), "_p0", "_p1", "_p2", "_base1", "_base2")
+
+
 def accumulation(events: DataFrame, mid: int = 2, high: int = 5, t: S.Thresholds = S.Thresholds(), freq: Column | None = None) -> DataFrame:
     """Score events in session order, with d4 from the number of earlier high-risk events (>= ``high``: 2, >= ``mid``: 1).
 
     d4 feeds the level that feeds the count. The count only grows, so a session has three phases with
-    a fixed d4 each, and three running sums replace the recurrence: no fold, no Python. Events may have their phases() already.
+    a fixed d4 each, and three running sums replace the recurrence: no fold, no Python. A phase counts from the sum at its first row on. Blocks are
+    summed up once, by one row each, for all phases together. Events may have their phases() already.
     """
     rows = events if "h0" in events.columns else phases(events, t, freq)
-    rows = running(rows, {"c0": ("sum", F.col("h0"))})
-    rows = running(rows, {"c1": ("sum", F.when(F.col("c0") >= mid, F.col("h1")).otherwise(0))}).withColumn("c1", F.lit(mid) + F.col("c1"))
-    rows = rows.withColumn("second", (F.col("c0") >= mid) & (F.col("c1") >= high))
-    rows = running(rows, {"c2": ("sum", F.when(F.col("second"), F.col("h2")).otherwise(0))}).withColumn("c2", F.lit(high) + F.col("c2"))
-    count = F.when(F.col("c0") < mid, F.col("c0")).when(F.col("c1") < high, F.col("c1")).otherwise(F.col("c2"))
+    c0, c1, c2, more = F.col("c0"), F.col("c1"), F.col("c2"), high - mid
+    before, so_far = (in_order(rows).rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    # sums over earlier rows, and from where the second and third phase count: _b and _e, for each number of events of high risk that a block may lack
+    lacking = range(1, mid + 1) if blocked(rows) else []
+    rows = rows.withColumns({f"c{k}": F.coalesce(F.sum(f"h{k}").over(before), F.lit(0)) for k in (0, 1, 2)})
+    rows = rows.withColumns({f"_b{k}": F.min(F.when(c0 >= k, c1)).over(so_far) for k in {*lacking, mid}})
+    rows = rows.withColumns({f"_e{k}": F.min(F.when((c0 >= k) & (c1 - F.col(f"_b{k}") >= more), c2)).over(so_far) for k in {*lacking, mid}})
+    helpers = [f"_{x}{k}" for x in "be" for k in {*lacking, mid}]
+    base1, base2 = F.col(f"_b{mid}"), F.col(f"_e{mid}")
+    if blocked(rows):
+        rows, carried = rows.join(_phase_starts(rows, mid, more), (F.col("session_id").eqNullSafe(F.col("_key"))) & (F.col("block") == F.col("_block")), "left"), F.col("_block").isNotNull()
+        base1, base2 = F.when(carried, F.col("_base1")).otherwise(base1), F.when(carried, F.col("_base2")).otherwise(base2)
+        rows = rows.withColumns({"_base1": base1, "_base2": base2} | {f"c{k}": F.col(f"c{k}") + F.coalesce(f"_p{k}", F.lit(0)) for k in (0, 1, 2)})
+        base1, base2, helpers = F.col("_base1"), F.col("_base2"), [*helpers, "_base1", "_base2", "_p0", "_p1", "_p2", "_key", "_block"]
+    first, second = mid + c1 - base1, high + c2 - base2
+    count = F.when(c0 < mid, c0).when(first < high, first).otherwise(second)
     rows = rows.withColumn("prior_high", count.cast("long"))
     d4 = F.greatest(F.when(F.col("prior_high") >= high, 2).when(F.col("prior_high") >= mid, 1).otherwise(0), "freq")
-    return with_level(rows, d4, t).drop("h0", "h1", "h2", "c0", "c1", "c2", "second", "freq")
+    return with_level(rows.drop(*helpers), d4, t).drop("h0", "h1", "h2", "c0", "c1", "c2", "freq")
 
 
 def session_risk(scored: DataFrame, alpha: float = 0.3) -> DataFrame:
