@@ -269,3 +269,38 @@ def test_compiled_methods_of_scoring_are_short(spark):
             assert plan.toString().count("get_json_object") <= 1, name
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_path_levels_are_searched_in_lines_made_once(spark):
+    from tidewarden.functions import patterns as P
+    from tidewarden.functions.signals import matches
+    from tidewarden.operators import score
+
+    paths = ["/etc/x", "/ETC/x", "/a/.ENV", "/h/.ſſh/k", "x.pem", "a.KEY", "/a/x.keystore", "/c/.config.d", "/c/.rc", "MAKEFILE", "dir/Makefile", "docker-compose.yml", "/h/.gnupg/x", "ID_RSA", "/v/credentials\n/etc/y", "/tmp/a", "", None]
+    cases = [(p, c) for p in paths for c in (None, "cat /usr/x -o/y", "cp ~/.aws/k ./b.token", "ls", "cat /p/.rc\t/boot/z", "x Key/a.Key")]
+    rows = spark.createDataFrame(cases, "path string, command string").withColumn("lines", S.path_lines(F.col("path"), F.col("command")))
+    plain = (
+        F.when(F.col("lines") == "", 1).when(matches(F.col("lines"), P.SYSTEM_LINE, ignore_case=False), 3).when(matches(F.col("lines"), P.SECRET_LINE), 2)
+        .when(matches(F.col("lines"), P.CONFIG_LINE), 1).otherwise(0)
+    )
+    got = rows.select(S.d2(F.col("path"), F.col("command")).alias("a"), plain.alias("b")).collect()
+    assert [(case, x) for case, x in zip(cases, got, strict=True) if x.a != x.b] == [] and {x.a for x in got} == {0, 1, 2, 3}
+    events = spark.createDataFrame([("bash", p, c, None, None) for p, c in cases], "tool_name string, path string, command string, content string, trust string")
+    scored = score.dimensions(events)
+    assert [r.d2 for r in scored.collect()] == [x.b for x in got]
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("(?m)^(?![/~]") == 1
+
+
+def test_events_are_made_after_the_deal_that_spreads_them(spark, monkeypatch):
+    """Few large row groups don't leave scoring to few tasks, and neither samples nor blocks of long sessions read JSON."""
+    from tests.conftest import SMALL
+    from tidewarden.operators import blocks
+    from tidewarden.plans import catalogue
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    text = plan(catalogue.queries()["risk_changes"](spark, SMALL))
+    assert 0 < text.index("get_json_object") < text.index("RepartitionByExpression")
+    given, split = [], blocks.split_long_sessions
+    monkeypatch.setattr(blocks, "split_long_sessions", lambda rows, *a: given.append(plan(rows)) or split(rows, *a))
+    assert catalogue.queries()["account_changes"](spark, SMALL).count() > 0
+    assert len(given) == 1 and "get_json_object" not in given[0]
