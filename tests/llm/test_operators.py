@@ -606,3 +606,26 @@ def test_shared_ids_join_the_classes_of_their_texts(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got if r.doc_id) == [(i, 3, 10) for i in (3, 4, 5, 5, 6, 7, 8, 8, 9, 9)] + [(10, 10, 1)]
     assert [(r.class_id, r.class_size) for r in got if r.doc_id is None] == [(None, 1)]
+
+
+def test_run_index_work_is_done_once():
+    """Cutting finds the places of segments as sending does, without the bytes; suffixes that share more than a packed word keep the order of their ends."""
+    import numpy as np
+
+    from tidewarden.llm import exchange as X
+    from tidewarden.llm import suffix
+    from tidewarden.llm.rindex import RunIndex
+
+    texts = [b"the same long passage of some sixty bytes stands in both of them " + bytes([97 + k]) * 30 for k in range(3)] + [None, b"short", b"ab" * 90]
+    ids = [5, 3, 9, 1, None, 2]
+    keys = np.unique(np.concatenate([suffix._Bytes([t or b"" for t in texts], 50, 20).first_level()]))
+    got = [(0, 0, X.join_blobs([X.pack_keys(keys), X.pack_keys(keys[:0])]))]
+    sent, cut = (suffix._gather(ids, texts, got, 50, 20, sent=s) for s in (True, False))
+    assert len(sent[3]) == sent[1].sum() and len(cut[3]) == len(cut[2]) == 0
+    assert all(np.array_equal(sent[k], cut[k]) for k in (0, 1, 4, 6)) and len(sent[4])
+    body = [b"abcabcabcabcabcabcabcabcabcabcab", b"abcabcabcabcabcabcabcabcabcabcab", b"cabcabcabcabcabcabcabcabcabcabcx"]
+    index = RunIndex(np.frombuffer(b"".join(body), np.uint8), np.array([len(b) for b in body]), np.arange(3), 8)
+    order, whole = index._sort(), b"\0".join(body) + b"\0"
+    ends = [k for k, c in enumerate(whole) if not c]
+    tail = lambda p: (whole[p : (e := next(x for x in ends if x >= p))], e)
+    assert order.tolist() == sorted(range(len(whole)), key=tail)

@@ -67,7 +67,7 @@ class RunIndex:
         self.mask = np.array([((1 << self.width * r) - 1) << self.width * (self.pack - r) for r in range(self.pack + 1)], np.uint64)
         left = self.stop - np.arange(n)  # symbols before the end
         key = packed & self.mask[np.minimum(left, self.pack)]
-        order = np.argsort(key, kind="stable")
+        order = K.sort_order(key)
         key = key[order]
         depth = self.pack
         new = np.ones(n, bool)
@@ -135,10 +135,11 @@ class RunIndex:
         here = np.full(len(sizes), self.head[0])
         if own:
             row, here = by_size.copy(), (self.first + sizes)[by_size]
+        run_at = self.run_of[row]
         for step in range(int(ordered[0]) if len(ordered) else 0):
             m = int(np.searchsorted(-ordered, -step, "left"))  # patterns longer than step
             c = symbols[at[:m] - 1 - step]
-            run = self.run_of[row[:m]]
+            run = run_at[:m]
             hop = np.flatnonzero(self.run_symbol[run] != c)
             source = row[:m].copy()
             if len(hop):
@@ -163,10 +164,11 @@ class RunIndex:
             matched[:m] += 1
             if len(lost):  # a symbol that the index doesn't have
                 row[lost], matched[lost], here[lost] = 0, 0, self.head[0]
+            run_at = self.run_of[row[:m]]
             place = at[:m] - 1 - step
             length_out[place] = matched[:m]
             long = np.flatnonzero(matched[:m] >= self.window)
-            least_out[place[long]] = self.least[self.run_of[row[long]]]
+            least_out[place[long]] = self.least[run_at[long]]
         return first, length_out, least_out
 
     def _next_run(self, symbol: np.ndarray, run: np.ndarray) -> np.ndarray:

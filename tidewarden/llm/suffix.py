@@ -153,8 +153,11 @@ def _known(got: list[tuple[int, int, bytes]], level: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate([X.unpack_keys(p[j]) for p in parts]) if parts else none for j in (0, 1))
 
 
-def _gather(ids: list, texts: list, got: list, window: int, k: int):
-    """Distinct segments of a group (key, size, least document, bytes), in the order of their key, all their occurrences, and the group's bytes."""
+def _gather(ids: list, texts: list, got: list, window: int, k: int, sent: bool = True):
+    """Distinct segments of a group (key, size, least document, bytes), in the order of their key, all their occurrences, and the group's bytes.
+
+    sent: without it, the least documents and the bytes, which buckets alone read, are left out.
+    """
     known, hot = _known(got, 0)
     texts = [t or b"" for t in texts]
     buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -176,6 +179,8 @@ def _gather(ids: list, texts: list, got: list, window: int, k: int):
     keys, starts, counts, docs = (np.concatenate(x) for x in (keys, starts, counts, docs))
     sizes = counts + window - 1
     first, place = _alike(buf, starts, sizes, keys)
+    if not sent:
+        return keys[first], sizes[first], docs[:0], buf[:0], place, parts, buf
     least = np.full(len(first), _LAST)
     np.minimum.at(least, place, docs)
     return keys[first], sizes[first], least, _copied(buf, starts[first], sizes[first]), place, parts, buf
@@ -253,7 +258,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, k: int = 20, id_col: str = "
     found = X.answers(X.entries_after(dealt, shared, ask), lambda blobs: _answer(blobs, window, index_bytes))
 
     def cut(group, ids, texts, got):
-        _, sizes, _, _, place, parts, buf = _gather(ids, texts, got, window, k)
+        _, sizes, _, _, place, parts, buf = _gather(ids, texts, got, window, k, sent=False)
         windows = sizes - window + 1
         first_of = np.cumsum(windows) - windows
         replies = [X.unpack_array(raw) for level, _, raw in got if level == 2]
