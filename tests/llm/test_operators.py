@@ -629,3 +629,36 @@ def test_run_index_work_is_done_once():
     ends = [k for k, c in enumerate(whole) if not c]
     tail = lambda p: (whole[p : (e := next(x for x in ends if x >= p))], e)
     assert order.tolist() == sorted(range(len(whole)), key=tail)
+
+
+def test_run_index_runs_are_whole():
+    """A run ends where its symbol does, not where neighbours share few symbols; rows that share a window carry its least owner; pieces are told apart by their bytes, whatever their hashes."""
+    import numpy as np
+
+    from tidewarden.llm import suffix
+    from tidewarden.llm.rindex import RunIndex
+
+    rng = np.random.default_rng(11)
+    for window in (3, 12, 50):
+        strings = list({bytes(rng.choice([97, 98, 200], int(rng.integers(window, 90))).astype(np.uint8)) for _ in range(30)})
+        strings += [s + b"ba" for s in strings[:9]] + [b"c" + s for s in strings[5:12]]
+        owner = rng.permutation(len(strings))
+        body, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+        index = RunIndex(body, sizes, owner, window)
+        assert (index.run_symbol[1:] != index.run_symbol[:-1]).all()
+        first, length, least = index.statistics(body, sizes, own=True)
+        for at, s in zip(first, strings, strict=True):
+            assert length[at : at + len(s)].tolist() == list(range(len(s), 0, -1))
+            for k in range(len(s)):
+                mine = s[k : k + window]
+                assert least[at + k] == (min(o for o, t in zip(owner, strings, strict=True) if mine in t) if len(mine) == window else np.iinfo(np.int64).max)
+
+    pieces = [b"one piece", b"two piece", b"one piece", b"longer piece", b"two piece", b"one piece"]
+    size = np.array([len(x) for x in pieces])
+    buf, start = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+    key = np.array([7, 7, 7, 3, 7, 9], np.uint64)
+    for told in (suffix._hashes(buf, start, size), np.zeros(6, np.uint64)):
+        differ, place = suffix._alike(buf, start, size, key, told)
+        assert [(pieces[differ[p]], key[differ[p]]) for p in place] == list(zip(pieces, key, strict=True)) and (np.diff(key[differ].astype(int)) >= 0).all()
+        assert len(differ) == 4 or not told.any()
+    assert suffix._copied(buf, start[[3, 1, 0]], size[[3, 1, 0]]).tobytes() == b"longer piecetwo pieceone piece"

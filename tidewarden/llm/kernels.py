@@ -40,12 +40,13 @@ def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
-    x = x ^ (x >> np.uint64(30))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +75,10 @@ def runs_hash(pre: np.ndarray, length: int, which: int) -> np.ndarray:
     n = len(pre) - length
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix((pre[length:] - pre[:n]) * powers(len(pre), which, True)[:n] + np.uint64(length))
+    out = pre[length:] - pre[:n]
+    out *= powers(len(pre), which, True)[:n]
+    out += np.uint64(length)
+    return mix(out)
 
 
 def windows_hash(values: np.ndarray, length: int, which: int) -> np.ndarray:
@@ -152,10 +156,15 @@ def sort_order(keys: np.ndarray) -> np.ndarray:
     low = (np.uint64(1) << bits) - np.uint64(1)
     if n:
         keys = keys << np.uint64(64 - max(1, int(keys.max()).bit_length()))
-    order = (np.sort((keys & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
-    ranked = keys[order]
-    if (ranked[1:] < ranked[:-1]).any():  # keys that differ in their lower bits alone
-        order = order[np.argsort(ranked, kind="stable")]
+    order = keys & ~low
+    order |= np.arange(n, dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    if np.bitwise_or.reduce(keys) & low:  # keys may differ in their lower bits alone
+        ranked = keys[order]
+        if (ranked[1:] < ranked[:-1]).any():
+            order = order[np.argsort(ranked, kind="stable")]
     return order
 
 

@@ -37,8 +37,6 @@ class _Bytes:
         self.chunk = c = K.Chunk.of(texts)
         self.window, self.k = window, k
         self.pre = K.prefix(c.byte_values(), 0)
-        self.last = np.repeat(c.end - window, c.end - c.start)  # the last window of the document of each position
-        self.owner = np.repeat(np.arange(len(texts), dtype=np.int64), c.end - c.start)
         self.least = self._least(k)
         n = len(self.least)
         head = np.ones(n, bool)
@@ -51,11 +49,11 @@ class _Bytes:
 
     def _least(self, k: int) -> np.ndarray:
         """The least hash of the k-byte strings in each window."""
-        return K.sliding(K.runs_hash(self.pre, k, 0), self.window - k + 1, np.minimum) if len(self.last) >= self.window else np.zeros(0, np.uint64)
+        return K.sliding(K.runs_hash(self.pre, k, 0), self.window - k + 1, np.minimum) if len(self.chunk.buf) >= self.window else np.zeros(0, np.uint64)
 
     def _valid(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """How many of the windows from start lie in one document."""
-        return np.clip(self.last[start] + 1 - start, 0, count) if len(start) else count
+        return np.clip(self.chunk.end[self.chunk.owner(start)] - self.window + 1 - start, 0, count)
 
     def _once(self, key: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Ascending keys, each once for every document; owners ascend."""
@@ -67,7 +65,7 @@ class _Bytes:
 
     def first_level(self) -> np.ndarray:
         full = self.count > 0
-        return self._once(self.key[full], self.owner[self.start[full]])
+        return self._once(self.key[full], self.chunk.owner(self.start[full]))
 
     def segments(self, known: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, first window, number of windows): runs of candidate windows under one hash, and single windows under hot ones."""
@@ -93,30 +91,42 @@ def _blocks(size: np.ndarray):
     upto = np.cumsum(size)
     lo = 0
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + 8 * _BLOCK)))
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _BLOCK)))
         yield lo, hi
         lo = hi
 
 
-def _alike(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each piece buf[start : start + size], a block at a time."""
+    out = np.empty(len(start), np.uint64)
+    for lo, hi in _blocks(size):
+        first = int(start[lo:hi].min())
+        pre = K.prefix(K._BYTE[buf[first : int((start[lo:hi] + size[lo:hi]).max())]], 1)
+        out[lo:hi] = K.spans_hash(pre, start[lo:hi] - first, start[lo:hi] - first + size[lo:hi], 1)
+    return out
+
+
+def _whole(buf: np.ndarray, size: int) -> np.ndarray:
+    """Every piece of size bytes of buf as one value, by its start: pieces are copied whole."""
+    return np.ndarray((max(0, len(buf) - size + 1),), f"V{size}", buf, 0, (1,))
+
+
+def _alike(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, place): the pieces buf[start : start + size] that differ, in the order of their key, and the place of each piece among them.
 
-    Pieces are sorted by two hashes, and neighbours with the same ones are compared byte by byte, a block at a time.
+    Pieces are sorted by key and hash (told), and neighbours with the same ones are compared byte by byte. Should pieces that differ have the same
+    hash, a piece may stand more than once among those that differ, which costs a row and changes no result.
     """
-    one, two = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
-    for lo, hi in _blocks(size):
-        first = int(start[lo:hi].min())
-        values = K._BYTE[buf[first : int((start[lo:hi] + size[lo:hi]).max())]]
-        for out, v, which in ((one, values, 1), (two, K.mix(values), 2)):
-            out[lo:hi] = K.spans_hash(K.prefix(v, which), start[lo:hi] - first, start[lo:hi] - first + size[lo:hi], which)
-    order = np.lexsort((two, one, key))
+    order = K.sort_order(told)
+    order = order[K.sort_order(key[order])]
     a, b = order[:-1], order[1:]
-    same = (key[a] == key[b]) & (one[a] == one[b]) & (two[a] == two[b]) & (size[a] == size[b])
+    same = (key[a] == key[b]) & (told[a] == told[b]) & (size[a] == size[b])
     twins = np.flatnonzero(same)
-    for lo, hi in _blocks(size[a[twins]]):
-        at = twins[lo:hi]
-        differ = buf[_ranges(start[a[at]], size[a[at]])] != buf[_ranges(start[b[at]], size[a[at]])]
-        same[at] &= ~np.logical_or.reduceat(differ, np.cumsum(size[a[at]]) - size[a[at]])
+    width = size[a[twins]]
+    for w in np.flatnonzero(np.bincount(width)).tolist():
+        at = twins[width == w]
+        whole = _whole(buf, w)
+        same[at] = (whole[start[a[at]]].view(np.uint8) == whole[start[b[at]]].view(np.uint8)).reshape(-1, w).all(axis=1)
     new = np.append(True, ~same)[: len(order)]
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
@@ -127,8 +137,9 @@ def _copied(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The pieces one after the other."""
     out = np.empty(int(size.sum()), np.uint8)
     at = np.cumsum(size) - size
-    for lo, hi in _blocks(size):
-        out[at[lo] : at[hi - 1] + size[hi - 1]] = buf[_ranges(start[lo:hi], size[lo:hi])]
+    for w in np.flatnonzero(np.bincount(size)).tolist():
+        mine = size == w
+        _whole(out, w)[at[mine]] = _whole(buf, w)[start[mine]]
     return out
 
 
@@ -161,7 +172,7 @@ def _gather(ids: list, texts: list, got: list, window: int, k: int, sent: bool =
     known, hot = _known(got, 0)
     texts = [t or b"" for t in texts]
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    keys, starts, counts, docs, parts = [], [], [], [], []
+    keys, starts, counts, docs, told, parts = [], [], [], [], [], []
     offset = 0
     for at, part in K.chunks(texts, _BLOCK):
         b = _Bytes(part, window, k)
@@ -171,14 +182,15 @@ def _gather(ids: list, texts: list, got: list, window: int, k: int, sent: bool =
         keys.append(key)
         starts.append(start + offset)
         counts.append(count)
-        docs.append(owner[b.owner[start]])
+        told.append(K.spans_hash(b.pre, start, start + count + window - 1, 0))
+        docs.append(owner[b.chunk.owner(start)])
         offset += len(b.chunk.buf)
     if not parts:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none, none, buf, none, parts, buf
-    keys, starts, counts, docs = (np.concatenate(x) for x in (keys, starts, counts, docs))
+    keys, starts, counts, docs, told = (np.concatenate(x) for x in (keys, starts, counts, docs, told))
     sizes = counts + window - 1
-    first, place = _alike(buf, starts, sizes, keys)
+    first, place = _alike(buf, starts, sizes, keys, told)
     if not sent:
         return keys[first], sizes[first], docs[:0], buf[:0], place, parts, buf
     least = np.full(len(first), _LAST)
@@ -193,7 +205,7 @@ def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
     sizes = sizes.astype(np.int64)
     buf = np.frombuffer(b"".join(X._expand(p[3]) for p in parts), np.uint8)
     start = np.cumsum(sizes) - sizes
-    first, place = _alike(buf, start, sizes, keys)
+    first, place = _alike(buf, start, sizes, keys, _hashes(buf, start, sizes))
     least = np.full(len(first), _LAST)
     np.minimum.at(least, place, owners)
     size = sizes[first]
@@ -210,9 +222,9 @@ def _answer(blobs: list[bytes], window: int, most: int) -> list[bytes]:
         hi = int(ends[over[0]]) if len(over) else len(first)
         text = _copied(buf, start[first[lo:hi]], size[lo:hi])
         index = RunIndex(text, size[lo:hi], least[lo:hi], window)
-        at, length, owner = index.statistics(text, size[lo:hi], own=True)
+        at, _, owner = index.statistics(text, size[lo:hi], own=True)
         inside = _ranges(at, windows[lo:hi])
-        found[filled : filled + len(inside)] = np.where(length[inside] >= window, owner[inside], _LAST)
+        found[filled : filled + len(inside)] = owner[inside]
         filled += len(inside)
         lo = hi
     at = np.cumsum(windows) - windows
