@@ -583,6 +583,19 @@ def test_settled_rows_are_counted_and_leave_no_shuffle_setting(spark):
     assert X.settle(spark.range(0))[1] == 0
 
 
+def test_settled_rows_pass_on_no_estimate_of_their_size(spark):
+    """Spark takes the product of two sides for the size of their join; over rounds of settled joins the number's digits doubled, up to the driver's memory."""
+    from pyspark.sql import functions as F
+
+    from tidewarden.llm import exchange as X
+
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
+    for _ in range(6):
+        df, n = X.settle(df.join(df.select("id", F.col("v").alias("w")), "id").select("id", F.col("w").alias("v")))
+    assert n == 100 and sorted(map(tuple, df.collect())) == [(i, i % 7) for i in range(100)]
+    assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
+
+
 def test_weighted_and_plain_similarity_both_link(spark):
     from tidewarden.llm.dartminhash import near_duplicates
 

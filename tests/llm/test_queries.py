@@ -90,3 +90,25 @@ def test_pipeline_keeps_columns_of_any_name_and_kind(spark):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns and {(r.doc_id, r._row_key, (r.more or {}).get("a")) for r in out.collect()} <= {(k, f"kept{k}", k) for k in range(5)} | {(9, "none", None)}
     assert P.quality(spark, docs, SMALL).count() == 5
+
+
+def test_near_dedup_of_many_rounds_keeps_plans_small(spark, monkeypatch):
+    """Texts that are near to the next one alone take rounds of joins to one class; the driver's estimate of the tables' sizes doesn't grow with the rounds."""
+    import corpus_pipeline as P
+    from tidewarden.llm import dartminhash, exchange
+
+    digits, settle = [], exchange.settle
+
+    def settled(df, *each):
+        out = settle(df, *each)
+        digits.append(len(str(out[0]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return out
+
+    for module in (exchange, dartminhash):
+        monkeypatch.setattr(module, "settle", settled)
+    words = [f"w{k}" for k in range(700)]
+    chain = [(k, " ".join(words[8 * k : 8 * k + 200])) for k in range(60)]  # 192 of 200 words are the next one's too
+    rows = [(i, t, "en", "s", len(t)) for i, t in [*chain, (90, "another text that is near to none of the others")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, SMALL).collect()) == [0, 90]
+    assert len(digits) > 15 and max(digits) < 20
