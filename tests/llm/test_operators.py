@@ -596,6 +596,18 @@ def test_settled_rows_pass_on_no_estimate_of_their_size(spark):
     assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
 
 
+def test_components_of_a_path_keep_estimates_small(spark):
+    """Rounds of hooks and jumps leave estimates of a table's size as short as they were, and each component its least id."""
+    from tidewarden.llm.dartminhash import components
+
+    order = random.Random(6).sample(range(1, 41), 40)
+    edges = [*zip(order[:25], order[1:25], strict=False), *zip(order[25:], order[26:], strict=False)]
+    nodes = spark.createDataFrame([(i, i) for i in order], "id long, root long")
+    got = components(nodes, spark.createDataFrame(edges, "a long, b long"))
+    assert {r.id: r.root for r in got.collect()} == {i: min(part) for part in (order[:25], order[25:]) for i in part}
+    assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
+
+
 def test_weighted_and_plain_similarity_both_link(spark):
     from tidewarden.llm.dartminhash import near_duplicates
 
